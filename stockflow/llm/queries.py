@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, html_text, impact
+from stockflow.llm import ann, html_text, impact, rans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """A public vocabulary file of this machine (the operators take any path)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, each with end id 2, written as block files and digested from what is read back."""
+    blocks, table = rans.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return rans.read_ids(blocks, table, digest=True)
+
+
 def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found for each vector whose id is divisible by 50, among all vectors."""
     e = _table(spark, sf_dir, "embeddings")
@@ -32,6 +45,7 @@ def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rans_ids": op2_rans_ids,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_block_text": op8_line_block_text,
     "op10_impact_top_k": op10_impact_top_k,
