@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, html_text, impact, rans
+from stockflow.llm import ann, html_text, impact, packing, rans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, each with end id 2, written as block files and digested from what is read back."""
     blocks, table = rans.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -45,6 +50,7 @@ def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_rans_ids": op2_rans_ids,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_block_text": op8_line_block_text,
