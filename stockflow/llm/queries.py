@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, html_text, impact, packing, rans
+from stockflow.llm import ann, html_text, impact, packing, rans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(blocks, table, digest=True)
 
 
+def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found for each vector whose id is divisible by 50, among all vectors."""
     e = _table(spark, sf_dir, "embeddings")
@@ -52,6 +58,7 @@ def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_rans_ids": op2_rans_ids,
+    "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_block_text": op8_line_block_text,
     "op10_impact_top_k": op10_impact_top_k,
