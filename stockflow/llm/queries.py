@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, html_text, impact, packing, rans, toxicity
+from stockflow.llm import ann, bpe, html_text, impact, packing, rans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(blocks, table, digest=True)
 
 
+def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the rank file and decoded again, with digests of ids and bytes."""
+    import public_tokenizers
+
+    ranks = _vocabulary("byte_bpe_50k.tiktoken")
+    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -58,6 +68,7 @@ def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_rans_ids": op2_rans_ids,
+    "op3_distinct_word_bpe": op3_distinct_word_bpe,
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_block_text": op8_line_block_text,

@@ -31,56 +31,27 @@ class _Chunks(dict):
         return n
 
 
-class Encoder:
-    """Whole texts to ids. Its table of chunks is emptied at MOST_CHUNKS, which bounds its memory."""
+class ChunkTable:
+    """Whole texts to runs of numbers, each distinct chunk being looked up once; emptied at MOST_CHUNKS, which bounds its memory."""
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
-        self.n_bytes = np.zeros(self.size, np.int64)
-        for token, i in vocab.items():
-            self.n_bytes[i] = len(token)  # each character stands for a byte
-        self._reset()
+    def __init__(self) -> None:
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.chunks, self.ids, self.start, self.length = _Chunks(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.filled = 0
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of new chunks: all in one array, then first place and count of each chunk."""
+        raise NotImplementedError
 
-    def _learn(self) -> None:
-        """Ids of the new chunks: those joined for the library are told apart by their bytes."""
-        new, self.chunks.new = self.chunks.new, []
-        if not new:
-            return
-        first = np.fromiter((x[0] == " " for x in new), bool, len(new))
-        rest = [x for x in new if x[0] != " "]
-        ids, sizes = [], []
-        for at in range(0, len(rest), GROUP):
-            group = rest[at : at + GROUP]
-            found = self._library([" " + " ".join(group)])[0]
-            ends = np.cumsum(np.fromiter((len(x.encode()) for x in group), np.int64, len(group)) + 1)
-            sizes.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[found]), ends, "left") + 1, prepend=0))
-            ids.append(found)
-        alone = self._library([x[1:] for x in new if x[0] == " "])
-        sizes = np.concatenate([*sizes, np.array([len(x) for x in alone], np.int64)])
-        starts, length, start = self.filled + np.cumsum(sizes) - sizes, np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        length[~first], length[first] = sizes[: len(rest)], sizes[len(rest) :]
-        start[~first], start[first] = starts[: len(rest)], starts[len(rest) :]
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, *ids, *alone])
-        self.filled = len(self.ids)
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of whole texts."""
+        raise NotImplementedError
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of ids of each text."""
+        """All numbers in one array, and their count for each text."""
         if len(self.chunks) > MOST_CHUNKS:
-            self._reset()
+            self.reset()
         get, numbers, whole = self.chunks.__getitem__, [], []
         for i, text in enumerate(texts):
             parts = text.split(" ")
@@ -90,7 +61,11 @@ class Encoder:
                 whole.append(i)
                 n = n[:0]
             numbers.append(n)
-        self._learn()
+        if new := self.chunks.new:
+            self.chunks.new = []
+            ids, start, length = self.of_chunks(new)
+            self.start, self.length = np.concatenate([self.start, start + len(self.ids)]), np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, ids])
         all_n = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         size = self.length[all_n]
         ids = self.ids[np.repeat(self.start[all_n] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -98,7 +73,7 @@ class Encoder:
         counts = np.bincount(doc, size, len(texts)).astype(np.int64)
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
-            for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            for i, x in zip(whole, self.of_texts([texts[i] for i in whole]), strict=True):
                 parts[i], counts[i] = x, len(x)
             ids = np.concatenate(parts)
         return ids, counts
@@ -113,6 +88,44 @@ class Encoder:
                 first, total = i + 1, 0
 
 
+class Encoder(ChunkTable):
+    """Whole texts to the ids of a vocabulary file of the tokenizers library."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.size = max(vocab.values()) + 1
+        self.n_bytes = np.zeros(self.size, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)  # each character stands for a byte
+
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks go to the library joined and are told apart by their bytes; those that begin a text go alone."""
+        first = np.fromiter((x[0] == " " for x in new), bool, len(new))
+        rest = [x for x in new if x[0] != " "]
+        ids, sizes = [], []
+        for at in range(0, len(rest), GROUP):
+            group = rest[at : at + GROUP]
+            found = self.of_texts([" " + " ".join(group)])[0]
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in group), np.int64, len(group)) + 1)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[found]), ends, "left") + 1, prepend=0))
+            ids.append(found)
+        alone = self.of_texts([x[1:] for x in new if x[0] == " "])
+        in_order = np.concatenate([*sizes, np.array([len(x) for x in alone], np.int64)])
+        starts, start, length = np.cumsum(in_order) - in_order, np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        length[~first], length[first] = in_order[: len(rest)], in_order[len(rest) :]
+        start[~first], start[first] = starts[: len(rest)], starts[len(rest) :]
+        return np.concatenate([*ids, *alone]), start, length
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
