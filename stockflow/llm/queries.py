@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, bpe, html_text, impact, packing, rans, toxicity
+from stockflow.llm import ann, bpe, html_text, impact, packing, quality, rans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by weak labels and the scorer learnt from them."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs))
+
+
 def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found for each vector whose id is divisible by 50, among all vectors."""
     e = _table(spark, sf_dir, "embeddings")
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans_ids": op2_rans_ids,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
+    "op6_weak_label_quality": op6_weak_label_quality,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_block_text": op8_line_block_text,
     "op10_impact_top_k": op10_impact_top_k,
