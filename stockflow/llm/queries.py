@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, bpe, html_text, impact, packing, quality, rans, toxicity
+from stockflow.llm import ann, bpe, html_text, impact, near_dup, packing, quality, rans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op8_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_bag_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products for each vector whose id is divisible by 20, among all vectors."""
     e = _table(spark, sf_dir, "embeddings")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weak_label_quality": op6_weak_label_quality,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_block_text": op8_line_block_text,
+    "op9_bag_minhash_near_dup": op9_bag_minhash_near_dup,
     "op10_impact_top_k": op10_impact_top_k,
 }
 
