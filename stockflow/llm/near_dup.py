@@ -261,3 +261,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
     found = nodes.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size")
     alone = signed.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.unionByName(alone)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """``docs`` with one row of each class: its smallest id's. Rows without an id stay, as they are in no class."""
+    found = classes(docs, id_col=id_col, text_col=text_col, **how)
+    first = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
+    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

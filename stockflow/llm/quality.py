@@ -199,6 +199,19 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
     return Model(posterior, dict(zip(LABELLERS, right.tolist(), strict=True)), prior, w)
 
 
+def scorer(model: Model, bits: int = BITS):
+    """A function of a text column: the score, as ``score`` gives it."""
+
+    @F.pandas_udf("double")
+    def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = model.weights()
+        for s in batches:
+            out = [w[slot] @ value + w[-1] for _, part in words.in_parts(s.fillna("").tolist()) for slot, value in read(part, bits)[1]]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35))))
+
+    return of_text
+
+
 def score(docs: DataFrame, model: Model, bits: int = BITS, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, votes (array, in the order of LABELLERS), weak_label (posterior), score (0 to 1) and keep (score >= threshold) of every row.
 

@@ -79,6 +79,21 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bits: in
     return slots[slots >= 0], weights[slots >= 0], float(weights[slots < 0].sum())
 
 
+def scorer(model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS):
+    """A function of a text column: the score, as ``score`` gives it."""
+    slots, weights, bias = model
+
+    @F.pandas_udf("double")
+    def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = np.zeros(1 << bits)
+        w[slots] = weights
+        for s in batches:
+            out = [words.gram_scores(part, w, bias, bits) for _, part in words.in_parts(s.fillna("").tolist())]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(out), -35, 35))) if out else np.zeros(0))
+
+    return of_text
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) of every row.
 
