@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import shared_dir, texts
-from stockflow.llm.tokens import ChunkTable
+from stockflow.llm.tokens import ChunkTable, parts_of
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 6_000_000
+MOST_CHUNKS = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +79,23 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Numbered(dict):
+    """Key -> number in order of first use; the keys are kept in ``seen``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.seen: list = []
+
+    def __missing__(self, key: object) -> int:
+        self[key] = n = len(self)
+        self.seen.append(key)
+        return n
+
+
 class WordNumbers(ChunkTable):
-    """Whole texts to numbers of their pre-tokens, by the pattern."""
+    """Whole texts to numbers of their pre-tokens, by the pattern; ``trim`` empties it between blocks once it is large."""
+
+    empties = False
 
     def __init__(self, pattern: str) -> None:
         import regex
@@ -89,21 +105,33 @@ class WordNumbers(ChunkTable):
 
     def reset(self) -> None:
         super().reset()
-        self.words: dict[str, int] = getattr(self, "words", {})
+        self.words, self.raw, self.size, self.hash = _Numbered(), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _number(self, words: list[str]) -> list[int]:
-        return [self.words.setdefault(w, len(self.words)) for w in words]
+    def trim(self) -> None:
+        if len(self.chunks) > MOST_CHUNKS:
+            self.reset()
+
+    def measure(self) -> None:
+        """Bytes, sizes and hashes of the words that are new."""
+        new = [w.encode() for w in self.words.seen[len(self.raw) :]]
+        self.raw += new
+        self.size = np.concatenate([self.size, np.array([len(w) for w in new], np.int64)])
+        self.hash = np.concatenate([self.hash, np.array([zlib.crc32(w) for w in new], np.int64)])
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self._number(self.find(x)), np.uint32) for x in texts]
+        return [np.array([self.words[w] for w in self.find(x)], np.uint32) for x in texts]
 
     def of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat: list[int] = []
-        sizes = np.zeros(len(new), np.int64)
+        sizes = np.ones(len(new), np.int64)
+        number = self.words.__getitem__
         for i, x in enumerate(new):
-            found = self.find(x[1:] if x[0] == " " else " " + x)
-            sizes[i] = len(found)
-            flat += self._number(found)
+            if x.isalpha():  # letters after a space are one pre-token
+                flat.append(number(" " + x))
+            else:
+                found = self.find(x[1:] if x[0] == " " else " " + x)
+                sizes[i] = len(found)
+                flat += map(number, found)
         return np.array(flat, np.uint32), np.cumsum(sizes) - sizes, sizes
 
 
@@ -117,41 +145,46 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
         part, k, table, held, chars = TaskContext.get().partitionId(), 0, WordNumbers(pattern), [], 0
 
         def full() -> pd.DataFrame:
+            table.measure()
             numbers = np.concatenate([n for _, _, n in held])
-            words = list(table.words)
-            order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-            rank = np.zeros(len(words), np.uint32)
-            rank[order] = np.arange(len(words))
+            often = np.bincount(numbers, minlength=len(table.raw))
+            used = np.flatnonzero(often)
+            used = used[np.argsort(-often[used], kind="stable")]
+            rank = np.zeros(len(table.raw), np.uint32)
+            rank[used] = np.arange(len(used))
             planes = rank[numbers].astype("<u4").view(np.uint8).reshape(-1, 4)
             ids = [d for ds, _, _ in held for d in ds]
             block = part << 32 | k
             rows = [(block, -1, np.array([pd.isna(d) for d in ids], np.uint8).tobytes(), np.array([0 if pd.isna(d) else int(d) for d in ids], "<i8").tobytes(), np.concatenate([c for _, c, _ in held]).astype("<i8").tobytes(), *(planes[:, p].tobytes() for p in range(4)))]
-            by_group: list[list[tuple[int, bytes]]] = [[] for _ in range(groups)]
-            for w, n in zip(words, rank.tolist(), strict=True):
-                b = w.encode()
-                by_group[zlib.crc32(b) % groups].append((n, b))
-            for g, found in enumerate(by_group):
-                if found:
-                    rows.append((block, g, np.array([n for n, _ in found], "<u4").tobytes(), np.array([len(b) for _, b in found], "<u4").tobytes(), b"".join(b for _, b in found), b"", b"", b"", b""))
+            group = table.hash[used] % groups
+            order = np.argsort(group, kind="stable")
+            for own in np.split(order, np.searchsorted(group[order], np.arange(1, groups))):
+                if len(own):
+                    rows.append((block, int(group[own[0]]), own.astype("<u4").tobytes(), table.size[used[own]].astype("<u4").tobytes(), b"".join([table.raw[i] for i in used[own].tolist()]), b"", b"", b"", b""))
             return pd.DataFrame(rows, columns=["block", "grp", "a", "b", "c", "p0", "p1", "p2", "p3"])
 
         for pdf in batches:
-            texts_, ids_ = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for first, numbers, counts in table.in_parts(texts_):
-                held.append((ids_[first : first + len(counts)], counts, numbers))
-                chars += sum(map(len, texts_[first : first + len(counts)]))
+            at = 0
+            for part_texts in parts_of(pdf["text"].tolist()):
+                numbers, counts = table.encode(part_texts)
+                held.append((pdf["doc_id"].iloc[at : at + len(counts)].tolist(), counts, numbers))
+                at += len(counts)
+                chars += sum(map(len, part_texts))
                 if chars >= block_chars:
                     yield full()
-                    k, table, held, chars = k + 1, WordNumbers(pattern), [], 0
+                    k, held, chars = k + 1, [], 0
+                    table.trim()
         if held:
             yield full()
 
     return docs.mapInPandas(run, "block long, grp int, a binary, b binary, c binary, p0 binary, p1 binary, p2 binary, p3 binary")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, with_decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of every row: the whole text, without special tokens.
 
+    ``with_decoded`` adds decoded, the bytes that the ids stand for, as ``decode`` would.
+
     A null or empty text has no ids; each row gives one row, repeated ones and null ids too; other columns are not read.
     Memory is bounded by ``block_chars`` and the longest text; an empty table gives no rows.
     """
@@ -162,21 +195,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     table = spark.table(name)
 
     def words_to_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks, known = ranks_of(ranks_path), {}
+        ranks, known = ranks_of(ranks_path), _Numbered()
+        flat, start, length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in batches:
             out = []
             for block, numbers, sizes, blob in zip(pdf["block"], pdf["a"], pdf["b"], pdf["c"], strict=True):
-                ids, at = [], 0
-                for size in np.frombuffer(sizes, "<u4").tolist():
-                    w = blob[at : at + size]
-                    at += size
-                    if (found := known.get(w)) is None:
-                        found = known[w] = np.array(merged(w, ranks), "<u4")
-                    ids.append(found)
-                out.append((block, numbers, np.array([len(x) for x in ids], "<u4").tobytes(), np.concatenate(ids).astype("<u4").tobytes()))
+                ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+                words = [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                if known.seen:  # each distinct word is merged once
+                    new = [merged(w, ranks) for w in known.seen]
+                    known.seen = []
+                    more = np.array([len(x) for x in new], np.int64)
+                    start, length = np.concatenate([start, len(flat) + np.cumsum(more) - more]), np.concatenate([length, more])
+                    flat = np.concatenate([flat, np.array([i for x in new for i in x], "<u4")])
+                size = length[n]
+                out.append((block, numbers, size.astype("<u4").tobytes(), flat[np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()))
             yield pd.DataFrame(out, columns=["block", "numbers", "sizes", "ids"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token = {i: b for b, i in ranks_of(ranks_path).items()}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 null, doc_ids, counts = np.frombuffer(r.a, np.uint8), np.frombuffer(r.b, "<i8"), np.frombuffer(r.c, "<i8")
@@ -188,22 +226,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 start, length = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
                 start[which], length[which] = np.cumsum(sizes) - sizes, sizes
                 ends, first = np.cumsum(counts), 0
-                while first < len(counts):  # documents of about a million words at a time
+                while first < len(counts):  # documents of about 200,000 words at a time
                     base = ends[first] - counts[first]
-                    last = max(first + 1, int(np.searchsorted(ends, base + 1_000_000)))
+                    last = max(first + 1, int(np.searchsorted(ends, base + 200_000)))
                     own = numbers[base : ends[last - 1]]
                     size = length[own]
                     ids = flat[np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                     per_doc = np.add.reduceat(np.append(size, 0), np.minimum(ends[first:last] - counts[first:last] - base, len(size))) * (counts[first:last] > 0)
                     doc = pd.array(doc_ids[first:last].copy(), "Int64")
                     doc[null[first:last] > 0] = pd.NA
-                    yield pd.DataFrame({"doc_id": doc, "ids": np.split(ids, np.cumsum(per_doc)[:-1])})
+                    out = pd.DataFrame({"doc_id": doc, "ids": np.split(ids, np.cumsum(per_doc)[:-1])})
+                    yield out.assign(decoded=[_bytes_of(x, token) for x in out["ids"]]) if with_decoded else out
                     first = last
 
     words = table.where("grp >= 0").select("block", "grp", "a", "b", "c").repartition(n, "grp")
     back = words.mapInPandas(words_to_ids, "block long, numbers binary, sizes binary, ids binary")
     back = back.groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("parts"))
-    return table.where("grp < 0").join(back, "block", "left").mapInPandas(put_together, "doc_id long, ids array<int>")
+    return table.where("grp < 0").join(back, "block", "left").mapInPandas(put_together, "doc_id long, ids array<int>" + ", decoded binary" * with_decoded)
+
+
+def _bytes_of(ids: np.ndarray | None, token: dict[int, bytes]) -> bytes:
+    return b"" if ids is None else b"".join(map(token.__getitem__, ids.tolist()))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -214,9 +257,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token = {i: b for b, i in ranks_of(ranks_path).items()}
-        get = token.__getitem__
         for pdf in batches:
-            pdf["decoded"] = [b"".join(map(get, [] if x is None else x.tolist())) for x in pdf[ids_col]]
+            pdf["decoded"] = [_bytes_of(x, token) for x in pdf[ids_col]]
             yield pdf
 
     kept = encoded.drop("decoded")
