@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, bpe, html_text, impact, near_dup, packing, quality, rans, toxicity
+from stockflow.llm import ann, bpe, html_text, impact, lm_score, near_dup, packing, quality, rans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,17 @@ def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = _vocabulary("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    both = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's loss under a model of the English documents less that under one of all documents."""
+    found = lm_score.score(_table(spark, sf_dir, "documents"), target=F.col("lang") == "en")
+    return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("h_target", "h_background", "score")))
+
+
 def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_rans_ids": op2_rans_ids,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op6_weak_label_quality": op6_weak_label_quality,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
@@ -89,6 +96,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_cross_entropy_difference": """
+        WITH d AS (
+            SELECT doc_id, coalesce(lang = 'en', false) AS t,
+                   list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w
+            FROM documents),
+        k AS (SELECT doc_id, t, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+        p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM k),
+        wc AS (SELECT w, count(*) AS n, count(*) FILTER (t) AS nt FROM k GROUP BY w),
+        pc AS (SELECT v, w, count(*) AS n, count(*) FILTER (t) AS nt FROM p WHERE v IS NOT NULL GROUP BY v, w),
+        wd AS (SELECT doc_id, w, count(*) AS m FROM k GROUP BY doc_id, w),
+        pd AS (SELECT doc_id, v, w, count(*) AS m FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+        s AS (SELECT count(*) AS n, count(*) FILTER (t) AS nt FROM k),
+        x AS (
+            SELECT p.doc_id, a.n >= 2 AS known,
+                   CAST(a.n - am.m AS DOUBLE) AS w_all, CAST(b.n - bm.m AS DOUBLE) AS v_all, CAST(c.n - cm.m AS DOUBLE) AS p_all, CAST(s.n - len(d.w) AS DOUBLE) AS n_all,
+                   CAST(a.nt - (p.t::INT) * am.m AS DOUBLE) AS w_t, CAST(b.nt - (p.t::INT) * bm.m AS DOUBLE) AS v_t, CAST(c.nt - (p.t::INT) * cm.m AS DOUBLE) AS p_t,
+                   CAST(s.nt - (p.t::INT) * len(d.w) AS DOUBLE) AS n_t
+            FROM p JOIN d USING (doc_id) JOIN s ON true JOIN wc a ON a.w = p.w JOIN wd am ON am.doc_id = p.doc_id AND am.w = p.w
+            LEFT JOIN wc b ON b.w = p.v LEFT JOIN wd bm ON bm.doc_id = p.doc_id AND bm.w = p.v
+            LEFT JOIN pc c ON c.v = p.v AND c.w = p.w LEFT JOIN pd cm ON cm.doc_id = p.doc_id AND cm.v = p.v AND cm.w = p.w),
+        y AS (
+            SELECT doc_id, known, v_all, p_all, v_t, p_t,
+                   (CASE WHEN known THEN w_all ELSE 0 END + 0.1) / (n_all + 0.1 * 1000000) AS u_all,
+                   (CASE WHEN known THEN w_t ELSE 0 END + 0.1) / (n_t + 0.1 * 1000000) AS u_t FROM x),
+        h AS (
+            SELECT doc_id, count(*) AS n_words,
+                   avg(-ln(CASE WHEN v_t > 0 THEN 0.7 * CASE WHEN known THEN p_t / v_t ELSE 0 END + (1 - 0.7) * u_t ELSE u_t END)) AS h_target,
+                   avg(-ln(CASE WHEN v_all > 0 THEN 0.7 * CASE WHEN known THEN p_all / v_all ELSE 0 END + (1 - 0.7) * u_all ELSE u_all END)) AS h_background
+            FROM y GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(h_target, 6) AS h_target, round(h_background, 6) AS h_background, round(h_target - h_background, 6) AS score
+        FROM d LEFT JOIN h USING (doc_id)""",
     "op10_impact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v

@@ -31,9 +31,21 @@ class _Chunks(dict):
         return n
 
 
+def parts_of(texts: list[str], chars: int = 2_000_000):
+    """Runs of texts of about so many characters."""
+    first, total = 0, 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total >= chars or i + 1 == len(texts):
+            yield texts[first : i + 1]
+            first, total = i + 1, 0
+
+
 class ChunkTable:
     """Whole texts to runs of numbers, each distinct chunk being looked up once; emptied at MOST_CHUNKS, which bounds its memory."""
 
+    empties = True  # else its user does so, where numbers may change
+
     def __init__(self) -> None:
         self.reset()
 
@@ -50,7 +62,7 @@ class ChunkTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All numbers in one array, and their count for each text."""
-        if len(self.chunks) > MOST_CHUNKS:
+        if self.empties and len(self.chunks) > MOST_CHUNKS:
             self.reset()
         get, numbers, whole = self.chunks.__getitem__, [], []
         for i, text in enumerate(texts):
@@ -80,12 +92,10 @@ class ChunkTable:
 
     def in_parts(self, texts: list[str], chars: int = 2_000_000):
         """(first, ids, counts) for runs of texts of about so many characters: what is held at once stays small."""
-        first, total = 0, 0
-        for i, text in enumerate(texts):
-            total += len(text)
-            if total >= chars or i + 1 == len(texts):
-                yield first, *self.encode(texts[first : i + 1])
-                first, total = i + 1, 0
+        first = 0
+        for part in parts_of(texts, chars):
+            yield first, *self.encode(part)
+            first += len(part)
 
 
 class Encoder(ChunkTable):
