@@ -182,16 +182,18 @@ def _across(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of ``nodes`` (node, component) from different components that can reach the threshold.
 
     Of two multisets that do, each has one of the other's items among its rarest: so many that the others could not
-    make up the threshold. Only these rarest items are joined, and most nodes have none that another one has.
+    make up the threshold. Only these rarest items are joined, and at the first one that both have, what follows it in
+    both must still be able to make up the threshold: nodes with many items of their own never meet.
     """
     items = nodes.join(sets, "node").select("node", "component", F.size("items").alias("size"), F.explode("items").alias("item"))
     counted = items.join(items.groupBy("item").agg(F.count("*").alias("n")), "item")
     w = Window.partitionBy("node").orderBy("n", "item")
     rare = counted.withColumn("nth", F.row_number().over(w)).where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("n") > 1))
-    rare = written(rare.select("item", "node", "component", "size"), "rare")
-    other = rare.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "size")))
+    rare = written(rare.select("item", "node", "component", "size", "nth"), "rare")
+    other = rare.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "nth")))
     near = rare.join(other, "item").where((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
-    near = near.where(F.least("size", "size_b") >= threshold * F.greatest("size", "size_b"))
+    needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b"))
+    near = near.where(1 + F.least(F.col("size") - F.col("nth"), F.col("size_b") - F.col("nth_b")) >= needed - 1e-6)
     return near.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
