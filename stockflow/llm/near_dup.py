@@ -14,20 +14,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import texts, written
+from stockflow.llm.common import held, texts, written
 from stockflow.llm.words import in_parts
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-MOST_WORDS = 700_000
+MOST_WORDS = 400_000
 PIVOTS = 2
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -69,10 +68,9 @@ class Hashes(dict):
         return self.value[np.concatenate(out)] if out else np.zeros(0, np.uint64), np.array([len(x) for x in out], np.int64)
 
 
-@lru_cache(maxsize=1)
 def hashes() -> Hashes:
     """The worker's table."""
-    return Hashes()
+    return held(Hashes, Hashes)
 
 
 def multisets(texts_: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
@@ -254,7 +252,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
         of = shared.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = of.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("band", "hash")
         open_ = written(of.join(several, ["band", "hash"]), "open")
-    more = _verified(_across(open_.select("node", "component").distinct(), sets, threshold), sets, threshold)
+    more = written(_verified(_across(open_.select("node", "component").distinct(), sets, threshold), sets, threshold), "edges")
     final = _components(edges.unionByName(more.select("a", "b")))
 
     named = members.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
