@@ -40,3 +40,14 @@ def dealt(key: str | Column, blocks: int) -> Column:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), a null text being empty; other columns, whatever their names, go no further."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make):
+    """The worker's table for a key, made by ``make()``. A worker keeps one table: the next kind of work drops the last one's."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

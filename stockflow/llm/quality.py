@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm import words
-from stockflow.llm.common import texts
+from stockflow.llm.common import held, texts
 
 #: Labellers: a document is bad above (for "distinct": below) the first share and good at or below (above) the second; between them, or with fewer words than the third, the labeller abstains.
 LABELLERS = {
@@ -36,7 +35,7 @@ BITS = 16
 MOST_TRAINED = 12_000
 EPOCHS = 12
 RATE = 0.5
-MOST_WORDS = 700_000
+MOST_WORDS = 400_000
 
 MARKED = re.compile(r"[^\w\s.,;:!?'\"()\[\]-]{2,}$|!{2,}$")
 SEPARATOR = re.compile(r"[|+=*_~/\\-]+$")
@@ -75,10 +74,9 @@ class Shapes(dict):
         return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64)
 
 
-@lru_cache(maxsize=1)
 def shapes() -> Shapes:
     """The worker's table."""
-    return Shapes()
+    return held(Shapes, Shapes)
 
 
 def read(texts_: list[str], bits: int = BITS) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

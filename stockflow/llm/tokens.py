@@ -8,10 +8,11 @@ space beside a space goes to the library whole.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
+from stockflow.llm.common import held
+
 MOST_CHUNKS = 1_200_000
 GROUP = 1000
 
@@ -136,7 +137,6 @@ class Encoder(ChunkTable):
         return np.concatenate([*ids, *alone]), start, length
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    return Encoder(path)
+    return held((Encoder, path), lambda: Encoder(path))

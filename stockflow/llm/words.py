@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
-MOST_WORDS = 700_000
+from stockflow.llm.common import held
+
+MOST_WORDS = 400_000
 EDGE = ".,;:!?\"'()[]{}<>*#&$%|/\\-_~`^+=@"
 STEM = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,10 +48,9 @@ class Words(dict):
         return doc[some], full[some], stem[some]
 
 
-@lru_cache(maxsize=1)
 def words() -> Words:
     """The worker's table."""
-    return Words()
+    return held(Words, Words)
 
 
 def in_parts(texts: list[str], chars: int = 1_000_000):
