@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import shared_dir
-from stockflow.llm.near_dup import STEP, Hashes, mix
+from stockflow.llm.near_dup import STEP, hashes, mix
 from stockflow.llm.tokens import parts_of
 
 BLOCK_CHARS = 6_000_000
 KEY_BITS = 48
+RANGES = 4
 LEAST_COUNT = 2
 WEIGHT = 0.7
 SMOOTH = 0.1
@@ -76,19 +77,19 @@ def word_blocks(docs: DataFrame, groups: int) -> DataFrame:
     """Rows of two kinds from (doc_id, text, target, scored). grp < 0: a block's documents and words. Else: its keys in range grp, with counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, k, table, held, chars = TaskContext.get().partitionId(), 0, Hashes(), [], 0
+        part, k, table, held, chars = TaskContext.get().partitionId(), 0, hashes(), [], 0
         cuts = _ranges(groups)
 
         def full() -> pd.DataFrame:
-            hashes, counts = np.concatenate([h for h, _, _ in held]), np.concatenate([c for _, c, _ in held])
+            value, counts = np.concatenate([h for h, _, _ in held]), np.concatenate([c for _, c, _ in held])
             rows_ = pd.concat([r for *_, r in held])
-            first = np.zeros(len(hashes) + 1, bool)
+            first = np.zeros(len(value) + 1, bool)
             first[np.cumsum(counts) - counts] = True
-            distinct, number, often = np.unique(hashes, return_inverse=True, return_counts=True)
+            distinct, number, often = np.unique(value, return_inverse=True, return_counts=True)
             order = np.argsort(-often, kind="stable")
             rank = np.zeros(len(distinct), np.int64)
             rank[order] = np.arange(len(distinct))
-            keys, own, pair = own_keys(hashes, first[:-1])
+            keys, own, pair = own_keys(value, first[:-1])
             target = np.repeat(rows_["target"].to_numpy(bool), counts)
             counted = np.repeat(rows_["scored"].to_numpy(bool), counts)
             all_n = np.bincount(own[counted], minlength=len(keys)) + np.bincount(pair[counted], minlength=len(keys))
@@ -105,8 +106,8 @@ def word_blocks(docs: DataFrame, groups: int) -> DataFrame:
         for pdf in batches:
             at = 0
             for texts_ in parts_of(pdf["text"].tolist()):
-                hashes, counts = table.of(texts_)
-                held.append((hashes, counts, pdf.iloc[at : at + len(counts)][["doc_id", "target", "scored"]]))
+                value, counts = table.of(texts_)
+                held.append((value, counts, pdf.iloc[at : at + len(counts)][["doc_id", "target", "scored"]]))
                 at, chars = at + len(counts), chars + sum(map(len, texts_))
                 if chars >= BLOCK_CHARS:
                     yield full()
@@ -126,13 +127,14 @@ def score(docs: DataFrame, target: Column | None = None, target_docs: DataFrame
     gives no rows; without a target, its losses are those of the smoothing.
     """
     spark = docs.sparkSession
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = RANGES * partitions  # a range is what one task adds up at once
     row = lambda d, t, s: d.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(t, F.lit(False)).alias("target"), F.lit(s).alias("scored"))
     rows = row(docs, F.lit(False) if target is None else target, True)
     if target_docs is not None:
         rows = rows.unionByName(row(target_docs, F.lit(True), False))
     name = f"lm_blocks_{uuid.uuid4().hex}"
-    word_blocks(rows, groups).write.bucketBy(groups, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    word_blocks(rows, groups).write.bucketBy(partitions, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     totals = table.where("grp < 0").agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
     n_all, n_target = float(totals["n"] or 0), float(totals["t"] or 0)
@@ -140,9 +142,10 @@ def score(docs: DataFrame, target: Column | None = None, target_docs: DataFrame
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         """The counts over all blocks, for each block's keys."""
         keys = [np.cumsum(from_planes(list(d[:6]))) for d in pdf["data"]]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([from_planes(list(d[i : i + 4])) for d in pdf["data"]]).astype(float)).astype(np.int64)[at] for i in (6, 10)]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
+        at = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.int32)
+        del keys
+        sums = [np.bincount(at, np.concatenate([from_planes(list(d[i : i + 4])).astype(np.uint32) for d in pdf["data"]])).astype(np.uint32)[at] for i in (6, 10)]
         a, b = (np.split(s, cuts) for s in sums)
         return pd.DataFrame({"block": pdf["block"], "grp": pdf["grp"], "data": [[*planes(x, 4), *planes(y, 4)] for x, y in zip(a, b, strict=True)]})
 
@@ -156,7 +159,8 @@ def score(docs: DataFrame, target: Column | None = None, target_docs: DataFrame
                 first[np.cumsum(counts) - counts] = True
                 first = first[:-1]
                 keys, own, pair = own_keys(hashes, first)
-                _, inverse, times = np.unique(np.concatenate([doc, doc]) * len(keys) + np.concatenate([own, pair]), return_inverse=True, return_counts=True)
+                own, pair = own.astype(np.int32), pair.astype(np.int32)
+                _, inverse, times = np.unique(np.concatenate([doc, doc]) * len(keys) + np.concatenate([own, pair]).astype(np.int64), return_inverse=True, return_counts=True)
                 mine = times[inverse]
                 mine_own, mine_pair = mine[: len(own)], mine[len(own) :]
                 parts = sorted([] if parts is None else parts, key=lambda x: x["grp"])
