@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from stockflow.llm.common import shared_dir, texts
 from stockflow.llm.tokens import ChunkTable, parts_of
 
-BLOCK_CHARS = 6_000_000
-MOST_CHUNKS = 250_000
+BLOCK_CHARS = 14_000_000
+MOST_CHUNKS = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -135,10 +135,23 @@ class WordNumbers(ChunkTable):
         return np.array(flat, np.uint32), np.cumsum(sizes) - sizes, sizes
 
 
+def short(sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """Sizes in a byte each, those from 255 on as 255 and again apart in four bytes."""
+    return np.minimum(sizes, 255).astype(np.uint8).tobytes(), sizes[sizes >= 255].astype("<u4").tobytes()
+
+
+def from_short(small: bytes, large: bytes) -> np.ndarray:
+    """What ``short`` was given."""
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, "<u4")
+    return out
+
+
 def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of two kinds. grp < 0: a block's documents with the numbers of their pre-tokens, in order. Else: the block's distinct words that hash to group grp, with their numbers.
 
-    Numbers are given by falling frequency and stored in four planes of bytes, so that they compress.
+    A block numbers its words by group and then by their bytes, so that a group's numbers follow each other and its list
+    compresses. Numbers are stored in four planes of bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,18 +162,20 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
             numbers = np.concatenate([n for _, _, n in held])
             often = np.bincount(numbers, minlength=len(table.raw))
             used = np.flatnonzero(often)
-            used = used[np.argsort(-often[used], kind="stable")]
+            groups_of = table.hash[used] % groups
+            listed = sorted(zip(groups_of.tolist(), [table.raw[i] for i in used.tolist()], used.tolist(), strict=True))
             rank = np.zeros(len(table.raw), np.uint32)
-            rank[used] = np.arange(len(used))
+            rank[[i for *_, i in listed]] = np.arange(len(used))
             planes = rank[numbers].astype("<u4").view(np.uint8).reshape(-1, 4)
             ids = [d for ds, _, _ in held for d in ds]
             block = part << 32 | k
             rows = [(block, -1, np.array([pd.isna(d) for d in ids], np.uint8).tobytes(), np.array([0 if pd.isna(d) else int(d) for d in ids], "<i8").tobytes(), np.concatenate([c for _, c, _ in held]).astype("<i8").tobytes(), *(planes[:, p].tobytes() for p in range(4)))]
-            group = table.hash[used] % groups
-            order = np.argsort(group, kind="stable")
-            for own in np.split(order, np.searchsorted(group[order], np.arange(1, groups))):
-                if len(own):
-                    rows.append((block, int(group[own[0]]), own.astype("<u4").tobytes(), table.size[used[own]].astype("<u4").tobytes(), b"".join([table.raw[i] for i in used[own].tolist()]), b"", b"", b"", b""))
+            ends = np.cumsum(np.bincount(groups_of, minlength=groups)).tolist()
+            for g, (first, last) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if first < last:
+                    words = [w for _, w, _ in listed[first:last]]
+                    small, large = short(np.array([len(w) for w in words]))
+                    rows.append((block, g, first.to_bytes(8, "big"), small, b"".join(words), large, b"", b"", b""))
             return pd.DataFrame(rows, columns=["block", "grp", "a", "b", "c", "p0", "p1", "p2", "p3"])
 
         for pdf in batches:
@@ -196,11 +211,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def words_to_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, known = ranks_of(ranks_path), _Numbered()
+        kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
         flat, start, length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in batches:
             out = []
-            for block, numbers, sizes, blob in zip(pdf["block"], pdf["a"], pdf["b"], pdf["c"], strict=True):
-                ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+            for block, first, small, blob, large in zip(pdf["block"], pdf["a"], pdf["b"], pdf["c"], pdf["p0"], strict=True):
+                ends = np.cumsum(from_short(small, large)).tolist()
                 words = [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 if known.seen:  # each distinct word is merged once
@@ -210,21 +226,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     start, length = np.concatenate([start, len(flat) + np.cumsum(more) - more]), np.concatenate([length, more])
                     flat = np.concatenate([flat, np.array([i for x in new for i in x], "<u4")])
                 size = length[n]
-                out.append((block, numbers, size.astype("<u4").tobytes(), flat[np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()))
-            yield pd.DataFrame(out, columns=["block", "numbers", "sizes", "ids"])
+                ids = flat[np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                out.append((block, first, *short(size), ids.astype(kind).tobytes()))
+            yield pd.DataFrame(out, columns=["block", "first", "small", "large", "ids"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token = {i: b for b, i in ranks_of(ranks_path).items()}
+        kind = "<u2" if max(token) < 1 << 16 else "<u4"
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 null, doc_ids, counts = np.frombuffer(r.a, np.uint8), np.frombuffer(r.b, "<i8"), np.frombuffer(r.c, "<i8")
                 numbers = np.stack([np.frombuffer(p, np.uint8) for p in (r.p0, r.p1, r.p2, r.p3)], axis=1).copy().view("<u4").reshape(-1)
-                parts = [] if r.parts is None else list(r.parts)
-                which = np.concatenate([np.frombuffer(p["numbers"], "<u4") for p in parts] or [np.zeros(0, np.uint32)])
-                sizes = np.concatenate([np.frombuffer(p["sizes"], "<u4") for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
-                flat = np.concatenate([np.frombuffer(p["ids"], "<u4") for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int32)
-                start, length = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-                start[which], length[which] = np.cumsum(sizes) - sizes, sizes
+                parts = sorted([] if r.parts is None else r.parts, key=lambda x: x["first"])
+                length = np.concatenate([from_short(x["small"], x["large"]) for x in parts] or [np.zeros(0, np.int64)])
+                start = np.cumsum(length) - length
+                flat = np.concatenate([np.frombuffer(x["ids"], kind) for x in parts] or [np.zeros(0, kind)]).astype(np.int32)
                 ends, first = np.cumsum(counts), 0
                 while first < len(counts):  # documents of about 200,000 words at a time
                     base = ends[first] - counts[first]
@@ -239,9 +255,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     yield out.assign(decoded=[_bytes_of(x, token) for x in out["ids"]]) if with_decoded else out
                     first = last
 
-    words = table.where("grp >= 0").select("block", "grp", "a", "b", "c").repartition(n, "grp")
-    back = words.mapInPandas(words_to_ids, "block long, numbers binary, sizes binary, ids binary")
-    back = back.groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("parts"))
+    words = table.where("grp >= 0").select("block", "grp", "a", "b", "c", "p0").repartition(n, "grp")
+    back = words.mapInPandas(words_to_ids, "block long, first binary, small binary, large binary, ids binary")
+    back = back.groupBy("block").agg(F.collect_list(F.struct("first", "small", "large", "ids")).alias("parts"))
     return table.where("grp < 0").join(back, "block", "left").mapInPandas(put_together, "doc_id long, ids array<int>" + ", decoded binary" * with_decoded)
 
 
