@@ -2,7 +2,8 @@
 
 No labels are read. The labellers overlap and may abstain; votes are counted over all documents, by pattern, and the
 estimation runs on these counts, of which there are at most 3 to the power of the number of labellers. The posterior
-labels of a bounded sample train a linear scorer over hashed word shapes, which then scores every text whole.
+labels of a bounded sample train a linear scorer over hashed word shapes and the labellers' binned shares, which then
+scores every text whole. The sample holds examples of rare vote patterns first, so that each labeller is learnt at any size.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ LABELLERS = {
 FALSE_ALARM, TRUST = 0.0005, 20
 BITS = 16
 MOST_TRAINED = 12_000
+EXAMPLES = 8
 EPOCHS = 12
 RATE = 0.5
 MOST_WORDS = 400_000
@@ -97,20 +99,25 @@ def read(texts_: list[str], bits: int = BITS) -> tuple[np.ndarray, list[tuple[np
         lines.append(1 - len(set(own)) / len(own) if own else 0.0)
     shares = {"marks": share(bit(0)), "capitals": share(bit(1)), "separators": share(bit(2)), "repeats": share(same), "distinct": distinct, "same_lines": np.array(lines), "digits": share(bit(3)), "long_words": share(bit(4))}
     votes = np.full((d, len(LABELLERS)), -1, np.int8)
+    mix = words._slot
+    passed = []  # a labeller's share is binned by the bounds that it passes
     for k, (name, (bad, good, least)) in enumerate(LABELLERS.items()):
         s, sign = shares[name], -1 if name == "distinct" else 1
         enough = counts >= least
         votes[enough & (sign * s <= sign * good), k] = 1
         votes[enough & (sign * s > sign * bad), k] = 0
-    mix = words._slot
+        for c, bound in enumerate((good, (good + bad) / 2, bad)):
+            passed.append(np.flatnonzero(enough & (sign * s > sign * bound)) << bits | mix(np.full(1, zlib.crc32(f"{name} {c}".encode()), np.uint64), 4, bits)[0])
     pair = np.zeros(len(n), bool)
     pair[1:] = doc[1:] == doc[:-1]
     both = shape * np.uint64(0xC2B2AE3D27D4EB4F)
     slots = np.concatenate([mix(shape, 1, bits), mix((np.roll(both, 1) ^ shape)[pair], 2, bits), mix(np.zeros(int(same.sum()), np.uint64), 3, bits)])
     key, number = np.unique(np.concatenate([doc, doc[pair], doc[same]]) << bits | slots, return_counts=True)
+    words_in = key >> bits
+    key, at = np.unique(np.concatenate([key, *passed]), return_inverse=True)
+    value = np.bincount(at, np.concatenate([number / size[words_in], np.ones(len(at) - len(words_in))]), len(key))
     cut = np.searchsorted(key >> bits, np.arange(1, d))
     own = key & ((1 << bits) - 1)
-    value = number / size[key >> bits]
     return votes, list(zip(np.split(own, cut), np.split(value, cut), strict=True)) if d else []
 
 
@@ -161,21 +168,31 @@ class Model:
 
 
 def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Votes of all documents give the labellers' accuracies; at most ``most`` documents, chosen by a hash of their ids, train the scorer."""
-    rows = texts(docs, id_col, text_col)
+    """Votes of all documents give the labellers' accuracies; at most ``most`` documents train the scorer.
+
+    First come up to EXAMPLES documents of each vote pattern, rare patterns first, up to half of ``most``; the rest is
+    chosen by a hash of the ids.
+    """
+    rows = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, part in words.in_parts(pdf["text"].tolist()):
-                v, n = np.unique(read(part, bits)[0], axis=0, return_counts=True)
-                yield pd.DataFrame({"votes": [x.tobytes() for x in v], "n": n.astype(np.int64)})
-
-    found = rows.mapInPandas(vote, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).toPandas().sort_values("votes")
+            for first, part in words.in_parts(pdf["text"].tolist()):
+                v, at = np.unique(read(part, bits)[0], axis=0, return_inverse=True)
+                h = pdf["h"].iloc[first : first + len(part)].to_numpy()
+                of = pd.DataFrame({"v": at, "part": h % EXAMPLES, "h": h}).groupby(["v", "part"])["h"].agg(["size", "min"]).reset_index()
+                yield pd.DataFrame({"votes": [v[i].tobytes() for i in of["v"]], "part": of["part"], "n": of["size"], "h": of["min"]})
+
+    parts = rows.mapInPandas(vote, "votes binary, part int, n long, h long").groupBy("votes", "part").agg(F.sum("n").alias("n"), F.min("h").alias("h")).toPandas()
+    parts["votes"] = [bytes(x) for x in parts["votes"]]
+    found = parts.groupby("votes", as_index=False)["n"].sum().sort_values("votes")
     patterns = np.stack([np.frombuffer(x, np.int8) for x in found["votes"]]) if len(found) else np.full((1, len(LABELLERS)), -1, np.int8)
     p, table, prior = estimate(patterns, found["n"].to_numpy(float) if len(found) else np.ones(1))
     posterior = {x.tobytes(): float(y) for x, y in zip(patterns, p, strict=True)}
     right = (1 - table[1]) * prior + table[0] * (1 - prior)
-    chosen = rows.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    rare = parts.assign(whole=parts.groupby("votes")["n"].transform("sum")).sort_values(["whole", "votes", "h"])["h"].iloc[: most // 2]
+    known = rows.where(F.col("doc_id").isNotNull())
+    chosen = known.select("h").orderBy("h").limit(most - len(rare)).unionByName(docs.sparkSession.createDataFrame([(int(h),) for h in rare], "h long")).distinct()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -190,7 +207,7 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
         some = np.flatnonzero(w)
         return pd.DataFrame({"slot": some, "weight": w[some]})
 
-    sample = rows.join(F.broadcast(chosen), "doc_id").mapInPandas(features, "one int, doc_id long, target double, slots binary, shares binary")
+    sample = known.join(F.broadcast(chosen), "h").mapInPandas(features, "one int, doc_id long, target double, slots binary, shares binary")
     learnt = sample.groupBy("one").applyInPandas(fit, "slot long, weight double").toPandas()
     w = np.zeros((1 << bits) + 1)
     w[learnt["slot"].to_numpy(np.int64)] = learnt["weight"].to_numpy(float)
