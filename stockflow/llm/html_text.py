@@ -3,13 +3,16 @@
 Markup is stripped so that each block element gives a line. A block is the text length of a few successive lines; the
 main text begins where these lengths surge and ends where they dive to nothing. Elements that are never main text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) become gaps of empty lines, so the
-lengths dive there; text inside <article> or <main> is kept from the first surge on, whatever its length.
+lengths dive there; text inside <article> or <main> is kept from the first surge on, whatever its length. An element is
+such by its name, or by a whole class or id; by a class or id it is not if it holds an article, a main or most of the
+text. Between two gaps, short lines stay with a surge, however many wrappers lie between.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -33,36 +36,63 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 KEEPS_P_OPEN = frozenset("br td th tr tbody thead tfoot caption option summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NOT_MAIN = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond widget widgets toolbar pagination pager copyright disclaimer skip".split())
+#: Words that make no other thing of a class or id with one of NOT_MAIN, as in "site-footer".
+PLACES = frozenset("site global top bottom left right list bar box links buttons".split())
+NO_ID = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+SHOWN, SOFT, OWN, HARD = range(4)
+MOST = 0.5
 COMMENT = frozenset("comment comments commentlist disqus respond".split())
 
 
-def not_main(name: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element is none of the main text by its name, role, class or id."""
+@lru_cache(4096)
+def named(tokens: str) -> frozenset[str]:
+    """The words of those classes and ids that say as a whole that an element is none of the main text."""
+    found = set()
+    for token in tokens.split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+        if words & NOT_MAIN and words <= NOT_MAIN | PLACES:
+            found |= words
+    return frozenset(found)
+
+
+def not_main(name: str, attributes: str, in_content: bool) -> int:
+    """HARD if an element is none of the main text, whatever it holds; SOFT if so unless it holds the main text, OWN unless it holds <main>; else SHOWN."""
     if name in SKIPPED or name == "header" and not in_content:
-        return True
+        return SOFT if name == "form" else HARD
     if not attributes or name not in BLOCK and name != "span":
-        return False
+        return SHOWN
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return name not in ("html", "body")
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+        return SHOWN if name in ("html", "body") else HARD
+    words = named(f"{found.get('class', '')} {'' if name in NO_ID else found.get('id', '')}")
     if name in ROOTS:
-        return name == "article" and bool(words & COMMENT)
-    return found.get("role", "") in ROLES or bool(words & NOT_MAIN)
+        split = set(re.findall(r"[a-z]+", found.get("class", "").lower()))
+        return HARD if name == "article" and (words | split) & COMMENT else SHOWN
+    if words & COMMENT:
+        return OWN
+    return SOFT if found.get("role", "") in ROLES or words else SHOWN
 
 
-def lines_of(html: str) -> Iterator[tuple[str, bool]]:
-    """(text, inside main content) of each line; empty text for gaps."""
+def lines_of(html: str, shown: frozenset[int] = frozenset(), held: dict[int, float] | None = None) -> Iterator[tuple[str, bool, bool]]:
+    """(text, inside main content, gap) of each line; empty text for gaps.
+
+    Elements have the numbers of their starts; those in ``shown`` are not skipped. ``held`` gets, for each other SOFT or
+    OWN element, the length of its text (infinite if it holds what lets it be shown), and for -1 that of the page.
+    """
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []
-    skipped = content = 0
+    stack: list[tuple[str, bool, int, int]] = []
+    skipped = content = hard = number = 0
     at, raw = 0, ""
+    soft: list[tuple[int, int]] = []
 
     def ended(down_to: int) -> None:
-        nonlocal skipped, content
-        for name, skip in stack[down_to:]:
+        nonlocal skipped, content, hard
+        for name, skip, kind, _ in stack[down_to:]:
             skipped -= skip
+            hard -= kind == HARD
             content -= name in CONTENT
+            if kind in (SOFT, OWN):
+                soft.pop()
         del stack[down_to:]
 
     def line() -> str:
@@ -79,20 +109,26 @@ def lines_of(html: str) -> Iterator[tuple[str, bool]]:
         text = html[at : m.start() if m else len(html)]
         if text and not skipped:
             parts.append(text)
+        if text and held is not None and not hard:
+            size = len(text.strip())
+            held[-1] = held.get(-1, 0) + size
+            for i, kind in soft:
+                if kind == SOFT:
+                    held[i] = held.get(i, 0) + size
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
         if name in BLOCK or name in SKIPPED:
-            yield line(), content > 0
+            yield line(), content > 0, False
         if m[1]:
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if where is not None:
                 gap = skipped > 0
                 ended(where)
                 if gap and not skipped:
-                    yield from [("", content > 0)] * WINDOW
+                    yield from [("", content > 0, True)] * WINDOW
             continue
         if name in RAW:
             raw = name
@@ -107,21 +143,31 @@ def lines_of(html: str) -> Iterator[tuple[str, bool]]:
                 break
             if stack[top][0] in BLOCK:
                 break
-        skip = not_main(name, m[3], content > 0)
+        kind, number = not_main(name, m[3], content > 0), number + 1
+        skip = kind > SHOWN and number not in shown
         if skip and not skipped:
-            yield from [("", content > 0)] * WINDOW
-        stack.append((name, skip))
+            yield from [("", content > 0, True)] * WINDOW
+        if held is not None and name in CONTENT and kind == SHOWN and not hard and not any(k == OWN for _, k in soft if name == "article"):
+            held.update((i, float("inf")) for i, _ in soft)
+        stack.append((name, skip, kind, number))
         skipped += skip
+        hard += kind == HARD
         content += name in CONTENT
-    yield line(), content > 0
+        if kind in (SOFT, OWN):
+            soft.append((number, kind))
+    yield line(), content > 0, False
 
 
 def main_text(html: str) -> str:
     """The lines between surge and dive points, joined by one space; empty if there are none."""
-    lines = list(lines_of(html))
-    if any(inside and text for text, inside in lines):
-        lines = [(text if inside else "", inside) for text, inside in lines]
-    lengths = [len(text) for text, _ in lines] + [0] * WINDOW
+    held: dict[int, float] = {}
+    lines = list(lines_of(html, held=held))
+    total = held.pop(-1, 0)
+    if shown := frozenset(i for i, size in held.items() if size > max(MOST * total, LEAST_BLOCK)):
+        lines = list(lines_of(html, shown))
+    if any(inside and text for text, inside, _ in lines):
+        lines = [(text if inside else "", inside, gap) for text, inside, gap in lines]
+    lengths = [len(text) for text, *_ in lines] + [0] * WINDOW
     blocks, total = [], sum(lengths[:WINDOW])
     for i in range(len(lines)):
         blocks.append(total)
@@ -130,9 +176,9 @@ def main_text(html: str) -> str:
     kept: list[str] = []
     run: list[int] = []
     for i in range(len(lines) + 1):
-        if i < len(lines) and blocks[i]:
+        if i < len(lines) and not lines[i][2]:
             run.append(i)
-        elif run:  # dive: nothing in the next lines
+        elif run:  # a gap or the end; within a run the short lines stay with the surges
             if any(lines[j][1] and lengths[j] for j in run) or max(blocks[j] for j in run) >= least:
                 kept += [lines[j][0] for j in run if lengths[j]]
             run = []
@@ -142,8 +188,8 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of each row of ``pages`` and its length in code points.
 
-    A null html is an empty page; an empty page, or one of boilerplate alone, gives an empty text. Every row gives one
-    row, repeated ones too; null ids and urls stay; other columns are not passed on. Pages are read whole.
+    A null html is an empty page; an empty page, or one of boilerplate alone, gives an empty text (an element that a class or id calls
+    boilerplate is the page's text if it holds most of it, and more than a line). Every row gives one row, repeated ones too; null ids and urls stay; other columns are not passed on. Pages are read whole.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

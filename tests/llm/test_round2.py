@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from stockflow.llm import quality
+import pytest
+
+from stockflow.llm import html_text, quality
 
 SF = "/root/testdata/sf0.01"
 def only(name, rng, text):
@@ -42,3 +44,25 @@ def test_scorer_rejects_what_one_labeller_alone_rejects(spark):
     wrong = [(i, got[i].votes, got[i].weak_label, got[i].score) for i, _ in made if got[i].keep or got[i].weak_label > 0.5]
     assert not wrong, wrong
     assert all(got[i].keep for i, _ in clean)
+
+
+LONG = "A long line of the text of a page, with more than sixty characters in it."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content has-sidebar'><article>{LONG}</article></div>", LONG),
+        (f"<div id='page' class='with-header'><main>{LONG}</main></div>", LONG),
+        (f"<div class='sidebar'><main>{LONG}</main></div>", LONG),
+        (f"<form id='all'><div>{LONG}</div></form>", LONG),
+        (f"<div class='newsletter'><p>{LONG}</p></div><div>short</div>", f"{LONG} short"),
+        (f"<article><h2 id='related-work'>Related</h2>{LONG}<section id='social-impact'>Impact</section><p id='share-prices'>Prices</p></article>", f"Related {LONG} Impact Prices"),
+        (f"<h1><span>Title</span></h1><div><div><div><div><div>{LONG}</div></div></div></div></div><div><div><div><div>End</div></div></div></div>", f"Title {LONG} End"),
+        (f"<article>{LONG}<div class='ad'>buy</div><div class='site-footer'>foot</div><div class='cookie-notice'>ok</div></article>", LONG),
+        (f"<article>{LONG}<section id='comments'><article class='comment'>nice</article><article>nice</article></section></article>", LONG),
+        (f"<p>{LONG}</p><p>{LONG}</p><div class='related'>short</div>", f"{LONG} {LONG}"),
+    ],
+)
+def test_page_text_drops_boilerplate_only(page, text):
+    assert html_text.main_text(page) == text
