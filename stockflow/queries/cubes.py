@@ -163,6 +163,14 @@ def group_hierarchy(f: Frames) -> DataFrame:
     return _hierarchy(f).groupBy("node", "level", "parent").agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("codes"))
 
 
+@query(sql(f"SELECT h.node, h.level, h.parent, string_agg(DISTINCT h.code, ',' ORDER BY h.code) AS codes, CAST(sum(o.n) AS BIGINT) AS n FROM {_NODES} JOIN (SELECT code, count(*) AS n FROM inflow GROUP BY code) o USING (code) GROUP BY ALL"))
+def group_hierarchy_codes(f: Frames) -> DataFrame:
+    """The hierarchy over the codes that the inflow has: each node's codes and its rows."""
+    codes = f.inflow.groupBy("code").agg(F.count("*").alias("n"))
+    found = codes.join(F.broadcast(_hierarchy(f)), "code").groupBy("node", "level", "parent")
+    return found.agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"), F.sum("n").alias("n"))
+
+
 _OVERLAP = f"SELECT entity, effective_month AS month, node, count(*) AS n FROM i2 JOIN {_NODES} USING (code) GROUP BY ALL"
 
 

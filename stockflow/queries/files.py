@@ -73,6 +73,13 @@ def union_by_name(f: Frames) -> DataFrame:
     return a.unionByName(f.table("lineitem").where("l_linenumber = 1").select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("k")), allowMissingColumns=True)
 
 
+@query("SELECT o_orderkey AS k, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS flag FROM orders UNION ALL SELECT l_orderkey, NULL, l_returnflag FROM lineitem")
+def union_by_name_all(f: Frames) -> DataFrame:
+    """Both tables whole."""
+    a = f.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    return a.unionByName(f.table("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("k")), allowMissingColumns=True)
+
+
 @query(sql("SELECT month, count(*) AS stock FROM stock GROUP BY month"))
 def overwrite_idempotent(f: Frames) -> DataFrame:
     """Written twice over: the second time changes nothing."""
@@ -91,6 +98,14 @@ def partitioned_sink(f: Frames) -> DataFrame:
     return f.spark.read.parquet(out).where("entity = 'ASIA'")
 
 
+@query(sql("SELECT grain, period, stock, entity FROM rolled"))
+def partitioned_sink_all(f: Frames) -> DataFrame:
+    """The cube partitioned by entity, and every partition read back."""
+    out = S.work_dir(f.spark, "cube")
+    R.roll_up(f.base, []).select("grain", "period", "stock", "entity").repartition("entity").write.partitionBy("entity").parquet(out)
+    return f.spark.read.parquet(out)
+
+
 @query(sql("SELECT entity, era, stock FROM running WHERE n = 12"))
 def era_view_at_n(f: Frames) -> DataFrame:
     out = S.work_dir(f.spark, "view")

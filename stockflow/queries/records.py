@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockflow.demo import Frames, sql
 from stockflow.functions.calendar import fiscal_year, month_key
+from stockflow.operators.order import placed
 from stockflow.queries import query
 
 _REC = "SELECT strftime(file_month, '%Y-%m') AS file_month, strftime(effective_month, '%Y-%m') AS month, entity AS agency, code AS category, overlay AS overlay, years_text AS length_of_service, segment FROM all_outflow"
@@ -30,6 +31,15 @@ def total_order(f: Frames) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("p_type", "p_brand", "p_size", "p_partkey")).cast("long"))
 
 
+_PLACED = ["p_type", "p_brand", "p_size", "p_partkey"]
+
+
+@query("SELECT p_type, p_brand, p_size, p_partkey, row_number() OVER (ORDER BY p_type, p_brand, p_size, p_partkey) AS place FROM part")
+def total_order_all(f: Frames) -> DataFrame:
+    """All rows of the order with their places."""
+    return placed(f.table("part").select(*_PLACED), _PLACED)
+
+
 @query(sql("SELECT entity, month, v, row_number() OVER (ORDER BY v DESC NULLS LAST, entity, month) AS place FROM (SELECT entity, month, nullif(stock, 0) AS v FROM base)"))
 def sort_nulls_last(f: Frames) -> DataFrame:
     b = f.base.select("entity", "month", F.nullif(F.col("stock"), F.lit(0)).alias("v"))
