@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's docs; all
 but the last keep the columns of documents. Nulls and empty texts follow the operators: a null text is empty; rows
-without an id pass the filters by their text and are in no near-duplicate class.
+without an id pass the filters by their text and are near duplicates of one another only.
 """
 
 from __future__ import annotations

@@ -264,7 +264,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
-    """``docs`` with one row of each class: its smallest id's. Rows without an id stay, as they are in no class."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **how)
-    first = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each class of rows: its smallest id's, and one of those without an id, if there are any.
+
+    Different texts of one id are rows of their own. Rows without an id and without words all stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    unnamed = F.col(id_col).isNull() & F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "").eqNullSafe("")
+    key = F.xxhash64(id_col, F.col(id_col).isNull(), text)
+    rows = docs.where(~unnamed).withColumns({"_row": key, "_row2": F.xxhash64(text, id_col)})
+    found = classes(rows.select("_row", text_col), id_col="_row", text_col=text_col, **how).select(F.col("doc_id").alias("_row"), "class_id").distinct()
+    named = rows.select("_row", "_row2", F.col(id_col).alias("_id")).distinct()
+    first = named.join(found, "_row").groupBy("class_id", F.col("_id").isNull()).agg(F.min(F.struct("_id", "_row", "_row2")).alias("first"))
+    kept = rows.join(first.select("first._row", "first._row2").distinct(), ["_row", "_row2"], "left_semi").dropDuplicates(["_row", "_row2"])
+    return kept.select(*docs.columns).unionByName(docs.where(unnamed))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from stockflow.llm import html_text, quality
+from stockflow.llm import html_text, near_dup, quality
 
 SF = "/root/testdata/sf0.01"
 def only(name, rng, text):
@@ -66,3 +66,12 @@ LONG = "A long line of the text of a page, with more than sixty characters in it
 )
 def test_page_text_drops_boilerplate_only(page, text):
     assert html_text.main_text(page) == text
+
+
+def test_deduplicated_chooses_rows_not_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, a), (4, c), (None, d), (None, d), (None, c), (None, ""), (None, " "), (5, "")]
+    kept = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(1, a), (1, b), (4, c), (None, d), (None, c), (None, ""), (None, " "), (5, "")]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
