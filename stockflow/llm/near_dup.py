@@ -5,9 +5,11 @@ points (time, register, place in the interval), the same wherever the shingle oc
 its weight, and each register keeps the earliest. Two registers agree with the probability of the weighted Jaccard
 similarity. Bands of registers give buckets, and the multisets' overlap decides.
 
-Equal texts are one node. In each bucket all nodes are compared with a pivot, not with each other, and with another one
-next time; nodes that then lie in one component need no more. Nodes of buckets that still lie in several components are
-joined across these by their rarest shingles, so that no pair of a bucket that reaches the threshold is lost.
+Equal texts are one node. Nodes are compared with pivots of their buckets, not with each other; what is linked becomes
+one component, and next time the pivot is of a bucket's largest component, so that a large group costs about a pair a
+node. Nodes of buckets that still lie in several components are joined across these by their rarest shingles, one pair
+for each two components first and then those that are still apart, so that no pair of a bucket that reaches the
+threshold is lost. Buckets of many nodes are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 MOST_WORDS = 400_000
-PIVOTS = 2
+HOT, SALTS = 2000, 16
+PARITY = 512
+TURNS = 2
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,6 +140,12 @@ def occurrences(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sort((mix(again * STEP + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Of each of PARITY classes of items, by their low bits, whether their number is odd: the bits of a few 64-bit numbers."""
+    odd = (np.bincount(items & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two multisets given as ``occurrences``."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -160,39 +170,84 @@ def _components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _contracted(label: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``label`` (node, component) after ``edges`` (a, b) of nodes: only the graph of components that they join is gone through."""
+    if label is None:
+        return _components(edges)
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = _components(between.where("a <> b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = label.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.select(F.col("component").alias("node"), F.col("to").alias("component")).join(label.select("node"), "node", "left_anti")
+    return written(moved.unionByName(new), "labels")
+
+
+def _with_components(df: DataFrame, label: DataFrame) -> DataFrame:
+    return df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets' similarity reaches the threshold, with it."""
+    """The pairs (a, b) whose multisets' similarity reaches the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [similarity(x, y) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
-            out = pdf[["a", "b"]].assign(similarity=np.array(s, float))
-            yield out[out["similarity"] >= threshold]
+            s = np.array([similarity(x, y) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)], float)
+            yield pdf[["a", "b"]][s >= threshold]
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
+    one = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
     # sizes alone can rule a pair out
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    return two.where(small >= threshold * large).mapInPandas(run, "a binary, b binary, similarity double")
+    return written(two.where(small >= threshold * large).mapInPandas(run, "a binary, b binary"), "edges")
+
+
+def _salted(buckets: DataFrame) -> DataFrame:
+    """A row of each part of each of ``buckets`` (bucket, n, ...): a bucket of more than HOT nodes is dealt in SALTS parts."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HOT, SALTS - 1).otherwise(0))))
+
+
+def _still_open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` (bucket, salt, n, node) with components, of those buckets that have several."""
+    of = _with_components(rows, label)
+    several = of.groupBy("bucket", "n").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "n")
+    return written(of.join(_salted(several).drop("n"), ["bucket", "salt"]), "open")
+
+
+def _with_pivots(rows: DataFrame, each: list[str], turn: int) -> DataFrame:
+    """Pairs (a, b): nodes with the pivot, a node of the largest component, of one of their buckets, for each of ``each``.
+
+    The pivot of the largest component there is taken, so that the nodes of a large group meet the same few.
+    """
+    parts = rows.groupBy("bucket", "n", "component").agg(F.count("*").alias("m"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("rep"))
+    pivots = parts.groupBy("bucket", "n").agg(F.max(F.struct("m", "rep", "component")).alias("p"))
+    near = rows.join(_salted(pivots).drop("n"), ["bucket", "salt"]).where(F.col("component") != F.col("p.component")).withColumn("other", F.col("p.component"))
+    return near.groupBy("node", *each).agg(F.max(F.struct("p.m", "p.rep")).alias("p")).select(F.col("node").alias("a"), F.col("p.rep").alias("b"))
 
 
 def _across(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of ``nodes`` (node, component) from different components that can reach the threshold.
+    """All pairs (a, b) of ``nodes`` (node, component) from different components that can reach the threshold, with their components and a bound of their overlap.
 
     Of two multisets that do, each has one of the other's items among its rarest: so many that the others could not
     make up the threshold. Only these rarest items are joined, and at the first one that both have, what follows it in
-    both must still be able to make up the threshold: nodes with many items of their own never meet.
+    both must still be able to make up the threshold. Parities of the items by hash give a second bound: they differ in
+    at most as many places as there are items that only one of the two has.
     """
-    items = nodes.join(sets, "node").select("node", "component", F.size("items").alias("size"), F.explode("items").alias("item"))
-    counted = items.join(items.groupBy("item").agg(F.count("*").alias("n")), "item")
+    parity = [f"w{i}" for i in range(PARITY // 64)]
+    items = nodes.join(sets, "node").select("node", "component", *parity, F.size("items").alias("size"), F.explode("items").alias("item"))
+    counts = items.groupBy("item").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
     w = Window.partitionBy("node").orderBy("n", "item")
-    rare = counted.withColumn("nth", F.row_number().over(w)).where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("n") > 1))
-    rare = written(rare.select("item", "node", "component", "size", "nth"), "rare")
-    other = rare.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "nth")))
-    near = rare.join(other, "item").where((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
-    needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b"))
-    near = near.where(1 + F.least(F.col("size") - F.col("nth"), F.col("size_b") - F.col("nth_b")) >= needed - 1e-6)
-    return near.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    ranked = items.join(counts, "item").withColumn("nth", F.row_number().over(w))
+    rare = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("x") != F.col("y")))
+    rare = written(rare.select("item", "node", "component", "size", "nth", *parity), "rare")
+    other = rare.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "nth", *parity)))
+    needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-6
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in parity[1:]), F.bit_count(F.col(parity[0]).bitwiseXOR(F.col(f"{parity[0]}_b"))))
+    bound = F.least((F.col("size") + F.col("size_b") - differ) / 2, F.col("size"), F.col("size_b"))
+    both = rare.join(other, "item").where((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
+    both = both.where((1 + F.least(F.col("size") - F.col("nth"), F.col("size_b") - F.col("nth_b")) >= needed) & (bound >= needed))
+    keys = {"node": "a", "node_b": "b", "component": "ca", "component_b": "cb"}
+    near = both.groupBy(*(F.col(k).alias(v) for k, v in keys.items())).agg(F.max(bound - needed).alias("spare"))
+    return written(near, "near")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,20 +267,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
                     some = part[at : at + 4096]
                     doc, shingle, weight, keys = multisets(some, width)
                     sig = signatures(doc, shingle, weight, len(some), bands * rows).astype(np.uint64).reshape(len(some), bands, rows)
-                    h = np.zeros((len(some), bands), np.uint64)
+                    h = np.tile(np.arange(bands, dtype=np.uint64), (len(some), 1))
                     for k in range(rows):
                         h = mix(h * STEP + sig[:, :, k])
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start + at : start + at + len(some)].to_numpy(), "node": keys, "bands": list(h.astype(np.int64))})
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start + at : start + at + len(some)].to_numpy(), "node": keys, "buckets": list(h.astype(np.int64))})
 
-    signed = written(rows_in.mapInPandas(sign, "doc_id long, node binary, bands array<long>"), "signed")
+    signed = written(rows_in.mapInPandas(sign, "doc_id long, node binary, buckets array<long>"), "signed")
     nodes = signed.where(F.col("node").isNotNull())
-    # equal texts have equal bands, so one row of a node is enough; copies are combined before the shuffle
-    members = nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    bucket = nodes.select("node", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash", "node").agg(F.lit(1).alias("one")).drop("one")
-    sizes = bucket.groupBy("band", "hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = written(bucket.join(sizes, ["band", "hash"]).select("band", "hash", "node"), "buckets")
+    # equal texts have equal buckets, so one row of a node is enough; copies are combined before the shuffle
+    members = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")), "members")
+    bucket = members.select("node", F.explode("buckets").alias("bucket"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    sizes = bucket.groupBy("bucket", "salt").agg(F.count("*").alias("m")).withColumn("n", F.sum("m").over(Window.partitionBy("bucket"))).where("n > 1")
+    shared = bucket.join(sizes.drop("m"), ["bucket", "salt"])
+    shared = written(shared.select("bucket", F.when(F.col("n") > HOT, F.col("salt")).otherwise(0).alias("salt"), "n", "node"), "buckets")
 
     wanted = shared.select("node").distinct().join(members, "node").select("node", F.col("first").alias("doc_id"))
+    parity = [f"w{i}" for i in range(PARITY // 64)]
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -236,24 +293,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
                     cuts = np.searchsorted(doc, np.arange(1, len(some)))
                     items = [occurrences(s, w) for s, w in zip(np.split(shingle, cuts), np.split(weight, cuts), strict=True)]
                     here = pdf["node"].iloc[start + at : start + at + len(some)].tolist()
-                    own = [a == b for a, b in zip(here, keys, strict=True)]  # a repeated id may have other texts
-                    yield pd.DataFrame({"node": [x for x, y in zip(here, own, strict=True) if y], "items": [x for x, y in zip(items, own, strict=True) if y]})
-
-    sets = written(rows_in.join(wanted, "doc_id").mapInPandas(collect, "node binary, items array<int>").dropDuplicates(["node"]), "sets")
-
-    edges, open_, final = None, shared.withColumn("component", F.col("node")), None
-    for turn in range(PIVOTS):
-        chosen = open_.groupBy("band", "hash").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = open_.join(chosen, ["band", "hash"]).where(F.col("component") != F.col("p.component"))
-        pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        new = written(_verified(pairs, sets, threshold), "edges").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        final = _components(edges)
-        of = shared.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = of.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("band", "hash")
-        open_ = written(of.join(several, ["band", "hash"]), "open")
-    more = written(_verified(_across(open_.select("node", "component").distinct(), sets, threshold), sets, threshold), "edges")
-    final = _components(edges.unionByName(more.select("a", "b")))
+                    own = [k for k, (a, b) in enumerate(zip(here, keys, strict=True)) if a == b]  # a repeated id may have other texts
+                    words_ = np.stack([parities(items[k]) for k in own]) if own else np.zeros((0, len(parity)), np.int64)
+                    yield pd.DataFrame({"node": [here[k] for k in own], "items": [items[k] for k in own], **dict(zip(parity, words_.T, strict=True))})
+
+    schema = "node binary, items array<int>, " + ", ".join(f"{c} long" for c in parity)
+    sets = written(rows_in.join(wanted, "doc_id").mapInPandas(collect, schema).dropDuplicates(["node"]), "sets")
+
+    label, open_ = None, shared.withColumn("component", F.col("node"))
+    for turn, each in enumerate(([], [], ["other"], ["other"])):  # at last with a pivot of each component that is near
+        label = _contracted(label, _verified(_with_pivots(open_, each, turn), sets, threshold))
+        open_ = _still_open(open_.drop("component"), label)
+    near = _across(open_.select("node", "component").distinct(), sets, threshold)
+    for _ in range(TURNS):  # one pair, the likeliest, of each two components
+        best = near.groupBy("ca", "cb").agg(F.max(F.struct("spare", "a", "b")).alias("p")).select("p.a", "p.b")
+        label = _contracted(label, _verified(best, sets, threshold))
+        left = near.drop("ca", "cb").join(best, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            left = left.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        near = written(left.where("ca <> cb"), "near")
+    final = _contracted(label, _verified(near, sets, threshold))
 
     named = members.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
