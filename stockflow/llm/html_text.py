@@ -1,11 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element gives a line. A block is the text length of a few successive lines; the
-main text begins where these lengths surge and ends where they dive to nothing. Elements that are never main text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) become gaps of empty lines, so the
-lengths dive there; text inside <article> or <main> is kept from the first surge on, whatever its length. An element is
-such by its name, or by a whole class or id; by a class or id it is not if it holds an article, a main or most of the
-text. Between two gaps, short lines stay with a surge, however many wrappers lie between.
+Markup is stripped so that each block element gives a line, whose length is that of its text outside links. A block is
+the length of a few successive lines. The main text begins where these lengths surge and ends where they dive to
+nothing: at a few successive lines of links alone (menus, lists of other pages), wherever they lie, and at elements that
+are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments), which are gaps.
+Stretches between two dives are kept from their surge on; inside <article> or <main> any text outside links is a surge,
+elsewhere it takes a block of some length, with which the short lines of its stretch stay, however many wrappers lie
+between. An element is a gap by its name, or by a whole class or id; by a class or id it is none if it holds an article,
+a main or most of the text.
+
+A page is read in time proportional to its length, however malformed it is: an attribute's open quote at the end of the
+page takes their meaning from all later quotes, and an open comment or script goes on to the end.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ WINDOW = 3
 LEAST_BLOCK = 60
 LEAST_SHARE = 0.25
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 RAW = frozenset("script style noscript template textarea iframe noframes noembed xmp".split())
@@ -41,6 +47,7 @@ PLACES = frozenset("site global top bottom left right list bar box links buttons
 NO_ID = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SHOWN, SOFT, OWN, HARD = range(4)
 MOST = 0.5
+DEEP = 8
 COMMENT = frozenset("comment comments commentlist disqus respond".split())
 
 
@@ -73,116 +80,184 @@ def not_main(name: str, attributes: str, in_content: bool) -> int:
     return SOFT if found.get("role", "") in ROLES or words else SHOWN
 
 
-def lines_of(html: str, shown: frozenset[int] = frozenset(), held: dict[int, float] | None = None) -> Iterator[tuple[str, bool, bool]]:
-    """(text, inside main content, gap) of each line; empty text for gaps.
+def tokens_of(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, "/" for an end tag, name, attributes) of each tag, comment (no name) and what follows the last one."""
+    at, text_from, quotes, size = 0, 0, True, len(html)
+    while m := OPEN.search(html, at):
+        start, name = m.start(), m[2]
+        if name is None:
+            end = html.find("-->", start + 4) if m[0] == "<!--" else html.find(">", m.end())
+            if end < 0 and m[0] != "<!--":
+                break
+            at = size if end < 0 else end + (3 if m[0] == "<!--" else 1)
+            yield html[text_from:start], "", "", ""
+            text_from = at
+            continue
+        end, i = -1, m.end()
+        while quotes and (q := QUOTE_OR_END.search(html, i)):
+            if q[0] == ">":
+                end = q.start()
+                break
+            i = html.find(q[0], q.end()) + 1
+            if not i:
+                break
+        if end < 0:
+            quotes = False
+            end = html.find(">", m.end())
+            if end < 0:
+                break
+        yield html[text_from:start], m[1], name.lower(), html[m.end() : end]
+        at = text_from = end + 1
+        if name.lower() in RAW and not m[1]:  # up to its end tag, or the page's end
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            at = text_from = close.end() if close else size
+    yield html[text_from:], "", "", ""
+
+
+class Page:
+    """The lines of a page: (text, length outside links, inside main content, gap), with empty texts for gaps.
 
     Elements have the numbers of their starts; those in ``shown`` are not skipped. ``held`` gets, for each other SOFT or
-    OWN element, the length of its text (infinite if it holds what lets it be shown), and for -1 that of the page.
+    OWN element, the length of its text (infinite if it holds what lets it be shown). Inline elements are not kept on
+    the stack, and an element's start and end take the same time however deep they lie.
     """
-    parts: list[str] = []
-    stack: list[tuple[str, bool, int, int]] = []
-    skipped = content = hard = number = 0
-    at, raw = 0, ""
-    soft: list[tuple[int, int]] = []
-
-    def ended(down_to: int) -> None:
-        nonlocal skipped, content, hard
-        for name, skip, kind, _ in stack[down_to:]:
-            skipped -= skip
-            hard -= kind == HARD
-            content -= name in CONTENT
+
+    def __init__(self, html: str, shown: frozenset[int] = frozenset()) -> None:
+        self.shown, self.lines, self.held = shown, [], {}
+        self.parts: list[str] = []
+        self.plain = self.skipped = self.content = self.hard = self.own = self.total = self.lets_show = self.number = 0
+        self.stack: list[tuple[str, bool, int, int, int, int]] = []
+        self.places: dict[str, list[int]] = {}  # of open elements on the stack, by name
+        self.link = -1  # depth at which a link was opened
+        for text, end, name, attributes in tokens_of(html):
+            self._text(text)
+            if not name:
+                continue
+            if name == "a":
+                self.link = -1 if end else len(self.stack)
+                continue
+            if name in BLOCK or name in SKIPPED:
+                self._line()
+            if end:
+                if at := self.places.get(name):
+                    self._end(at[-1])
+            elif name not in RAW:
+                self._start(name, attributes)
+        self._line()
+
+    def _text(self, text: str) -> None:
+        if not text or self.hard and self.skipped:
+            return
+        size = len(text.strip())
+        if not self.hard:
+            self.total += size
+        if not self.skipped:
+            self.parts.append(text)
+            self.plain += size if self.link < 0 else 0
+
+    def _line(self) -> None:
+        text = " ".join(unescape("".join(self.parts)).split())
+        if text:
+            self.lines.append((text, self.plain, self.content > 0, False))
+        self.parts, self.plain = [], 0
+
+    def _gap(self) -> None:
+        self.lines.append(("", 0, self.content > 0, True))
+
+    def _end(self, down_to: int) -> None:
+        gap = self.skipped > 0
+        while len(self.stack) > down_to:
+            name, skip, kind, number, total, lets_show = self.stack.pop()
+            self.places[name].pop()
+            self.skipped -= skip
+            self.hard -= kind == HARD
+            self.content -= name in CONTENT
+            self.own -= kind == OWN
             if kind in (SOFT, OWN):
-                soft.pop()
-        del stack[down_to:]
-
-    def line() -> str:
-        text = " ".join(unescape("".join(parts)).split())
-        parts.clear()
-        return text
-
-    while True:
-        if raw:  # the end of a raw element, or of the page
-            m = re.compile(rf"</{raw}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at, raw = (m.end(), "") if m else (len(html), "")
-            continue
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else len(html)]
-        if text and not skipped:
-            parts.append(text)
-        if text and held is not None and not hard:
-            size = len(text.strip())
-            held[-1] = held.get(-1, 0) + size
-            for i, kind in soft:
-                if kind == SOFT:
-                    held[i] = held.get(i, 0) + size
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            continue
-        if name in BLOCK or name in SKIPPED:
-            yield line(), content > 0, False
-        if m[1]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if where is not None:
-                gap = skipped > 0
-                ended(where)
-                if gap and not skipped:
-                    yield from [("", content > 0, True)] * WINDOW
-            continue
-        if name in RAW:
-            raw = name
-            continue
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
-            continue
+                size = self.total - total if kind == SOFT else 0
+                self.held[number] = float("inf") if self.lets_show > lets_show else size
+        if self.link > len(self.stack):
+            self.link = -1
+        if gap and not self.skipped:
+            self._gap()
+
+    def _start(self, name: str, attributes: str) -> None:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK or name not in BLOCK and name not in SKIPPED and name not in ROOTS and name != "span":
+            return
         if name == "body":
-            ended(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
-        for top in range(len(stack) - 1, -1, -1):  # ends that HTML leaves out
-            if stack[top][0] in CLOSES.get(name, ()) or stack[top][0] == "p" and name in BLOCK and name not in KEEPS_P_OPEN:
-                ended(top)
+            self._end(self.places["head"][-1] if self.places.get("head") else len(self.stack))
+        for top in range(len(self.stack) - 1, -1, -1):  # ends that HTML leaves out
+            other = self.stack[top][0]
+            if other in CLOSES.get(name, ()) or other == "p" and name in BLOCK and name not in KEEPS_P_OPEN:
+                self._end(top)
                 break
-            if stack[top][0] in BLOCK:
+            if other in BLOCK or len(self.stack) - top > DEEP:
                 break
-        kind, number = not_main(name, m[3], content > 0), number + 1
-        skip = kind > SHOWN and number not in shown
-        if skip and not skipped:
-            yield from [("", content > 0, True)] * WINDOW
-        if held is not None and name in CONTENT and kind == SHOWN and not hard and not any(k == OWN for _, k in soft if name == "article"):
-            held.update((i, float("inf")) for i, _ in soft)
-        stack.append((name, skip, kind, number))
-        skipped += skip
-        hard += kind == HARD
-        content += name in CONTENT
-        if kind in (SOFT, OWN):
-            soft.append((number, kind))
-    yield line(), content > 0, False
+        kind, self.number = not_main(name, attributes, self.content > 0), self.number + 1
+        skip = kind > SHOWN and self.number not in self.shown
+        if skip and not self.skipped:
+            self._gap()
+        if kind == SHOWN and not self.hard and (name == "main" or name == "article" and not self.own):
+            self.lets_show += 1
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, skip, kind, self.number, self.total, self.lets_show))
+        self.skipped += skip
+        self.hard += kind == HARD
+        self.own += kind == OWN
+        self.content += name in CONTENT
 
+    def close(self) -> None:
+        """Ends what is still open, for ``held``."""
+        self._end(0)
 
-def main_text(html: str) -> str:
-    """The lines between surge and dive points, joined by one space; empty if there are none."""
-    held: dict[int, float] = {}
-    lines = list(lines_of(html, held=held))
-    total = held.pop(-1, 0)
-    if shown := frozenset(i for i, size in held.items() if size > max(MOST * total, LEAST_BLOCK)):
-        lines = list(lines_of(html, shown))
-    if any(inside and text for text, inside, _ in lines):
-        lines = [(text if inside else "", inside, gap) for text, inside, gap in lines]
-    lengths = [len(text) for text, *_ in lines] + [0] * WINDOW
-    blocks, total = [], sum(lengths[:WINDOW])
-    for i in range(len(lines)):
-        blocks.append(total)
-        total += lengths[i + WINDOW] - lengths[i] if i + WINDOW < len(lengths) else -lengths[i]
-    least = min(LEAST_BLOCK, LEAST_SHARE * max(blocks, default=0))
-    kept: list[str] = []
+
+def stretches(lines: list[tuple[str, int, bool, bool]]) -> Iterator[list[int]]:
+    """Runs of lines between dives: gaps, and WINDOW or more successive lines of links alone, which belong to none."""
     run: list[int] = []
-    for i in range(len(lines) + 1):
-        if i < len(lines) and not lines[i][2]:
-            run.append(i)
-        elif run:  # a gap or the end; within a run the short lines stay with the surges
-            if any(lines[j][1] and lengths[j] for j in run) or max(blocks[j] for j in run) >= least:
-                kept += [lines[j][0] for j in run if lengths[j]]
+    links: list[int] = []
+    for i, (_, plain, _, gap) in enumerate([*lines, ("", 0, False, True)]):
+        if plain == 0 and not gap:
+            links.append(i)
+            continue
+        if len(links) < WINDOW:
+            run += links
+        elif run:
+            yield run
             run = []
-    return " ".join(kept)
+        links = []
+        if gap:
+            if run:
+                yield run
+            run = []
+        else:
+            run.append(i)
+
+
+def surges(lines: list[tuple[str, int, bool, bool]], run: list[int]) -> int:
+    """The largest block of a stretch."""
+    lengths = [lines[i][1] for i in run]
+    blocks, total = 0, 0
+    for i, x in enumerate(lengths):
+        total += x - (lengths[i - WINDOW] if i >= WINDOW else 0)
+        blocks = max(blocks, total)
+    return blocks
+
+
+def main_text(html: str) -> str:
+    """The lines between surge and dive points, joined by one space; empty if there are none."""
+    page = Page(html)
+    lines = page.lines
+    page.close()
+    if shown := frozenset(i for i, size in page.held.items() if size > max(MOST * page.total, LEAST_BLOCK)):
+        lines = Page(html, shown).lines
+    if any(inside and text for text, _, inside, _ in lines):
+        lines = [x if x[2] else ("", 0, False, True) for x in lines]
+    found = [(run, surges(lines, run)) for run in stretches(lines)]
+    least = min(LEAST_BLOCK, LEAST_SHARE * max((b for _, b in found), default=0))
+    kept = [i for run, b in found if lines[run[0]][2] or b >= least for i in run]
+    if not any(lines[i][1] for i in kept):  # an article of links alone
+        kept = [i for i, (text, _, inside, _) in enumerate(lines) if text and inside]
+    return " ".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
