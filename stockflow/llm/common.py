@@ -51,3 +51,8 @@ def held(key: object, make):
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop the worker's table: for work that needs none, so that its own memory is all that it takes."""
+    _HELD.clear()

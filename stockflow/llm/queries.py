@@ -108,18 +108,21 @@ ORACLE_SQL: dict[str, str] = {
         wd AS (SELECT doc_id, w, count(*) AS m FROM k GROUP BY doc_id, w),
         pd AS (SELECT doc_id, v, w, count(*) AS m FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, w),
         s AS (SELECT count(*) AS n, count(*) FILTER (t) AS nt FROM k),
+        voc AS (SELECT count(*) + 1 AS size, s.n - coalesce(sum(wc.n), 0) AS unk, s.nt - coalesce(sum(wc.nt), 0) AS unk_t FROM s LEFT JOIN wc ON wc.n >= 2 GROUP BY s.n, s.nt),
+        du AS (SELECT doc_id, sum(m) AS m FROM wd JOIN wc USING (w) WHERE n < 2 GROUP BY doc_id),
         x AS (
-            SELECT p.doc_id, a.n >= 2 AS known,
+            SELECT p.doc_id, a.n >= 2 AS known, voc.size AS size,
+                   CAST(voc.unk - coalesce(du.m, 0) AS DOUBLE) AS unk_all, CAST(voc.unk_t - (p.t::INT) * coalesce(du.m, 0) AS DOUBLE) AS unk_t,
                    CAST(a.n - am.m AS DOUBLE) AS w_all, CAST(b.n - bm.m AS DOUBLE) AS v_all, CAST(c.n - cm.m AS DOUBLE) AS p_all, CAST(s.n - len(d.w) AS DOUBLE) AS n_all,
                    CAST(a.nt - (p.t::INT) * am.m AS DOUBLE) AS w_t, CAST(b.nt - (p.t::INT) * bm.m AS DOUBLE) AS v_t, CAST(c.nt - (p.t::INT) * cm.m AS DOUBLE) AS p_t,
                    CAST(s.nt - (p.t::INT) * len(d.w) AS DOUBLE) AS n_t
-            FROM p JOIN d USING (doc_id) JOIN s ON true JOIN wc a ON a.w = p.w JOIN wd am ON am.doc_id = p.doc_id AND am.w = p.w
+            FROM p JOIN d USING (doc_id) JOIN s ON true JOIN voc ON true LEFT JOIN du USING (doc_id) JOIN wc a ON a.w = p.w JOIN wd am ON am.doc_id = p.doc_id AND am.w = p.w
             LEFT JOIN wc b ON b.w = p.v LEFT JOIN wd bm ON bm.doc_id = p.doc_id AND bm.w = p.v
             LEFT JOIN pc c ON c.v = p.v AND c.w = p.w LEFT JOIN pd cm ON cm.doc_id = p.doc_id AND cm.v = p.v AND cm.w = p.w),
         y AS (
             SELECT doc_id, known, v_all, p_all, v_t, p_t,
-                   (CASE WHEN known THEN w_all ELSE 0 END + 0.1) / (n_all + 0.1 * 1000000) AS u_all,
-                   (CASE WHEN known THEN w_t ELSE 0 END + 0.1) / (n_t + 0.1 * 1000000) AS u_t FROM x),
+                   (CASE WHEN known THEN w_all ELSE unk_all END + 0.1) / (n_all + 0.1 * size) AS u_all,
+                   (CASE WHEN known THEN w_t ELSE unk_t END + 0.1) / (n_t + 0.1 * size) AS u_t FROM x),
         h AS (
             SELECT doc_id, count(*) AS n_words,
                    avg(-ln(CASE WHEN v_t > 0 THEN 0.7 * CASE WHEN known THEN p_t / v_t ELSE 0 END + (1 - 0.7) * u_t ELSE u_t END)) AS h_target,
