@@ -1,76 +1,114 @@
 """Exact top-k search by an impact-ordered index, score at a time.
 
-A component of a vector is a posting of its dimension and its absolute value the impact. A shard keeps its postings in
-segments by quantised impact. A block of queries takes the segments by descending impact and adds their contributions;
-after each segment, a score can still change by at most sum(|q|) times the largest impact that is left. A query stops
-only when that proves which rows can be among its k best; those, and no others, are then rescored exactly.
+A component of a vector is a posting of its dimension, and its absolute value the impact. A shard's index keeps postings
+in segments by quantised impact, and within a segment in lists by dimension. A block of queries takes the segments by
+descending impact and adds their contributions, each list to the rows that are in it. After a segment, what a row can
+still gain or lose is at most the product of two lengths: of its components that are left, and of the query's in the
+same dimensions. The rows that lead by then are scored exactly; others that cannot reach the k-th of these, by that
+bound, are out. A query stops when the rows that are left have a quarter of the components, at most, that the segments that are
+left have postings; those rows, and no others, are then scored exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.llm.vectors import search_blocks, valid
+from stockflow.llm.vectors import Arrays, joined, keyed, search, valid
 
-SEGMENTS = 6
+SEGMENTS = 8
+CHEAPER = 4
 
 
-def segments(v: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """[(largest impact, postings)] by descending impact; postings are v where its impact lies in the segment, else 0."""
+def impact_index(arrays: Arrays) -> Arrays:
+    """``arrays`` (vec_id, vector) with postings (rows and values, by segment and dimension), the lists' ends and the segments' least impacts."""
+    v = arrays["vector"]
     impact = np.abs(v)
-    top = int(impact.max(initial=0))
-    if top == 0:
-        return []
-    edges = sorted({max(0, top * i // SEGMENTS) for i in range(SEGMENTS)} | {top})
-    return [(hi, np.where((impact > lo) & (impact <= hi), v, 0)) for lo, hi in zip(edges[-2::-1], edges[:0:-1], strict=True)]
-
-
-def best_of_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (score descending, id ascending) rows of the shard for each query, itself left out; exact."""
-    # doubles hold sums below 2**53 exactly and use the fast product; larger ones are summed as integers
-    small = np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * v.shape[1] < 2**53
-    exact = np.float64 if small else np.int64
-    v, q = v.astype(exact), q.astype(exact)
-    scores = np.zeros((len(q), len(v)), exact)
-    own = qids[:, None] == ids[None, :]
-    left, weight, n = np.arange(len(q)), np.abs(q).sum(axis=1), min(k, len(v))
-    may: list[np.ndarray | None] = [None] * len(q)
-    index = segments(v)
-    for i, (_, postings) in enumerate(index):
+    some = np.flatnonzero(impact.reshape(-1))
+    by_impact = -np.sort(-impact.reshape(-1)[some])
+    # a segment is quantised impacts from one bound down to the next; equal impacts are never in two
+    bounds = np.unique([by_impact[max(0, len(some) * i // SEGMENTS - 1)] for i in range(1, SEGMENTS + 1)])[::-1] if len(some) else np.zeros(0)
+    segment = np.searchsorted(-bounds, -impact.reshape(-1)[some], "left")
+    dimension = some % v.shape[1]
+    order = np.lexsort((dimension, segment))
+    ends = np.cumsum(np.bincount(segment[order] * v.shape[1] + dimension[order], minlength=len(bounds) * v.shape[1]))
+    return arrays | {"rows": (some[order] // v.shape[1]).astype(np.int32), "values": v.reshape(-1)[some[order]].astype(np.int32), "ends": ends, "bounds": bounds}
+
+
+def best_of_shard(index: Arrays, q: Arrays, k: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """(query_id, query_key, vec_id, score) arrays of each query's k best rows (score descending, id ascending), rows of its own id left out; and, for each query, postings, postings read and rows scored."""
+    v, ids = index["vector"], index["vec_id"]
+    # doubles hold whole numbers below 2**53 exactly; larger sums are taken as integers
+    small = np.abs(v).max(initial=0) * np.abs(q["vector"]).max(initial=0) * v.shape[1] < 2**53
+    v, w = (v, q["vector"]) if small else (v.astype(np.int64), q["vector"].astype(np.int64))
+    rows, dim = v.shape
+    n = min(k, rows)
+    left = np.arange(len(w))
+    may: list[np.ndarray] = [np.arange(rows)] * len(w)
+    read = np.zeros((len(w), 3), np.int64)
+    read[:, 0] = len(index["rows"])
+    sums = np.zeros((rows, len(w)), v.dtype)  # of the queries that are left
+    own = ids[:, None] == q["query_id"][None, :]
+    ends, segments, square = index["ends"], len(index["bounds"]), v.astype(np.float64) ** 2
+    for s in range(segments):
+        for d in range(dim):
+            last = ends[s * dim + d]
+            first = ends[s * dim + d - 1] if s or d else 0
+            if first < last:
+                sums[index["rows"][first:last]] += index["values"][first:last, None].astype(v.dtype) * w[None, left, d]
+        done = ends[(s + 1) * dim - 1]
+        read[left, 1] = done
+        if s + 1 < segments and 4 * done < len(index["rows"]):
+            continue
+        rest = (np.abs(v) < index["bounds"][s]).astype(np.float64)  # components that are left, 0 or 1
+        bound = np.sqrt((square * rest).sum(axis=1))[:, None] * np.sqrt(rest @ (w[left].astype(np.float64) ** 2).T) * (1 + 1e-9)
+        now = np.where(own[:, left], -np.inf, sums.astype(np.float64))
+        lead = np.argpartition(now, rows - n, axis=0)[rows - n :]
+        exact = np.einsum("nqd,qd->nq", v[lead], w[left]).astype(np.float64)
+        exact[np.take_along_axis(own[:, left], lead, axis=0)] = -np.inf
+        possible = (now + bound >= exact.min(axis=0) - 0.5) & ~own[:, left]
+        count = possible.sum(axis=0)
+        stop = (count * dim * CHEAPER <= len(index["rows"]) - done) | (s + 1 == segments)
+        for at in np.flatnonzero(stop):
+            may[left[at]] = np.flatnonzero(possible[:, at])
+        left, sums = left[~stop], sums[:, ~stop]
         if not len(left):
             break
-        scores[left] += q[left] @ postings.T
-        rest = weight[left] * (index[i + 1][0] if i + 1 < len(index) else 0)
-        now = np.where(own[left], np.iinfo(np.int64).min // 4, scores[left])
-        least = np.partition(now, len(v) - n, axis=1)[:, len(v) - n]
-        possible = now >= (least - 2 * rest)[:, None]
-        # proof: all others end below the k-th best; it pays to stop once few rows are left
-        done = (possible.sum(axis=1) <= 4 * n) | (i + 1 == len(index))
-        for row, mask in zip(left[done], possible[done], strict=True):
-            may[row] = np.flatnonzero(mask & ~own[row])
-        left = left[~done]
-    out_q, out_v, out_s = [], [], []
-    for row in range(len(q)):
-        c = np.flatnonzero(~own[row]) if may[row] is None else may[row]
-        s = (v[c] @ q[row]).astype(np.int64)
+    parts = []
+    for i, c in enumerate(may):
+        c = c[~own[c, i]]
+        s = (v[c] @ w[i]).astype(np.int64)
         o = np.lexsort((ids[c], -s))[:k]
-        out_q.append(np.full(len(o), qids[row]))
-        out_v.append(ids[c][o])
-        out_s.append(s[o])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(out_q), join(out_v), join(out_s)
+        read[i, 2] = len(c)
+        parts.append((np.full(len(o), q["query_id"][i]), np.full(len(o), q["query_key"][i]), ids[c][o], s[o]))
+    return parts, read
+
+
+def _searched(df: DataFrame, queries: DataFrame, scale: int, id_col: str, vector_col: str, rows_per_shard: int, queries_per_block: int, find, schema: str) -> DataFrame:
+    as_int = lambda d: valid(d, id_col, vector_col).withColumn("vector", F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
+    return search(as_int(df), keyed(as_int(queries)), "vec_id", rows_per_shard, queries_per_block, impact_index, lambda a: a, find, schema)
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_shard: int = 4096, queries_per_block: int = 1024) -> DataFrame:
+def top_k(df: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_shard: int = 4096, queries_per_block: int = 512) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows with the highest integer inner product.
 
-    A component x becomes floor(scale * x). Ties go to the smaller vec_id; a query's own vec_id is no candidate; fewer
-    candidates than k give all. Rows without id, and vectors that are null, empty or hold null or non-finite components,
-    take no part; repeated rows count once; vectors of different lengths never meet. Empty tables give no rows.
+    A component x becomes floor(scale * x). Ties go to the smaller vec_id; rows with a query's own vec_id are no
+    candidates; fewer candidates than k give all. Rows without id, and vectors that are null, empty or hold null or
+    non-finite components, take no part; repeated rows count once; several vectors of an id are candidates and queries of
+    their own; vectors of different lengths never meet. Empty tables give no rows.
     """
-    as_int = lambda d: valid(d, id_col, vector_col).withColumn("vector", F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
-    found = search_blocks(as_int(df), as_int(queries), rows_per_shard, queries_per_block, lambda ids, v, qids, q: best_of_shard(ids, v, qids, q, k), "long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    find = lambda index, q: joined(best_of_shard(index, q, k)[0], ["query_id", "query_key", "vec_id", "score"])
+    found = _searched(df, queries, scale, id_col, vector_col, rows_per_shard, queries_per_block, find, "query_id long, query_key long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def postings_read(df: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_shard: int = 4096, queries_per_block: int = 512) -> DataFrame:
+    """query_id, postings, postings_read and rows_scored: for each query and shard, how much of the index ``top_k`` reads before its proof."""
+
+    def find(index: Arrays, q: Arrays) -> pd.DataFrame:
+        return pd.DataFrame(best_of_shard(index, q, k)[1], columns=["postings", "postings_read", "rows_scored"]).assign(query_id=q["query_id"])
+
+    return _searched(df, queries, scale, id_col, vector_col, rows_per_shard, queries_per_block, find, "query_id long, postings long, postings_read long, rows_scored long")
