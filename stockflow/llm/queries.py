@@ -28,8 +28,8 @@ def op1_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, each with end id 2, written as block files and digested from what is read back."""
-    blocks, table = rans.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
-    return rans.read_ids(blocks, table, digest=True)
+    files = rans.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return rans.read_ids(spark, files, digest=True)
 
 
 def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -104,11 +106,14 @@ def test_packing_takes_pieces_that_never_fit_together(spark):
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 5000, 700_000])
 def test_rans_round_trip_and_checkpoints(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 50257).astype(np.uint32)
-    table = rans.Table(np.bincount(ids, minlength=50257))
+    table = rans.Table.of_counts(np.bincount(ids, minlength=50257))
     payload = rans.encode_block(ids, table)
     assert (rans.decode_block(payload, table) == ids).all()
-    marks = rans.HEAD.unpack_from(payload)[4]
-    assert np.array_equal(np.concatenate([rans.decode_block(payload, table, i) for i in range(marks)] or [np.zeros(0, np.uint32)]), ids)
+    _, _, lanes, _, marks, *_ = rans.HEAD.unpack_from(payload)
+    for step in (1, 2):
+        runs = [rans.decode_block(payload, table, (i, i + step)) for i in range(0, marks, step)]
+        assert np.array_equal(np.concatenate(runs or [np.zeros(0, np.uint32)]), ids)
+        assert all(len(x) == step * rans.CHECKPOINT * lanes for x in runs[:-1])
     if n:
         broken = bytearray(payload)
         broken[-1] ^= 1
@@ -117,16 +122,54 @@ def test_rans_round_trip_and_checkpoints(n):
 
 
 def test_rans_files(spark, odd, empty, tk, tmp_path):
-    blocks, table = rans.write_ids(odd, JSON, 2, out=f"{tmp_path}/ids")
-    whole, digest = rans.read_ids(blocks, table).collect(), rans.read_ids(blocks, table, digest=True).collect()
-    want = sorted((r.doc_id is not None, r.doc_id or 0, tk.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in odd.collect())
+    rows = odd.unionByName(spark.createDataFrame([(None, f"no id {i}") for i in range(40)] + [(7, f"same id {i}") for i in range(40)], "doc_id long, text string"), allowMissingColumns=True)
+    files = rans.write_ids(rows, JSON, 2, out=f"{tmp_path}/ids")
+    whole, digest = rans.read_ids(spark, files).collect(), rans.read_ids(spark, files, digest=True).collect()
+    want = sorted((r.doc_id is not None, r.doc_id or 0, tk.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in rows.collect())
     whole.sort(key=lambda r: r.start)
     assert [(r.doc_id is not None, r.doc_id or 0) for r in whole] == [w[:2] for w in want]
     assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids)) for r in whole) == want
     assert [r.start for r in whole] == np.cumsum([0, *(r.n_tokens for r in whole)])[:-1].tolist()
     assert sorted(r.ids_crc32 for r in digest) == sorted(zlib.crc32(np.array(w[2], "<u4").tobytes()) for w in want)
-    blocks, table = rans.write_ids(empty, JSON, 2)
-    assert rans.read_ids(blocks, table).count() == 0
+    everything = [i for r in whole for i in r.ids]
+    for first, last in ((0, 10**9), (5, 6), (3000, 9000), (len(everything) - 1, len(everything)), (len(everything), 10**9)):
+        parts = sorted((r.start, list(r.ids)) for r in rans.read_range(spark, files, first, last).collect())
+        assert [i for _, ids in parts for i in ids] == everything[first:last]
+        assert not parts or parts[0][0] == first
+    assert rans.read_ids(spark, rans.write_ids(empty, JSON, 2)).count() == 0
+
+
+def test_rans_files_are_read_by_another_process(spark, docs, tk, tmp_path):
+    """Nothing but the folder and the description of the format: frequencies, blocks, lanes."""
+    files = rans.write_ids(docs.limit(20), JSON, 2, out=f"{tmp_path}/ids")
+    code = f"""
+import glob, struct, zlib
+import pyarrow.parquet as pq
+f = sorted(zip(*pq.read_table({files!r} + "/frequencies").to_pydict().values()))
+freq, first, symbol = {{}}, {{}}, []
+for i, n in f:
+    freq[i], first[i] = n, len(symbol)
+    symbol += [i] * n
+for r in sorted(pq.read_table({files!r} + "/blocks").to_pylist(), key=lambda r: (r["part"], r["block"])):
+    p = r["payload"]
+    magic, n, lanes, steps, marks, words, crc, _ = struct.unpack_from("<8s7I", p)
+    state = list(struct.unpack_from(f"<{{lanes}}Q", p, 36 + 4 * marks))
+    w = iter(struct.unpack_from(f"<{{words}}I", p, 36 + 4 * marks + 8 * marks * lanes))
+    ids = []
+    for s in range(steps):
+        for l in range(lanes):
+            slot = state[l] & 0xFFFFF
+            ids.append(symbol[slot])
+            state[l] = freq[ids[-1]] * (state[l] >> 20) + slot - first[ids[-1]]
+            if state[l] < 1 << 31:
+                state[l] = state[l] << 32 | next(w)
+    ids = ids[:n]
+    assert zlib.crc32(struct.pack(f"<{{n}}I", *ids)) == crc
+    print(*ids)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    want = [i for r in sorted(docs.limit(20).collect()) for i in tk.encode(r.text or "", add_special_tokens=False).ids + [2]]
+    assert list(map(int, out)) == want
 
 
 def test_bpe_words():
