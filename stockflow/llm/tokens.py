@@ -2,12 +2,14 @@
 
 A text is cut before each space that a non-space follows: no merge of these vocabularies crosses such a place, so equal
 chunks have equal ids and the library sees each distinct chunk once for each worker's table. A text that has other white
-space beside a space goes to the library whole.
+space beside a space goes to the library whole. A mark at a chunk's end is cut off after an ASCII letter where the
+vocabulary has no token with such a letter before that mark, so that no merge can cross there either.
 """
 
 from __future__ import annotations
 
 import os
+from string import ascii_letters
 
 import numpy as np
 
@@ -15,6 +17,7 @@ from stockflow.llm.common import held
 
 MOST_CHUNKS = 1_200_000
 GROUP = 1000
+MARKS, LETTERS = ".,;:!?", frozenset(ascii_letters)
 
 
 class _Chunks(dict):
@@ -46,6 +49,7 @@ class ChunkTable:
     """Whole texts to runs of numbers, each distinct chunk being looked up once; emptied at MOST_CHUNKS, which bounds its memory."""
 
     empties = True  # else its user does so, where numbers may change
+    marks: dict[str, np.ndarray] = {}  # marks that are cut off at the end of chunks, with their numbers
 
     def __init__(self) -> None:
         self.reset()
@@ -74,11 +78,8 @@ class ChunkTable:
                 whole.append(i)
                 n = n[:0]
             numbers.append(n)
-        if new := self.chunks.new:
-            self.chunks.new = []
-            ids, start, length = self.of_chunks(new)
-            self.start, self.length = np.concatenate([self.start, start + len(self.ids)]), np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, ids])
+        if self.chunks.new:
+            self._learn()
         all_n = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         size = self.length[all_n]
         ids = self.ids[np.repeat(self.start[all_n] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -91,6 +92,34 @@ class ChunkTable:
             ids = np.concatenate(parts)
         return ids, counts
 
+    def _learn(self) -> None:
+        """Numbers of the chunks that are new: what is left before a mark is a chunk of its own."""
+        new, marks, get = self.chunks.new, self.marks, self.chunks.__getitem__
+        whole, cut, before = [], [], []
+        for i, x in enumerate(new):  # it grows by chunks before marks
+            if x[-1] in marks and x[-2:-1] in LETTERS:
+                cut.append(i)
+                before.append(get(x[:-1]))
+            else:
+                whole.append(i)
+        self.chunks.new = []
+        ids, start, length = self.of_chunks([new[i] for i in whole])
+        first = len(self.start)
+        self.start, self.length = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.length))
+        self.start[np.array(whole, np.int64) + first], self.length[np.array(whole, np.int64) + first] = start + len(self.ids), length
+        self.ids = np.concatenate([self.ids, ids])
+        if cut:
+            base, tail = np.array(before), [marks[new[i][-1]] for i in cut]
+            of_tail, size = np.array([len(x) for x in tail]), self.length[base]
+            end = np.cumsum(size + of_tail)
+            out = np.zeros(int(end[-1]), self.ids.dtype)
+            at = end - size - of_tail
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(at, size) + step] = self.ids[np.repeat(self.start[base], size) + step]
+            out[np.repeat(at + size, of_tail) + np.arange(of_tail.sum()) - np.repeat(np.cumsum(of_tail) - of_tail, of_tail)] = np.concatenate(tail)
+            self.start[np.array(cut) + first], self.length[np.array(cut) + first] = at + len(self.ids), size + of_tail
+            self.ids = np.concatenate([self.ids, out])
+
     def in_parts(self, texts: list[str], chars: int = 2_000_000):
         """(first, ids, counts) for runs of texts of about so many characters: what is held at once stays small."""
         first = 0
@@ -114,6 +143,8 @@ class Encoder(ChunkTable):
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # each character stands for a byte
+        joined = {b for token in vocab for a, b in zip(token, token[1:], strict=False) if b in MARKS and a in LETTERS}
+        self.marks = {m: x for m, x in zip(MARKS, self.of_texts(list(MARKS)), strict=True) if m not in joined}
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
