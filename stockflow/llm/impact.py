@@ -20,6 +20,9 @@ from stockflow.llm.vectors import Arrays, joined, keyed, search, valid
 
 SEGMENTS = 8
 CHEAPER = 4
+FIRST_CHECK = 0.6
+QUERIES = 128
+LEAST = -(2.0**62)
 
 
 def impact_index(arrays: Arrays) -> Arrays:
@@ -39,41 +42,56 @@ def impact_index(arrays: Arrays) -> Arrays:
 
 def best_of_shard(index: Arrays, q: Arrays, k: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
     """(query_id, query_key, vec_id, score) arrays of each query's k best rows (score descending, id ascending), rows of its own id left out; and, for each query, postings, postings read and rows scored."""
+    parts, read = [], []
+    for at in range(0, len(q["vector"]), QUERIES):
+        some = {name: x[at : at + QUERIES] for name, x in q.items()}
+        more, counts = _best_of_some(index, some, k)
+        parts += more
+        read.append(counts)
+    return parts, np.concatenate(read) if read else np.zeros((0, 3), np.int64)
+
+
+def _best_of_some(index: Arrays, q: Arrays, k: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
     v, ids = index["vector"], index["vec_id"]
-    # doubles hold whole numbers below 2**53 exactly; larger sums are taken as integers
-    small = np.abs(v).max(initial=0) * np.abs(q["vector"]).max(initial=0) * v.shape[1] < 2**53
-    v, w = (v, q["vector"]) if small else (v.astype(np.int64), q["vector"].astype(np.int64))
+    # single and double precision hold whole numbers below 2**24 and 2**53 exactly; larger sums are taken as integers
+    most = np.abs(v).max(initial=0) * np.abs(q["vector"]).max(initial=0) * v.shape[1]
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    v, w = v.astype(kind), q["vector"].astype(kind)
     rows, dim = v.shape
     n = min(k, rows)
     left = np.arange(len(w))
     may: list[np.ndarray] = [np.arange(rows)] * len(w)
     read = np.zeros((len(w), 3), np.int64)
-    read[:, 0] = len(index["rows"])
-    sums = np.zeros((rows, len(w)), v.dtype)  # of the queries that are left
+    read[:, 0] = total = len(index["rows"])
+    sums = np.zeros((rows, len(w)), kind)  # of the queries that are left
     own = ids[:, None] == q["query_id"][None, :]
-    ends, segments, square = index["ends"], len(index["bounds"]), v.astype(np.float64) ** 2
+    ends, segments = index["ends"].tolist(), len(index["bounds"])
+    postings, values, first = index["rows"], index["values"].astype(kind)[:, None], 0
     for s in range(segments):
         for d in range(dim):
             last = ends[s * dim + d]
-            first = ends[s * dim + d - 1] if s or d else 0
             if first < last:
-                sums[index["rows"][first:last]] += index["values"][first:last, None].astype(v.dtype) * w[None, left, d]
-        done = ends[(s + 1) * dim - 1]
-        read[left, 1] = done
-        if s + 1 < segments and 4 * done < len(index["rows"]):
+                sums[postings[first:last]] += values[first:last] * w[left, d]
+            first = last
+        read[left, 1] = first
+        if s + 1 < segments and first < FIRST_CHECK * total:
             continue
-        rest = (np.abs(v) < index["bounds"][s]).astype(np.float64)  # components that are left, 0 or 1
-        bound = np.sqrt((square * rest).sum(axis=1))[:, None] * np.sqrt(rest @ (w[left].astype(np.float64) ** 2).T) * (1 + 1e-9)
-        now = np.where(own[:, left], -np.inf, sums.astype(np.float64))
-        lead = np.argpartition(now, rows - n, axis=0)[rows - n :]
+        rest = np.abs(v) < index["bounds"][s]  # components that are left
+        long = np.sqrt((np.where(rest, v, 0).astype(np.float64) ** 2).sum(axis=1)).astype(np.float32)
+        bound = np.sqrt(rest.astype(np.float32) @ (w[left].T.astype(np.float32) ** 2))
+        bound *= long[:, None] * np.float32(1 + 1e-5)  # more than all rounding
+        sums[own[:, left]] = LEAST
+        lead = np.argpartition(sums, rows - n, axis=0)[rows - n :]
         exact = np.einsum("nqd,qd->nq", v[lead], w[left]).astype(np.float64)
-        exact[np.take_along_axis(own[:, left], lead, axis=0)] = -np.inf
-        possible = (now + bound >= exact.min(axis=0) - 0.5) & ~own[:, left]
+        exact[np.take_along_axis(own[:, left], lead, axis=0)] = LEAST
+        bound += sums
+        possible = bound >= (exact.min(axis=0) - 0.5).astype(np.float32) * np.where(exact.min(axis=0) > 0, 1 - 1e-6, 1 + 1e-6).astype(np.float32)
         count = possible.sum(axis=0)
-        stop = (count * dim * CHEAPER <= len(index["rows"]) - done) | (s + 1 == segments)
+        stop = (count * dim * CHEAPER <= total - first) | (s + 1 == segments)
         for at in np.flatnonzero(stop):
             may[left[at]] = np.flatnonzero(possible[:, at])
-        left, sums = left[~stop], sums[:, ~stop]
+        if stop.any():
+            left, sums = left[~stop], sums[:, ~stop]
         if not len(left):
             break
     parts = []
