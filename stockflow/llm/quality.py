@@ -31,17 +31,19 @@ LABELLERS = {
     "digits": (0.6, 0.3, 8),
     "long_words": (0.3, 0.1, 8),
 }
-FALSE_ALARM, TRUST = 0.0005, 20
+KINDS = 4
+FALSE_ALARM, PRIOR, KIND_PRIOR = 0.001, 500, 0.5
 BITS = 16
 MOST_TRAINED = 12_000
 EXAMPLES = 8
 EPOCHS = 12
 RATE = 0.5
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 
 MARKED = re.compile(r"[^\w\s.,;:!?'\"()\[\]-]{2,}$|!{2,}$")
 SEPARATOR = re.compile(r"[|+=*_~/\\-]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS_ALONE = (zlib.crc32(b"a"), zlib.crc32(b"A"))
 
 
 class Shapes(dict):
@@ -53,10 +55,15 @@ class Shapes(dict):
         self.shape = self.flags = np.zeros(0, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        upper = len(word) > 1 and word.upper() == word and word.lower() != word
-        shape = re.sub(r"\d+", "9", LETTERS.sub("A" if upper else "a", word))[:12]
-        flags = bool(MARKED.search(word)) | upper << 1 | bool(SEPARATOR.match(word)) << 2 | any(c.isdigit() for c in word) << 3 | (len(word) > 30) << 4
-        self.new.append((zlib.crc32(shape.encode()), flags))
+        upper = len(word) > 1 and word.isupper() and word.upper() == word
+        flags = upper << 1 | (len(word) > 30) << 4
+        if word.isalpha():
+            crc = LETTERS_ALONE[upper]
+        else:
+            shape = re.sub(r"\d+", "9", LETTERS.sub("A" if upper else "a", word))[:12]
+            crc = zlib.crc32(shape.encode())
+            flags |= bool(MARKED.search(word)) | bool(SEPARATOR.match(word)) << 2 | any(map(str.isdigit, word)) << 3
+        self.new.append((crc, flags))
         self[word] = n = len(self)
         return n
 
@@ -81,64 +88,95 @@ def shapes() -> Shapes:
     return held(Shapes, Shapes)
 
 
+class Parts:
+    """Word numbers of some texts, and each labeller's share of each text."""
+
+    def __init__(self, texts_: list[str]) -> None:
+        table = shapes()
+        n, self.counts = table.numbers(texts_)
+        d = len(texts_)
+        self.doc, self.size = np.repeat(np.arange(d), self.counts), np.maximum(self.counts, 1)
+        self.shape, flags = table.shape[n], table.flags[n]
+        marked = np.flatnonzero(flags)
+        flags, of = flags[marked], self.doc[marked]
+        share = lambda k: np.bincount(of[(flags >> np.uint64(k) & np.uint64(1)) > 0], minlength=d) / self.size
+        self.same = np.zeros(len(n), bool)
+        self.same[1:] = (n[1:] == n[:-1]) & (self.doc[1:] == self.doc[:-1])
+        distinct = np.array([len(set(x)) for x in np.split(n, np.cumsum(self.counts)[:-1])] if d else [], float)
+        lines = []
+        for t in texts_:
+            own = [x for x in t.split("\n") if x.strip()] if "\n" in t else [t]
+            lines.append(1 - len(set(own)) / len(own) if own else 0.0)
+        self.shares = {"marks": share(0), "capitals": share(1), "separators": share(2), "repeats": np.bincount(self.doc[self.same], minlength=d) / self.size, "distinct": distinct / self.size, "same_lines": np.array(lines), "digits": share(3), "long_words": share(4)}
+
+    def votes(self) -> np.ndarray:
+        """Texts x labellers: 1 good, 0 bad, -1 abstains."""
+        out = np.full((len(self.counts), len(LABELLERS)), -1, np.int8)
+        for k, (name, (bad, good, least)) in enumerate(LABELLERS.items()):
+            s, sign = self.shares[name], -1 if name == "distinct" else 1
+            enough = self.counts >= least
+            out[enough & (sign * s <= sign * good), k] = 1
+            out[enough & (sign * s > sign * bad), k] = 0
+        return out
+
+    def features(self, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text numbers, slots and values of the scorer: shares of word shapes, of shape pairs and of repeated words, and the bounds that a labeller's share passes; slots may repeat."""
+        mix, doc, shape = words._slot, self.doc, self.shape
+        pair = np.zeros(len(doc), bool)
+        pair[1:] = doc[1:] == doc[:-1]
+        both = shape * np.uint64(0xC2B2AE3D27D4EB4F)
+        docs, slots = [doc, doc[pair], doc[self.same]], [mix(shape, 1, bits), mix((np.roll(both, 1) ^ shape)[pair], 2, bits), mix(np.zeros(int(self.same.sum()), np.uint64), 3, bits)]
+        values = [1 / self.size[x] for x in docs]
+        for name, (bad, good, least) in LABELLERS.items():
+            s, sign = self.shares[name], -1 if name == "distinct" else 1
+            for c, bound in enumerate((good, (good + bad) / 2, bad)):
+                docs.append(np.flatnonzero((self.counts >= least) & (sign * s > sign * bound)))
+                slots.append(np.full(len(docs[-1]), mix(np.full(1, zlib.crc32(f"{name} {c}".encode()), np.uint64), 4, bits)[0]))
+                values.append(np.ones(len(docs[-1])))
+        return np.concatenate(docs), np.concatenate(slots), np.concatenate(values)
+
+
 def read(texts_: list[str], bits: int = BITS) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Votes (texts x labellers: 1 good, 0 bad, -1 abstains), and for each text its slots with their shares of the words."""
-    table = shapes()
-    n, counts = table.numbers(texts_)
-    d = len(texts_)
-    doc, size = np.repeat(np.arange(d), counts), np.maximum(counts, 1)
-    flags, shape = table.flags[n], table.shape[n]
-    share = lambda of: np.bincount(doc[of], minlength=d) / size
-    bit = lambda k: (flags >> np.uint64(k) & np.uint64(1)).astype(bool)
-    same = np.zeros(len(n), bool)
-    same[1:] = (n[1:] == n[:-1]) & (doc[1:] == doc[:-1])
-    distinct = np.bincount(np.unique(doc << 32 | n) >> 32, minlength=d) / size
-    lines = []
-    for t in texts_:
-        own = [x for x in t.split("\n") if x.strip()]
-        lines.append(1 - len(set(own)) / len(own) if own else 0.0)
-    shares = {"marks": share(bit(0)), "capitals": share(bit(1)), "separators": share(bit(2)), "repeats": share(same), "distinct": distinct, "same_lines": np.array(lines), "digits": share(bit(3)), "long_words": share(bit(4))}
-    votes = np.full((d, len(LABELLERS)), -1, np.int8)
-    mix = words._slot
-    passed = []  # a labeller's share is binned by the bounds that it passes
-    for k, (name, (bad, good, least)) in enumerate(LABELLERS.items()):
-        s, sign = shares[name], -1 if name == "distinct" else 1
-        enough = counts >= least
-        votes[enough & (sign * s <= sign * good), k] = 1
-        votes[enough & (sign * s > sign * bad), k] = 0
-        for c, bound in enumerate((good, (good + bad) / 2, bad)):
-            passed.append(np.flatnonzero(enough & (sign * s > sign * bound)) << bits | mix(np.full(1, zlib.crc32(f"{name} {c}".encode()), np.uint64), 4, bits)[0])
-    pair = np.zeros(len(n), bool)
-    pair[1:] = doc[1:] == doc[:-1]
-    both = shape * np.uint64(0xC2B2AE3D27D4EB4F)
-    slots = np.concatenate([mix(shape, 1, bits), mix((np.roll(both, 1) ^ shape)[pair], 2, bits), mix(np.zeros(int(same.sum()), np.uint64), 3, bits)])
-    key, number = np.unique(np.concatenate([doc, doc[pair], doc[same]]) << bits | slots, return_counts=True)
-    words_in = key >> bits
-    key, at = np.unique(np.concatenate([key, *passed]), return_inverse=True)
-    value = np.bincount(at, np.concatenate([number / size[words_in], np.ones(len(at) - len(words_in))]), len(key))
-    cut = np.searchsorted(key >> bits, np.arange(1, d))
-    own = key & ((1 << bits) - 1)
-    return votes, list(zip(np.split(own, cut), np.split(value, cut), strict=True)) if d else []
-
-
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each vote pattern, each labeller's chance of a bad vote where it votes (class x labeller), and the share of good.
-
-    Votes are independent given the class and abstaining says nothing; a pattern without votes has the prior. Labellers
-    are made to be silent on good documents: a priori FALSE_ALARM of their votes there are bad, which counts as much as
-    TRUST times the data. Without that, labellers that overlap would be taken for the classes.
+    """Votes, and for each text its slots, ascending, with their values."""
+    parts = Parts(texts_)
+    doc, slot, value = parts.features(bits)
+    key, at = np.unique(doc << bits | slot, return_inverse=True)
+    cut = np.searchsorted(key >> bits, np.arange(1, len(texts_)))
+    rows = zip(np.split(key & ((1 << bits) - 1), cut), np.split(np.bincount(at, value, len(key)), cut), strict=True)
+    return parts.votes(), list(rows) if texts_ else []
+
+
+def linear_scores(parts: Parts, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bias and the weights of each text's slots, times their values."""
+    doc, slot, value = parts.features(bits)
+    return weights[-1] + np.bincount(doc, weights[slot] * value, len(parts.counts))
+
+
+def estimate(votes: np.ndarray, counts: np.ndarray, kinds: int = KINDS, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of good for each vote pattern, each labeller's chance of a bad vote where it votes (class x labeller), and the classes' shares; class 0 is good.
+
+    Bad documents are of several kinds, so that labellers may overlap: votes are independent given the kind, and
+    abstaining says nothing. At first a kind is what one labeller sees; kinds that the data does not need empty out or
+    take single labellers' false alarms. The priors are a fixed number of votes (PRIOR of them on good documents,
+    FALSE_ALARM of these bad; one on each kind), so they weigh less the more documents there are. They decide only between
+    a false alarm of one labeller and a kind that no other sees, which votes cannot tell apart. Without documents the
+    posterior is that of the start.
     """
     bad, good = (votes == 0).astype(float), (votes == 1).astype(float)
-    p = np.where(bad.any(axis=1), 0.02, 0.98)
-    table, prior, n = np.zeros((2, votes.shape[1])), 0.9, float(counts.sum())
+    any_bad, n, seen = bad.any(axis=1), float(counts.sum()), np.arange(kinds) % votes.shape[1]
+    first = bad[:, seen] + 0.02
+    r = np.concatenate([np.where(any_bad, 0.1, 0.98)[:, None], np.where(any_bad, 0.9, 0.02)[:, None] * first / first.sum(axis=1, keepdims=True)], axis=1)
+    more = np.r_[FALSE_ALARM * PRIOR, np.full(kinds, KIND_PRIOR)][:, None], np.r_[(1 - FALSE_ALARM) * PRIOR, np.full(kinds, KIND_PRIOR)][:, None]
     for _ in range(rounds):
-        for k, w in enumerate((counts * (1 - p), counts * p)):
-            more = TRUST * n * k
-            table[k] = (w @ bad + 0.1 + more * FALSE_ALARM) / (w @ (bad + good) + 0.2 + more)
-        prior = float((counts * p).sum() + 1) / (n + 2)
-        log = [bad @ np.log(table[k]) + good @ np.log(1 - table[k]) for k in (0, 1)]
-        p = 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log((1 - prior) / prior), -50, 50)))
-    return p, table, prior
+        w = counts[:, None] * r
+        share = (w.sum(axis=0) + np.r_[5.0, np.ones(kinds)]) / (n + 5 + kinds)
+        table = np.clip((w.T @ bad + more[0]) / (w.T @ (bad + good) + more[0] + more[1]), 1e-9, 1 - 1e-9)
+        log = np.log(share) + bad @ np.log(table).T + good @ np.log(1 - table).T
+        log = np.exp(log - log.max(axis=1, keepdims=True))
+        before, r = r, log / log.sum(axis=1, keepdims=True)
+        if np.abs(r - before).max() < 1e-6:
+            break
+    return r[:, 0], table, share
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -178,7 +216,7 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, part in words.in_parts(pdf["text"].tolist()):
-                v, at = np.unique(read(part, bits)[0], axis=0, return_inverse=True)
+                v, at = np.unique(Parts(part).votes(), axis=0, return_inverse=True)
                 h = pdf["h"].iloc[first : first + len(part)].to_numpy()
                 of = pd.DataFrame({"v": at, "part": h % EXAMPLES, "h": h}).groupby(["v", "part"])["h"].agg(["size", "min"]).reset_index()
                 yield pd.DataFrame({"votes": [v[i].tobytes() for i in of["v"]], "part": of["part"], "n": of["size"], "h": of["min"]})
@@ -187,9 +225,10 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
     parts["votes"] = [bytes(x) for x in parts["votes"]]
     found = parts.groupby("votes", as_index=False)["n"].sum().sort_values("votes")
     patterns = np.stack([np.frombuffer(x, np.int8) for x in found["votes"]]) if len(found) else np.full((1, len(LABELLERS)), -1, np.int8)
-    p, table, prior = estimate(patterns, found["n"].to_numpy(float) if len(found) else np.ones(1))
+    p, table, share = estimate(patterns, found["n"].to_numpy(float) if len(found) else np.ones(1))
+    prior = float(share[0])
     posterior = {x.tobytes(): float(y) for x, y in zip(patterns, p, strict=True)}
-    right = (1 - table[1]) * prior + table[0] * (1 - prior)
+    right = (1 - table[0]) * prior + share[1:] @ table[1:]
     rare = parts.assign(whole=parts.groupby("votes")["n"].transform("sum")).sort_values(["whole", "votes", "h"])["h"].iloc[: most // 2]
     known = rows.where(F.col("doc_id").isNotNull())
     chosen = known.select("h").orderBy("h").limit(most - len(rare)).unionByName(docs.sparkSession.createDataFrame([(int(h),) for h in rare], "h long")).distinct()
@@ -221,8 +260,8 @@ def scorer(model: Model, bits: int = BITS):
     def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = model.weights()
         for s in batches:
-            out = [w[slot] @ value + w[-1] for _, part in words.in_parts(s.fillna("").tolist()) for slot, value in read(part, bits)[1]]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35))))
+            out = [linear_scores(Parts(part), w, bits) for _, part in words.in_parts(s.fillna("").tolist())]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -35, 35))))
 
     return of_text
 
@@ -238,8 +277,8 @@ def score(docs: DataFrame, model: Model, bits: int = BITS, threshold: float = 0.
         w = model.weights()
         for pdf in batches:
             for first, part in words.in_parts(pdf["text"].tolist()):
-                votes, rows = read(part, bits)
-                s = np.array([w[slot] @ value for slot, value in rows]) + w[-1]
+                parts = Parts(part)
+                votes, s = parts.votes(), linear_scores(parts, w, bits)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first : first + len(part)].to_numpy(), "votes": list(votes.astype(np.int32)), "weak_label": [model.posterior.get(v.tobytes(), model.prior) for v in votes], "score": 1 / (1 + np.exp(-np.clip(s, -35, 35)))})
 
     out = texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, votes array<int>, weak_label double, score double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from stockflow.llm import html_text, near_dup, quality
@@ -75,3 +76,48 @@ def test_deduplicated_chooses_rows_not_ids(spark):
     kept = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     want = [(1, a), (1, b), (4, c), (None, d), (None, c), (None, ""), (None, " "), (5, "")]
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+
+
+def test_estimation_recovers_overlapping_labellers():
+    """Three kinds of bad documents, each seen by two or three labellers, and false alarms: the accuracies come from the votes."""
+    rng = np.random.default_rng(0)
+    alarm = np.array([0.05, 0.02, 0.03, 0.01, 0.04, 0.02, 0.03, 0.02])
+    seen = np.array([[0.9, 0.8, 0.7, 0.1, 0.05, 0.05, 0.05, 0.05], [0.05, 0.05, 0.1, 0.9, 0.8, 0.7, 0.05, 0.05], [0.05, 0.05, 0.05, 0.05, 0.05, 0.1, 0.9, 0.85]])
+    kind = rng.choice(4, 40_000, p=[0.8, 0.08, 0.07, 0.05])
+    chance = np.where((kind == 0)[:, None], alarm, seen[np.maximum(kind - 1, 0)])
+    votes = np.where(rng.random((40_000, 8)) < 0.1, -1, np.where(rng.random((40_000, 8)) < chance, 0, 1)).astype(np.int8)
+    patterns, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    any_bad = (votes == 0).any(axis=1)
+    for kinds, share in ((3, 0.95), (4, 0.93)):
+        p, table, shares = quality.estimate(patterns, counts.astype(float), kinds)
+        assert ((p[of] > 0.5) == (kind == 0)).mean() > share > 0.9 > (~any_bad == (kind == 0)).mean()
+        if kinds == 3:  # with one more, it takes one labeller's false alarms
+            assert np.abs(table[0] - alarm).max() < 0.01 and abs(shares[0] - 0.8) < 0.02
+            for k in range(3):  # some class is what the labellers of a kind see
+                assert np.abs(table[1:] - seen[k]).max(axis=1).min() < 0.15
+
+
+def test_features_and_votes_against_plain_counting():
+    rng = random.Random(3)
+    words = ["plain", "Word,", "LOUD", "a!!", "||", "--", "x12", "9", "é", "b" * 40, "ok.", "re"]
+    texts = ["", " ", *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))) for _ in range(200)), "a b\na b\na b\nc d " * 9]
+    shares = quality.Parts(texts).shares
+    for i, t in enumerate(texts):
+        w = t.split()
+        n = max(1, len(w))
+        lines = [x for x in t.split("\n") if x.strip()]
+        want = {
+            "capitals": sum(len(x) > 1 and x.upper() == x and x.lower() != x for x in w) / n,
+            "digits": sum(any(c.isdigit() for c in x) for x in w) / n,
+            "long_words": sum(len(x) > 30 for x in w) / n,
+            "repeats": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+            "distinct": len(set(w)) / n,
+            "same_lines": 1 - len(set(lines)) / len(lines) if lines else 0,
+            "marks": sum(bool(quality.MARKED.search(x)) for x in w) / n,
+            "separators": sum(bool(quality.SEPARATOR.match(x)) for x in w) / n,
+        }
+        assert {k: round(float(v[i]), 9) for k, v in shares.items()} == {k: round(v, 9) for k, v in want.items()}
+    weights = np.random.default_rng(1).standard_normal((1 << quality.BITS) + 1)
+    scores = quality.linear_scores(quality.Parts(texts), weights)
+    plain = [weights[-1] + sum(weights[s] * v for s, v in zip(*row, strict=True)) for row in quality.read(texts)[1]]
+    assert np.allclose(scores, plain)
