@@ -21,6 +21,7 @@ FLOWS = ["inflow", "outflow", "out_a", "out_n", "out_r", "overlay", "plain_a", "
 LISTED = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
 ISSUE = Issue("1997-06-01", "1998-01-01", 48, 50)
 ERAS = [("e1", "1996-01-01", "1998-12-01"), ("e2", "1999-01-01", None)]
+LATE = 997
 BREAKS = [("FY1997", "1997-03-01"), ("FY2000", "1999-12-01")]
 YEARS = [Rule("0-9", "range", 0, 10), Rule("10-19", "range", 10, 20), Rule("20-29", "range", 20, 30), Rule("30+", "range", 30), Rule("Unknown", "unknown")]
 #: Code, node, level and parent of overlapping groups: a code counts in each of its nodes.
@@ -39,30 +40,31 @@ class Frames:
 
     @cached_property
     def members(self) -> DataFrame:
-        """o_custkey, entity, group_code: customers with their region; nations and regions are 25 and 5 rows by design."""
+        """o_custkey with entity, group_code, segment, nation and balance: customers with their region; nations and regions are 25 and 5 rows by design."""
         nations = self.table("nation").join(F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
         c = self.table("customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
-        return c.select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("entity"), F.col("c_mktsegment").alias("segment"), group_or_other(F.col("c_mktsegment"), LISTED).alias("group_code"))
+        return c.select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("entity"), F.col("c_mktsegment").alias("segment"), group_or_other(F.col("c_mktsegment"), LISTED).alias("group_code"), F.col("n_name").alias("nation"), F.col("c_acctbal").alias("balance"))
 
     @cached_property
     def orders(self) -> DataFrame:
-        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", month_of("o_orderdate").alias("order_month"))
+        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("status"), month_of("o_orderdate").alias("order_month"))
         return o.join(self.members, "o_custkey")
 
     @cached_property
     def stock(self) -> DataFrame:
-        return self.orders.select(F.col("order_month").alias("month"), "entity", F.col("o_custkey").alias("member"), "group_code", "segment").distinct()
+        present = self.table("orders").select("o_custkey", month_of("o_orderdate").alias("month")).distinct()
+        return present.join(self.members, "o_custkey").withColumnRenamed("o_custkey", "member")
 
     @cached_property
     def inflow(self) -> DataFrame:
-        return self.orders.select(F.col("order_month").alias("effective_month"), F.col("order_month").alias("file_month"), "entity", F.substring("o_orderpriority", 1, 1).alias("code"), "group_code", "segment", "o_orderpriority")
+        return self.orders.select(F.col("order_month").alias("effective_month"), F.col("order_month").alias("file_month"), "entity", F.substring("o_orderpriority", 1, 1).alias("code"), "group_code", "segment", "nation", "balance", "status", "o_orderpriority")
 
     @cached_property
     def all_outflow(self) -> DataFrame:
         line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("years"), "l_discount", month_of("l_shipdate").alias("effective_month"))
         out = line.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         text = F.when(F.col("l_discount") == 0, "REDACTED").when(F.col("l_discount") != 0.05, F.col("years").cast("string"))
-        return out.select("l_orderkey", "l_linenumber", "l_partkey", "effective_month", F.col("order_month").alias("file_month"), "entity", F.col("l_returnflag").alias("code"), F.when(F.col("l_linestatus") == "O", "Y").alias("overlay"), "years", text.alias("years_text"), "group_code", "segment")
+        return out.select("l_orderkey", "l_linenumber", "l_partkey", "effective_month", F.col("order_month").alias("file_month"), "entity", F.col("l_returnflag").alias("code"), F.when(F.col("l_linestatus") == "O", "Y").alias("overlay"), "years", text.alias("years_text"), "group_code", "segment", "nation", "balance")
 
     @cached_property
     def last_month(self) -> DataFrame:
@@ -85,6 +87,22 @@ class Frames:
     def base_by_group(self) -> DataFrame:
         return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, ["group_code"])
 
+    @cached_property
+    def base_all_groups(self) -> DataFrame:
+        """The base of each group that an entity has, and of group 'all': their sums, from the same counts."""
+        return B.all_groups(self.base_by_group, "group_code")
+
+    @cached_property
+    def month_flags(self) -> DataFrame:
+        """month, provisional, reissued and tag of each month's file: reissued where it has more rows than the manifest before listed.
+
+        The manifest before has no orders that came late (every 997th key).
+        """
+        n = self.table("orders").groupBy(month_of("o_orderdate").alias("month")).agg(F.count("*").alias("size"), F.count_if(F.col("o_orderkey") % LATE != 0).alias("size_before"))
+        version = F.when(F.col("size") != F.col("size_before"), 2).otherwise(1)
+        newest = B.provisional(n)
+        return n.join(newest, "month").select("month", "provisional", (version > 1).alias("reissued"), F.concat(F.date_format("month", "yyyy-MM"), F.lit(" v"), version).alias("tag"))
+
     @cached_property
     def eras(self) -> DataFrame:
         """era, first_month, last_month: an open era ends with the stock."""
@@ -99,16 +117,16 @@ def month_of_max(c: str, f) -> Column:
 
 #: The same frames for DuckDB, in the other style: plain counts by entity and for the total, joined by UNION ALL.
 PRELUDE = """
-members AS (SELECT c_custkey, r_name AS entity, c_mktsegment AS segment,
+members AS (SELECT c_custkey, r_name AS entity, c_mktsegment AS segment, n_name AS nation, c_acctbal AS balance,
     CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'other' END AS group_code
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-ordered AS (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month, m.* FROM orders JOIN members m ON o_custkey = c_custkey),
-stock AS (SELECT DISTINCT order_month AS month, entity, o_custkey AS member, group_code, segment FROM ordered),
-inflow AS (SELECT order_month AS effective_month, order_month AS file_month, entity, substr(o_orderpriority, 1, 1) AS code, group_code, segment, o_orderpriority FROM ordered),
+ordered AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus AS status, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month, m.* FROM orders JOIN members m ON o_custkey = c_custkey),
+stock AS (SELECT DISTINCT order_month AS month, entity, o_custkey AS member, group_code, segment, nation, balance FROM ordered),
+inflow AS (SELECT order_month AS effective_month, order_month AS file_month, entity, substr(o_orderpriority, 1, 1) AS code, group_code, segment, nation, balance, status, o_orderpriority FROM ordered),
 bounds AS (SELECT min(month) AS first_month, max(month) AS last_month FROM stock),
 all_outflow AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS effective_month, order_month AS file_month, entity, l_returnflag AS code,
     CASE WHEN l_linestatus = 'O' THEN 'Y' END AS overlay, CAST(l_quantity AS BIGINT) AS years,
-    CASE WHEN l_discount = 0 THEN 'REDACTED' WHEN l_discount <> 0.05 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS years_text, group_code, segment,
+    CASE WHEN l_discount = 0 THEN 'REDACTED' WHEN l_discount <> 0.05 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS years_text, group_code, segment, nation, balance,
     order_month BETWEEN DATE '1997-06-01' AND DATE '1998-01-01' AND l_quantity BETWEEN 48 AND 50 AS issue
     FROM lineitem JOIN ordered ON l_orderkey = o_orderkey),
 outflow AS (SELECT o.* FROM all_outflow o, bounds b WHERE effective_month BETWEEN b.first_month AND b.last_month),
@@ -139,6 +157,9 @@ rolled AS (SELECT entity, grain, period, max(month) AS last_month, arg_max(stock
     CAST(sum(years_sum) AS BIGINT) AS years_sum, CAST(sum(years_known) AS BIGINT) AS years_known, CAST(sum(years_issue) AS BIGINT) AS years_issue, count(*) AS months, max(expected) AS expected, count(*) < max(expected) AS partial
     FROM base JOIN bridge USING (month) GROUP BY ALL),
 eras AS (SELECT 'e1' AS era, DATE '1996-01-01' AS first_month, DATE '1998-12-01' AS last_month, false AS open UNION ALL SELECT 'e2', DATE '1999-01-01', last_month, true FROM bounds),
+month_flags AS (SELECT order_month AS month, row_number() OVER (ORDER BY order_month DESC) <= 3 AS provisional, count(*) FILTER (o_orderkey % 997 = 0) > 0 AS reissued,
+    strftime(order_month, '%Y-%m') || CASE WHEN count(*) FILTER (o_orderkey % 997 = 0) > 0 THEN ' v2' ELSE ' v1' END AS tag FROM ordered GROUP BY order_month),
+ends AS (SELECT entity, max(month) FILTER (stock > 0) AS end_month FROM base GROUP BY entity),
 running AS (SELECT b.entity, b.month, e.era, e.open, b.stock, row_number() OVER w AS n, CAST(sum(inflow) OVER w AS BIGINT) AS run_inflow, CAST(sum(outflow) OVER w AS BIGINT) AS run_outflow, round(avg(stock) OVER w, 4) AS run_mean,
     (SELECT z.stock FROM base z WHERE z.entity = b.entity AND z.month = e.first_month - INTERVAL 1 MONTH) AS stock_0
     FROM base b JOIN eras e ON b.month BETWEEN e.first_month AND e.last_month

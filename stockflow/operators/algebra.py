@@ -37,11 +37,11 @@ def sum_entities(df: DataFrame, measure: str, entities: list[str], total: str =
 
 
 def sum_periods(df: DataFrame, measure: str, keys: list[str], month: str = "last_month") -> DataFrame:
-    """Per key the sum over consecutive months; refused unless the column's kind is summable, NULL over gaps."""
+    """Per key the sum over consecutive months; refused unless the column's kind is summable, NULL over gaps and repeated months."""
     if kind_of(df, measure) not in SUMMABLE:
         raise ValueError(f"{measure} is no flow: it can't be added over time")
     span = F.months_between(F.max(month), F.min(month)).cast("long") + 1
-    return df.groupBy(*keys).agg(F.count("*").alias("periods"), F.when(span == F.count("*"), poisoned_sum(measure)).alias("value"))
+    return df.groupBy(*keys).agg(F.count("*").alias("periods"), F.when((span == F.countDistinct(month)) & (span == F.count("*")), poisoned_sum(measure)).alias("value"))
 
 
 def combine(df: DataFrame, keys: list[str], sums: list[str], flags: list[str], num: str, den: str, small: int = 30) -> DataFrame:

@@ -44,8 +44,8 @@ def months_of(stock: DataFrame) -> DataFrame:
 def grid(stock: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """entity x month (x keys), the total included: both sides are small dimensions."""
     entities = stock.select("entity").distinct().unionByName(stock.sparkSession.createDataFrame([(TOTAL,)], "entity string"))
-    out = F.broadcast(entities).crossJoin(months_of(stock))
-    return out if keys is None else out.crossJoin(F.broadcast(keys))
+    out = entities.crossJoin(months_of(stock))
+    return out if keys is None else out.crossJoin(keys)
 
 
 def filled(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,5 +76,35 @@ def entity_ends(base: DataFrame) -> DataFrame:
 
 def within_life(base: DataFrame, go_on: list[str] | None = None) -> DataFrame:
     """Rows up to each entity's last stock month; listed entities go on at 0."""
-    ends = F.broadcast(entity_ends(base))
+    ends = entity_ends(base)
     return base.join(ends, "entity").where((F.col("month") <= F.col("last_month")) | F.col("entity").isin(go_on or [])).drop("last_month")
+
+
+def all_groups(by_group: DataFrame, group: str, whole: str = "all") -> DataFrame:
+    """Rows of each (entity, group) that ever has a stock or a flow, and of group ``whole``: their sums, in the same pass over the counts."""
+    keys = ["entity", "month", group]
+    measures = [c for c in by_group.columns if c not in keys]
+    sets = [[F.col(c) for c in keys], [F.col(c) for c in keys[:2]]]
+    out = by_group.groupingSets(sets, *(F.col(c) for c in keys)).agg(F.grouping(group).alias("_all"), *(F.sum(c).alias(c) for c in measures))
+    out = out.withColumn(group, F.when(F.col("_all") == 1, whole).otherwise(F.col(group))).drop("_all")
+    some = F.max(F.greatest("stock", "inflow", "outflow")).over(Window.partitionBy("entity", group))
+    return out.withColumn("_some", some).where("_some > 0").drop("_some")
+
+
+def alive(base: DataFrame, go_on: list[str] | None = None) -> DataFrame:
+    """``base`` (of one or more keys beside entity and month) up to each entity's last month with any stock; listed entities go on."""
+    last = F.max(F.when(F.col("stock") > 0, F.col("month"))).over(Window.partitionBy("entity"))
+    return base.withColumn("_last", last).where((F.col("month") <= F.col("_last")) | F.col("entity").isin(go_on or [])).drop("_last")
+
+
+def refused_ends(base: DataFrame, go_on: dict[str, str] | None = None, flows: tuple[str, ...] = ("inflow", "outflow")) -> DataFrame:
+    """entity, why: entities without any stock, with flows after their last month of stock, or configured to go on after another last month (entity -> yyyy-MM-dd) than the data has."""
+    go_on = go_on or {}
+    said = F.create_map(*(F.lit(x) for pair in go_on.items() for x in pair))[F.col("entity")] if go_on else F.lit(None).cast("string")
+    ends = base.join(entity_ends(base), "entity").groupBy("entity", "last_month").agg(F.max(F.when(F.greatest(*flows) > 0, F.col("month"))).alias("last_flow"))
+    why = (
+        F.when(F.col("last_month").isNull(), "never in stock")
+        .when(said.isNotNull() & (said.cast("date") != F.col("last_month")), "goes on after another month")
+        .when(said.isNull() & (F.col("last_flow") > F.col("last_month")), "flows after its end")
+    )
+    return ends.select("entity", why.alias("why")).where("why IS NOT NULL")

@@ -5,42 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.demo import FLOWS, HIERARCHY, YEARS, Frames, sql
-from stockflow.functions.rules import assigned
+from stockflow.demo import BREAKS, CODES, FLOWS, HIERARCHY, YEARS, Frames, sql
+from stockflow.functions.rules import Rule, assigned
 from stockflow.operators import base as B
 from stockflow.operators import rollup as R
 from stockflow.plans import cubes as P
+from stockflow.plans import full as X
 from stockflow.queries import query
 
-_RATES = "CASE WHEN mean_stock > 0 THEN round(outflow / mean_stock, 4) END AS rate_b, round(outflow * 12.0::DOUBLE / months / nullif(mean_stock, 0), 4) AS rate_c, CASE WHEN mean_stock > 0 THEN mean_stock < 30 END AS small_base"
+_FLOWS_SQL = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" for x in FLOWS)
+#: Numerators of rates by name: all outflow, two of its categories, and inflow.
+RATES = {"out": "outflow", "a": "out_a", "r": "out_r", "in": "inflow"}
 
 
-def _core(base: DataFrame, by: list[str]) -> DataFrame:
-    r = R.stock_change(R.roll_up(base, FLOWS, by), by)
-    net = (F.col("inflow") - F.col("outflow")).alias("net_flow")
-    b, c = R.guarded(F.col("outflow"), F.col("mean_stock"))[2:], R.rated(F.col("outflow") * 12.0 / F.col("months"), F.col("mean_stock"))
-    return r.select("*", net, b[0].alias("rate_b"), c.alias("rate_c"), b[1])
+def _nums(name: str, ok: str, of: str) -> str:
+    return ", ".join(f"CASE WHEN {ok} THEN {of.format(c)} END AS rate_{r}_{name}_num" for r, c in RATES.items())
 
 
-@query(sql(f"SELECT r.*, stock - lag(stock) OVER (PARTITION BY entity, grain ORDER BY last_month) AS stock_change, inflow - outflow AS net_flow, {_RATES} FROM rolled r"))
+def _core_sql(source: str, k: str) -> str:
+    """The core cube of a base with keys ``k``, the trailing months by a join of the base with itself."""
+    same = " AND ".join(f"y.{c} = z.{c}" for c in k.split(", "))
+    a, b = "tm = 12 AND tmean > 0", "grain = 'fy' AND mean > 0"
+    return f"""SELECT {k}, grain, period, CAST(year(last_month + INTERVAL 3 MONTH) AS BIGINT) AS fiscal_year, first_month, last_month, expected AS months_in_period, months, provisional, months < expected AS partial, reissued, has_break, files,
+        stock, stock - lag(stock) OVER (PARTITION BY {k}, grain ORDER BY last_month) AS stock_change, {", ".join(FLOWS)}, inflow - outflow AS net_flow, round(years_known / nullif(outflow, 0), 4) AS coverage,
+        {_nums("a", a, "t_{0}")}, CASE WHEN {a} THEN round(tmean, 4) END AS rate_a_den, CASE WHEN tm = 12 THEN tm END AS rate_a_months, CASE WHEN {a} THEN tmean < 30 END AS rate_a_small,
+        {_nums("b", b, "{0}")}, CASE WHEN {b} THEN round(mean, 4) END AS rate_b_den, CASE WHEN grain = 'fy' THEN months END AS rate_b_months, CASE WHEN {b} THEN mean < 30 END AS rate_b_small,
+        {_nums("c", "mean > 0", "round({0} * 12.0::DOUBLE / months, 4)")}, CASE WHEN mean > 0 THEN round(mean, 4) END AS rate_c_den, months AS rate_c_months, CASE WHEN mean > 0 THEN mean < 30 END AS rate_c_small
+    FROM (SELECT {k}, grain, period, min(month) AS first_month, max(month) AS last_month, arg_max(stock, month) AS stock, avg(stock) AS mean, count(*) AS months, max(expected) AS expected, {_FLOWS_SQL},
+            bool_or(provisional) AS provisional, bool_or(reissued) AS reissued, bool_or(month IN (DATE '1997-03-01', DATE '1999-12-01')) AS has_break, string_agg(tag, ',' ORDER BY month) AS files
+        FROM ({source}) JOIN bridge USING (month) JOIN month_flags USING (month) GROUP BY ALL) r
+    JOIN (SELECT {", ".join(f"z.{c}" for c in k.split(", "))}, z.month AS last_month, count(*) AS tm, avg(y.stock) AS tmean, {", ".join(f"CAST(sum(y.{c}) AS BIGINT) AS t_{c}" for c in RATES.values())}
+        FROM ({source}) z JOIN ({source}) y ON {same} AND y.month BETWEEN z.month - INTERVAL 11 MONTH AND z.month GROUP BY ALL) t USING ({k}, last_month)"""
+
+
+def _breaks(f: Frames) -> DataFrame:
+    return f.spark.createDataFrame(BREAKS, "fiscal_year string, m string").select(F.to_date("m").alias("month"))
+
+
+@query(sql(_core_sql("SELECT base.* FROM base JOIN ends USING (entity) WHERE month <= end_month", "entity")))
 def cube_core(f: Frames) -> DataFrame:
-    return _core(f.base, [])
+    return X.core_cube(B.alive(f.base), f.month_flags, _breaks(f), FLOWS, RATES)
 
 
-_SUMS = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" for x in FLOWS)
-_GROUPED = f"SELECT entity, group_code, grain, period, max(month) AS last_month, arg_max(stock, month) AS stock, round(avg(stock), 4) AS mean_stock, {_SUMS}, count(*) AS months, max(expected) AS expected, count(*) < max(expected) AS partial FROM base_by_group JOIN bridge USING (month) GROUP BY ALL"
+_PRESENT = "SELECT entity, group_code FROM base_by_group GROUP BY ALL HAVING max(greatest(stock, inflow, outflow)) > 0"
+_GROUPED = f"SELECT base_by_group.* FROM base_by_group JOIN ({_PRESENT}) USING (entity, group_code) JOIN ends USING (entity) WHERE month <= end_month"
 
 
-@query(sql(f"SELECT r.*, stock - lag(stock) OVER (PARTITION BY entity, group_code, grain ORDER BY last_month) AS stock_change, inflow - outflow AS net_flow, {_RATES} FROM ({_GROUPED}) r"))
+@query(sql(_core_sql(_GROUPED, "entity, group_code")))
 def cube_core_by_group(f: Frames) -> DataFrame:
-    present = f.base_by_group.groupBy("entity", "group_code").agg(F.max(F.greatest("stock", "inflow", "outflow")).alias("n")).where("n > 0").drop("n")
-    return _core(f.base_by_group.join(F.broadcast(present), ["entity", "group_code"], "left_semi"), ["group_code"])
+    return X.core_cube(B.alive(f.base_all_groups).where("group_code <> 'all'"), f.month_flags, _breaks(f), FLOWS, RATES, ["group_code"])
+
+
+_ALL_GROUPS = f"SELECT * FROM ({_GROUPED}) UNION ALL BY NAME SELECT base.*, 'all' AS group_code FROM base JOIN ends USING (entity) WHERE month <= end_month"
+_ERA_FLOWS = ["inflow", "outflow", "out_a", "out_n", "out_r", "overlay"]
+_ERA_RATES = ", ".join(f"CASE WHEN mean > 0 THEN round(run_{c} * 12.0::DOUBLE / n, 4) END AS rate_{r}_era_num" for r, c in RATES.items())
 
 
-@query(sql("SELECT entity, era, n, open, stock, stock_0, stock - stock_0 AS change, run_inflow, run_outflow, round(run_outflow * 12.0::DOUBLE / n / nullif(run_mean, 0), 4) AS rate, round((stock - stock_0) / nullif(stock_0, 0), 4) AS percent FROM running"))
+@query(
+    sql(f"""SELECT entity, group_code, era, n, count(*) OVER (PARTITION BY entity, group_code, era) AS era_months, month_0, month_n, provisional, partial, reissued, stock_0, stock_n, stock_n - stock_0 AS change,
+        CASE WHEN stock_0 >= 30 THEN round((stock_n - stock_0) / stock_0, 4) END AS percent, stock_0 < 30 AS percent_small, {", ".join(f"run_{c}" for c in _ERA_FLOWS)}, {_ERA_RATES},
+        CASE WHEN mean > 0 THEN round(mean, 4) END AS rate_era_den, n AS rate_era_months, CASE WHEN mean > 0 THEN mean < 30 END AS rate_era_small
+    FROM (SELECT z.entity, z.group_code, e.era, p.month AS month_0, z.month AS month_n, count(*) AS n, bool_or(w.provisional) AS provisional, e.open AS partial, bool_or(w.reissued OR coalesce(q.reissued, false)) AS reissued,
+            p.stock AS stock_0, z.stock AS stock_n, avg(y.stock) AS mean, {", ".join(f"CAST(sum(y.{c}) AS BIGINT) AS run_{c}" for c in _ERA_FLOWS)}
+        FROM ({_ALL_GROUPS}) z JOIN eras e ON z.month BETWEEN e.first_month AND e.last_month JOIN ({_ALL_GROUPS}) y ON y.entity = z.entity AND y.group_code = z.group_code AND y.month BETWEEN e.first_month AND z.month
+        JOIN month_flags w ON w.month = y.month LEFT JOIN ({_ALL_GROUPS}) p ON p.entity = z.entity AND p.group_code = z.group_code AND p.month = e.first_month - INTERVAL 1 MONTH LEFT JOIN month_flags q ON q.month = p.month
+        GROUP BY ALL)""")
+)
 def cube_era(f: Frames) -> DataFrame:
-    r = R.running(f.base, f.eras, ["inflow", "outflow"])
-    return r.select("entity", "era", "n", "open", "stock", "stock_0", "change", "run_inflow", "run_outflow", R.rated(F.col("run_outflow") * 12.0 / F.col("n"), F.col("run_mean")).alias("rate"), R.rated(F.col("change"), F.col("stock_0")).alias("percent"))
+    """All and each group, by months in the era."""
+    return X.era_cube(B.alive(f.base_all_groups), f.eras, f.month_flags, _ERA_FLOWS, RATES, ["group_code"])
 
 
 _BY_YEARS = "CASE WHEN years IS NULL OR issue THEN 'Unknown' WHEN years < 10 THEN '0-9' WHEN years < 20 THEN '10-19' WHEN years < 30 THEN '20-29' ELSE '30+' END"
@@ -61,25 +94,95 @@ def _values(f: Frames, *values: str) -> DataFrame:
     return f.spark.createDataFrame([(v,) for v in values], "value string")
 
 
-def _years(f: Frames, by: list[str]) -> DataFrame:
-    flow = f.outflow.withColumn("value", assigned(YEARS, F.col("years"), issue=f.issue))
-    return P.breakdown(P.value_base(f.stock, flow, _values(f, "0-9", "10-19", "20-29", "30+", "Unknown"), by), by, B.months_of(f.stock))
+#: Ranges of the balance; a negative one is not known.
+BALANCE = [Rule("below 3000", "range", 0, 3000), Rule("3000-5999", "range", 3000, 6000), Rule("6000+", "range", 6000), Rule("Unknown", "unknown")]
+_BALANCE = "CASE WHEN balance IS NULL OR balance < 0 THEN 'Unknown' WHEN balance < 3000 THEN 'below 3000' WHEN balance < 6000 THEN '3000-5999' ELSE '6000+' END"
+_STATUS = "CASE WHEN status = 'P' THEN 'Unknown' WHEN status = 'F' THEN 'done' ELSE 'open' END"
+#: Dimensions of the breakdowns: how SQL gives their value, their values in order (None: names of nations), and their kind.
+_DIMENSIONS = {
+    "segment": ("segment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "R"),
+    "nation": ("nation", None, "R"),
+    "balance": (_BALANCE, ["below 3000", "3000-5999", "6000+", "Unknown"], "R"),
+    "years": (_BY_YEARS, ["0-9", "10-19", "20-29", "30+", "Unknown"], "N"),
+    "code": ("code", ["A", "N", "R"], "N"),
+    "priority": ("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'pressing' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Unknown' ELSE 'normal' END", ["pressing", "normal", "Unknown"], "S"),
+    "status": (_STATUS, ["done", "open", "Unknown"], "S"),
+}
+OUT_DIMENSIONS, IN_DIMENSIONS = ["segment", "nation", "balance", "years", "code"], ["segment", "nation", "balance", "priority", "status"]
+OUT_BY_GROUP, IN_BY_GROUP = ["balance", "years", "code"], ["balance", "priority", "status"]
+_OUT_MEASURES = {**{f"out_{c.lower()}": f"count(*) FILTER (code = '{c}')" for c in CODES}, "overlay": "count(*) FILTER (overlay = 'Y')"}
+
+
+def _breakdown_sql(flow: str, dimensions: list[str], measures: dict[str, str], group: str = "") -> str:
+    """A breakdown cube from windows crossed with values, each counted apart."""
+    g = "group_code, " if group else ""
+    counts = " UNION ALL ".join(f"SELECT entity, {g}effective_month AS month, '{d}' AS dimension, {_DIMENSIONS[d][0]} AS value, count(*) AS flow{''.join(f', {m} AS {c}' for c, m in measures.items())} FROM {flow} GROUP BY ALL" for d in dimensions)
+    stocks = " UNION ALL ".join(f"SELECT entity, {g}month, '{d}' AS dimension, {_DIMENSIONS[d][0]} AS value, count(*) AS stock FROM s2 GROUP BY ALL" for d in dimensions if _DIMENSIONS[d][2] == "R")
+    rows = ", ".join(f"('{d}', '{v}', {i}, '{'N' if v == 'Unknown' and _DIMENSIONS[d][2] == 'R' else _DIMENSIONS[d][2]}', {str(v == 'Unknown').lower()})" for d in dimensions for i, v in enumerate(_DIMENSIONS[d][1] or [], 1))
+    values = f"SELECT * FROM (VALUES {rows}) v(dimension, value, value_order, kind, is_unknown)"
+    if "nation" in dimensions:
+        values += " UNION ALL SELECT 'nation', n_name, CAST(row_number() OVER (ORDER BY n_name) AS INTEGER), 'R', false FROM nation"
+    in_era = "SELECT era, month, open, row_number() OVER (PARTITION BY era ORDER BY month) AS n FROM months JOIN eras ON month BETWEEN first_month AND last_month"
+    spans = f"""SELECT 'fy' AS grain, 'FY' || fy AS period, month, false AS open FROM fiscal UNION ALL SELECT 'era', era, month, open FROM ({in_era})
+        UNION ALL SELECT 'first_n', era, month, open FROM ({in_era}) WHERE n <= (SELECT max(n) FROM ({in_era}) WHERE open)"""
+    if not group:
+        spans += " UNION ALL SELECT 't12', strftime(e.month, '%Y-%m'), m.month, false FROM months e JOIN months m ON m.month BETWEEN e.month - INTERVAL 11 MONTH AND e.month"
+    spans = f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY grain, period) AS window_months, max(month) OVER (PARTITION BY grain, period) AS window_end FROM ({spans})) WHERE grain <> 't12' OR window_months = 12"
+    rated = {d for d in dimensions if _DIMENSIONS[d][2] == "R"}
+    has_stock = f"c.dimension IN ({', '.join(repr(d) for d in sorted(rated))})"
+    pairs = f"JOIN (SELECT entity, group_code FROM base_by_group GROUP BY ALL HAVING max(greatest(stock, {'outflow' if flow == 'o2' else 'inflow'})) > 0) g USING (entity)" if group else ""
+    on = " AND x.group_code = g.group_code" if group else ""
+    names = ["flow", *measures]
+    return f"""SELECT entity, {g}grain, period, first_month, last_month, CASE WHEN grain IN ('era', 'first_n') THEN window_months ELSE 12 END AS months_in_period, months, dimension, value, value_order, provisional,
+        CASE WHEN grain IN ('era', 'first_n') THEN open OR months < window_months ELSE grain = 'fy' AND months < 12 END AS partial, reissued, is_unknown, kind = 'S' AS is_share, {", ".join(names)},
+        CASE WHEN {has_stock} THEN stock END AS stock, CASE WHEN kind = 'R' AND mean > 0 THEN CASE WHEN grain IN ('era', 'first_n') THEN round(flow * 12.0::DOUBLE / months, 4) ELSE CAST(flow AS DOUBLE) END END AS rate_num,
+        CASE WHEN kind = 'R' AND mean > 0 THEN round(mean, 4) END AS rate_den, CASE WHEN kind = 'R' THEN months END AS rate_months, CASE WHEN kind = 'R' AND mean > 0 THEN mean < 30 END AS rate_small, CASE WHEN kind = 'R' THEN mean = 0 END AS not_applicable,
+        CASE WHEN kind = 'S' THEN nullif(CAST(coalesce(sum(flow) FILTER (NOT is_unknown) OVER w, 0) AS BIGINT), 0) END AS share_den, round(coalesce(sum(flow) FILTER (NOT is_unknown) OVER w, 0) / nullif(sum(flow) OVER w, 0), 4) AS coverage
+    FROM (SELECT e.entity, {'g.group_code, ' if group else ''}p.grain, p.period, v.dimension, v.value, v.value_order, v.kind, v.is_unknown, min(p.month) AS first_month, max(p.month) AS last_month, max(window_end) AS window_end, max(window_months) AS window_months,
+            count(*) AS months, bool_or(p.open) AS open, bool_or(k.provisional) AS provisional, bool_or(k.reissued) AS reissued, arg_max(coalesce(s.stock, 0), p.month) AS stock, avg(coalesce(s.stock, 0)) AS mean,
+            {", ".join(f"CAST(sum(coalesce(x.{c}, 0)) AS BIGINT) AS {c}" for c in names)}
+        FROM ends e {pairs} JOIN ({spans}) p ON p.month <= e.end_month JOIN month_flags k ON k.month = p.month CROSS JOIN ({values}) v
+        LEFT JOIN ({counts}) x ON x.entity = e.entity AND x.month = p.month AND x.dimension = v.dimension AND x.value = v.value{on}
+        LEFT JOIN ({stocks}) s ON s.entity = e.entity AND s.month = p.month AND s.dimension = v.dimension AND s.value = v.value{on.replace("x.", "s.")}
+        GROUP BY ALL) c WHERE grain <> 't12' OR last_month = window_end WINDOW w AS (PARTITION BY entity, {g}grain, period, dimension)"""
+
+
+def _value_of(f: Frames, dimension: str):
+    p = F.col("o_orderpriority")
+    return {
+        "segment": lambda: F.col("segment"),
+        "nation": lambda: F.col("nation"),
+        "balance": lambda: assigned(BALANCE, F.col("balance"), issue=F.col("balance") < 0),
+        "years": lambda: assigned(YEARS, F.col("years"), issue=f.issue),
+        "code": lambda: F.col("code"),
+        "priority": lambda: F.when(p.isin("1-URGENT", "2-HIGH"), "pressing").when(p == "4-NOT SPECIFIED", "Unknown").otherwise("normal"),
+        "status": lambda: F.when(F.col("status") == "P", "Unknown").when(F.col("status") == "F", "done").otherwise("open"),
+    }[dimension]()
 
 
-_OUT = f"SELECT entity, effective_month AS month, {_BY_YEARS} AS value, count(*) AS n FROM o2 GROUP BY ALL"
+def _breakdown(f: Frames, flow: DataFrame, dimensions: list[str], measures: dict, by: list[str] | None = None) -> DataFrame:
+    listed = [(d, v, i, "N" if v == "Unknown" and _DIMENSIONS[d][2] == "R" else _DIMENSIONS[d][2], v == "Unknown", _DIMENSIONS[d][2] == "R") for d in dimensions for i, v in enumerate(_DIMENSIONS[d][1] or [], 1)]
+    values = f.spark.createDataFrame(listed, "dimension string, value string, value_order int, kind string, is_unknown boolean, has_stock boolean")
+    if "nation" in dimensions:  # a table of 25 rows by design
+        order = F.row_number().over(Window.orderBy("n_name"))
+        values = values.unionByName(f.table("nation").select(F.lit("nation").alias("dimension"), F.col("n_name").alias("value"), order.alias("value_order"), F.lit("R").alias("kind"), F.lit(False).alias("is_unknown"), F.lit(True).alias("has_stock")))
+    rated = {d: _value_of(f, d) for d in dimensions if _DIMENSIONS[d][2] == "R"}
+    return X.breakdown_cube(X.valued(f.stock, rated), X.valued(flow, {d: _value_of(f, d) for d in dimensions}), values, f.month_flags, X.windows(f.month_flags, f.eras, trailing=not by), measures, by)
 
 
-@query(sql(f"SELECT entity, period, value, flow, partial, share_den, share, coverage FROM ({_share_sql(_OUT, _YEAR_VALUES)})"))
-def cube_outflow_breakdown(f: Frames) -> DataFrame:
-    return _years(f, [])
+def _out_measures() -> dict:
+    return {**{f"out_{c.lower()}": F.count_if(F.col("code") == c) for c in CODES}, "overlay": F.count_if(F.col("overlay") == "Y")}
 
 
-_OUT_G = f"SELECT entity, group_code, effective_month AS month, {_BY_YEARS} AS value, count(*) AS n FROM o2 GROUP BY ALL"
+@query(sql(_breakdown_sql("o2", OUT_DIMENSIONS, _OUT_MEASURES)))
+def cube_outflow_breakdown(f: Frames) -> DataFrame:
+    """Five dimensions by fiscal years, trailing twelve months, eras and their first months."""
+    return _breakdown(f, f.outflow, OUT_DIMENSIONS, _out_measures())
 
 
-@query(sql(f"SELECT entity, group_code, period, value, flow, partial, share_den, share, coverage FROM ({_share_sql(_OUT_G, _YEAR_VALUES, 'g.group_code,', 'CROSS JOIN groups g')})"))
+@query(sql(_breakdown_sql("o2", OUT_BY_GROUP, _OUT_MEASURES, "group_code")))
 def cube_outflow_breakdown_by_group(f: Frames) -> DataFrame:
-    return _years(f, ["group_code"])
+    return _breakdown(f, f.outflow, OUT_BY_GROUP, _out_measures(), ["group_code"])
 
 
 _PRIORITY = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'pressing' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Unknown' ELSE 'normal' END"
@@ -92,14 +195,15 @@ def _priority(f: Frames, by: list[str]) -> DataFrame:
     return P.breakdown(P.value_base(f.stock, flow, _values(f, "pressing", "normal", "Unknown"), by), by, B.months_of(f.stock))
 
 
-@query(sql(f"SELECT entity, period, value, flow, partial, share_den, share, coverage FROM ({_share_sql(f'SELECT entity, effective_month AS month, {_PRIORITY} AS value, count(*) AS n FROM i2 GROUP BY ALL', _IN_VALUES)})"))
+@query(sql(_breakdown_sql("i2", IN_DIMENSIONS, {})))
 def cube_inflow_breakdown(f: Frames) -> DataFrame:
-    return _priority(f, [])
+    """Three rated dimensions and two of shares of the known, which have no stock and no rate."""
+    return _breakdown(f, f.inflow, IN_DIMENSIONS, {})
 
 
-@query(sql(f"SELECT entity, group_code, period, value, flow, partial, share_den, share, coverage FROM ({_share_sql(f'SELECT entity, group_code, effective_month AS month, {_PRIORITY} AS value, count(*) AS n FROM i2 GROUP BY ALL', _IN_VALUES, 'g.group_code,', 'CROSS JOIN groups g')})"))
+@query(sql(_breakdown_sql("i2", IN_BY_GROUP, {}, "group_code")))
 def cube_inflow_breakdown_by_group(f: Frames) -> DataFrame:
-    return _priority(f, ["group_code"])
+    return _breakdown(f, f.inflow, IN_BY_GROUP, {}, ["group_code"])
 
 
 @query(sql(f"SELECT entity, period, value, flow AS n, share_den, share FROM ({_share_sql(f'SELECT entity, effective_month AS month, {_PRIORITY} AS value, count(*) AS n FROM i2 GROUP BY ALL', _IN_VALUES)})"))
@@ -197,9 +301,41 @@ def _cube_overlap(f: Frames) -> DataFrame:
     return _overlap(f).join(F.broadcast(bridge(B.months_of(f.stock))), "month").groupBy("entity", "grain", "period", "node").agg(F.sum("n").alias("n"))
 
 
-@query(sql(f"SELECT *, round(n / nullif(max(CASE WHEN node = 'all' THEN n END) OVER (PARTITION BY entity, grain, period), 0), 4) AS share FROM ({_CUBE_O})"))
+#: Segments by node and level; a segment counts in each of its nodes, one that is not listed in all and unknown.
+SEGMENT_NODES = [(c, n, level) for c, nodes in {"AUTOMOBILE": ("all", "goods", "goods-vehicles"), "MACHINERY": ("all", "goods", "goods-machines"), "FURNITURE": ("all", "goods", "homes"), "BUILDING": ("all", "homes", "homes-buildings")}.items() for level, n in enumerate(nodes)]
+_NODE_VALUES = "(VALUES " + ", ".join(f"('{c}', '{n}')" for c, n, _ in SEGMENT_NODES) + ", ('HOUSEHOLD', 'all'), ('HOUSEHOLD', 'unknown')) h(segment, node)"
+_NODE_BASE = f"""SELECT e.entity, m.month, d.node, coalesce(s.n, 0) AS stock, coalesce(i.n, 0) AS inflow, coalesce(o.n, 0) AS outflow FROM ends e JOIN months m ON m.month <= e.end_month CROSS JOIN (SELECT DISTINCT node FROM {_NODE_VALUES}) d
+    LEFT JOIN (SELECT entity, month, node, count(*) AS n FROM s2 JOIN {_NODE_VALUES} USING (segment) GROUP BY ALL) s ON s.entity = e.entity AND s.month = m.month AND s.node = d.node
+    LEFT JOIN (SELECT entity, effective_month AS month, node, count(*) AS n FROM i2 JOIN {_NODE_VALUES} USING (segment) GROUP BY ALL) i ON i.entity = e.entity AND i.month = m.month AND i.node = d.node
+    LEFT JOIN (SELECT entity, effective_month AS month, node, count(*) AS n FROM o2 JOIN {_NODE_VALUES} USING (segment) GROUP BY ALL) o ON o.entity = e.entity AND o.month = m.month AND o.node = d.node"""
+_NODE_CUBE = f"""SELECT entity, node, grain, period, n, last_month, months, months_in_period, provisional, partial, reissued, stock, whole AS stock_all, round(stock / nullif(whole, 0), 4) AS share, inflow, outflow, stock_0, stock - stock_0 AS change,
+    CASE WHEN stock_0 >= 30 THEN round((stock - stock_0) / stock_0, 4) END AS percent, stock_0 < 30 AS percent_small FROM (
+    SELECT b.entity, b.node, p.grain, p.period, CAST(NULL AS BIGINT) AS n, max(b.month) AS last_month, count(*) AS months, max(expected) AS months_in_period, bool_or(provisional) AS provisional, count(*) < max(expected) AS partial, bool_or(reissued) AS reissued,
+        arg_max(b.stock, b.month) AS stock, arg_max(a.stock, b.month) AS whole, CAST(sum(b.inflow) AS BIGINT) AS inflow, CAST(sum(b.outflow) AS BIGINT) AS outflow, CAST(NULL AS BIGINT) AS stock_0
+    FROM ({_NODE_BASE}) b JOIN ({_NODE_BASE}) a ON a.entity = b.entity AND a.month = b.month AND a.node = 'all' JOIN bridge p ON p.month = b.month JOIN month_flags f ON f.month = b.month GROUP BY ALL
+    UNION ALL
+    SELECT z.entity, z.node, 'era', e.era, count(*), z.month, count(*), count(*), bool_or(f.provisional), e.open, bool_or(f.reissued OR coalesce(q.reissued, false)), z.stock, a.stock, CAST(sum(y.inflow) AS BIGINT), CAST(sum(y.outflow) AS BIGINT), p.stock
+    FROM ({_NODE_BASE}) z JOIN eras e ON z.month BETWEEN e.first_month AND e.last_month JOIN ({_NODE_BASE}) y ON y.entity = z.entity AND y.node = z.node AND y.month BETWEEN e.first_month AND z.month JOIN month_flags f ON f.month = y.month
+    JOIN ({_NODE_BASE}) a ON a.entity = z.entity AND a.month = z.month AND a.node = 'all' LEFT JOIN ({_NODE_BASE}) p ON p.entity = z.entity AND p.node = z.node AND p.month = e.first_month - INTERVAL 1 MONTH LEFT JOIN month_flags q ON q.month = p.month
+    GROUP BY ALL)"""
+
+
+def _node_cube(f: Frames) -> DataFrame:
+    nodes = f.spark.createDataFrame(SEGMENT_NODES, "code string, node string, level int")
+    coded = lambda rows: rows.withColumn("code", F.col("segment"))
+    return X.overlap_cube(coded(f.stock), coded(f.inflow), coded(f.outflow), nodes, f.month_flags, f.eras)
+
+
+@query(sql(_NODE_CUBE))
 def cube_overlapping_groups(f: Frames) -> DataFrame:
-    return P.with_share(_cube_overlap(f), ["entity", "grain", "period"], "n")
+    """Stock, shares and flows of overlapping groups by month, quarter, fiscal year, and era by months in it."""
+    return _node_cube(f)
+
+
+@query(sql(f"SELECT entity, grain, period, stock AS n, share FROM ({_NODE_CUBE}) WHERE node = 'unknown' AND grain <> 'era' AND stock > 0"))
+def unknown_group_count(f: Frames) -> DataFrame:
+    """Where codes of no group have a stock: its size and share at each period."""
+    return _node_cube(f).where("node = 'unknown' AND grain <> 'era' AND stock > 0").select("entity", "grain", "period", F.col("stock").alias("n"), "share")
 
 
 @query(sql(f"SELECT *, round(n / nullif(max(CASE WHEN node = 'all' THEN n END) OVER (PARTITION BY grain, period), 0), 4) AS share FROM (SELECT grain, period, node, CAST(sum(n) AS BIGINT) AS n FROM ({_CUBE_O}) WHERE entity IN ('ASIA', 'AFRICA') GROUP BY ALL)"))
