@@ -67,14 +67,8 @@ def supersede_semi_join(f: Frames) -> DataFrame:
     return S.superseded(rows, m.where("version <> 2")).groupBy("month").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS k, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS flag FROM orders UNION ALL SELECT l_orderkey, NULL, l_returnflag FROM lineitem WHERE l_linenumber = 1")
-def union_by_name(f: Frames) -> DataFrame:
-    a = f.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
-    return a.unionByName(f.table("lineitem").where("l_linenumber = 1").select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("k")), allowMissingColumns=True)
-
-
 @query("SELECT o_orderkey AS k, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS flag FROM orders UNION ALL SELECT l_orderkey, NULL, l_returnflag FROM lineitem")
-def union_by_name_all(f: Frames) -> DataFrame:
+def union_by_name(f: Frames) -> DataFrame:
     """Both tables whole."""
     a = f.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
     return a.unionByName(f.table("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("k")), allowMissingColumns=True)
@@ -90,16 +84,8 @@ def overwrite_idempotent(f: Frames) -> DataFrame:
     return f.spark.read.parquet(out)
 
 
-@query(sql("SELECT grain, period, stock, entity FROM rolled WHERE entity = 'ASIA'"))
-def partitioned_sink(f: Frames) -> DataFrame:
-    """The cube partitioned by entity; reading one entity prunes the others."""
-    out = S.work_dir(f.spark, "cube")
-    R.roll_up(f.base, []).select("grain", "period", "stock", "entity").repartition("entity").write.partitionBy("entity").parquet(out)
-    return f.spark.read.parquet(out).where("entity = 'ASIA'")
-
-
 @query(sql("SELECT grain, period, stock, entity FROM rolled"))
-def partitioned_sink_all(f: Frames) -> DataFrame:
+def partitioned_sink(f: Frames) -> DataFrame:
     """The cube partitioned by entity, and every partition read back."""
     out = S.work_dir(f.spark, "cube")
     R.roll_up(f.base, []).select("grain", "period", "stock", "entity").repartition("entity").write.partitionBy("entity").parquet(out)
@@ -130,10 +116,22 @@ def dataset_fingerprint(f: Frames) -> DataFrame:
 
 @query(sql("SELECT entity, month, stock FROM base"))
 def gated_publish(f: Frames) -> DataFrame:
-    """Published only as the check of negative stocks finds nothing."""
-    rows, target = f.base.select("entity", "month", "stock"), S.work_dir(f.spark, "published")
-    S.publish(rows, [rows.where("stock < 0")], S.work_dir(f.spark, "staged"), target)
-    return f.spark.read.parquet(target)
+    """Published as the checks of the stage find nothing; the second time nothing changes, and a stage with a negative stock is refused."""
+    rows, store = f.base.select("entity", "month", "stock"), S.work_dir(f.spark, "store")
+    checks = lambda staged: [staged.where("stock < 0")]
+    said = [S.publish(x, checks, store, "base", source="2001-08") for x in (rows, rows, rows.withColumn("stock", F.col("stock") - 10**9))]
+    assert said == ["published", "unchanged", "refused: a check finds something"], said
+    return S.published(f.spark, store, "base")
+
+
+@query(sql("SELECT 'base' AS name, '2001-08' AS source, count(*) AS rows FROM base UNION ALL SELECT 'base', '2001-09', count(*) FROM base WHERE entity <> 'ALL'"))
+def publish_history(f: Frames) -> DataFrame:
+    """Every promotion, in an append-only table: a later source is published over an earlier one, and not the other way round."""
+    rows, store = f.base.select("entity", "month", "stock"), S.work_dir(f.spark, "store")
+    some = rows.where("entity <> 'ALL'")
+    said = [S.publish(rows, lambda x: [], store, "base", "2001-08"), S.publish(some, lambda x: [], store, "base", "2001-09"), S.publish(rows, lambda x: [], store, "base", "2001-08"), S.publish(rows, lambda x: [], store, "base", "2001-10", complete=False)]
+    assert said == ["published", "published", "refused: its source is older", "refused: it is incomplete"], said
+    return S.history(f.spark, store).select("name", "source", "rows")
 
 
 @query("SELECT p_partkey, p_name, nullif(p_type, 'PROMO') AS p_type FROM part")
@@ -153,28 +151,66 @@ def columnar_to_rows(f: Frames) -> DataFrame:
     return row.select(F.col("m")["code"].alias("code"), F.col("m")["name"].alias("name"))
 
 
-@query(sql("SELECT grain, count(*) AS rows, min(period) AS first_period, max(period) AS last_period, count(DISTINCT entity) AS entities FROM rolled GROUP BY grain"))
+@query(sql("""SELECT 'grain' AS kind, grain AS name, CAST(count(*) AS VARCHAR) AS value FROM rolled GROUP BY grain UNION ALL SELECT 'first', grain, strftime(min(last_month), '%Y-%m') FROM rolled GROUP BY grain
+    UNION ALL SELECT 'last', grain, strftime(max(last_month), '%Y-%m') FROM rolled GROUP BY grain UNION ALL SELECT 'entity end', entity, strftime(end_month, '%Y-%m') FROM ends
+    UNION ALL SELECT 'provisional', tag, 'true' FROM month_flags WHERE provisional UNION ALL SELECT 'reissued', tag, 'true' FROM month_flags WHERE reissued
+    UNION ALL SELECT 'groups', entity, string_agg(group_code, ',' ORDER BY group_code) FROM (SELECT entity, group_code FROM base_by_group GROUP BY ALL HAVING max(greatest(stock, inflow, outflow)) > 0) GROUP BY entity
+    UNION ALL SELECT 'issue rows', 'years', CAST(sum(years_issue) AS VARCHAR) FROM base WHERE entity = 'ALL'"""))
 def cube_summary(f: Frames) -> DataFrame:
-    r = R.roll_up(f.base, [])
-    return r.groupBy("grain").agg(F.count("*").alias("rows"), F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.countDistinct("entity").alias("entities"))
+    """What stands beside a cube: rows and range by grain, entity ends, provisional and reissued months, present groups, applied issues."""
+    from stockflow.functions.calendar import month_key
+    from stockflow.operators import base as B
+
+    row = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("string").alias("value"))
+    r = R.roll_up(f.base, []).groupBy("grain").agg(F.count("*").alias("n"), F.min("last_month").alias("a"), F.max("last_month").alias("b"))
+    grain = F.col("grain")
+    grains = r.select(F.inline(F.array(row("grain", grain, F.col("n")), row("first", grain, month_key(F.col("a"))), row("last", grain, month_key(F.col("b"))))))
+    one = lambda df, *cells: df.select(F.inline(F.array(row(*cells))))
+    ends = one(B.entity_ends(f.base), "entity end", F.col("entity"), month_key(F.col("last_month")))
+    flags = one(f.month_flags.where("provisional"), "provisional", F.col("tag"), F.lit("true")).unionByName(one(f.month_flags.where("reissued"), "reissued", F.col("tag"), F.lit("true")))
+    pairs = f.base_all_groups.where("group_code <> 'all'").groupBy("entity").agg(F.array_join(F.sort_array(F.collect_set("group_code")), ",").alias("g"))
+    issue = f.base.where("entity = 'ALL'").agg(F.sum("years_issue").alias("n"))
+    return grains.unionByName(ends).unionByName(flags).unionByName(one(pairs, "groups", F.col("entity"), F.col("g"))).unionByName(one(issue, "issue rows", F.lit("years"), F.col("n")))
+
+
+_ERA_TAGS = "SELECT 'era' AS grain, era AS period, tag FROM month_flags JOIN eras ON month BETWEEN first_month - INTERVAL 1 MONTH AND last_month"
 
 
-@query(sql(f"SELECT b.grain, b.period, string_agg(strftime(b.month, '%Y-%m') || ':' || m.version, ',' ORDER BY b.month) AS versions FROM bridge b JOIN ({_FILES}) m ON m.month = b.month GROUP BY ALL"))
+@query(sql(f"""SELECT grain, period, string_agg(tag, ',' ORDER BY tag) AS versions FROM (SELECT grain, period, tag FROM bridge JOIN month_flags USING (month) UNION ALL {_ERA_TAGS}
+    UNION ALL SELECT 't12', strftime(e.month, '%Y-%m'), m.tag FROM months e JOIN month_flags m ON m.month BETWEEN e.month - INTERVAL 11 MONTH AND e.month WHERE e.month >= (SELECT first_month + INTERVAL 11 MONTH FROM bounds)) GROUP BY ALL"""))
 def version_tags(f: Frames) -> DataFrame:
-    from stockflow.functions.calendar import bridge, month_key
+    """The file tags of every window in month order: periods, trailing twelve months, and eras with the month before them first."""
+    from stockflow.functions.calendar import bridge
+    from stockflow.plans.full import windows
 
-    m = _manifest(f)
-    tag = F.struct("month", F.concat(month_key(F.col("month")), F.lit(":"), "version").alias("tag"))
-    tags = bridge(m.select("month")).join(m.select("month", "version"), "month").groupBy("grain", "period").agg(F.sort_array(F.collect_list(tag)).alias("t"))
-    return tags.select("grain", "period", F.array_join(F.transform("t", lambda x: x["tag"]), ",").alias("versions"))
+    tags = f.month_flags.select("month", "tag")
+    spans = bridge(tags.select("month")).select("grain", "period", "month").unionByName(windows(f.month_flags, f.eras).where("grain = 't12'").select("grain", "period", "month"))
+    era = tags.join(F.broadcast(f.eras), F.col("month").between(F.add_months("first_month", -1), F.col("last_month"))).select(F.lit("era").alias("grain"), F.col("era").alias("period"), "tag")
+    rows = F.broadcast(spans).join(tags, "month").select("grain", "period", "tag").unionByName(era)
+    return rows.groupBy("grain", "period").agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("versions"))
 
 
-@query(sql(f"SELECT month, version, version <> 1 + (month(month) + 1) % 3 AS reissued FROM ({_FILES})"))
+@query(sql("SELECT order_month AS month, count(*) AS size, count(*) FILTER (o_orderkey % 997 <> 0) AS size_before, count(*) FILTER (o_orderkey % 997 = 0) > 0 AS reissued FROM ordered GROUP BY 1"))
 def reissued_months(f: Frames) -> DataFrame:
-    """Months whose version differs from the previous manifest's."""
-    now = _manifest(f).select("month", "version")
-    before = now.select("month", (F.lit(1) + (F.month("month") + 1) % 3).cast("long").alias("prior"))
-    return now.join(before, "month", "left").select("month", "version", (~F.col("version").eqNullSafe(F.col("prior"))).alias("reissued"))
+    """Two manifests written as JSON, the one before without what came late: months that the later one lists with another size."""
+    from stockflow.demo import LATE
+
+    def manifest(name: str, rows: DataFrame) -> DataFrame:
+        out = S.work_dir(f.spark, name)
+        rows.groupBy(F.col("order_month").alias("month")).agg(F.count("*").alias("size")).write.json(out)
+        return f.spark.read.schema("month date, size long").json(out)
+
+    now, before = manifest("manifest", f.orders), manifest("manifest-before", f.orders.where(F.col("o_orderkey") % LATE != 0))
+    both = now.join(before.withColumnRenamed("size", "size_before"), "month", "left")
+    return both.select("month", "size", F.coalesce("size_before", F.lit(0)).alias("size_before"), (~F.col("size").eqNullSafe(F.col("size_before"))).alias("reissued"))
+
+
+@query(sql(f"SELECT filename, 'not loaded' AS problem FROM ({_FILES}) WHERE month >= DATE '2000-01-01' UNION ALL SELECT 'orders_190001_1.parquet', 'not listed'"))
+def ledger_difference(f: Frames) -> DataFrame:
+    """The ledger against the manifest, both ways."""
+    m = _manifest(f).select("dataset", "filename", "month")
+    stray = f.spark.createDataFrame([("orders", "orders_190001_1.parquet")], "dataset string, filename string")
+    return S.ledger_difference(m, m.where("month < DATE '2000-01-01'").select("dataset", "filename").unionByName(stray))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -24,19 +24,12 @@ def published_records(f: Frames) -> DataFrame:
     return r.orderBy("file_month", "agency", *[c for c in r.columns if c not in ("file_month", "agency")])
 
 
-@query("SELECT p_type, p_brand, p_size, p_partkey, row_number() OVER (ORDER BY p_type, p_brand, p_size, p_partkey) AS place FROM part QUALIFY place <= 200")
-def total_order(f: Frames) -> DataFrame:
-    """The first rows of a deterministic order, with their places."""
-    top = f.table("part").select("p_type", "p_brand", "p_size", "p_partkey").orderBy("p_type", "p_brand", "p_size", "p_partkey").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("p_type", "p_brand", "p_size", "p_partkey")).cast("long"))
-
-
 _PLACED = ["p_type", "p_brand", "p_size", "p_partkey"]
 
 
 @query("SELECT p_type, p_brand, p_size, p_partkey, row_number() OVER (ORDER BY p_type, p_brand, p_size, p_partkey) AS place FROM part")
-def total_order_all(f: Frames) -> DataFrame:
-    """All rows of the order with their places."""
+def total_order(f: Frames) -> DataFrame:
+    """All rows of a deterministic order, with their places."""
     return placed(f.table("part").select(*_PLACED), _PLACED)
 
 
@@ -88,10 +81,17 @@ def record_search(f: Frames) -> DataFrame:
     return _records(f).where(shown.contains("mach")).groupBy("agency", "category", "segment").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"SELECT 'agency' AS field, agency AS option FROM ({_REC}) GROUP BY 2 UNION ALL SELECT 'category', category FROM ({_REC}) GROUP BY 2"))
+_OPTIONS = f"SELECT 'agency' AS field, agency AS option, count(*) AS n FROM ({_REC}) GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM ({_REC}) GROUP BY 2 UNION ALL SELECT 'length_of_service', length_of_service, count(*) FROM ({_REC}) GROUP BY 2"
+
+
+@query(sql(f"SELECT *, row_number() OVER (PARTITION BY field ORDER BY option IS NULL, option = 'REDACTED', TRY_CAST(option AS DOUBLE) IS NULL, TRY_CAST(option AS DOUBLE), option) AS place FROM ({_OPTIONS})"))
 def filter_options(f: Frames) -> DataFrame:
-    r = _records(f)
-    return r.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("option")) for c in ("agency", "category"))))).distinct()
+    """Each field's values with their counts, in display order: numbers by size, then text, then redacted, none last."""
+    fields = ("agency", "category", "length_of_service")
+    n = _records(f).select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("option")) for c in fields)))).groupBy("field", "option").agg(F.count("*").alias("n"))
+    number = F.col("option").try_cast("double")
+    order = Window.partitionBy("field").orderBy(F.col("option").isNull(), F.col("option").eqNullSafe("REDACTED"), number.isNull(), number, "option")
+    return n.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 @query(sql("SELECT strftime(month, '%Y-%m') AS month, count(*) AS n FROM stock WHERE month(month) = 9 OR month = (SELECT last_month FROM bounds) GROUP BY 1"))

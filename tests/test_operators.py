@@ -76,7 +76,27 @@ def test_period_bounds(spark):
     assert got == {"2000-02": (dt.date(2000, 2, 1),) * 2, "FY2000Q1": (dt.date(1999, 10, 1), dt.date(1999, 12, 1)), "FY2000": (dt.date(1999, 10, 1), dt.date(2000, 9, 1))}
 
 
-def test_publish_refuses_when_a_check_finds_something(spark, tmp_path):
-    df = spark.createDataFrame([(1,), (-1,)], "n long")
-    assert not S.publish(df, [df.where("n < 0")], f"{tmp_path}/s", f"{tmp_path}/t")
-    assert S.publish(df, [df.where("n > 5")], f"{tmp_path}/s", f"{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 2
+def test_publication(spark, tmp_path):
+    df, store = spark.createDataFrame([(1,), (-1,)], "n long"), f"{tmp_path}/store"
+    negative = lambda staged: [staged.where("n < 0")]
+    assert S.publish(df, negative, store, "t", "1") == "refused: a check finds something" and S.history(spark, store).count() == 0
+    assert S.publish(df, lambda x: [x.where("n > 5")], store, "t", "1") == "published" and S.published(spark, store, "t").count() == 2
+    assert S.publish(df.repartition(3), lambda x: [], store, "t", "1") == "unchanged" and S.history(spark, store).count() == 1
+    assert S.publish(df.where("n > 0"), negative, store, "t", "2", complete=False) == "refused: it is incomplete"
+    assert S.publish(df.where("n > 0"), negative, store, "t", "2") == "published" and S.published(spark, store, "t").count() == 1
+    assert S.publish(df, lambda x: [], store, "t", "1") == "refused: its source is older" and S.published(spark, store, "t").count() == 1
+    assert [(r.source, r.rows) for r in S.history(spark, store).collect()] == [("1", 2), ("2", 1)]
+    assert S.publish(df.where("n > 0"), negative, store, "other", "1") == "published"
+
+
+def test_repeated_months_are_no_consecutive_ones(spark):
+    df = spark.createDataFrame([("A", month(1), 1), ("A", month(1), 1), ("A", month(3), 2)], "entity string, last_month date, n long")
+    assert A.sum_periods(A.kinds(df, n="flow"), "n", ["entity"]).first().value is None
+
+
+def test_ends_are_refused(spark):
+    rows = [("A", month(1), 5, 0, 0), ("A", month(2), 0, 1, 0), ("B", month(1), 5, 0, 0), ("B", month(2), 0, 0, 0), ("C", month(1), 0, 0, 0), ("D", month(1), 5, 0, 0), ("D", month(2), 0, 1, 0)]
+    base = spark.createDataFrame(rows, "entity string, month date, stock long, inflow long, outflow long")
+    assert {(r.entity, r.why) for r in B.refused_ends(base, {"D": "2000-01-01"}).collect()} == {("A", "flows after its end"), ("C", "never in stock")}
+    assert {(r.entity, r.why) for r in B.refused_ends(base, {"D": "2000-02-01", "A": "2000-01-01"}).collect()} == {("C", "never in stock"), ("D", "goes on after another month")}
+    assert {(r.entity, r.month) for r in B.alive(base, ["D"]).collect()} == {("A", month(1)), ("B", month(1)), ("D", month(1)), ("D", month(2))}

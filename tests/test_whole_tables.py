@@ -12,9 +12,9 @@ SF = "/root/testdata/sf0.001"
 def test_whole_tables(spark):
     n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("part", "orders", "lineitem")}
     q = lambda name: QUERIES[name](spark, SF)
-    assert sorted(r.place for r in q("total_order_all").select("place").collect()) == list(range(1, n["part"] + 1))
-    assert q("union_by_name_all").count() == n["orders"] + n["lineitem"]
-    assert q("partitioned_sink_all").select("entity").distinct().count() == q("monthly_base").select("entity").distinct().count() > 1
+    assert sorted(r.place for r in q("total_order").select("place").collect()) == list(range(1, n["part"] + 1))
+    assert q("union_by_name").count() == n["orders"] + n["lineitem"]
+    assert q("partitioned_sink").select("entity").distinct().count() == q("monthly_base").select("entity").distinct().count() > 1
 
 
 def test_places_over_several_ranges(spark):
