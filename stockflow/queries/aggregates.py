@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.demo import CODES, FLOWS, Frames, sql
+from stockflow.demo import BREAKS, CODES, FLOWS, Frames, sql
 from stockflow.functions import calendar as C
 from stockflow.operators import base as B
 from stockflow.operators import rollup as R
@@ -51,15 +51,19 @@ def coverage_sum(f: Frames) -> DataFrame:
     return f.base.select("entity", "month", "years_sum", "years_known", "years_issue", R.rated(F.col("years_known"), F.col("outflow")).alias("coverage"))
 
 
-@query(sql("SELECT m.month, s.n AS stock, coalesce(i.n, 0) AS inflow, coalesce(o.n, 0) AS outflow, coalesce(i.n, 0) - coalesce(o.n, 0) AS net_flow, row_number() OVER (ORDER BY m.month DESC) <= 3 AS provisional FROM months m JOIN (SELECT month, count(*) AS n FROM stock GROUP BY 1) s USING (month) LEFT JOIN (SELECT effective_month AS month, count(*) AS n FROM inflow GROUP BY 1) i USING (month) LEFT JOIN (SELECT effective_month AS month, count(*) AS n FROM outflow GROUP BY 1) o USING (month)"))
+@query(sql("""SELECT m.month, s.n AS stock, coalesce(i.n, 0) AS inflow, coalesce(o.outflow, 0) AS outflow, coalesce(i.n, 0) - coalesce(o.outflow, 0) AS net_flow, coalesce(o.overlay, 0) AS overlay, coalesce(o.a, 0) AS out_a, coalesce(o.n, 0) AS out_n, coalesce(o.r, 0) AS out_r,
+        coalesce(o.pa, 0) AS plain_a, coalesce(o.pn, 0) AS plain_n, coalesce(o.pr, 0) AS plain_r, row_number() OVER (ORDER BY m.month DESC) <= 3 AS provisional
+    FROM months m JOIN (SELECT month, count(*) AS n FROM stock GROUP BY 1) s USING (month) LEFT JOIN (SELECT effective_month AS month, count(*) AS n FROM inflow GROUP BY 1) i USING (month)
+    LEFT JOIN (SELECT effective_month AS month, count(*) AS outflow, count(*) FILTER (overlay = 'Y') AS overlay, count(*) FILTER (code = 'A') AS a, count(*) FILTER (code = 'N') AS n, count(*) FILTER (code = 'R') AS r,
+        count(*) FILTER (code = 'A' AND overlay IS NULL) AS pa, count(*) FILTER (code = 'N' AND overlay IS NULL) AS pn, count(*) FILTER (code = 'R' AND overlay IS NULL) AS pr FROM outflow GROUP BY 1) o USING (month)"""))
 def monthly_panel(f: Frames) -> DataFrame:
-    """One row for each snapshot month: stock, flows, net flow and whether it is provisional."""
+    """One row for each snapshot month: stock, flows, net flow, the outflow's partitions and overlay, and whether it is provisional."""
     month = F.col("effective_month").alias("month")
     s = f.stock.groupBy("month").agg(F.count("*").alias("stock"))
     i = f.inflow.groupBy(month).agg(F.count("*").alias("inflow"))
-    o = f.outflow.groupBy(month).agg(F.count("*").alias("outflow"))
+    o = f.outflow.groupBy(month).agg(*B.flow_counts(CODES))
     panel = B.filled(s.join(i, "month", "left").join(o, "month", "left"), ["month"])
-    return panel.withColumn("net_flow", F.col("inflow") - F.col("outflow")).join(F.broadcast(B.provisional(panel)), "month")
+    return panel.withColumn("net_flow", F.col("inflow") - F.col("outflow")).join(F.broadcast(B.provisional(B.months_of(f.stock))), "month")
 
 
 @query(sql("SELECT entity, month, stock, inflow, outflow FROM base"))
@@ -127,11 +131,12 @@ def stock_change(f: Frames) -> DataFrame:
     return R.stock_change(R.roll_up(f.base, [])).select("entity", "grain", "period", "stock", "stock_change")
 
 
-@query(sql("SELECT entity, grain, period, months < rolled.expected AS partial, bool_or(p.provisional) AS provisional FROM rolled JOIN bridge b USING (grain, period) JOIN (SELECT month, row_number() OVER (ORDER BY month DESC) <= 3 AS provisional FROM months) p ON p.month = b.month GROUP BY ALL"))
+@query(sql("SELECT entity, grain, period, months < rolled.expected AS partial, bool_or(p.provisional) AS provisional, bool_or(p.reissued) AS reissued FROM rolled JOIN bridge b USING (grain, period) JOIN month_flags p ON p.month = b.month GROUP BY ALL"))
 def period_flags(f: Frames) -> DataFrame:
-    new = F.broadcast(B.provisional(B.months_of(f.stock)))
-    p = F.broadcast(C.bridge(f.base.select("month").distinct()))
-    return f.base.join(p, "month").join(new, "month").groupBy("entity", "grain", "period").agg((F.count("*") < F.max("expected")).alias("partial"), F.bool_or("provisional").alias("provisional"))
+    """Flags of periods: an OR over their months."""
+    p = F.broadcast(C.bridge(f.month_flags.select("month")).join(f.month_flags, "month"))
+    flags = [F.bool_or(c).alias(c) for c in ("provisional", "reissued")]
+    return f.base.join(p, "month").groupBy("entity", "grain", "period").agg((F.count("*") < F.max("expected")).alias("partial"), *flags)
 
 
 _T = "SELECT entity, month, outflow, CASE WHEN count(*) OVER w = 12 THEN CAST(sum(outflow) OVER w AS BIGINT) END AS t_flow, CASE WHEN count(*) OVER w = 12 THEN round(avg(stock) OVER w, 4) END AS t_mean FROM base WINDOW w AS (PARTITION BY entity ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
@@ -144,8 +149,11 @@ def trailing_12(f: Frames) -> DataFrame:
 
 @query(sql(f"SELECT r.entity, r.grain, r.period, t.t_flow, t.t_mean, round(t.t_flow / nullif(t.t_mean, 0), 4) AS rate FROM rolled r JOIN ({_T}) t ON t.entity = r.entity AND t.month = r.last_month"))
 def rate_method_a(f: Frames) -> DataFrame:
-    t = R.trailing(f.base, "outflow").select("entity", F.col("month").alias("last_month"), "t_flow", "t_mean")
-    return R.roll_up(f.base, []).join(t, ["entity", "last_month"]).select("entity", "grain", "period", "t_flow", "t_mean", R.rated(F.col("t_flow"), F.col("t_mean")).alias("rate"))
+    """The trailing year of a period's last month, taken along in the rollup."""
+    t = R.trailing(f.base, "outflow")
+    p = F.broadcast(C.bridge(B.months_of(f.stock)))
+    r = t.join(p, "month").groupBy("entity", "grain", "period").agg(F.max_by("t_flow", "month").alias("t_flow"), F.max_by("t_mean", "month").alias("t_mean"))
+    return r.withColumn("rate", R.rated(F.col("t_flow"), F.col("t_mean")))
 
 
 @query(sql("SELECT entity, period, outflow, mean_stock, round(outflow / nullif(mean_stock, 0), 4) AS rate, partial AS year_to_date FROM rolled WHERE grain = 'fy'"))
@@ -172,10 +180,15 @@ def rate_family(f: Frames) -> DataFrame:
     return R.roll_up(f.base, flows).select("entity", "grain", "period", *(R.rated(F.col(x), F.col("mean_stock")).alias(f"rate_{x}") for x in flows))
 
 
-@query(sql("SELECT r.*, inflow - outflow AS net_flow, stock - lag(stock) OVER (PARTITION BY entity, grain ORDER BY last_month) AS stock_change, round(years_known / nullif(outflow, 0), 4) AS coverage FROM rolled r"))
+@query(sql("""SELECT r.*, inflow - outflow AS net_flow, stock - lag(stock) OVER (PARTITION BY entity, grain ORDER BY last_month) AS stock_change, round(years_known / nullif(outflow, 0), 4) AS coverage, k.provisional, k.reissued, k.files
+    FROM rolled r JOIN (SELECT grain, period, bool_or(provisional) AS provisional, bool_or(reissued) AS reissued, string_agg(tag, ',' ORDER BY month) AS files FROM bridge JOIN month_flags USING (month) GROUP BY ALL) k USING (grain, period)"""))
 def period_rollup(f: Frames) -> DataFrame:
+    """Stocks, flows, net flow, change, coverage, and each period's flags and file tags."""
     r = R.stock_change(R.roll_up(f.base, FLOWS))
-    return r.withColumn("net_flow", F.col("inflow") - F.col("outflow")).withColumn("coverage", R.rated(F.col("years_known"), F.col("outflow")))
+    r = r.withColumn("net_flow", F.col("inflow") - F.col("outflow")).withColumn("coverage", R.rated(F.col("years_known"), F.col("outflow")))
+    p = C.bridge(f.month_flags.select("month")).join(f.month_flags, "month")
+    marks = p.groupBy("grain", "period").agg(*(F.bool_or(c).alias(c) for c in ("provisional", "reissued")), F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("files"))
+    return r.join(F.broadcast(marks), ["grain", "period"])
 
 
 @query(sql("SELECT count(*) / count(DISTINCT month) AS mean_stock FROM stock"))
@@ -195,9 +208,16 @@ def present_pairs(f: Frames) -> DataFrame:
     return f.base_by_group.groupBy("entity", "group_code").agg(some.alias("n")).where("n > 0").select("entity", "group_code")
 
 
-@query(sql("SELECT entity, era, month, n, run_inflow, run_outflow, run_mean FROM running"))
+@query(sql("""SELECT entity, era, r.month, n, run_inflow, run_outflow, run_mean, bool_or(k.provisional) AS run_provisional, bool_or(k.reissued) AS run_reissued FROM running r JOIN eras e USING (era)
+    JOIN month_flags k ON k.month BETWEEN e.first_month - INTERVAL 1 MONTH AND r.month GROUP BY ALL"""))
 def era_running(f: Frames) -> DataFrame:
-    return R.running(f.base, f.eras, ["inflow", "outflow"]).select("entity", "era", "month", "n", "run_inflow", "run_outflow", "run_mean")
+    """Running flows, mean stock and flags; the month before an era counts among its reissued ones."""
+    e = F.broadcast(f.eras.select("era", F.add_months("first_month", -1).alias("month_0"), F.col("last_month").alias("end")))
+    run = Window.partitionBy("era").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    flags = f.month_flags.join(e, F.col("month").between(F.col("month_0"), F.col("end")))
+    flags = flags.select("era", "month", F.bool_or("provisional").over(run).alias("run_provisional"), F.bool_or("reissued").over(run).alias("run_reissued"))
+    r = R.running(f.base, f.eras, ["inflow", "outflow"]).select("entity", "era", "month", "n", "run_inflow", "run_outflow", "run_mean")
+    return r.join(F.broadcast(flags), ["era", "month"])
 
 
 @query(sql("SELECT entity, era, n, round(run_outflow * 12.0::DOUBLE / n / nullif(run_mean, 0), 4) AS rate FROM running"))
@@ -229,15 +249,23 @@ def change_range(f: Frames) -> DataFrame:
     return f.base.groupBy("entity").agg((F.max_by(F.when(inside, F.col("stock")), F.when(inside, F.col("month"))) - first).alias("change"))
 
 
-@query(sql("SELECT r.entity, r.period, round(r.stock / nullif(b.stock, 0), 4) AS growth FROM rolled r JOIN rolled b ON b.entity = r.entity AND b.grain = 'fy' AND b.period = 'FY1996' WHERE r.grain = 'fy' AND r.period >= 'FY1996'"))
+_CUT_FY = f"SELECT entity, 'FY' || fy AS period, arg_max(stock, c.month) AS stock FROM ({_CUT} UNION ALL BY NAME SELECT * REPLACE ('NEW' AS entity) FROM base WHERE entity = 'ASIA' AND month >= DATE '1998-01-01') c JOIN fiscal USING (month) GROUP BY ALL"
+
+
+@query(sql(f"SELECT r.entity, r.period, round(r.stock / nullif(b.stock, 0), 4) AS growth, coalesce(b.stock, 0) = 0 AS no_base FROM ({_CUT_FY}) r LEFT JOIN ({_CUT_FY}) b ON b.entity = r.entity AND b.period = 'FY1996' WHERE r.period >= 'FY1996'"))
 def growth_index(f: Frames) -> DataFrame:
-    fy = R.roll_up(f.base, []).where("grain = 'fy'")
-    start = fy.where("period = 'FY1996'").select("entity", F.col("stock").alias("start"))
-    return fy.where("period >= 'FY1996'").join(F.broadcast(start), "entity").select("entity", "period", R.rated(F.col("stock"), F.col("start")).alias("growth"))
+    """Stock as a multiple of the base year's; entities without a stock then are listed, with no growth."""
+    new = f.base.where("entity = 'ASIA' AND month >= DATE '1998-01-01'").withColumn("entity", F.lit("NEW"))
+    fy = R.roll_up(_cut(f).unionByName(new), []).where("grain = 'fy' AND period >= 'FY1996'").select("entity", "period", "stock")
+    start = F.max(F.when(F.col("period") == "FY1996", F.col("stock"))).over(Window.partitionBy("entity"))
+    fy = fy.withColumn("start", start)
+    return fy.select("entity", "period", R.rated(F.col("stock"), F.col("start")).alias("growth"), (F.coalesce("start", F.lit(0)) == 0).alias("no_base"))
 
 
-@query(sql("SELECT entity, period, stock - lag(stock) OVER w AS stock_change, inflow - outflow AS net_flow, abs(coalesce(stock - lag(stock) OVER w, 0) - (inflow - outflow)) > 500 AS gap FROM rolled WHERE grain = 'fy' WINDOW w AS (PARTITION BY entity ORDER BY last_month)"))
+@query(sql("SELECT entity, period, stock - lag(stock) OVER w AS stock_change, inflow - outflow AS net_flow, abs(coalesce(stock - lag(stock) OVER w, 0) - (inflow - outflow)) > 500 AS gap, abs(coalesce(stock - lag(stock) OVER w, 0) - (inflow - outflow)) > 500 AND period NOT IN ('FY1997', 'FY2000') AS unlisted FROM rolled WHERE grain = 'fy' WINDOW w AS (PARTITION BY entity ORDER BY last_month)"))
 def reconciliation_fy(f: Frames) -> DataFrame:
     r = R.stock_change(R.roll_up(f.base, ["inflow", "outflow"]).where("grain = 'fy'"))
     net = F.col("inflow") - F.col("outflow")
-    return r.select("entity", "period", "stock_change", net.alias("net_flow"), (F.abs(F.coalesce("stock_change", F.lit(0)) - net) > 500).alias("gap"))
+    gap = F.abs(F.coalesce("stock_change", F.lit(0)) - net) > 500
+    listed = F.broadcast(f.spark.createDataFrame(BREAKS, "period string, m string").select("period", F.lit(True).alias("listed")))
+    return r.join(listed, "period", "left").select("entity", "period", "stock_change", net.alias("net_flow"), gap.alias("gap"), (gap & F.col("listed").isNull()).alias("unlisted"))

@@ -47,29 +47,46 @@ def sum_across_periods(f: Frames) -> DataFrame:
     return A.sum_periods(A.kinds(m, outflow="flow", stock="stock"), "outflow", ["entity"])
 
 
-@query(sql("SELECT entity, fy, CAST(sum(n) AS BIGINT) AS value FROM (SELECT entity, year(effective_month + INTERVAL 3 MONTH) AS fy, code, count(*) AS n FROM o2 WHERE code IN ('A', 'R') GROUP BY ALL) GROUP BY ALL"))
+_VALUES = "SELECT entity, year(effective_month + INTERVAL 3 MONTH) AS fy, code AS value, count(*) AS n FROM o2 GROUP BY ALL"
+
+
+@query(sql(f"SELECT entity, fy, 'ok' AS chosen, CAST(sum(n) AS BIGINT) AS value, CAST(NULL AS VARCHAR) AS refused FROM ({_VALUES}) WHERE value IN ('A', 'R') GROUP BY ALL HAVING count(*) = 2 UNION ALL SELECT entity, fy, 'bad', NULL, 'missing' FROM ({_VALUES}) WHERE value = 'A' GROUP BY ALL"))
 def sum_across_values(f: Frames) -> DataFrame:
-    """The chosen values of one dimension, each once."""
+    """The chosen values of one dimension, each once; refused where one is missing, repeated, or unknown."""
     from stockflow.functions.calendar import fiscal_year
 
-    n = B.with_total(f.outflow.withColumn("fy", fiscal_year(F.col("effective_month")).cast("long")), "fy", ["code"], [F.count("*").alias("n")])
-    return n.where(F.col("code").isin("A", "R")).groupBy("entity", F.col("month").alias("fy")).agg(A.poisoned_sum("n").alias("value"))
+    n = B.with_total(f.outflow.withColumn("fy", fiscal_year(F.col("effective_month")).cast("long")), "fy", ["code"], [F.count("*").alias("n")]).withColumnRenamed("month", "fy").withColumnRenamed("code", "value")
+    good, bad = A.sum_values(n, "n", ["A", "R"], ["entity", "fy"]), A.sum_values(n, "n", ["A", "X"], ["entity", "fy"])
+    return good.where("refused IS NULL").withColumn("chosen", F.lit("ok")).unionByName(bad.withColumn("chosen", F.lit("bad"))).select("entity", "fy", "chosen", F.col("total").alias("value"), "refused")
 
 
 _TWO = "entity IN ('AFRICA', 'AMERICA')"
 
 
-@query(sql(f"SELECT grain, period, CAST(sum(stock) AS BIGINT) AS stock, CAST(sum(inflow) AS BIGINT) AS inflow, bool_or(partial) AS partial, CAST(sum(outflow) FILTER (mean_stock > 0) AS BIGINT) AS rate_num, sum(CASE WHEN mean_stock > 0 THEN mean_stock END) AS rate_den, round(sum(outflow) FILTER (mean_stock > 0) / sum(CASE WHEN mean_stock > 0 THEN mean_stock END), 4) AS rate, sum(CASE WHEN mean_stock > 0 THEN mean_stock END) < 30 AS small_base FROM rolled WHERE {_TWO} GROUP BY ALL"))
+@query(sql(f"""SELECT grain, period, CAST(sum(stock) AS BIGINT) AS stock, CAST(sum(inflow) AS BIGINT) AS inflow, bool_or(partial) AS partial, CAST(sum(outflow) FILTER (mean_stock > 0) AS BIGINT) AS rate_num, sum(CASE WHEN mean_stock > 0 THEN mean_stock END) AS rate_den,
+    round(sum(outflow) FILTER (mean_stock > 0) / sum(CASE WHEN mean_stock > 0 THEN mean_stock END), 4) AS rate, sum(CASE WHEN mean_stock > 0 THEN mean_stock END) < 30 AS small_base, CAST(sum(years_known) AS BIGINT) AS known, CAST(sum(outflow) AS BIGINT) AS counted,
+    round(sum(years_known) / nullif(sum(outflow), 0), 4) AS coverage, bool_and(mean_stock = 0) AS not_applicable FROM rolled WHERE {_TWO} GROUP BY ALL"""))
 def combine_entities(f: Frames) -> DataFrame:
-    rows = _rolled(f, "inflow", "outflow").where(_TWO).withColumns({"rate_num": F.when(F.col("mean_stock") > 0, F.col("outflow")), "rate_den": F.when(F.col("mean_stock") > 0, F.col("mean_stock"))})
-    return A.combine(rows, ["grain", "period"], ["stock", "inflow"], ["partial"], "rate_num", "rate_den")
+    """Entities combined by the kinds of their columns: what adds, what is ORed, and which ratios are made anew from their parts."""
+    some = F.col("mean_stock") > 0
+    rows = _rolled(f, "inflow", "outflow", "years_known").where(_TWO)
+    rows = rows.select("entity", "grain", "period", "stock", "inflow", "partial", F.when(some, F.col("outflow")).alias("rate_num"), F.when(some, F.col("mean_stock")).alias("rate_den"), F.col("years_known").alias("known"), F.col("outflow").alias("counted"), (~some).alias("not_applicable"))
+    rows = A.kinds(rows, stock="stock", inflow="flow", partial="flag", rate_num="rate numerator", rate_den="rate denominator", known="known", counted="counted", not_applicable="not applicable")
+    return A.combine_by_kind(rows, ["grain", "period"])
+
 
+_AGO = "date_diff('month', month, (SELECT last_month FROM bounds))"
 
-@query(sql("SELECT entity, CAST(sum(outflow) FILTER (month > (SELECT last_month - INTERVAL 12 MONTH FROM bounds)) AS BIGINT) AS last_12, CAST(sum(outflow) FILTER (month <= (SELECT last_month - INTERVAL 12 MONTH FROM bounds) AND month > (SELECT last_month - INTERVAL 24 MONTH FROM bounds)) AS BIGINT) AS prior_12 FROM base GROUP BY entity"))
+
+@query(sql(f"""SELECT entity, CAST(sum(outflow) FILTER ({_AGO} < 12) AS BIGINT) AS last_12, CAST(sum(outflow) FILTER ({_AGO} BETWEEN 12 AND 23) AS BIGINT) AS prior_12,
+    round(sum(outflow) FILTER ({_AGO} < 12) / nullif(avg(stock) FILTER ({_AGO} < 12), 0), 4) AS rate_12, round(sum(outflow) FILTER ({_AGO} BETWEEN 12 AND 23) / nullif(avg(stock) FILTER ({_AGO} BETWEEN 12 AND 23), 0), 4) AS rate_before FROM base GROUP BY entity"""))
 def tiles_12(f: Frames) -> DataFrame:
-    b = f.base.join(F.broadcast(f.last_month.select(F.col("last_month").alias("newest"))))
-    months_ago = F.months_between("newest", "month")
-    return b.groupBy("entity").agg(F.sum(F.when(months_ago < 12, F.col("outflow"))).alias("last_12"), F.sum(F.when((months_ago >= 12) & (months_ago < 24), F.col("outflow"))).alias("prior_12"))
+    """The last twelve months and the twelve before: flows and their rates."""
+    b = f.base.join(F.broadcast(f.last_month.select(F.col("last_month").alias("newest")))).withColumn("ago", F.months_between("newest", "month"))
+    now, before = F.col("ago") < 12, F.col("ago").between(12, 23)
+    part = lambda w: (F.sum(F.when(w, F.col("outflow"))), F.avg(F.when(w, F.col("stock"))))
+    (n, m), (n0, m0) = part(now), part(before)
+    return b.groupBy("entity").agg(n.alias("last_12"), n0.alias("prior_12"), R.rated(n, m).alias("rate_12"), R.rated(n0, m0).alias("rate_before"))
 
 
 @query(sql("SELECT entity, period, round(plain_a / nullif(outflow, 0), 4) AS share_a, round(plain_n / nullif(outflow, 0), 4) AS share_n, round(plain_r / nullif(outflow, 0), 4) AS share_r, round(overlay / nullif(outflow, 0), 4) AS share_overlay FROM rolled WHERE grain = 'fy'"))
@@ -85,17 +102,35 @@ def comparison_table(f: Frames) -> DataFrame:
     return r.select("entity", "period", "stock", "stock_change", R.rated(F.col("stock_change"), F.col("stock") - F.col("stock_change")).alias("percent"), "inflow", "outflow", R.rated(F.col("outflow"), F.col("mean_stock")).alias("rate"))
 
 
-@query(sql("SELECT a.entity, a.period, a.outflow, b.outflow AS outflow_before FROM rolled a LEFT JOIN rolled b ON b.entity = a.entity AND b.grain = 'fy' AND b.period = 'FY' || (CAST(substr(a.period, 3) AS INTEGER) - 1) WHERE a.grain = 'fy'"))
+_YEARLY = "SELECT entity, 'fy' AS grain, period, outflow FROM rolled WHERE grain = 'fy' UNION ALL SELECT entity, 't12', strftime(month, '%Y-%m'), CAST(sum(outflow) OVER w AS BIGINT) FROM base WINDOW w AS (PARTITION BY entity ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 12"
+
+
+@query(sql(f"SELECT a.entity, a.grain, a.period, a.outflow, b.outflow AS outflow_before FROM ({_YEARLY}) a LEFT JOIN ({_YEARLY}) b ON b.entity = a.entity AND b.grain = a.grain AND b.period = CASE a.grain WHEN 'fy' THEN 'FY' || (CAST(substr(a.period, 3) AS INTEGER) - 1) ELSE (CAST(substr(a.period, 1, 4) AS INTEGER) - 1) || substr(a.period, 5) END"))
 def prior_year_snapshot(f: Frames) -> DataFrame:
-    r = _rolled(f, "outflow").where("grain = 'fy'").select("entity", "period", "outflow")
-    nxt = F.concat(F.lit("FY"), F.substring("period", 3, 4).cast("int") + 1)
-    return r.join(r.select("entity", nxt.alias("period"), F.col("outflow").alias("outflow_before")), ["entity", "period"], "left")
+    """Fiscal years and trailing twelve months beside those of a year before."""
+    from stockflow.functions.calendar import month_key
 
+    fy = _rolled(f, "outflow").where("grain = 'fy'").select("entity", "grain", "period", "outflow")
+    t = R.trailing(f.base, "outflow").where("t_flow IS NOT NULL").select("entity", F.lit("t12").alias("grain"), month_key(F.col("month")).alias("period"), F.col("t_flow").alias("outflow"))
+    r, p = fy.unionByName(t), F.col("period")
+    nxt = F.when(F.col("grain") == "fy", F.concat(F.lit("FY"), F.substring(p, 3, 4).cast("int") + 1)).otherwise(F.concat(F.substring(p, 1, 4).cast("int") + 1, F.substring(p, 5, 3)))
+    return r.join(r.select("entity", "grain", nxt.alias("period"), F.col("outflow").alias("outflow_before")), ["entity", "grain", "period"], "left")
 
-@query(sql("SELECT entity, stock, row_number() OVER (ORDER BY stock DESC, entity) AS place FROM (SELECT entity, arg_max(stock, month) AS stock FROM base WHERE entity <> 'ALL' GROUP BY entity)"))
+
+_LATEST = "SELECT entity, max(month) FILTER (stock > 0) AS last_month, arg_max(stock, month) AS stock FROM (SELECT * REPLACE (CASE WHEN entity = 'AFRICA' AND month > DATE '2000-06-01' THEN 0 ELSE stock END AS stock) FROM base WHERE entity <> 'ALL') GROUP BY entity"
+
+
+@query(sql(f"SELECT entity, stock, last_month < (SELECT last_month FROM bounds) AND stock = 0 AS ended, CASE WHEN stock > 0 THEN row_number() OVER (PARTITION BY stock > 0 ORDER BY stock DESC, entity) END AS place, strftime(last_month, '%Y-%m') AS last_month FROM ({_LATEST})"))
 def entity_ranking(f: Frames) -> DataFrame:
-    latest = f.base.where("entity <> 'ALL'").groupBy("entity").agg(F.max_by("stock", "month").alias("stock"))
-    return latest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("stock"), "entity")).cast("long"))
+    """Current entities by their latest stock; ended ones (one is cut here) apart, without a place."""
+    from stockflow.functions.calendar import month_key
+
+    cut = (F.col("entity") == "AFRICA") & (F.col("month") > F.lit("2000-06-01").cast("date"))
+    b = f.base.where("entity <> 'ALL'").withColumn("stock", F.when(cut, 0).otherwise(F.col("stock")))
+    latest = b.groupBy("entity").agg(F.max(F.when(F.col("stock") > 0, F.col("month"))).alias("last"), F.max_by("stock", "month").alias("stock")).crossJoin(F.broadcast(f.last_month.select("last_month")))
+    now = F.col("stock") > 0
+    place = F.row_number().over(Window.partitionBy(now).orderBy(F.desc("stock"), "entity")).cast("long")
+    return latest.select("entity", "stock", ((F.col("last") < F.col("last_month")) & ~now).alias("ended"), F.when(now, place).alias("place"), month_key(F.col("last")).alias("last_month"))
 
 
 @query(sql("SELECT entity, rate, (SELECT round(outflow / mean_stock, 4) FROM rolled WHERE entity = 'ALL' AND period = 'FY2000') AS total_rate, row_number() OVER (ORDER BY rate DESC, entity) AS place FROM (SELECT entity, round(outflow / nullif(mean_stock, 0), 4) AS rate FROM rolled WHERE period = 'FY2000' AND entity <> 'ALL') WHERE rate IS NOT NULL"))
@@ -125,9 +160,16 @@ def era_at_point(f: Frames) -> DataFrame:
     return r.join(F.broadcast(n), ["entity", "n"]).select("entity", "era", "n", R.rated(F.col("change"), F.col("stock_0")).alias("percent"))
 
 
-@query(sql("SELECT entity, max(CASE WHEN era = 'e1' THEN run_outflow END) AS e1, max(CASE WHEN era = 'e2' THEN run_outflow END) AS e2 FROM running WHERE n = 24 GROUP BY entity"))
+_OWN = "SELECT entity, count(*) AS own_n FROM base, eras WHERE open AND month BETWEEN eras.first_month AND eras.last_month AND NOT (entity = 'ASIA' AND month > DATE '2000-06-01') GROUP BY entity"
+
+
+@query(sql(f"SELECT entity, own_n, max(CASE WHEN era = 'e1' THEN run_outflow END) AS e1, max(CASE WHEN era = 'e2' THEN run_outflow END) AS e2 FROM running JOIN ({_OWN}) USING (entity) WHERE n = own_n GROUP BY ALL"))
 def entity_era_table(f: Frames) -> DataFrame:
-    return R.running(f.base, f.eras, ["outflow"]).where("n = 24").groupBy("entity").pivot("era", ["e1", "e2"]).agg(F.max("run_outflow"))
+    """Each entity's eras at its own N: the months that the open era has for it (one entity is cut here)."""
+    kept = ~((F.col("entity") == "ASIA") & (F.col("month") > F.lit("2000-06-01").cast("date")))
+    r = R.running(f.base.where(kept), f.eras, ["outflow"])
+    own = F.max(F.when(F.col("open"), F.col("n"))).over(Window.partitionBy("entity"))
+    return r.withColumn("own_n", own).where("n = own_n").groupBy("entity", "own_n").pivot("era", ["e1", "e2"]).agg(F.max("run_outflow"))
 
 
 @query(sql("SELECT entity, era, n, stock FROM running UNION ALL SELECT DISTINCT entity, era, 0, stock_0 FROM running"))
