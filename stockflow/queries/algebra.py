@@ -146,11 +146,14 @@ def months_shown(f: Frames) -> DataFrame:
     return R.running(f.base, f.eras, []).where("n % 6 = 0 OR n = 20").select("entity", "era", "n", "stock")
 
 
-@query(sql("SELECT r.entity, r.era, r.n, r.stock, r.run_outflow FROM running r JOIN (SELECT max(n) AS n FROM running WHERE open) o ON r.n = o.n"))
+@query(sql("SELECT r.entity, r.era, r.n, r.stock, r.run_outflow, r.n = least(o.n, 48) AS at_n, r.n = w.n AS whole_window FROM running r, (SELECT max(n) AS n FROM running WHERE open) o, (SELECT era, max(n) AS n FROM running GROUP BY era) w WHERE w.era = r.era AND (r.n = least(o.n, 48) OR r.n = w.n)"))
 def era_at_n(f: Frames) -> DataFrame:
+    """Each era's row at N, the open era's months (48 at most), and that of its whole window."""
     r = R.running(f.base, f.eras, ["outflow"])
-    n = r.where("open").agg(F.max("n").alias("n"))
-    return r.join(F.broadcast(n), "n").select("entity", "era", "n", "stock", "run_outflow")
+    months = B.months_of(f.stock).join(F.broadcast(f.eras), F.col("month").between(F.col("first_month"), F.col("last_month"))).groupBy("era").agg(F.count("*").alias("whole"), F.bool_or("open").alias("is_open"))
+    ns = months.withColumn("at", F.least(F.max(F.when(F.col("is_open"), F.col("whole"))).over(Window.partitionBy(F.lit(1))), F.lit(48))).select("era", "whole", "at")
+    rows = r.join(F.broadcast(ns), "era").where("n = at OR n = whole")
+    return rows.select("entity", "era", "n", "stock", "run_outflow", (F.col("n") == F.col("at")).alias("at_n"), (F.col("n") == F.col("whole")).alias("whole_window"))
 
 
 @query(sql("SELECT r.entity, r.era, r.n, round((r.stock - r.stock_0) / nullif(r.stock_0, 0), 4) AS percent FROM running r JOIN (SELECT entity, max(n) AS n FROM running WHERE open GROUP BY 1) o ON r.entity = o.entity AND r.n = o.n"))
@@ -187,10 +190,10 @@ def era_period_overlap(f: Frames) -> DataFrame:
     return p.groupBy("grain", "period", "era").agg(F.count("*").alias("months"), R.rated(F.count("*"), F.max("expected")).alias("part"))
 
 
-@query(sql("SELECT entity, period, years_sum, years_known, round(years_sum / nullif(years_known, 0), 1) AS mean_years, round(years_known / nullif(outflow, 0), 4) AS coverage FROM rolled WHERE grain = 'fy'"))
+@query(sql("SELECT entity, grain, period, years_sum, years_known, round(years_sum / nullif(years_known, 0), 1) AS mean_years, round(years_known / nullif(outflow, 0), 4) AS coverage FROM rolled"))
 def years_lost(f: Frames) -> DataFrame:
-    r = _rolled(f, "years_sum", "years_known", "outflow").where("grain = 'fy'")
-    return r.select("entity", "period", "years_sum", "years_known", R.rated(F.col("years_sum"), F.col("years_known"), 1).alias("mean_years"), R.rated(F.col("years_known"), F.col("outflow")).alias("coverage"))
+    r = _rolled(f, "years_sum", "years_known", "outflow")
+    return r.select("entity", "grain", "period", "years_sum", "years_known", R.rated(F.col("years_sum"), F.col("years_known"), 1).alias("mean_years"), R.rated(F.col("years_known"), F.col("outflow")).alias("coverage"))
 
 
 @query(sql("SELECT e.entity, m.month, coalesce(b.stock, 0) = 0 AND coalesce(b.inflow, 0) = 0 AND coalesce(b.outflow, 0) = 0 AS no_staff FROM entities e CROSS JOIN months m LEFT JOIN base b ON b.entity = e.entity AND b.month = m.month"))

@@ -239,14 +239,14 @@ def breakdown_t12(f: Frames) -> DataFrame:
     return R.trailing(_segments(f), "flow", ["value"]).where("t_flow IS NOT NULL").select("entity", "month", "value", "t_flow", "t_mean")
 
 
-@query(sql(f"SELECT entity, era, value, CAST(sum(flow) AS BIGINT) AS flow, round(avg(stock), 4) AS mean_stock FROM (SELECT x.*, e.era, row_number() OVER (PARTITION BY entity, value, era ORDER BY month) AS n FROM ({_SEG_MONTH}) x JOIN eras e ON month BETWEEN e.first_month AND e.last_month) WHERE n <= (SELECT count(*) FROM months JOIN eras ON open AND month BETWEEN first_month AND last_month) GROUP BY ALL"))
+@query(sql(f"SELECT entity, era, value, CAST(sum(flow) AS BIGINT) AS flow, round(avg(stock), 4) AS mean_stock, round(sum(flow) * 12.0::DOUBLE / count(*) / nullif(avg(stock), 0), 4) AS rate FROM (SELECT x.*, e.era, row_number() OVER (PARTITION BY entity, value, era ORDER BY month) AS n FROM ({_SEG_MONTH}) x JOIN eras e ON month BETWEEN e.first_month AND e.last_month) WHERE n <= (SELECT count(*) FROM months JOIN eras ON open AND month BETWEEN first_month AND last_month) GROUP BY ALL"))
 def breakdown_first_n(f: Frames) -> DataFrame:
     """The same number of first months of every era: as many as the open one has."""
     inside = _segments(f).join(F.broadcast(f.eras), F.col("month").between(F.col("first_month"), F.col("last_month")))
     n = F.row_number().over(Window.partitionBy("entity", "value", "era").orderBy("month"))
     open_n = B.months_of(f.stock).join(F.broadcast(f.eras.where("open")), F.col("month").between(F.col("first_month"), F.col("last_month"))).agg(F.count("*").alias("open_n"))
     rows = inside.withColumn("n", n).crossJoin(F.broadcast(open_n)).where("n <= open_n")
-    return rows.groupBy("entity", "era", "value").agg(F.sum("flow").alias("flow"), F.round(F.avg("stock"), 4).alias("mean_stock"))
+    return rows.groupBy("entity", "era", "value").agg(F.sum("flow").alias("flow"), F.round(F.avg("stock"), 4).alias("mean_stock"), R.rated(F.sum("flow") * 12.0 / F.count("*"), F.avg("stock")).alias("rate"))
 
 
 @query(sql(f"SELECT value, period, flow, flow - lag(flow) OVER (PARTITION BY value ORDER BY period) AS change FROM ({_SEGMENT}) WHERE entity = 'ALL'"))
@@ -262,13 +262,8 @@ def _hierarchy(f: Frames) -> DataFrame:
     return f.spark.createDataFrame(HIERARCHY, "code string, node string, level int, parent string")
 
 
-@query(f"SELECT node, level, parent, string_agg(code, ',' ORDER BY code) AS codes FROM {_NODES} GROUP BY ALL")
-def group_hierarchy(f: Frames) -> DataFrame:
-    return _hierarchy(f).groupBy("node", "level", "parent").agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("codes"))
-
-
 @query(sql(f"SELECT h.node, h.level, h.parent, string_agg(DISTINCT h.code, ',' ORDER BY h.code) AS codes, CAST(sum(o.n) AS BIGINT) AS n FROM {_NODES} JOIN (SELECT code, count(*) AS n FROM inflow GROUP BY code) o USING (code) GROUP BY ALL"))
-def group_hierarchy_codes(f: Frames) -> DataFrame:
+def group_hierarchy(f: Frames) -> DataFrame:
     """The hierarchy over the codes that the inflow has: each node's codes and its rows."""
     codes = f.inflow.groupBy("code").agg(F.count("*").alias("n"))
     found = codes.join(F.broadcast(_hierarchy(f)), "code").groupBy("node", "level", "parent")
@@ -338,10 +333,14 @@ def unknown_group_count(f: Frames) -> DataFrame:
     return _node_cube(f).where("node = 'unknown' AND grain <> 'era' AND stock > 0").select("entity", "grain", "period", F.col("stock").alias("n"), "share")
 
 
-@query(sql(f"SELECT *, round(n / nullif(max(CASE WHEN node = 'all' THEN n END) OVER (PARTITION BY grain, period), 0), 4) AS share FROM (SELECT grain, period, node, CAST(sum(n) AS BIGINT) AS n FROM ({_CUBE_O}) WHERE entity IN ('ASIA', 'AFRICA') GROUP BY ALL)"))
+@query(sql(f"""SELECT grain, period, n, node, CAST(sum(stock) AS BIGINT) AS stock, round(sum(stock) / nullif(sum(stock_all), 0), 4) AS share, CAST(sum(inflow) AS BIGINT) AS inflow, CAST(sum(stock - stock_0) AS BIGINT) AS change,
+    CASE WHEN sum(stock_0) >= 30 THEN round(sum(stock - stock_0) / sum(stock_0), 4) END AS percent, sum(stock_0) < 30 AS percent_small FROM ({_NODE_CUBE}) WHERE entity IN ('ASIA', 'AFRICA') GROUP BY ALL HAVING count(*) = 2"""))
 def combine_groups(f: Frames) -> DataFrame:
-    both = _cube_overlap(f).where("entity IN ('ASIA', 'AFRICA')").groupBy("grain", "period", "node").agg(F.sum("n").alias("n"))
-    return P.with_share(both, ["grain", "period"], "n")
+    """Two entities' groups combined: counts add, share, percent and small base are made anew; points that miss an entity are dropped."""
+    keys = ["grain", "period", "n", "node"]
+    both = _node_cube(f).where("entity IN ('ASIA', 'AFRICA')").groupBy(*keys).agg(F.count("*").alias("k"), *(F.sum(c).alias(c) for c in ("stock", "stock_all", "inflow", "stock_0", "change"))).where("k = 2")
+    small = F.col("stock_0") < R.SMALL
+    return both.select(*keys, "stock", R.rated(F.col("stock"), F.col("stock_all")).alias("share"), "inflow", "change", F.when(~small, R.rated(F.col("change"), F.col("stock_0"))).alias("percent"), small.alias("percent_small"))
 
 
 @query(sql(f"SELECT entity, period, CAST(sum(n) AS BIGINT) AS n FROM ({_CUBE_O}) WHERE grain = 'fy' AND node IN ('urgent-top', 'urgent-high') GROUP BY ALL HAVING count(*) = 2"))

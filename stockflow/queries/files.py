@@ -40,10 +40,20 @@ def manifest_periods(f: Frames) -> DataFrame:
     return back.withColumn("period", F.make_date("year", "month", F.lit(1)))
 
 
-@query(sql("SELECT month, max(v) FILTER (d = 'inflow') AS inflow, max(v) FILTER (d = 'outflow') AS outflow FROM (SELECT effective_month AS month, 'inflow' AS d, count(*) AS v FROM inflow GROUP BY 1 UNION ALL SELECT effective_month, 'outflow', count(*) FROM outflow GROUP BY 1) GROUP BY month"))
+@query(sql("SELECT order_month AS month, max(1 + CAST(o_orderkey % 997 = 0 AS BIGINT)) AS orders, (SELECT max(1 + CAST(l_orderkey % 499 = 0 AS BIGINT)) FROM all_outflow WHERE file_month = order_month) AS lines FROM ordered GROUP BY 1"))
 def versions_pivot(f: Frames) -> DataFrame:
-    v = f.inflow.select("effective_month", F.lit("inflow").alias("d")).unionByName(f.outflow.select("effective_month", F.lit("outflow").alias("d")))
-    return v.groupBy(F.col("effective_month").alias("month"), "d").agg(F.count("*").alias("v")).groupBy("month").pivot("d", ["inflow", "outflow"]).agg(F.max("v"))
+    """The manifest's file versions, datasets as columns: 2 where a file holds a record that came late."""
+    v = lambda rows, month, d, key, n: rows.select(F.col(month).alias("month"), F.lit(d).alias("d"), F.when(F.col(key) % n == 0, 2).otherwise(1).cast("long").alias("v"))
+    both = v(f.orders, "order_month", "orders", "o_orderkey", 997).unionByName(v(f.all_outflow, "file_month", "lines", "l_orderkey", 499))
+    manifest = both.groupBy("month", "d").agg(F.max("v").alias("v"))
+    return manifest.groupBy("month").pivot("d", ["orders", "lines"]).agg(F.max("v"))
+
+
+@query(sql(f"SELECT sha256(string_agg('{{\"dataset\":\"' || dataset || '\",\"filename\":\"' || filename || '\",\"version\":' || version || '}}', ',' ORDER BY dataset, filename)) AS sha256, count(*) AS files FROM ({_FILES})"))
+def manifest_hash(f: Frames) -> DataFrame:
+    """SHA-256 of the manifest's canonical JSON, its records in order; a manifest has a row a file."""
+    rows = F.sort_array(F.collect_list(F.struct("dataset", "filename", F.to_json(F.struct("dataset", "filename", "version")).alias("json"))))
+    return _manifest(f).agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["json"]), ","), 256).alias("sha256"), F.count("*").alias("files"))
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name AS label FROM region")

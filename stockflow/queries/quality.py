@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.demo import CODES, FLOWS, HIERARCHY, Frames, sql
+from stockflow.demo import BREAKS, CODES, FLOWS, HIERARCHY, Frames, sql
 from stockflow.functions import rules as R
 from stockflow.operators import base as B
+from stockflow.operators import checks as K
 from stockflow.operators import rollup as U
 from stockflow.queries import query
 
@@ -27,33 +28,49 @@ def code_domain(f: Frames) -> DataFrame:
 
 @query(sql("SELECT entity, month FROM base WHERE out_a + out_n + out_r <> outflow OR overlay + plain_a + plain_n + plain_r <> outflow"))
 def partition_check(f: Frames) -> DataFrame:
-    parts = sum((F.col(f"out_{c.lower()}") for c in CODES), F.lit(0))
-    plain = sum((F.col(f"plain_{c.lower()}") for c in CODES), F.col("overlay"))
-    return f.base.where((parts != F.col("outflow")) | (plain != F.col("outflow"))).select("entity", "month")
+    """Categories partition the outflow, and so do the overlay and the plain ones."""
+    both = [[f"out_{c.lower()}" for c in CODES], ["overlay", *(f"plain_{c.lower()}" for c in CODES)]]
+    return K.partition(f.base, {"outflow": both[0]}, ["entity", "month"]).unionByName(K.partition(f.base, {"outflow": both[1]}, ["entity", "month"])).distinct()
 
 
-@query(sql("SELECT count(*) AS months, count(*) FILTER (p) AS provisional, CAST(sum(stock) AS BIGINT) AS stock FROM (SELECT month, stock, row_number() OVER (ORDER BY month DESC) <= 3 AS p FROM base WHERE entity = 'ALL')"))
+@query(sql("SELECT count(*) AS months, count(*) FILTER (p) AS provisional, CAST(sum(stock) AS BIGINT) AS stock, count(*) FILTER (stock <> parts) AS differ, count(*) FILTER (stock = 0) AS empty FROM (SELECT *, row_number() OVER (ORDER BY month DESC) <= 3 AS p FROM (SELECT a.month, a.stock, sum(b.stock) AS parts FROM base a JOIN base b ON b.month = a.month AND b.entity <> 'ALL' WHERE a.entity = 'ALL' GROUP BY ALL))"))
 def panel_check(f: Frames) -> DataFrame:
-    total = f.base.where("entity = 'ALL'")
-    return total.join(F.broadcast(B.provisional(total)), "month").agg(F.count("*").alias("months"), F.count_if("provisional").alias("provisional"), F.sum("stock").alias("stock"))
+    """Months, provisional ones, and violations: totals that the entities don't add up to, months without a stock."""
+    total, parts = f.base.where("entity = 'ALL'"), f.base.where("entity <> 'ALL'")
+    differ = K.sums(total, parts, ["month"], ["stock"]).agg(F.count("*").alias("differ"))
+    months = total.join(F.broadcast(B.provisional(total)), "month").agg(F.count("*").alias("months"), F.count_if("provisional").alias("provisional"), F.sum("stock").alias("stock"), F.count_if(F.col("stock") == 0).alias("empty"))
+    return months.crossJoin(F.broadcast(differ))
 
 
-@query(sql("SELECT b.grain, b.period, b.month, o.grain AS other FROM bridge b LEFT JOIN bridge o ON o.month = b.month AND o.grain <> b.grain WHERE b.grain = 'fy'"))
+@query(sql("SELECT entity, month, 'missing' AS problem FROM (SELECT entity, month FROM base WHERE stock > 0 EXCEPT SELECT entity, effective_month FROM o2) UNION ALL SELECT entity, month, 'extra' FROM (SELECT entity, effective_month AS month FROM o2 EXCEPT SELECT entity, month FROM base WHERE stock > 0)"))
 def row_set_diff(f: Frames) -> DataFrame:
-    """A full comparison of two key sets: months of years against those of the other grains."""
-    from stockflow.functions.calendar import bridge
+    """Entities and months with a stock against those with an outflow: what only one side has."""
+    flows = B.with_total(f.outflow, "effective_month", [], [F.count("*").alias("n")])
+    return K.row_sets(f.base.where("stock > 0"), flows, ["entity", "month"])
 
-    p = bridge(B.months_of(f.stock))
-    a, b = p.where("grain = 'fy'").select("grain", "period", "month"), p.where("grain <> 'fy'").select(F.col("grain").alias("other"), "month")
-    return a.join(b, "month", "full_outer").select("grain", "period", "month", "other")
 
-
-@query(sql("SELECT l_orderkey, l_linenumber, code FROM all_outflow WHERE false"))
+@query(sql("SELECT l_orderkey, l_linenumber, code, years, 'missing' AS problem FROM all_outflow WHERE false"))
 def multiset_diff(f: Frames) -> DataFrame:
-    """Published rows against source rows, both ways, with repetitions."""
-    source = f.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("code"))
-    published = f.all_outflow.select("l_orderkey", "l_linenumber", "code")
-    return source.exceptAll(published).unionByName(published.exceptAll(source))
+    """Published records, written and read back, against source rows, both ways, with repetitions."""
+    from stockflow.sources.files import work_dir
+
+    out = work_dir(f.spark, "records")
+    f.all_outflow.select("l_orderkey", "l_linenumber", "code", "years_text").write.parquet(out)
+    published = f.spark.read.parquet(out).select("l_orderkey", "l_linenumber", "code", F.coalesce("years_text", F.lit("none")).alias("years"))
+    line = f.table("lineitem")
+    years = F.when(F.col("l_discount") == 0, "REDACTED").when(F.col("l_discount") == 0.05, "none").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    source = line.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("code"), years.alias("years"))
+    return K.multisets(source, published)
+
+
+@query(sql("SELECT 'none' AS kind, (SELECT count(*) FROM lineitem WHERE l_discount = 0.05) AS source, (SELECT count(*) FROM all_outflow WHERE years_text IS NULL) AS published UNION ALL SELECT 'REDACTED', (SELECT count(*) FROM lineitem WHERE l_discount = 0), (SELECT count(*) FROM all_outflow WHERE years_text = 'REDACTED')"))
+def record_null_counts(f: Frames) -> DataFrame:
+    """How many source rows have none and a redacted value, and how many of the published ones: they must be equal."""
+    d, t = F.col("l_discount"), F.col("years_text")
+    source = f.table("lineitem").agg(F.count_if(d == 0.05).alias("a"), F.count_if(d == 0).alias("b"))
+    published = f.all_outflow.agg(F.count_if(t.isNull()).alias("c"), F.count_if(t == "REDACTED").alias("d"))
+    row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), F.col(x).alias("source"), F.col(y).alias("published"))
+    return source.crossJoin(published).select(F.inline(F.array(row("none", "a", "c"), row("REDACTED", "b", "d"))))
 
 
 @query(sql("SELECT month FROM (SELECT month, lag(month) OVER (ORDER BY month) AS before FROM months) WHERE before IS NOT NULL AND month <> before + INTERVAL 1 MONTH"))
@@ -63,10 +80,10 @@ def month_gaps(f: Frames) -> DataFrame:
     return m.where(F.col("month") != F.add_months("before", 1)).select("month")
 
 
-@query(sql("SELECT month, stock, abs(stock - lag(stock) OVER (ORDER BY month)) / nullif(lag(stock) OVER (ORDER BY month), 0) > 0.5 AS jump FROM base WHERE entity = 'ALL'"))
+@query(sql("SELECT month, round((stock - before) / nullif(before, 0), 4) AS change FROM (SELECT month, stock, lag(stock) OVER (ORDER BY month) AS before FROM base WHERE entity = 'ALL') WHERE abs(round((stock - before) / nullif(before, 0), 4)) > 0.02 AND month NOT IN (DATE '1997-03-01', DATE '1999-12-01')"))
 def continuity_check(f: Frames) -> DataFrame:
-    before = F.lag("stock").over(Window.orderBy("month"))
-    return f.base.where("entity = 'ALL'").select("month", "stock", (F.try_divide(F.abs(F.col("stock") - before), before) > 0.5).alias("jump"))
+    """Months whose stock jumps by more than 2 % and that no listed break explains."""
+    return K.jumps(f.base.where("entity = 'ALL'").select("month", "stock"), "stock", 0.02, [m for _, m in BREAKS])
 
 
 @query(sql("SELECT count(*) FILTER (years_text = 'REDACTED') AS raw, count(*) FILTER (coalesce(years_text = 'REDACTED', false)) AS typed, count(*) FILTER (years_text IS NULL) AS missing FROM all_outflow"))
@@ -88,10 +105,15 @@ def issue_balance_check(f: Frames) -> DataFrame:
     return f.base.where("years_known + years_issue <> outflow").select("entity", "month")
 
 
-@query(sql("SELECT count(*) FILTER (effective_month <> file_month) AS differ, count(*) FILTER (effective_month = file_month) AS same FROM all_outflow"))
+@query(sql("""SELECT count(*) FILTER (effective_month <> file_month) AS differ, count(*) FILTER (effective_month = file_month) AS same,
+    (SELECT count(*) FROM (SELECT month FROM base WHERE entity = 'ALL' AND outflow > 0 EXCEPT SELECT effective_month FROM outflow)) AS cube_only FROM all_outflow"""))
 def time_basis_check(f: Frames) -> DataFrame:
+    """Rows whose two months differ, and months of the cube whose flow is not that of the effective month."""
     differ = F.col("effective_month") != F.col("file_month")
-    return f.all_outflow.agg(F.count_if(differ).alias("differ"), F.count_if(~differ).alias("same"))
+    rows = f.all_outflow.agg(F.count_if(differ).alias("differ"), F.count_if(~differ).alias("same"))
+    direct = f.outflow.groupBy(F.col("effective_month").alias("month")).agg(F.count("*").alias("outflow"))
+    wrong = K.sums(f.base.where("entity = 'ALL'"), direct, ["month"], ["outflow"]).agg(F.count("*").alias("cube_only"))
+    return rows.crossJoin(F.broadcast(wrong))
 
 
 @query(sql("SELECT effective_month AS month, count(*) AS n FROM all_outflow WHERE effective_month > (SELECT last_month FROM bounds) GROUP BY 1"))
@@ -101,28 +123,36 @@ def refused_flows(f: Frames) -> DataFrame:
     return late.groupBy(F.col("effective_month").alias("month")).agg(F.count("*").alias("n"))
 
 
-def _group_differences(f: Frames, measures: list[str]) -> DataFrame:
-    g = f.base_by_group.groupBy("entity", "month").agg(*(F.sum(m).alias(f"g_{m}") for m in measures))
-    differ = [F.col(m) != F.col(f"g_{m}") for m in measures]
-    wrong = differ[0]
-    for d in differ[1:]:
-        wrong = wrong | d
-    return f.base.join(g, ["entity", "month"]).where(wrong).select("entity", "month")
+_NONE = "CAST(NULL AS VARCHAR) AS measure, CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS summed"
 
 
-@query(sql("SELECT entity, month FROM base WHERE false"))
+@query(sql(f"SELECT entity, month, {_NONE} FROM base WHERE false"))
 def group_partition_check(f: Frames) -> DataFrame:
     """Groups add up to the core, measure by measure."""
-    return _group_differences(f, ["stock", *FLOWS])
+    return K.sums(f.base, f.base_by_group, ["entity", "month"], ["stock", *FLOWS])
 
 
-@query(sql("SELECT entity, month FROM base WHERE false"))
+@query(sql(f"SELECT entity, period, dimension, {_NONE} FROM (SELECT entity, grain AS period, grain AS dimension FROM rolled) WHERE false"))
 def breakdown_partition_check(f: Frames) -> DataFrame:
-    """The values of a dimension add up to the outflow."""
-    from stockflow.queries.cubes import _segments
+    """The values of each dimension of the breakdown cube add up to the fiscal years' outflow, in sum and by category."""
+    from stockflow.queries.cubes import OUT_DIMENSIONS, cube_outflow_breakdown
 
-    n = _segments(f).groupBy("entity", "month").agg(F.sum("flow").alias("n"))
-    return f.base.join(n, ["entity", "month"]).where("n <> outflow").select("entity", "month")
+    measures = ["flow", *(f"out_{c.lower()}" for c in CODES), "overlay"]
+    fy = U.roll_up(B.alive(f.base), ["outflow", *measures[1:]]).where("grain = 'fy'").withColumnRenamed("outflow", "flow")
+    whole = fy.select("entity", "period", F.explode(F.array(*map(F.lit, OUT_DIMENSIONS))).alias("dimension"), *measures)
+    return K.sums(whole, cube_outflow_breakdown(f).where("grain = 'fy'"), ["entity", "period", "dimension"], measures)
+
+
+@query(sql(f"SELECT entity, period, value AS v, {_NONE} FROM (SELECT entity, period, grain AS value FROM rolled) WHERE false"))
+def breakdown_recomputation(f: Frames) -> DataFrame:
+    """The breakdown by segment against a plain count of the rows, year by year."""
+    from stockflow.functions.calendar import fy_key
+    from stockflow.queries.cubes import cube_outflow_breakdown
+
+    cube = cube_outflow_breakdown(f).where("grain = 'fy' AND dimension = 'segment' AND entity <> 'ALL'").select("entity", "period", F.col("value").alias("v"), "flow")
+    kept = f.outflow.join(B.entity_ends(f.base), "entity").where("effective_month <= last_month")
+    direct = kept.groupBy("entity", fy_key(F.col("effective_month")).alias("period"), F.col("segment").alias("v")).agg(F.count("*").alias("flow"))
+    return K.sums(cube, direct, ["entity", "period", "v"], ["flow"])
 
 
 @query(sql("SELECT entity, period FROM rolled WHERE false"))
@@ -134,10 +164,39 @@ def share_sum_check(f: Frames) -> DataFrame:
     return s.where(F.abs(F.col("s") - 1) > 0.001).select("entity", "period")
 
 
-@query(sql("SELECT entity, era, max(n) AS months, bool_and(run_outflow >= outflow_now) AS grows FROM (SELECT r.*, b.outflow AS outflow_now FROM running r JOIN base b USING (entity, month)) GROUP BY ALL"))
+@query(sql("SELECT entity, era AS group_code, era, n, era AS problem FROM running WHERE false"))
 def era_check(f: Frames) -> DataFrame:
-    r = U.running(f.base, f.eras, ["outflow"])
-    return r.groupBy("entity", "era").agg(F.max("n").alias("months"), F.bool_and(F.col("run_outflow") >= F.col("outflow")).alias("grows"))
+    """The era cube against the months it runs over, and its groups against all."""
+    from stockflow.queries.cubes import _ERA_FLOWS, cube_era
+
+    return K.eras(cube_era(f), B.alive(f.base_all_groups), _ERA_FLOWS)
+
+
+@query(sql("SELECT entity, grain, period FROM rolled WHERE false"))
+def small_base_check(f: Frames) -> DataFrame:
+    """Small-base flags of the core cube's three rates are those of their denominators."""
+    from stockflow.queries.cubes import cube_core
+
+    cube, keys = cube_core(f), ["entity", "grain", "period"]
+    a, b, c = (K.small_bases(cube, f"rate_{m}_den", f"rate_{m}_small", keys) for m in "abc")
+    return a.unionByName(b).unionByName(c)
+
+
+@query("SELECT fiscal_year, CAST(month AS VARCHAR) AS month FROM (VALUES ('FY1998', DATE '1997-03-01')) t(fiscal_year, month)")
+def break_year_check(f: Frames) -> DataFrame:
+    """Listed breaks whose month lies in another fiscal year than they say: one is planted, the breaks of the data are right."""
+    from stockflow.functions.calendar import fy_key
+
+    years = f.month_flags.select("month")
+    listed = f.spark.createDataFrame([*BREAKS, ("FY1998", "1997-03-01")], "fiscal_year string, m string").select("fiscal_year", F.to_date("m").alias("month"))
+    return K.breaks(listed.join(years, "month"), fy_key(F.col("month")))
+
+
+@query(sql(f"SELECT entity, why FROM (SELECT entity, 'flows after its end' AS why FROM base GROUP BY entity HAVING max(month) FILTER (inflow > 0 OR outflow > 0) > max(month) FILTER (stock > 0 AND NOT (entity = 'ASIA' AND month > DATE '2000-06-01')))"))
+def entity_end_check(f: Frames) -> DataFrame:
+    """Entities with flows after their last month of stock (one is cut here)."""
+    cut = (F.col("entity") == "ASIA") & (F.col("month") > F.lit("2000-06-01").cast("date"))
+    return B.refused_ends(f.base.withColumn("stock", F.when(cut, 0).otherwise(F.col("stock"))))
 
 
 @query(sql("SELECT effective_month AS month, code FROM inflow WHERE code NOT IN (" + ", ".join(sorted({repr(c) for c, *_ in HIERARCHY})) + ") GROUP BY ALL"))
@@ -147,14 +206,17 @@ def overlap_partition_check(f: Frames) -> DataFrame:
     return f.inflow.join(F.broadcast(known), "code", "left_anti").select(F.col("effective_month").alias("month"), "code").distinct()
 
 
-@query(sql("SELECT strftime(month, '%Y-%m') AS month, n AS listed, n AS present FROM (SELECT order_month AS month, count(*) AS n FROM ordered GROUP BY 1)"))
+@query(sql("SELECT strftime(month, '%Y-%m') AS month, n AS listed, n AS present, true AS same_size FROM (SELECT order_month AS month, count(*) AS n FROM ordered GROUP BY 1)"))
 def manifest_reconciliation(f: Frames) -> DataFrame:
-    """A manifest's sizes against the partitions that are really there."""
+    """A manifest's rows and file sizes, as JSON, against the files that are really there."""
     from stockflow.functions.calendar import month_key
     from stockflow.sources.files import work_dir
 
-    out = work_dir(f.spark, "months")
+    out, listing = work_dir(f.spark, "months"), work_dir(f.spark, "manifest")
     keyed = f.orders.select("o_orderkey", month_key(F.col("order_month")).alias("month"))
     keyed.repartition("month").write.partitionBy("month").parquet(out)
-    there = f.spark.read.schema("o_orderkey long, month string").parquet(out).groupBy("month").agg(F.count("*").alias("present"))
-    return keyed.groupBy("month").agg(F.count("*").alias("listed")).join(there, "month", "full_outer")
+    read = lambda: f.spark.read.schema("o_orderkey long, month string").parquet(out).select("month", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")).groupBy("month", "file", "size").agg(F.count("*").alias("n"))
+    keyed.groupBy("month").agg(F.count("*").alias("listed")).join(read().groupBy("month").agg(F.sum("size").alias("bytes")), "month").write.json(listing)
+    there = read().groupBy("month").agg(F.sum("n").alias("present"), F.sum("size").alias("size"))
+    listed = f.spark.read.schema("month string, listed long, bytes long").json(listing)
+    return listed.join(there, "month", "full_outer").select("month", "listed", "present", F.col("bytes").eqNullSafe(F.col("size")).alias("same_size"))

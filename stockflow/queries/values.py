@@ -28,10 +28,12 @@ def yyyymm_to_month(f: Frames) -> DataFrame:
     return f.orders.select("o_orderkey", raw.alias("raw"), R.yyyymm(raw).alias("month"), R.yyyymm(F.when(F.col("o_orderkey") % 7 == 0, "202413").otherwise(raw)).alias("checked"))
 
 
-@query(sql("SELECT file_month, count(*) AS n, count(*) FILTER (coalesce(overlay, code) = 'R') AS loader_form FROM all_outflow WHERE (CASE WHEN file_month >= DATE '1998-01-01' THEN code ELSE group_code END) IN ('R') OR (file_month < DATE '1998-01-01' AND group_code = 'R') GROUP BY file_month"))
+@query(sql("SELECT file_month, count(*) AS n, count(*) FILTER (code = 'R') AS by_code FROM all_outflow WHERE CASE WHEN file_month >= DATE '1998-01-01' THEN code = 'R' ELSE overlay = 'Y' AND code <> 'A' END GROUP BY file_month"))
 def scoped_population(f: Frames) -> DataFrame:
-    inside = R.scope(F.col("file_month"), "1998-01-01", F.col("code"), F.col("group_code"), "R")
-    return f.all_outflow.where(inside).groupBy("file_month").agg(F.count("*").alias("n"), F.count_if(F.coalesce("overlay", "code") == "R").alias("loader_form"))
+    """The population by the new code from 1998 on, by an old one (of two fields) before."""
+    old = F.when((F.col("overlay") == "Y") & (F.col("code") != "A"), "R").otherwise("none")
+    inside = R.scope(F.col("file_month"), "1998-01-01", F.col("code"), old, "R")
+    return f.all_outflow.where(inside).groupBy("file_month").agg(F.count("*").alias("n"), F.count_if(F.col("code") == "R").alias("by_code"))
 
 
 @query(sql("SELECT strftime(file_month, '%Y-%m') AS file_month, entity AS agency, code AS category, years_text AS length_of_service FROM all_outflow"))
@@ -128,9 +130,14 @@ def period_table(f: Frames) -> DataFrame:
     return p.groupBy("grain", "period").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.max("expected").alias("expected"), F.count("*").alias("published"))
 
 
-@query(sql("SELECT * FROM bridge"))
+@query(sql("""SELECT * FROM bridge UNION ALL SELECT 't12', strftime(e.month, '%Y-%m'), m.month, 12 FROM months e JOIN months m ON m.month BETWEEN e.month - INTERVAL 11 MONTH AND e.month WHERE e.month >= (SELECT first_month + INTERVAL 11 MONTH FROM bounds)
+    UNION ALL SELECT 'era', era, month, count(*) OVER (PARTITION BY era) FROM months JOIN eras ON month BETWEEN first_month AND last_month"""))
 def period_bridge(f: Frames) -> DataFrame:
-    return C.bridge(f.stock.select("month").distinct())
+    """Each month with its month, quarter, fiscal year, trailing windows and eras."""
+    from stockflow.plans.full import windows
+
+    more = windows(f.month_flags, f.eras).where("grain IN ('t12', 'era')").select("grain", "period", "month", F.col("window_months").alias("expected"))
+    return C.bridge(f.month_flags.select("month")).select("grain", "period", "month", "expected").unionByName(more)
 
 
 @query(sql("SELECT m.month, era FROM months m JOIN eras ON m.month BETWEEN first_month AND last_month"))
@@ -158,18 +165,28 @@ def select_range(f: Frames) -> DataFrame:
     return r.where((F.col("last_month") >= F.lit("1996-05-01").cast("date")) & (F.add_months("last_month", -2) <= F.lit("1999-02-01").cast("date"))).select("entity", "grain", "period", "last_month", "stock")
 
 
-@query(sql("SELECT greatest(least(DATE '1999-05-01', DATE '1990-01-01'), first_month) AS first_month, least(greatest(DATE '1999-05-01', DATE '1990-01-01'), last_month) AS last_month FROM bounds"))
+_ASKED = "(VALUES ('1999-05', '1990-01'), ('FY1997Q2', 'FY1997Q2'), ('FY1996', '1998-02'), ('2001-01', '2010-12')) a(a, b)"
+
+
+@query(sql(f"""SELECT grain, a, b, CAST(min(month) AS DATE) AS first_month, CAST(max(month) AS DATE) AS last_month, arg_min(period, month) AS first_period, arg_max(period, month) AS last_period FROM (
+    SELECT a.a, a.b, b.grain, b.period, b.month FROM (SELECT a, b, least(x.lo, y.lo) AS lo, greatest(x.hi, y.hi) AS hi FROM {_ASKED} JOIN keys x ON x.key = a.a JOIN keys y ON y.key = a.b) a JOIN bridge b ON true
+    WHERE EXISTS (SELECT 1 FROM bridge c WHERE c.grain = b.grain AND c.period = b.period AND c.month BETWEEN a.lo AND a.hi)) GROUP BY ALL""").replace("WITH ", """WITH keys AS (SELECT * FROM (VALUES ('1999-05', DATE '1999-05-01', DATE '1999-05-01'), ('1990-01', DATE '1990-01-01', DATE '1990-01-01'), ('FY1997Q2', DATE '1997-01-01', DATE '1997-03-01'),
+    ('FY1996', DATE '1995-10-01', DATE '1996-09-01'), ('1998-02', DATE '1998-02-01', DATE '1998-02-01'), ('2001-01', DATE '2001-01-01', DATE '2001-01-01'), ('2010-12', DATE '2010-12-01', DATE '2010-12-01')) k(key, lo, hi)),
+""", 1))
 def snap_range(f: Frames) -> DataFrame:
-    """A reversed range that begins too early: swapped and cut to the data."""
-    a, b = F.lit("1999-05-01").cast("date"), F.lit("1990-01-01").cast("date")
-    return f.last_month.select(F.greatest(F.least(a, b), "first_month").alias("first_month"), F.least(F.greatest(a, b), "last_month").alias("last_month"))
+    """Ranges as asked for, by keys of any grain: swapped if reversed, cut to the data, and snapped to whole periods of each grain."""
+    asked = f.spark.createDataFrame([("1999-05", "1990-01"), ("FY1997Q2", "FY1997Q2"), ("FY1996", "1998-02"), ("2001-01", "2010-12")], "a string, b string")
+    x, y = C.bounds_of(F.col("a")), C.bounds_of(F.col("b"))
+    asked = asked.select("a", "b", F.least(x["first_month"], y["first_month"]).alias("lo"), F.greatest(x["last_month"], y["last_month"]).alias("hi"))
+    p = C.bridge(f.month_flags.select("month")).groupBy("grain", "period").agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    near = F.broadcast(asked).join(p, (F.col("last") >= F.col("lo")) & (F.col("first") <= F.col("hi")))
+    return near.groupBy("grain", "a", "b").agg(F.min("first").alias("first_month"), F.max("last").alias("last_month"), F.min_by("period", "first").alias("first_period"), F.max_by("period", "last").alias("last_period"))
 
 
-@query(sql("SELECT entity, grain, period, CASE WHEN months > expected THEN 'too many months' WHEN months < expected AND NOT partial THEN 'early end' END AS problem FROM rolled WHERE months > expected OR partial <> (months < expected)"))
+@query(sql("SELECT entity, grain, period, period AS problem FROM rolled WHERE false"))
 def validate_period_rows(f: Frames) -> DataFrame:
-    """Period rows that contradict themselves (none)."""
-    from stockflow.operators.rollup import roll_up
+    """Rows of the core cube that contradict themselves (none)."""
+    from stockflow.operators import checks as K
+    from stockflow.queries.cubes import cube_core
 
-    r = roll_up(f.base, ["inflow"])
-    problem = F.when(F.col("months") > F.col("expected"), "too many months").when((F.col("months") < F.col("expected")) & ~F.col("partial"), "early end").when(C.grain_of(F.col("period")) != F.col("grain"), "key of another grain")
-    return r.select("entity", "grain", "period", problem.alias("problem")).where("problem is not null")
+    return K.period_rows(cube_core(f), C.grain_of(F.col("period")))
