@@ -233,12 +233,13 @@ def _across(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     at most as many places as there are items that only one of the two has.
     """
     parity = [f"w{i}" for i in range(PARITY // 64)]
-    items = nodes.join(sets, "node").select("node", "component", *parity, F.size("items").alias("size"), F.explode("items").alias("item"))
+    items = nodes.join(sets, "node").select("node", "component", F.size("items").alias("size"), F.explode("items").alias("item"))
     counts = items.groupBy("item").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
     w = Window.partitionBy("node").orderBy("n", "item")
     ranked = items.join(counts, "item").withColumn("nth", F.row_number().over(w))
     rare = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("x") != F.col("y")))
-    rare = written(rare.select("item", "node", "component", "size", "nth", *parity), "rare")
+    rare = rare.select("item", "node", "component", "size", "nth").join(sets.select("node", *parity), "node")
+    rare = written(rare, "rare")
     other = rare.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "nth", *parity)))
     needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-6
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in parity[1:]), F.bit_count(F.col(parity[0]).bitwiseXOR(F.col(f"{parity[0]}_b"))))
