@@ -3,20 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one is set only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="stockflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from stockflow.sources.files import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

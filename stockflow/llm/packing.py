@@ -2,13 +2,17 @@
 
 Pieces are dealt by hash into shards of bounded size. Each shard has a few islands, which evolve populations of whole
 packings in epochs: a crossover injects well-filled bins of one parent into the other, removes the bins that hold the
-same pieces, and best-fits the displaced ones. Between epochs each island's elite migrates to the next island. The bins
-that stay loose in the best packings are dealt into new shards and evolved again, until one shard is left or LEVELS are done.
+same pieces, lets displaced pieces take the place of smaller ones in bins with room, and best-fits what is left; a
+mutation breaks some bins up in the same way. After each epoch but the last, each island's elite migrates to the next
+island. A shard is done at the bound that its lengths' sum sets; one that is far from it evolves for longer. The bins that
+stay loose in the best packings, with as many full ones of small pieces, are dealt into new shards and evolved again, until
+one shard is left or nothing shrinks.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +24,13 @@ from stockflow.llm.common import blocks_for, dealt, texts, written
 from stockflow.llm.tokens import encoder
 
 PER_SHARD = 4096
-LEVELS = 3
 ISLANDS = 3
-EPOCHS = 2
-GENERATIONS = 4
+EPOCHS = 3
+GENERATIONS = 3
+HARD, HARD_GENERATIONS = 0.002, 30
 POPULATION = 4
 LOOSE = 0.995
+SHRINKS = 0.9
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,8 +107,43 @@ def fitness(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> float:
     return float((fill * fill).mean() - len(fill))
 
 
+def replaced(lengths: np.ndarray, capacity: int, start: np.ndarray) -> None:
+    """Displaced pieces (-1 in ``start``) take the place of one or two smaller ones in bins with room, so that bins get fuller and what is displaced smaller."""
+    free = np.flatnonzero(start < 0)
+    if not len(free):
+        return
+    size = lengths.tolist()
+    pool = sorted(zip(lengths[free].tolist(), free.tolist(), strict=True))
+    kept = np.flatnonzero(start >= 0)
+    order = kept[np.argsort(start[kept], kind="stable")]
+    load = np.bincount(start[kept], lengths[kept])
+    cuts = np.flatnonzero(np.diff(start[order])) + 1
+    for own in np.split(order, cuts):
+        if not len(own):
+            continue
+        bin_, own = start[own[0]], own.tolist()
+        room = capacity - int(load[bin_])
+        for out in [*((i,) for i in own), *((i, j) for k, i in enumerate(own) for j in own[k + 1 :])] if room and len(own) <= 12 else ():
+            taken = sum(size[i] for i in out)
+            at = bisect_right(pool, (taken + room, len(size))) - 1
+            if at >= 0 and pool[at][0] > taken:
+                _, new = pool.pop(at)
+                start[new] = bin_
+                for i in out:
+                    start[i] = -1
+                    insort(pool, (size[i], i))
+                break
+
+
+def rebuilt(lengths: np.ndarray, capacity: int, start: np.ndarray) -> np.ndarray:
+    """A whole packing from one with displaced pieces: replacements, then best fit by decreasing length."""
+    replaced(lengths, capacity, start)
+    free = np.flatnonzero(start < 0)
+    return best_fit(lengths, capacity, free[np.argsort(-lengths[free], kind="stable")], start)
+
+
 def crossover(lengths: np.ndarray, capacity: int, a: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Some of b's well-filled bins go into a; a's bins with the same pieces go, and so do its loosest; the displaced are best-fitted."""
+    """Some of b's well-filled bins go into a; a's bins with the same pieces go, and so do its loosest; the displaced are placed anew."""
     load_a, load_b = np.bincount(a, lengths), np.bincount(b, lengths)
     good = np.flatnonzero(load_b >= np.quantile(load_b, 0.7))
     chosen = rng.choice(good, max(1, len(good) // 6), replace=False)
@@ -113,21 +153,32 @@ def crossover(lengths: np.ndarray, capacity: int, a: np.ndarray, b: np.ndarray,
     gone[np.argsort(load_a)[: max(1, len(load_a) // 50)]] = True
     start = np.where(gone[a], -1, a)
     start[injected] = len(load_a) + b[injected]
-    free = np.flatnonzero(start < 0)
-    return best_fit(lengths, capacity, free[np.argsort(-lengths[free], kind="stable")], start)
+    return rebuilt(lengths, capacity, start)
+
+
+def mutated(lengths: np.ndarray, capacity: int, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The loosest bins and a few others are broken up; their pieces are placed anew."""
+    load = np.bincount(a, lengths)
+    gone = np.zeros(len(load), bool)
+    gone[np.argsort(load)[: max(1, len(load) // 30)]] = True
+    gone[rng.choice(len(load), max(1, len(load) // 30), replace=False)] = True
+    return rebuilt(lengths, capacity, np.where(gone[a], -1, a))
 
 
 def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], rng: np.random.Generator, generations: int) -> list[np.ndarray]:
-    """The population after so many generations, best first; it stops early at the bound that the lengths' sum sets."""
+    """The population after so many generations (HARD_GENERATIONS while the best is further than HARD from the bound that the lengths' sum sets), best first; it stops early at the bound."""
     least = -(-int(lengths.sum()) // capacity)
     scored = sorted(((fitness(lengths, x, capacity), i, x) for i, x in enumerate(population)), reverse=True)
     serial = len(scored)
-    for _ in range(generations):
-        if scored[0][2].max(initial=-1) + 1 <= least:
+    for generation in range(HARD_GENERATIONS):
+        bins = int(scored[0][2].max(initial=-1)) + 1
+        if bins <= least or generation >= generations and bins - least <= HARD * least:
             break
-        for _ in range(len(population) // 2):
+        children = []
+        for _ in range(max(1, len(population) // 2)):
             i, j = sorted(rng.choice(len(scored), 2, replace=False)) if len(scored) > 1 else (0, 0)
-            child = crossover(lengths, capacity, scored[i][2], scored[j][2], rng)
+            children += [crossover(lengths, capacity, scored[i][2], scored[j][2], rng), mutated(lengths, capacity, scored[i][2], rng)]
+        for child in children:
             serial += 1
             scored.append((fitness(lengths, child, capacity), serial, child))
         scored = sorted(scored, reverse=True)[: len(population)]
@@ -141,7 +192,11 @@ def first_population(lengths: np.ndarray, capacity: int, size: int, rng: np.rand
 
 
 def _islands(items: DataFrame, capacity: int, seed: int, islands: int, epochs: int) -> DataFrame:
-    """item, length, shard, bin, fill, offset: the best packing of each shard of ``items`` (item, length, shard)."""
+    """item, length, shard, bin, loose, offset: the best packing of each shard of ``items`` (item, length, shard).
+
+    Loose are the bins below LOOSE of the capacity, and as many full ones of the most pieces: small pieces are what large
+    ones lack.
+    """
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item")
@@ -175,7 +230,10 @@ def _islands(items: DataFrame, capacity: int, seed: int, islands: int, epochs: i
                 order, fill = np.argsort(bins, kind="stable"), np.bincount(bins, lengths).astype(np.int64)
                 before = np.zeros(len(lengths), np.int64)
                 before[order] = np.cumsum(lengths[order]) - lengths[order] - (np.cumsum(fill) - fill)[bins[order]]
-                yield pd.DataFrame({"item": np.frombuffer(r.items, "<i8"), "length": lengths, "shard": r.shard, "bin": bins, "fill": fill[bins], "offset": before})
+                loose = fill < LOOSE * capacity
+                full = np.flatnonzero(~loose)
+                loose[full[np.argsort(-np.bincount(bins)[full], kind="stable")[: loose.sum()]]] = True
+                yield pd.DataFrame({"item": np.frombuffer(r.items, "<i8"), "length": lengths, "shard": r.shard, "bin": bins, "loose": loose[bins], "offset": before})
 
     schema = "shard long, items binary, lengths binary, population binary, elite binary, score double"
     state = items.groupBy("shard").applyInPandas(gather, schema).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
@@ -186,29 +244,31 @@ def _islands(items: DataFrame, capacity: int, seed: int, islands: int, epochs: i
             state = state.withColumn("elite", F.coalesce(F.lag("elite").over(ring), F.last("elite").over(whole)))
         state = state.mapInPandas(epoch(number), "shard long, island int, items binary, lengths binary, population binary, elite binary, score double")
     best = state.withColumn("n", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("score"), "island"))).where("n = 1")
-    return best.select("shard", "items", "lengths", "elite").mapInPandas(placed, "item long, length long, shard long, bin long, fill long, offset long")
+    return best.select("shard", "items", "lengths", "elite").mapInPandas(placed, "item long, length long, shard long, bin long, loose boolean, offset long")
 
 
 def pack(items: DataFrame, capacity: int, seed: int = 11, per_shard: int = PER_SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """item, sequence_id, offset for each of ``items`` (item long, unique; length from 1 to ``capacity``).
 
     Sequences hold at most ``capacity`` and their offsets are gapless from 0. Full pieces make sequences of their own. No
-    task holds more than about ``per_shard`` pieces; ties are broken by item. An empty table gives no rows.
+    task holds more than about ``per_shard`` pieces; ties are broken by item. What is loose is packed again while it shrinks. An empty table gives no rows.
     """
     full = items.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("item", F.col("length").cast("long").alias("length"))
-    shards = blocks_for(rest.count(), per_shard)
+    count = rest.count()
+    shards = blocks_for(count, per_shard)
     rest, done, level = rest.withColumn("shard", dealt("item", shards).cast("long")), [full], 0
     while True:
         found = written(_islands(rest, capacity, seed + level, islands, epochs), "packed")
-        last = shards == 1 or level == LEVELS
-        final = found if last else found.where(F.col("fill") >= LOOSE * capacity)
+        loose = found.where("loose")
+        before, count = count, loose.count()
+        last = shards == 1 or count > SHRINKS * before
+        final = found if last else found.where("NOT loose")
         done.append(final.select("item", (F.lit(level) * (1 << 58) + F.col("shard") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
             break
-        loose, level = found.where(F.col("fill") < LOOSE * capacity).select("item", "length"), level + 1
-        shards = blocks_for(loose.count(), per_shard)
-        rest = loose.withColumn("shard", dealt("item", shards).cast("long"))
+        level, shards = level + 1, blocks_for(count, per_shard)
+        rest = loose.select("item", "length").withColumn("shard", dealt("item", shards).cast("long"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -103,6 +103,38 @@ def test_packing_takes_pieces_that_never_fit_together(spark):
     assert packing.pack(items, 100, per_shard=100).select("sequence_id").distinct().count() == 900
 
 
+def triplets(n, rng):
+    """Lengths of which three fill a bin of 1000, and which best fit packs badly."""
+    out = []
+    for _ in range(n):
+        a = rng.integers(380, 490)
+        b = rng.integers(250, (1000 - a) // 2 + 1)
+        out += [a, b, 1000 - a - b]
+    return rng.permutation(np.array(out, np.int64))
+
+
+def test_evolution_beats_best_fit_on_hard_lengths(spark):
+    rng = np.random.default_rng(1)
+    lengths = triplets(300, rng)
+    best_fit = int(packing.best_fit(lengths, 1000, np.argsort(-lengths, kind="stable")).max()) + 1
+    first = packing.first_population(lengths, 1000, 4, rng)
+    found = packing.evolve(lengths, 1000, first, rng, 3)[0]
+    assert np.bincount(found, lengths).max() <= 1000 and found.max() + 1 < 0.92 * best_fit
+    for a, b in itertools.permutations(first[:3], 2):
+        for child in (packing.crossover(lengths, 1000, a, b, rng), packing.mutated(lengths, 1000, a, rng)):
+            assert child.min() == 0 and np.bincount(child, lengths).max() <= 1000 and len(np.unique(child)) == child.max() + 1
+    items = spark.createDataFrame(list(enumerate(lengths.tolist())), "item long, length long")
+    spread = packing.pack(items, 1000, per_shard=450).join(items, "item").groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    assert spread.where("n > 1000").count() == 0 and spread.count() < 0.94 * best_fit
+
+
+def test_replacements_leave_fuller_bins():
+    lengths = np.array([40, 30, 20, 50, 95, 69], np.int64)
+    start = np.array([0, 0, 0, 1, -1, -1])  # bins of 90 and 50; 95 and 69 are displaced
+    packing.replaced(lengths, 100, start)
+    assert sorted(np.flatnonzero(start < 0).tolist()) == [0, 2, 3] and start[5] == 0 and start[4] == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 5000, 700_000])
 def test_rans_round_trip_and_checkpoints(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 50257).astype(np.uint32)
