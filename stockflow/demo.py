@@ -79,13 +79,18 @@ class Frames:
     def issue(self) -> Column:
         return ISSUE.hits(F.col("file_month"), F.col("years"))
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """month, entity, group_code of every order: what the stock has, with repetitions."""
+        return self.inflow.select(F.col("effective_month").alias("month"), "entity", "group_code")
+
     @cached_property
     def base(self) -> DataFrame:
-        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue)
+        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, rows=self.rows)
 
     @cached_property
     def base_by_group(self) -> DataFrame:
-        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, ["group_code"])
+        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, ["group_code"], self.rows)
 
     @cached_property
     def base_all_groups(self) -> DataFrame:

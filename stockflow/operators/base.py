@@ -42,7 +42,7 @@ def months_of(stock: DataFrame) -> DataFrame:
 
 
 def grid(stock: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """entity x month (x keys), the total included: both sides are small dimensions."""
+    """entity x month (x keys), the total included: both sides are small dimensions. ``stock`` may be any rows that have all entities and months, so that the stock need not be worked out for them."""
     entities = stock.select("entity").distinct().unionByName(stock.sparkSession.createDataFrame([(TOTAL,)], "entity string"))
     out = entities.crossJoin(months_of(stock))
     return out if keys is None else out.crossJoin(keys)
@@ -53,15 +53,15 @@ def filled(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in df.columns if c not in keys))
 
 
-def monthly_base(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, codes: list[str], issue: Column, by: list[str] | None = None) -> DataFrame:
-    """Per entity (and keys) and month: stock, flows, categories and measured values, 0 where there is nothing."""
+def monthly_base(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, codes: list[str], issue: Column, by: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Per entity (and keys) and month: stock, flows, categories and measured values, 0 where there is nothing. ``rows`` (else the stock) have all entities, months and keys."""
     by = by or []
-    keys = ["entity", "month", *by]
-    dims = stock.select(*by).distinct() if by else None
+    keys, rows = ["entity", "month", *by], stock if rows is None else rows
+    dims = rows.select(*by).distinct() if by else None
     s = with_total(stock, "month", by, [F.count("*").alias("stock")])
     i = with_total(inflow, "effective_month", by, [F.count("*").alias("inflow")])
     o = with_total(outflow, "effective_month", by, [*flow_counts(codes), *measured("years", issue)])
-    return filled(grid(stock, dims).join(s, keys, "left").join(i, keys, "left").join(o, keys, "left"), keys)
+    return filled(grid(rows, dims).join(s, keys, "left").join(i, keys, "left").join(o, keys, "left"), keys)
 
 
 def provisional(months: DataFrame, newest: int = 3) -> DataFrame:

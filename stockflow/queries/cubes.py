@@ -167,7 +167,7 @@ def _breakdown(f: Frames, flow: DataFrame, dimensions: list[str], measures: dict
         order = F.row_number().over(Window.orderBy("n_name"))
         values = values.unionByName(f.table("nation").select(F.lit("nation").alias("dimension"), F.col("n_name").alias("value"), order.alias("value_order"), F.lit("R").alias("kind"), F.lit(False).alias("is_unknown"), F.lit(True).alias("has_stock")))
     rated = {d: _value_of(f, d) for d in dimensions if _DIMENSIONS[d][2] == "R"}
-    return X.breakdown_cube(X.valued(f.stock, rated), X.valued(flow, {d: _value_of(f, d) for d in dimensions}), values, f.month_flags, X.windows(f.month_flags, f.eras, trailing=not by), measures, by)
+    return X.breakdown_cube(X.valued(f.stock, rated), X.valued(flow, {d: _value_of(f, d) for d in dimensions}), values, f.month_flags, X.windows(f.month_flags, f.eras, trailing=not by), measures, by, f.rows)
 
 
 def _out_measures() -> dict:
@@ -318,7 +318,7 @@ _NODE_CUBE = f"""SELECT entity, node, grain, period, n, last_month, months, mont
 def _node_cube(f: Frames) -> DataFrame:
     nodes = f.spark.createDataFrame(SEGMENT_NODES, "code string, node string, level int")
     coded = lambda rows: rows.withColumn("code", F.col("segment"))
-    return X.overlap_cube(coded(f.stock), coded(f.inflow), coded(f.outflow), nodes, f.month_flags, f.eras)
+    return X.overlap_cube(coded(f.stock), coded(f.inflow), coded(f.outflow), nodes, f.month_flags, f.eras, rows=f.rows)
 
 
 @query(sql(_NODE_CUBE))
