@@ -47,7 +47,7 @@ class Frames:
 
     @cached_property
     def orders(self) -> DataFrame:
-        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("status"), month_of("o_orderdate").alias("order_month"))
+        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), month_of("o_orderdate").alias("order_month"))
         return o.join(self.members, "o_custkey")
 
     @cached_property
@@ -57,7 +57,7 @@ class Frames:
 
     @cached_property
     def inflow(self) -> DataFrame:
-        return self.orders.select(F.col("order_month").alias("effective_month"), F.col("order_month").alias("file_month"), "entity", F.substring("o_orderpriority", 1, 1).alias("code"), "group_code", "segment", "nation", "balance", "status", "o_orderpriority")
+        return self.orders.select(F.col("order_month").alias("effective_month"), F.col("order_month").alias("file_month"), "entity", F.substring("o_orderpriority", 1, 1).alias("code"), "group_code", "segment", "nation", "balance", "status", "price", "o_orderpriority")
 
     @cached_property
     def all_outflow(self) -> DataFrame:
@@ -125,9 +125,9 @@ PRELUDE = """
 members AS (SELECT c_custkey, r_name AS entity, c_mktsegment AS segment, n_name AS nation, c_acctbal AS balance,
     CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'other' END AS group_code
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-ordered AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus AS status, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month, m.* FROM orders JOIN members m ON o_custkey = c_custkey),
+ordered AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus AS status, o_totalprice AS price, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month, m.* FROM orders JOIN members m ON o_custkey = c_custkey),
 stock AS (SELECT DISTINCT order_month AS month, entity, o_custkey AS member, group_code, segment, nation, balance FROM ordered),
-inflow AS (SELECT order_month AS effective_month, order_month AS file_month, entity, substr(o_orderpriority, 1, 1) AS code, group_code, segment, nation, balance, status, o_orderpriority FROM ordered),
+inflow AS (SELECT order_month AS effective_month, order_month AS file_month, entity, substr(o_orderpriority, 1, 1) AS code, group_code, segment, nation, balance, status, price, o_orderpriority FROM ordered),
 bounds AS (SELECT min(month) AS first_month, max(month) AS last_month FROM stock),
 all_outflow AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS effective_month, order_month AS file_month, entity, l_returnflag AS code,
     CASE WHEN l_linestatus = 'O' THEN 'Y' END AS overlay, CAST(l_quantity AS BIGINT) AS years,

@@ -97,6 +97,12 @@ def _values(f: Frames, *values: str) -> DataFrame:
 #: Ranges of the balance; a negative one is not known.
 BALANCE = [Rule("below 3000", "range", 0, 3000), Rule("3000-5999", "range", 3000, 6000), Rule("6000+", "range", 6000), Rule("Unknown", "unknown")]
 _BALANCE = "CASE WHEN balance IS NULL OR balance < 0 THEN 'Unknown' WHEN balance < 3000 THEN 'below 3000' WHEN balance < 6000 THEN '3000-5999' ELSE '6000+' END"
+#: Months from an order to its shipping; shipped before it, it is not known.
+DELAY = [Rule("same month", "range", 0, 1), Rule("1-11 months", "range", 1, 12), Rule("12-35 months", "range", 12, 36), Rule("36+ months", "range", 36), Rule("Unknown", "unknown")]
+_LAG = "date_diff('month', file_month, effective_month)"
+_DELAY = f"CASE WHEN {_LAG} < 0 THEN 'Unknown' WHEN {_LAG} < 1 THEN 'same month' WHEN {_LAG} < 12 THEN '1-11 months' WHEN {_LAG} < 36 THEN '12-35 months' ELSE '36+ months' END"
+PRICE = [Rule("below 100000", "range", 0, 100_000), Rule("100000-299999", "range", 100_000, 300_000), Rule("300000+", "range", 300_000), Rule("Unknown", "unknown")]
+_PRICE = "CASE WHEN price IS NULL THEN 'Unknown' WHEN price < 100000 THEN 'below 100000' WHEN price < 300000 THEN '100000-299999' ELSE '300000+' END"
 _STATUS = "CASE WHEN status = 'P' THEN 'Unknown' WHEN status = 'F' THEN 'done' ELSE 'open' END"
 #: Dimensions of the breakdowns: how SQL gives their value, their values in order (None: names of nations), and their kind.
 _DIMENSIONS = {
@@ -105,11 +111,16 @@ _DIMENSIONS = {
     "balance": (_BALANCE, ["below 3000", "3000-5999", "6000+", "Unknown"], "R"),
     "years": (_BY_YEARS, ["0-9", "10-19", "20-29", "30+", "Unknown"], "N"),
     "code": ("code", ["A", "N", "R"], "N"),
+    "overlay": ("CASE WHEN overlay = 'Y' THEN 'with' ELSE 'without' END", ["with", "without"], "N"),
+    "delay": (_DELAY, [r.value for r in DELAY], "N"),
+    "urgency": ("code", ["1", "2", "3", "4", "5"], "N"),
+    "price": (_PRICE, [r.value for r in PRICE], "N"),
     "priority": ("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'pressing' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Unknown' ELSE 'normal' END", ["pressing", "normal", "Unknown"], "S"),
     "status": (_STATUS, ["done", "open", "Unknown"], "S"),
 }
-OUT_DIMENSIONS, IN_DIMENSIONS = ["segment", "nation", "balance", "years", "code"], ["segment", "nation", "balance", "priority", "status"]
-OUT_BY_GROUP, IN_BY_GROUP = ["balance", "years", "code"], ["balance", "priority", "status"]
+OUT_DIMENSIONS = ["segment", "nation", "balance", "years", "code", "overlay", "delay"]
+IN_DIMENSIONS = ["segment", "nation", "balance", "urgency", "price", "priority", "status"]
+OUT_BY_GROUP, IN_BY_GROUP = ["nation", "balance", "years", "code", "overlay", "delay"], ["nation", "balance", "urgency", "price", "priority", "status"]
 _OUT_MEASURES = {**{f"out_{c.lower()}": f"count(*) FILTER (code = '{c}')" for c in CODES}, "overlay": "count(*) FILTER (overlay = 'Y')"}
 
 
@@ -155,6 +166,10 @@ def _value_of(f: Frames, dimension: str):
         "balance": lambda: assigned(BALANCE, F.col("balance"), issue=F.col("balance") < 0),
         "years": lambda: assigned(YEARS, F.col("years"), issue=f.issue),
         "code": lambda: F.col("code"),
+        "urgency": lambda: F.col("code"),
+        "overlay": lambda: F.when(F.col("overlay") == "Y", "with").otherwise("without"),
+        "delay": lambda: assigned(DELAY, F.months_between("effective_month", "file_month"), issue=F.months_between("effective_month", "file_month") < 0),
+        "price": lambda: assigned(PRICE, F.col("price")),
         "priority": lambda: F.when(p.isin("1-URGENT", "2-HIGH"), "pressing").when(p == "4-NOT SPECIFIED", "Unknown").otherwise("normal"),
         "status": lambda: F.when(F.col("status") == "P", "Unknown").when(F.col("status") == "F", "done").otherwise("open"),
     }[dimension]()
@@ -176,7 +191,7 @@ def _out_measures() -> dict:
 
 @query(sql(_breakdown_sql("o2", OUT_DIMENSIONS, _OUT_MEASURES)))
 def cube_outflow_breakdown(f: Frames) -> DataFrame:
-    """Five dimensions by fiscal years, trailing twelve months, eras and their first months."""
+    """Seven dimensions by fiscal years, trailing twelve months, eras and their first months."""
     return _breakdown(f, f.outflow, OUT_DIMENSIONS, _out_measures())
 
 
@@ -197,7 +212,7 @@ def _priority(f: Frames, by: list[str]) -> DataFrame:
 
 @query(sql(_breakdown_sql("i2", IN_DIMENSIONS, {})))
 def cube_inflow_breakdown(f: Frames) -> DataFrame:
-    """Three rated dimensions and two of shares of the known, which have no stock and no rate."""
+    """Three rated dimensions, two of counts, and two of shares of the known, which have no stock and no rate."""
     return _breakdown(f, f.inflow, IN_DIMENSIONS, {})
 
 
