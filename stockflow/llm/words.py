@@ -68,14 +68,15 @@ def _slot(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
 
 
 def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, slot) of hashed words, stems, stem pairs and skip pairs (one word between); slots may repeat."""
+    """(text number, slot) of hashed words and stems, and of pairs and skip pairs (one word between) of words and of stems; slots may repeat."""
     doc, full, stem = words().hashes(texts)
     docs, slots = [doc, doc], [_slot(full, 1, bits), _slot(stem, 2, bits)]
-    for gap, kind in ((1, 3), (2, 4)):
+    for gap, kinds in ((1, (3, 5)), (2, (4, 6))):
         together = doc[:-gap] == doc[gap:]
-        pair = (stem[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) ^ stem[gap:] * np.uint64(0x165667B19E3779F9))[together]
-        docs.append(doc[:-gap][together])
-        slots.append(_slot(pair, kind, bits))
+        for word, kind in zip((stem, full), kinds, strict=True):
+            pair = (word[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) ^ word[gap:] * np.uint64(0x165667B19E3779F9))[together]
+            docs.append(doc[:-gap][together])
+            slots.append(_slot(pair, kind, bits))
     return np.concatenate(docs), np.concatenate(slots)
 
 
