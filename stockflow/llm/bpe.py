@@ -26,6 +26,8 @@ from stockflow.llm.tokens import ChunkTable, parts_of
 
 BLOCK_CHARS = 14_000_000
 MOST_CHUNKS = 400_000
+#: Runs of letters of several kinds and lengths.
+LETTER_RUNS = ["a", "Word", "WORD", "camelCase", "été", "ßß", "Ǆǅ", "ªº", "слово", "漢字", "ʰa", "אב", "letters" * 40]
 
 
 @lru_cache(maxsize=2)
@@ -101,6 +103,8 @@ class WordNumbers(ChunkTable):
         import regex
 
         self.find = regex.compile(pattern).findall
+        # whether letters after a space are one pre-token of this pattern
+        self.letters_whole = all(self.find(x) == [x] for x in (" " + w for w in LETTER_RUNS))
         super().__init__()
 
     def reset(self) -> None:
@@ -126,7 +130,7 @@ class WordNumbers(ChunkTable):
         sizes = np.ones(len(new), np.int64)
         number = self.words.__getitem__
         for i, x in enumerate(new):
-            if x.isalpha():  # letters after a space are one pre-token
+            if self.letters_whole and x.isalpha():
                 flat.append(number(" " + x))
             else:
                 found = self.find(x[1:] if x[0] == " " else " " + x)
