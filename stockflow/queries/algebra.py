@@ -160,7 +160,7 @@ def era_at_n(f: Frames) -> DataFrame:
 def era_at_point(f: Frames) -> DataFrame:
     r = R.running(f.base, f.eras, [])
     n = r.where("open").groupBy("entity").agg(F.max("n").alias("n"))
-    return r.join(F.broadcast(n), ["entity", "n"]).select("entity", "era", "n", R.rated(F.col("change"), F.col("stock_0")).alias("percent"))
+    return r.join(n, ["entity", "n"]).select("entity", "era", "n", R.rated(F.col("change"), F.col("stock_0")).alias("percent"))
 
 
 _OWN = "SELECT entity, count(*) AS own_n FROM base, eras WHERE open AND month BETWEEN eras.first_month AND eras.last_month AND NOT (entity = 'ASIA' AND month > DATE '2000-06-01') GROUP BY entity"

@@ -73,7 +73,7 @@ def ledger_anti_join(f: Frames) -> DataFrame:
 @query(sql(f"SELECT o.order_month AS month, count(*) AS n FROM ordered o JOIN ({_FILES}) m ON m.month = o.order_month WHERE m.version <> 2 GROUP BY 1"))
 def supersede_semi_join(f: Frames) -> DataFrame:
     m = _manifest(f)
-    rows = f.orders.join(F.broadcast(m.select("month", F.col("filename").alias("source_file"))), F.col("order_month") == F.col("month"))
+    rows = f.orders.join(m.select("month", F.col("filename").alias("source_file")), F.col("order_month") == F.col("month"))
     return S.superseded(rows, m.where("version <> 2")).groupBy("month").agg(F.count("*").alias("n"))
 
 
