@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import held, texts, written
+from stockflow.llm.common import held, let_go, texts, written
 from stockflow.llm.words import in_parts
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 HOT, SALTS = 2000, 16
 PARITY = 512
 TURNS = 2
@@ -190,6 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets' similarity reaches the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for pdf in batches:
             s = np.array([similarity(x, y) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)], float)
             yield pdf[["a", "b"]][s >= threshold]
