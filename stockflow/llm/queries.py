@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, bpe, html_text, impact, lm_score, near_dup, packing, quality, rans, toxicity
+from stockflow.llm import ann, bpe, html_text, impact, lm_score, near_dup, negatives, packing, quality, rans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,13 @@ def op10_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(e, e.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_threshold_join_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 3 hard negatives of each vector whose id is divisible by 50 and each of its 5 positives, among all vectors; labels of ids divisible by 7 are one off."""
+    e = _table(spark, sf_dir, "embeddings")
+    e = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(e, e.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_rans_ids": op2_rans_ids,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_block_text": op8_line_block_text,
     "op9_bag_minhash_near_dup": op9_bag_minhash_near_dup,
     "op10_impact_top_k": op10_impact_top_k,
+    "op11_threshold_join_negatives": op11_threshold_join_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -142,4 +150,23 @@ ORACLE_SQL: dict[str, str] = {
         r AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 20""",
+    "op11_threshold_join_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                   row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+        n AS (
+            SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+                   s.vec_id AS negative_id, positive_score, s.score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+            WHERE p.r <= 5)
+        SELECT * FROM n WHERE rank <= 3""",
 }

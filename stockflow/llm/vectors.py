@@ -15,12 +15,12 @@ from stockflow.llm.common import blocks_for, dealt, let_go, written
 Arrays = dict[str, np.ndarray]
 
 
-def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector, dim) of rows with an id and a non-empty vector of finite components; repeated rows count once, several vectors of an id are rows of their own."""
-    v = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+def valid(df: DataFrame, id_col: str, vector_col: str, **also: Column) -> DataFrame:
+    """(vec_id, columns of ``also``, vector, dim) of rows with an id and a non-empty vector of finite components; repeated rows count once, several vectors of an id are rows of their own."""
+    v = df.select(F.col(id_col).cast("long").alias("vec_id"), *(c.cast("long").alias(name) for name, c in also.items()), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).where(~bad)
-    return v.dropDuplicates(["vec_id", "vector"]).withColumn("dim", F.size("vector"))
+    return v.dropDuplicates(["vec_id", *also, "vector"]).withColumn("dim", F.size("vector"))
 
 
 def to_bytes(arrays: Arrays) -> bytes:
@@ -54,8 +54,17 @@ def search(rows: DataFrame, queries: DataFrame, key: str, per_shard: int, per_qu
     ``per_queries``, whatever the input's size; tasks grow in number, not in memory. An index stays in its task while the
     query blocks come by.
     """
+    return searched(*indexed(rows, key, per_shard, build), queries, per_queries, prepare, find, schema)
+
+
+def indexed(rows: DataFrame, key: str, per_shard: int, build: Callable[[Arrays], Arrays]) -> tuple[DataFrame, int]:
+    """The written indexes of all shards, as ``search`` describes them, and the number of shards."""
     shards = blocks_for(rows.count(), per_shard)
-    index = written(packed(rows, dealt(F.xxhash64(key, "vector"), shards), "shard", build), "index")
+    return written(packed(rows, dealt(F.xxhash64(key, "vector"), shards), "shard", build), "index"), shards
+
+
+def searched(index: DataFrame, shards: int, queries: DataFrame, per_queries: int, prepare: Callable[[Arrays], Arrays], find: Callable[[Arrays, Arrays], pd.DataFrame], schema: str) -> DataFrame:
+    """The second half of ``search``, for an index that several sets of queries go through."""
     blocks = packed(queries, dealt(F.xxhash64("query_id", "query_key"), blocks_for(queries.count(), per_queries)), "qblock", prepare)
     right = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
