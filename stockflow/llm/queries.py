@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import ann, bpe, html_text, impact, lm_score, near_dup, negatives, packing, quality, rans, toxicity
+from stockflow.llm import ann, bpe, html_text, impact, lm_score, near_dup, negatives, packing, private_data, quality, rans, runs, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,25 @@ def op11_threshold_join_negatives(spark: SparkSession, sf_dir: str) -> DataFrame
     return negatives.mine(e, e.where(F.col("vec_id") % 50 == 0))
 
 
+def op12_seed_extend_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, whose tails are made periodic in every tenth, with digests of runs and collapsed texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", runs.with_planted_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = runs.periodic_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return found.select("doc_id", "n_runs", "best.start", length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_weak_label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document: counts and digest of the base spans, and all spans."""
+    found = private_data.private_spans(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, private_data.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_rans_ids": op2_rans_ids,
@@ -101,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bag_minhash_near_dup": op9_bag_minhash_near_dup,
     "op10_impact_top_k": op10_impact_top_k,
     "op11_threshold_join_negatives": op11_threshold_join_negatives,
+    "op12_seed_extend_runs": op12_seed_extend_runs,
+    "op13_weak_label_spans": op13_weak_label_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
