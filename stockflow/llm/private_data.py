@@ -4,8 +4,8 @@ Matches of fixed patterns that pass their checks are the base. Matches that fail
 four kinds, are candidates beside them. Six labelers vote 1, 0 or nothing on each: two by pattern (form, validity), one
 by gazetteer, two by context (words before, characters around), one by company (other data in the text). The counts of
 vote patterns of all documents, at most KINDS x 3^6, give the labelers' reliabilities by expectation-maximisation; its
-posteriors train a linear span classifier over votes and hashed shapes. A candidate outside the base is added if it is
-valid, meets no base span and the classifier finds it likelier than not.
+posteriors train a linear span classifier over votes and hashed shapes. A candidate outside the base is added if its
+form, its validity and the words before it speak for it, it meets no base span, and the classifier finds it likelier than not.
 
 Texts are read in one pass of each pattern; spans alone are kept and shuffled. Patterns are linear: a run of letters is
 tried from its start only, and no group is taken back. Offsets are code points.
@@ -119,8 +119,8 @@ def votes(kind: str, base_form: bool, hit: Column, company: Column) -> Column:
     x = plain_form(kind, hit["text"])
     of = lambda c: F.when(c, "1").otherwise("0")
     if kind == "email":
-        form, valid = x.rlike(r"^[^@]+@(?:[^@.]+\.)+[A-Za-z]{2,}$"), ~x.rlike(r"^\.|\.@|\.\.|^[^@]{65,}@|@-|-\.")
-        listed = of(F.lower(F.regexp_extract(x, r"([A-Za-z0-9-]*)$", 1)).isin(DOMAINS))
+        form, valid = x.rlike(r"^[^@]++@[^@]*\.[A-Za-z]{2,}$"), ~x.rlike(r"^\.|\.@|\.\.|^[^@]{65,}@|@-|-\.")
+        listed = of(F.lower(F.substring_index(x, ".", -1)).isin(DOMAINS))
     elif kind == "ip":
         dotted = x.rlike(r"^[0-9.]+$")
         form, valid = ~dotted | x.rlike(rf"^{PART}(?:\.{PART}){{3}}$"), ~x.rlike(r"^(?:0+\.){3}0+$|\.\.|^[0-9]{4,}\.")
@@ -231,10 +231,10 @@ def find(spans: DataFrame, weights: dict[str, float], threshold: float = 0.5) ->
             total += weight(F.concat(kind, F.lit(f":{j}"), F.substring(s["votes"], j + 1, 1)))
         return 1 / (1 + F.exp(-total)) >= threshold
 
-    kept = F.filter("spans", lambda s: s["base"] | (s["votes"].startswith("11") & likely(s)))
+    kept = F.filter("spans", lambda s: s["base"] | (s["votes"].rlike("^11.1") & likely(s)))
     plain = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (~s["base"]).alias("added")))
     names = F.array(*(F.lit(k) for k in KINDS))
-    return spans.select("doc_id", F.transform(F.array_distinct(F.array_sort(plain)), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (~s["added"]).alias("base"))).alias("spans"))
+    return spans.select("doc_id", F.transform(F.array_sort(plain), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (~s["added"]).alias("base"))).alias("spans"))
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
