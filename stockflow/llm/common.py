@@ -34,6 +34,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def one_text_each(rows: DataFrame, *also: str) -> DataFrame:
+    """One row for each doc_id, with the text of the least hash (ties: the smallest) and columns ``also``, that are equal within an id: repeated ids are combined before they are shuffled."""
+    best = rows.groupBy("doc_id", *also).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("best"))
+    return best.select("doc_id", *also, "best.text")
+
+
 _HELD: dict[object, object] = {}
 
 

@@ -5,6 +5,7 @@ the length of a few successive lines. The main text begins where these lengths s
 nothing: at a few successive lines of links alone (menus, lists of other pages), wherever they lie, and at elements that
 are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments), which are gaps.
 Stretches between two dives are kept from their surge on; inside <article> or <main> any text outside links is a surge,
+and links in lists or right below a heading (sources, episodes, files) count as text;
 elsewhere it takes a block of some length, with which the short lines of its stretch stay, however many wrappers lie
 between. An element is a gap by its name, or by a whole class or id; by a class or id it is none if it holds an article,
 a main or most of the text.
@@ -37,6 +38,8 @@ SKIPPED = RAW | frozenset("head nav footer aside form button select dialog menu
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset("article main".split())
+LISTS = frozenset("ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = CONTENT | frozenset("html body".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P_OPEN = frozenset("br td th tr tbody thead tfoot caption option summary".split())
@@ -129,6 +132,7 @@ class Page:
         self.stack: list[tuple[str, bool, int, int, int, int]] = []
         self.places: dict[str, list[int]] = {}  # of open elements on the stack, by name
         self.link = -1  # depth at which a link was opened
+        self.lists, self.headed = 0, False  # open lists inside main content; whether links alone have followed a heading
         for text, end, name, attributes in tokens_of(html):
             self._text(text)
             if not name:
@@ -141,6 +145,7 @@ class Page:
             if end:
                 if at := self.places.get(name):
                     self._end(at[-1])
+                self.headed |= name in HEADINGS
             elif name not in RAW:
                 self._start(name, attributes)
         self._line()
@@ -153,7 +158,8 @@ class Page:
             self.total += size
         if not self.skipped:
             self.parts.append(text)
-            self.plain += size if self.link < 0 else 0
+            self.plain += size if self.link < 0 or self.content > 0 and (self.lists > 0 or self.headed) else 0
+            self.headed &= self.link >= 0 or not size
 
     def _line(self) -> None:
         text = " ".join(unescape("".join(self.parts)).split())
@@ -171,6 +177,7 @@ class Page:
             self.places[name].pop()
             self.skipped -= skip
             self.hard -= kind == HARD
+            self.lists -= name in LISTS and self.content > 0
             self.content -= name in CONTENT
             self.own -= kind == OWN
             if kind in (SOFT, OWN):
@@ -204,6 +211,7 @@ class Page:
         self.skipped += skip
         self.hard += kind == HARD
         self.own += kind == OWN
+        self.lists += name in LISTS and self.content > 0
         self.content += name in CONTENT
 
     def close(self) -> None:

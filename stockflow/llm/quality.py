@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm import words
-from stockflow.llm.common import held, texts
+from stockflow.llm.common import held, one_text_each, texts
 
 #: Labellers: a document is bad above (for "distinct": below) the first share and good at or below (above) the second; between them, or with fewer words than the third, the labeller abstains.
 LABELLERS = {
@@ -209,7 +209,8 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
     """Votes of all documents give the labellers' accuracies; at most ``most`` documents train the scorer.
 
     First come up to EXAMPLES documents of each vote pattern, rare patterns first, up to half of ``most``; the rest is
-    chosen by a hash of the ids.
+    chosen by a hash of the ids. An id with several texts trains with the one of the least hash, so that ids and rows
+    are bounded alike.
     """
     rows = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
 
@@ -231,7 +232,7 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
     right = (1 - table[0]) * prior + share[1:] @ table[1:]
     rare = parts.assign(whole=parts.groupby("votes")["n"].transform("sum")).sort_values(["whole", "votes", "h"])["h"].iloc[: most // 2]
     known = rows.where(F.col("doc_id").isNotNull())
-    chosen = known.select("h").orderBy("h").limit(most - len(rare)).unionByName(docs.sparkSession.createDataFrame([(int(h),) for h in rare], "h long")).distinct()
+    chosen = known.select("h").distinct().orderBy("h").limit(most - len(rare)).unionByName(docs.sparkSession.createDataFrame([(int(h),) for h in rare], "h long")).distinct()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -246,7 +247,7 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = MOST_TRAINED, id_col: s
         some = np.flatnonzero(w)
         return pd.DataFrame({"slot": some, "weight": w[some]})
 
-    sample = known.join(F.broadcast(chosen), "h").mapInPandas(features, "one int, doc_id long, target double, slots binary, shares binary")
+    sample = one_text_each(known.join(F.broadcast(chosen), "h")).mapInPandas(features, "one int, doc_id long, target double, slots binary, shares binary")
     learnt = sample.groupBy("one").applyInPandas(fit, "slot long, weight double").toPandas()
     w = np.zeros((1 << bits) + 1)
     w[learnt["slot"].to_numpy(np.int64)] = learnt["weight"].to_numpy(float)

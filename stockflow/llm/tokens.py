@@ -2,7 +2,7 @@
 
 A text is cut before each space that a non-space follows: no merge of these vocabularies crosses such a place, so equal
 chunks have equal ids and the library sees each distinct chunk once for each worker's table. A text that has other white
-space beside a space goes to the library whole. A mark at a chunk's end is cut off after an ASCII letter where the
+space beside a space, or a token that the vocabulary's file adds to the model's, goes to the library whole. A mark at a chunk's end is cut off after an ASCII letter where the
 vocabulary has no token with such a letter before that mark, so that no merge can cross there either.
 """
 
@@ -49,6 +49,7 @@ class ChunkTable:
     """Whole texts to runs of numbers, each distinct chunk being looked up once; emptied at MOST_CHUNKS, which bounds its memory."""
 
     empties = True  # else its user does so, where numbers may change
+    added: tuple[str, ...] = ()  # a text that holds one of these goes to the library whole
     marks: dict[str, np.ndarray] = {}  # marks that are cut off at the end of chunks, with their numbers
 
     def __init__(self) -> None:
@@ -71,6 +72,10 @@ class ChunkTable:
             self.reset()
         get, numbers, whole = self.chunks.__getitem__, [], []
         for i, text in enumerate(texts):
+            if any(x in text for x in self.added):
+                whole.append(i)
+                numbers.append(np.zeros(0, np.int64))
+                continue
             parts = text.split(" ")
             parts[0] = " " + parts[0]
             n = np.fromiter(map(get, parts), np.int64, len(parts))
@@ -137,7 +142,8 @@ class Encoder(ChunkTable):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = tuple(added) if not any(c.isspace() for x in added for c in x) else ("",)  # texts beside each other may make one with a space
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.size, np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm import words
-from stockflow.llm.common import texts
+from stockflow.llm.common import one_text_each, texts
 
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.5, 1.0, 4.0, 0.5
@@ -54,8 +54,9 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bits: int = BITS, most: int = MOST_TRAINED) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, weights, bias) learnt from at most ``most`` labelled documents, chosen by a hash of their ids.
 
-    Texts are turned into sets of slots where they lie; one task goes through these sets, whose number is bounded. A
-    document with several labels has the largest. Without labelled documents the weights are none and the bias is 0.
+    A document with several labels has the largest, and an id with several texts trains with the one of the least hash,
+    so that ids and rows are bounded alike. Texts are turned into sets of slots in parallel; one task goes through these
+    sets. Without labelled documents the weights are none and the bias is 0.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -73,7 +74,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bits: in
         some = np.flatnonzero(w)
         return pd.DataFrame({"slot": np.append(some, -1), "weight": np.append(w[some], b)})
 
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInPandas(sets, "one int, doc_id long, label int, slots binary")
+    rows = one_text_each(texts(docs).join(F.broadcast(chosen), "doc_id"), "label").mapInPandas(sets, "one int, doc_id long, label int, slots binary")
     found = rows.groupBy("one").applyInPandas(train, "slot long, weight double").toPandas()
     slots, weights = found["slot"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
     return slots[slots >= 0], weights[slots >= 0], float(weights[slots < 0].sum())

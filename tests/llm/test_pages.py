@@ -85,6 +85,21 @@ def test_surge_and_dive_decide(page, monkeypatch):
     assert "Go to page" in html_text.main_text(page)
 
 
+SOURCES = "".join(f"<li><a href='/{i}'>Source number {i}</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize("links", [f"<ul>{SOURCES}</ul>", f"<div class='episodes'><ol>{SOURCES}</ol></div>", SOURCES.replace("li>", "p>"), SOURCES.replace("li>", "div>")])
+def test_lists_of_links_inside_an_article_stay(links):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><h2>References</h2>{links}<p>{LONG}</p></article>"
+    assert html_text.main_text(page) == f"Title {LONG.strip()} References Source number 0 Source number 1 Source number 2 Source number 3 {LONG.strip()}"
+
+
+@pytest.mark.parametrize("box", ["nav", "div class='related'", "div role='navigation'", "ul class='menu'", "aside"])
+def test_boxes_of_links_inside_an_article_fall(box):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><{box}><h2>See also</h2><ul>{SOURCES}</ul></{box.split()[0]}><p>Short.</p></article>"
+    assert html_text.main_text(page) == f"Title {LONG.strip()} Short."
+
+
 def test_short_stretches_between_gaps_fall():
     page = f"<nav>n</nav><div>Skip this.</div><nav>n</nav><div>{LONG}</div><p>Short.</p><aside>a</aside><div>And this.</div>"
     assert html_text.main_text(page) == f"{LONG.strip()} Short."

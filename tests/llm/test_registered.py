@@ -11,10 +11,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from stockflow.llm import quality, toxicity, words
 from stockflow.llm.queries import ORACLE_SQL, QUERIES
-from stockflow.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def ids(docs):
-    tk = Encoder(P.path("byte_bpe_50k.json")).library
+    tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     return {d: tk.encode(t, add_special_tokens=False).ids for d, t in docs.items()}
 
 
