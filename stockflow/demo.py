@@ -80,17 +80,17 @@ class Frames:
         return ISSUE.hits(F.col("file_month"), F.col("years"))
 
     @cached_property
-    def rows(self) -> DataFrame:
-        """month, entity, group_code of every order: what the stock has, with repetitions."""
-        return self.inflow.select(F.col("effective_month").alias("month"), "entity", "group_code")
+    def months(self) -> DataFrame:
+        """The months of the stock, from one column of the orders."""
+        return self.table("orders").select(month_of("o_orderdate").alias("month")).distinct()
 
     @cached_property
     def base(self) -> DataFrame:
-        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, rows=self.rows)
+        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, months=self.months)
 
     @cached_property
     def base_by_group(self) -> DataFrame:
-        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, ["group_code"], self.rows)
+        return B.monthly_base(self.stock, self.inflow, self.outflow, CODES, self.issue, ["group_code"], self.months)
 
     @cached_property
     def base_all_groups(self) -> DataFrame:
@@ -145,12 +145,12 @@ ocount AS (SELECT entity, effective_month AS month, group_code, count(*) AS outf
     count(*) FILTER (overlay = 'Y') AS overlay, count(*) FILTER (code = 'A' AND overlay IS DISTINCT FROM 'Y') AS plain_a, count(*) FILTER (code = 'N' AND overlay IS DISTINCT FROM 'Y') AS plain_n,
     count(*) FILTER (code = 'R' AND overlay IS DISTINCT FROM 'Y') AS plain_r, sum(years) FILTER (NOT issue) AS years_sum, count(years) FILTER (NOT issue) AS years_known, count(*) FILTER (issue) AS years_issue
     FROM o2 GROUP BY ALL),
-base_by_group AS (SELECT e.entity, m.month, g.group_code, coalesce(s.n, 0) AS stock, coalesce(i.n, 0) AS inflow, coalesce(o.outflow, 0) AS outflow, coalesce(out_a, 0) AS out_a, coalesce(out_n, 0) AS out_n, coalesce(out_r, 0) AS out_r,
+base_by_group AS (SELECT e.entity, m.month, e.group_code, coalesce(s.n, 0) AS stock, coalesce(i.n, 0) AS inflow, coalesce(o.outflow, 0) AS outflow, coalesce(out_a, 0) AS out_a, coalesce(out_n, 0) AS out_n, coalesce(out_r, 0) AS out_r,
     coalesce(overlay, 0) AS overlay, coalesce(plain_a, 0) AS plain_a, coalesce(plain_n, 0) AS plain_n, coalesce(plain_r, 0) AS plain_r, CAST(coalesce(years_sum, 0) AS BIGINT) AS years_sum, coalesce(years_known, 0) AS years_known, coalesce(years_issue, 0) AS years_issue
-    FROM entities e CROSS JOIN months m CROSS JOIN groups g
-    LEFT JOIN (SELECT entity, month, group_code, count(*) AS n FROM s2 GROUP BY ALL) s ON s.entity = e.entity AND s.month = m.month AND s.group_code = g.group_code
-    LEFT JOIN (SELECT entity, effective_month AS month, group_code, count(*) AS n FROM i2 GROUP BY ALL) i ON i.entity = e.entity AND i.month = m.month AND i.group_code = g.group_code
-    LEFT JOIN ocount o ON o.entity = e.entity AND o.month = m.month AND o.group_code = g.group_code),
+    FROM (SELECT entity, group_code FROM s2 UNION SELECT entity, group_code FROM i2 UNION SELECT entity, group_code FROM o2) e CROSS JOIN months m
+    LEFT JOIN (SELECT entity, month, group_code, count(*) AS n FROM s2 GROUP BY ALL) s ON s.entity = e.entity AND s.month = m.month AND s.group_code = e.group_code
+    LEFT JOIN (SELECT entity, effective_month AS month, group_code, count(*) AS n FROM i2 GROUP BY ALL) i ON i.entity = e.entity AND i.month = m.month AND i.group_code = e.group_code
+    LEFT JOIN ocount o ON o.entity = e.entity AND o.month = m.month AND o.group_code = e.group_code),
 base AS (SELECT entity, month, CAST(sum(stock) AS BIGINT) AS stock, CAST(sum(inflow) AS BIGINT) AS inflow, CAST(sum(outflow) AS BIGINT) AS outflow, CAST(sum(out_a) AS BIGINT) AS out_a, CAST(sum(out_n) AS BIGINT) AS out_n, CAST(sum(out_r) AS BIGINT) AS out_r,
     CAST(sum(overlay) AS BIGINT) AS overlay, CAST(sum(plain_a) AS BIGINT) AS plain_a, CAST(sum(plain_n) AS BIGINT) AS plain_n, CAST(sum(plain_r) AS BIGINT) AS plain_r, CAST(sum(years_sum) AS BIGINT) AS years_sum, CAST(sum(years_known) AS BIGINT) AS years_known, CAST(sum(years_issue) AS BIGINT) AS years_issue
     FROM base_by_group GROUP BY ALL),

@@ -12,11 +12,26 @@ from pyspark.sql import functions as F
 TOTAL = "ALL"
 
 
+def _and_total(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by month and entity (and keys), and their sums over the entities for the total."""
+    measures = [c for c in counts.columns if c not in ("month", "entity", *keys)]
+    sets = [["month", "entity", *keys], ["month", *keys]]
+    out = counts.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in sets[0])).agg(F.grouping("entity").alias("_total"), *(F.sum(c).alias(c) for c in measures))
+    return out.withColumn("entity", F.when(F.col("_total") == 1, TOTAL).otherwise(F.col("entity"))).drop("_total")
+
+
 def with_total(df: DataFrame, month: str, keys: list[str], aggregates: list[Column]) -> DataFrame:
-    """Aggregates by month and entity (and keys) and, in the same pass, by month (and keys) for the total."""
-    sets = [[month, "entity", *keys], [month, *keys]]
-    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in [month, "entity", *keys])).agg(F.grouping("entity").alias("_total"), *aggregates)
-    return out.withColumn("entity", F.when(F.col("_total") == 1, TOTAL).otherwise(F.col("entity"))).drop("_total").withColumnRenamed(month, "month")
+    """Aggregates that add up (counts, sums) by month and entity (and keys), and by month (and keys) for the total, which comes from the counts: a row is counted once."""
+    return _and_total(df.groupBy(F.col(month).alias("month"), "entity", *keys).agg(*aggregates), keys)
+
+
+def counted(parts: list[tuple[DataFrame, str, list[Column]]], keys: list[str]) -> DataFrame:
+    """The counts of several frames, each (rows, month column, aggregates that add up), beside each other by month and entity (and keys), totals included; 0 where a frame has none."""
+    each = [rows.groupBy(F.col(month).alias("month"), "entity", *keys).agg(*aggregates) for rows, month, aggregates in parts]
+    out = each[0]
+    for n in each[1:]:
+        out = out.unionByName(n, allowMissingColumns=True)
+    return filled(_and_total(out, keys), ["month", "entity", *keys])
 
 
 def categories(code: str, codes: list[str], prefix: str) -> list[Column]:
@@ -53,15 +68,38 @@ def filled(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in df.columns if c not in keys))
 
 
-def monthly_base(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, codes: list[str], issue: Column, by: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """Per entity (and keys) and month: stock, flows, categories and measured values, 0 where there is nothing. ``rows`` (else the stock) have all entities, months and keys."""
+def dense(counts: DataFrame, pair: list[str], months: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """``counts`` (month, ``pair``, columns of ``values``, measures) on a grid that is sparse in ``pair``: each pair that occurs, by all months and all rows of ``values``, 0 where there is nothing.
+
+    Months and values are dimensions (calendar and configuration), so a pair's cells are a short array that is filled up
+    where it lies: no product of pairs is made, nothing is joined with the counts, and they are worked out once. Months
+    and values that the dimensions lack are left out.
+    """
+    within = values.columns if values is not None else []
+    measures = [c for c in counts.columns if c not in ("month", *pair, *within)]
+    cells = counts.groupBy(*pair, *within).agg(F.collect_list(F.struct("month", *(F.col(c).cast("long").alias(c) for c in measures))).alias("_cells"))
+    if values is not None:
+        name = lambda x: F.concat_ws("\0", *(x[c] for c in within))
+        listed = values.agg(F.collect_set(F.struct(*within)).alias("_listed"))
+        found = cells.where(F.concat(*within).isNotNull()).groupBy(*pair).agg(F.collect_list(F.struct(*within, "_cells")).alias("_found")).crossJoin(F.broadcast(listed))
+        none = F.array().cast(cells.schema["_cells"].dataType)
+        known = F.filter("_found", lambda x: F.array_contains(F.transform("_listed", name), name(x)))
+        absent = F.filter("_listed", lambda v: ~F.array_contains(F.transform("_found", name), name(v)))
+        all_ = F.concat(known, F.transform(absent, lambda v: F.struct(*(v[c].alias(c) for c in within), none.alias("_cells"))))
+        cells = found.select(*pair, F.inline(all_))
+    calendar = months.agg(F.collect_set("month").alias("_months"))
+    there = F.transform("_cells", lambda c: c["month"])
+    zeros = F.transform(F.array_except("_months", there), lambda m: F.struct(m.alias("month"), *(F.lit(0).cast("long").alias(c) for c in measures)))
+    inside = F.filter("_cells", lambda c: F.array_contains("_months", c["month"]))
+    return cells.crossJoin(F.broadcast(calendar)).select(*pair, *within, F.inline(F.concat(inside, zeros)))
+
+
+def monthly_base(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, codes: list[str], issue: Column, by: list[str] | None = None, months: DataFrame | None = None) -> DataFrame:
+    """Per entity (and keys) that occurs and month: stock, flows, categories and measured values, 0 where there is nothing. ``months`` are those of the stock, if something else than the stock has them sooner."""
     by = by or []
-    keys, rows = ["entity", "month", *by], stock if rows is None else rows
-    dims = rows.select(*by).distinct() if by else None
-    s = with_total(stock, "month", by, [F.count("*").alias("stock")])
-    i = with_total(inflow, "effective_month", by, [F.count("*").alias("inflow")])
-    o = with_total(outflow, "effective_month", by, [*flow_counts(codes), *measured("years", issue)])
-    return filled(grid(rows, dims).join(s, keys, "left").join(i, keys, "left").join(o, keys, "left"), keys)
+    n = counted([(stock, "month", [F.count("*").alias("stock")]), (inflow, "effective_month", [F.count("*").alias("inflow")]), (outflow, "effective_month", [*flow_counts(codes), *measured("years", issue)])], by)
+    base = dense(n, ["entity", *by], months_of(stock) if months is None else months)
+    return base.select("entity", "month", *by, *(c for c in base.columns if c not in ("entity", "month", *by)))
 
 
 def provisional(months: DataFrame, newest: int = 3) -> DataFrame:

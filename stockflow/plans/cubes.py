@@ -12,14 +12,11 @@ from stockflow.operators.rollup import SMALL, rated
 
 
 def value_base(stock: DataFrame, flow: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
-    """Per entity (and keys), month and dimension value: flow and, where the stock has the dimension, stock; 0 where none."""
-    keys = ["entity", "month", *by, "value"]
-    dims = values.crossJoin(F.broadcast(stock.select(*by).distinct())) if by else values
-    n = B.with_total(flow, "effective_month", [*by, "value"], [F.count("*").alias("flow")])
-    out = B.grid(stock, dims).join(n, keys, "left")
+    """Per entity (and keys) that occurs, month and dimension value: flow and, where the stock has the dimension, stock; 0 where none."""
+    parts = [(flow, "effective_month", [F.count("*").alias("flow")])]
     if "value" in stock.columns:
-        out = out.join(B.with_total(stock, "month", [*by, "value"], [F.count("*").alias("stock")]), keys, "left")
-    return B.filled(out, keys)
+        parts.append((stock, "month", [F.count("*").alias("stock")]))
+    return B.dense(B.counted(parts, [*by, "value"]), ["entity", *by], B.months_of(stock), values.select("value"))
 
 
 def breakdown(base: DataFrame, by: list[str], months: DataFrame) -> DataFrame:

@@ -99,26 +99,19 @@ def valued(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in dimensions.items()))))
 
 
-def breakdown_cube(stock: DataFrame, flow: DataFrame, values: DataFrame, flags: DataFrame, spans: DataFrame, measures: dict[str, Column], by: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """Per entity (and keys), window, dimension and value: the flow with its measures, stock, rate parts, share denominator, coverage and flags.
+def breakdown_cube(stock: DataFrame, flow: DataFrame, values: DataFrame, flags: DataFrame, spans: DataFrame, measures: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Per entity (and keys) that occurs, window, dimension and value: the flow with its measures, stock, rate parts, share denominator, coverage and flags.
 
     ``stock`` and ``flow`` are ``valued``; ``values`` (dimension, value, value_order, kind, is_unknown, has_stock) says which values
     have a stock and a rate (R), counts alone (N), or a share of the known ones (S). A value without any stock has no
     rate and is not applicable, never of a small base; a denominator of shares is never 0. Rates of eras are annualised.
-    A trailing window ends within the entity's life; other windows are cut by it and then partial. ``rows`` (else the
-    stock) have all entities, months and keys.
+    A trailing window ends within the entity's life; other windows are cut by it and then partial.
     """
-    by, rows = by or [], stock if rows is None else rows
+    by = by or []
     keys = ["entity", *by, "dimension", "value"]
     names = ["flow", *measures]
-    s = B.with_total(stock, "month", [*by, "dimension", "value"], [F.count("*").alias("stock")])
-    f = B.with_total(flow, "effective_month", [*by, "dimension", "value"], [F.count("*").alias("flow"), *(m.alias(c) for c, m in measures.items())])
-    dims = values.select("dimension", "value").crossJoin(rows.select(*by).distinct()) if by else values.select("dimension", "value")
-    base = B.filled(B.grid(rows, dims).join(s, ["month", *keys], "left").join(f, ["month", *keys], "left"), ["month", *keys])
-    if by:  # pairs without any stock or flow are left out
-        some = F.max(F.greatest("stock", "flow")).over(Window.partitionBy("entity", *by))
-        base = base.withColumn("_some", some).where("_some > 0").drop("_some")
-    base = B.alive(base)
+    n = B.counted([(stock, "month", [F.count("*").alias("stock")]), (flow, "effective_month", [F.count("*").alias("flow"), *(m.alias(c) for c, m in measures.items())])], [*by, "dimension", "value"])
+    base = B.alive(B.dense(n, ["entity", *by], flags.select("month"), values.select("dimension", "value")))
     spans = F.broadcast(spans.join(flags.select("month", "provisional", "reissued"), "month"))
     cells = base.join(spans, "month").groupBy(*keys, "grain", "period").agg(
         F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.max("window_end").alias("window_end"), F.max("window_months").alias("window_months"), F.count("*").alias("months"), F.bool_or("open").alias("open"),
@@ -139,20 +132,18 @@ def breakdown_cube(stock: DataFrame, flow: DataFrame, values: DataFrame, flags:
     )
 
 
-def overlap_cube(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, nodes: DataFrame, flags: DataFrame, eras: DataFrame, whole: str = "all", rows: DataFrame | None = None) -> DataFrame:
+def overlap_cube(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, nodes: DataFrame, flags: DataFrame, eras: DataFrame, whole: str = "all") -> DataFrame:
     """Per entity, node of overlapping groups, and period or era with months in it: stock, its share of the whole, flows, and in eras the change and its percent (NULL on a small base).
 
-    ``nodes`` (code, node, level) has a row for each node that a code counts in; codes that it lacks count in the whole and in 'unknown'.
+    ``nodes`` (code, node, level) has a row for each node that a code counts in; codes that it lacks count in the whole and in 'unknown', a node that is always there.
     """
-    codes = (stock if rows is None else inflow).select("code").unionByName(outflow.select("code")).distinct()
-    codes = codes if rows is not None else codes.unionByName(inflow.select("code")).distinct()
-    stray = codes.join(nodes, "code", "left_anti").select("code", F.explode(F.array(F.lit(whole), F.lit("unknown"))).alias("node"))
-    of = nodes.select("code", "node").unionByName(stray)
-    per = lambda rows, month, name: B.with_total(rows, month, ["code"], [F.count("*").alias(name)]).join(of, "code").groupBy("entity", "month", "node").agg(F.sum(name).alias(name))
-    keys = ["entity", "month", "node"]
-    grid = B.grid(stock if rows is None else rows, of.select("node").distinct())
-    base = grid.join(per(stock, "month", "stock"), keys, "left").join(per(inflow, "effective_month", "inflow"), keys, "left").join(per(outflow, "effective_month", "outflow"), keys, "left")
-    base = B.alive(B.filled(base, keys))
+    n = B.counted([(stock, "month", [F.count("*").alias("stock")]), (inflow, "effective_month", [F.count("*").alias("inflow")]), (outflow, "effective_month", [F.count("*").alias("outflow")])], ["code"])
+    of = nodes.groupBy("code").agg(F.collect_set("node").alias("of"))
+    stray = F.array(F.lit(whole), F.lit("unknown"))
+    n = n.join(of, "code", "left").select("month", "entity", F.explode(F.coalesce("of", stray)).alias("node"), "stock", "inflow", "outflow")
+    n = n.groupBy("month", "entity", "node").agg(*(F.sum(c).alias(c) for c in ("stock", "inflow", "outflow")))
+    known = nodes.select("node").unionByName(nodes.sparkSession.createDataFrame([(whole,), ("unknown",)], "node string")).distinct()
+    base = B.alive(B.dense(n, ["entity"], flags.select("month"), known))
     base = base.withColumn("stock_all", F.max(F.when(F.col("node") == whole, F.col("stock"))).over(Window.partitionBy("entity", "month")))
     marked = F.broadcast(bridge(flags.select("month")).join(flags, "month"))
     last = lambda c: F.max_by(c, "month").alias(c)
