@@ -52,40 +52,3 @@ def sum_values(df: DataFrame, measure: str, values: list[str], keys: list[str])
     refused = F.when(F.max((F.col("value") == UNKNOWN).cast("int")) == 1, "unknown value").when(F.count("*") != F.countDistinct("value"), "repeated").when(F.countDistinct("value") < len(set(values)), "missing")
     out = chosen.groupBy(*keys).agg(poisoned_sum(measure).alias("total"), refused.alias("refused"))
     return out.withColumn("total", F.when(F.col("refused").isNull(), F.col("total")))
-
-
-def combine_by_kind(df: DataFrame, keys: list[str], small: int = 30) -> DataFrame:
-    """Rows combined per key as their columns' kinds say.
-
-    Stocks and flows add (NULL if any is), flags are ORed, a rate and its small-base flag come from the sums of numerator
-    and denominator (a row without stock adds to neither), a coverage from the sums of known and counted, and what is not
-    applicable everywhere stays so. Columns without a kind are left out.
-    """
-    of = {}
-    for field in df.schema:
-        of.setdefault(field.metadata.get("kind"), []).append(field.name)
-    plan = [poisoned_sum(c).alias(c) for kind in ("stock", "flow") for c in of.get(kind, [])]
-    plan += [F.bool_or(c).alias(c) for c in of.get("flag", [])] + [F.bool_and(c).alias(c) for c in of.get("not applicable", [])]
-    num, den, known, counted = (of.get(kind, [None])[0] for kind in ("rate numerator", "rate denominator", "known", "counted"))
-    if num:
-        plan += [F.sum(F.when(F.col(den).isNotNull(), F.col(num))).alias(num), F.sum(den).alias(den)]
-    if known:
-        plan += [F.sum(known).alias(known), F.sum(counted).alias(counted)]
-    out = df.groupBy(*keys).agg(*plan)
-    if num:
-        out = out.withColumn("rate", F.round(F.try_divide(num, den), 4)).withColumn("small_base", F.col(den) < small)
-    return out.withColumn("coverage", F.round(F.try_divide(known, counted), 4)) if known else out
-
-
-def combine(df: DataFrame, keys: list[str], sums: list[str], flags: list[str], num: str, den: str, small: int = 30) -> DataFrame:
-    """Entities combined per key: sums add, flags are ORed, the rate is recomputed from its parts.
-
-    A row whose denominator is empty because it has no stock adds 0 to both parts; its counts still add.
-    """
-    out = df.groupBy(*keys).agg(
-        *(poisoned_sum(c).alias(c) for c in sums),
-        *(F.bool_or(c).alias(c) for c in flags),
-        F.sum(F.when(F.col(den).isNotNull(), F.col(num))).alias(num),
-        F.sum(den).alias(den),
-    )
-    return out.withColumn("rate", F.round(F.try_divide(num, den), 4)).withColumn("small_base", F.col(den) < small)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.calendar import bridge, fiscal_year, fy_key, month_key
 from stockflow.operators import base as B
+from stockflow.operators.combine import described, kinds, rates as rate_kinds
 from stockflow.operators.rollup import SMALL
 
 RATED, COUNTED, SHARE = "R", "N", "S"
@@ -47,10 +48,17 @@ def core_cube(base: DataFrame, flags: DataFrame, breaks: DataFrame, flows: list[
     a = rate_columns("a", {r: F.col(f"_{r}") for r in rates}, only(whole, "_mean"), F.when(whole, F.lit(12).cast("long")))
     b = rate_columns("b", {r: F.col(c) for r, c in rates.items()}, only(fy, "_avg"), only(fy, "months"))
     c = rate_columns("c", {r: F.col(c) for r, c in rates.items()}, F.col("_avg"), F.col("months"), True)
-    return out.select(
+    cube = out.select(
         *keys, "grain", "period", fiscal_year(F.col("last_month")).cast("long").alias("fiscal_year"), "first_month", "last_month", "months_in_period", "months", "provisional", (F.col("months") < F.col("months_in_period")).alias("partial"), "reissued", "has_break", "files",
         "stock", change.alias("stock_change"), *flows, (F.col("inflow") - F.col("outflow")).alias("net_flow"), F.round(F.try_divide("years_known", "outflow"), 4).alias("coverage"), *a, *b, *c,
     )
+    names = (
+        kinds("entity", "entity") | kinds("key", *(by or []), "grain", "period") | kinds("first", "first_month") | kinds("last", "last_month", "files") | kinds("most", "fiscal_year", "months_in_period", "months")
+        | kinds("flag", "provisional", "partial", "reissued", "has_break") | kinds("stock", "stock") | kinds("stock_change", "stock_change") | kinds("flow", *flows, "net_flow") | kinds("ratio", "coverage", num="years_known", den="outflow")
+    )
+    for method in "abc":
+        names |= rate_kinds(method, list(rates))
+    return described(cube, names)
 
 
 def era_cube(base: DataFrame, eras: DataFrame, flags: DataFrame, flows: list[str], rates: dict[str, str], by: list[str]) -> DataFrame:
@@ -71,10 +79,13 @@ def era_cube(base: DataFrame, eras: DataFrame, flags: DataFrame, flows: list[str
     })
     change, small = F.col("stock") - F.col("stock_0"), F.col("stock_0") < SMALL
     rate = rate_columns("era", {r: F.col(f"run_{c}") for r, c in rates.items()}, F.col("_mean"), F.col("n"), True)
-    return out.select(
+    cube = out.select(
         *keys, "era", "n", "era_months", "month_0", F.col("month").alias("month_n"), "provisional", F.col("open").alias("partial"), "reissued", "stock_0", F.col("stock").alias("stock_n"), change.alias("change"),
         F.when(~small, F.round(F.try_divide(change, "stock_0"), 4)).alias("percent"), small.alias("percent_small"), *(f"run_{c}" for c in flows), *rate,
     )
+    names = kinds("entity", "entity") | kinds("key", *by, "era", "n") | kinds("most", "era_months") | kinds("first", "month_0") | kinds("last", "month_n") | kinds("flag", "provisional", "partial", "reissued")
+    names |= kinds("stock", "stock_0", "stock_n") | kinds("stock_change", "change") | kinds("ratio", "percent", num="change", den="stock_0", least=SMALL) | kinds("small", "percent_small", of="stock_0") | kinds("flow", *(f"run_{c}" for c in flows))
+    return described(cube, names | rate_kinds("era", list(rates)))
 
 
 def windows(flags: DataFrame, eras: DataFrame, trailing: bool = True) -> DataFrame:
@@ -124,12 +135,17 @@ def breakdown_cube(stock: DataFrame, flow: DataFrame, values: DataFrame, flags:
     some = rated & (F.col("_mean") > 0)
     annual = F.when(era, F.round(F.col("flow") * 12.0 / F.col("months"), 4)).otherwise(F.col("flow").cast("double"))
     partial = F.when(era, F.col("open") | (F.col("months") < F.col("window_months"))).otherwise((F.col("grain") == "fy") & (F.col("months") < 12))
-    return cells.select(
+    cube = cells.select(
         "entity", *by, "grain", "period", "first_month", "last_month", F.when(era, F.col("window_months")).otherwise(12).alias("months_in_period"), "months", "dimension", "value", "value_order", "provisional", partial.alias("partial"), "reissued", "is_unknown",
         (F.col("kind") == SHARE).alias("is_share"), *names, F.when(rated | ((F.col("kind") == COUNTED) & F.col("has_stock")), F.col("stock")).alias("stock"), F.when(some, annual).alias("rate_num"), F.when(some, F.round("_mean", 4)).alias("rate_den"),
         F.when(rated, F.col("months")).alias("rate_months"), F.when(some, F.col("_mean") < SMALL).alias("rate_small"), F.when(rated, F.col("_mean") == 0).alias("not_applicable"),
         F.when(F.col("kind") == SHARE, F.nullif(known, F.lit(0))).alias("share_den"), F.round(F.try_divide(known, whole), 4).alias("coverage"),
     )
+    within = [*by, "grain", "period", "dimension"]
+    kinds_ = kinds("entity", "entity") | kinds("key", *by, "grain", "period", "dimension", "value") | kinds("first", "first_month") | kinds("last", "last_month") | kinds("most", "months_in_period", "months", "rate_months")
+    kinds_ |= kinds("same", "value_order", "is_unknown", "is_share") | kinds("flag", "provisional", "partial", "reissued") | kinds("flow", *names) | kinds("stock", "stock") | kinds("numerator", "rate_num", of="rate_den") | kinds("denominator", "rate_den")
+    kinds_ |= kinds("small", "rate_small", of="rate_den") | kinds("all", "not_applicable") | kinds("known", "share_den", of="flow", unless="is_unknown", only="is_share", within=within) | kinds("coverage", "coverage", of="flow", unless="is_unknown", within=within)
+    return described(cube, kinds_)
 
 
 def overlap_cube(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, nodes: DataFrame, flags: DataFrame, eras: DataFrame, whole: str = "all") -> DataFrame:
@@ -160,7 +176,10 @@ def overlap_cube(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, nodes:
     )
     both = periods.unionByName(era)
     change, small = F.col("stock") - F.col("stock_0"), F.col("stock_0") < SMALL
-    return both.select(
+    cube = both.select(
         "entity", "node", "grain", "period", "n", "last_month", "months", "months_in_period", "provisional", "partial", "reissued", "stock", "stock_all", F.round(F.try_divide("stock", "stock_all"), 4).alias("share"), "inflow", "outflow", "stock_0", change.alias("change"),
         F.when(~small, F.round(F.try_divide(change, "stock_0"), 4)).alias("percent"), small.alias("percent_small"),
     )
+    names = kinds("entity", "entity") | kinds("key", "node", "grain", "period", "n") | kinds("last", "last_month") | kinds("most", "months", "months_in_period") | kinds("flag", "provisional", "partial", "reissued") | kinds("stock", "stock", "stock_all", "stock_0")
+    names |= kinds("ratio", "share", num="stock", den="stock_all") | kinds("flow", "inflow", "outflow") | kinds("stock_change", "change") | kinds("ratio", "percent", num="change", den="stock_0", least=SMALL) | kinds("small", "percent_small", of="stock_0")
+    return described(cube, names)

@@ -60,21 +60,6 @@ def sum_across_values(f: Frames) -> DataFrame:
     return good.where("refused IS NULL").withColumn("chosen", F.lit("ok")).unionByName(bad.withColumn("chosen", F.lit("bad"))).select("entity", "fy", "chosen", F.col("total").alias("value"), "refused")
 
 
-_TWO = "entity IN ('AFRICA', 'AMERICA')"
-
-
-@query(sql(f"""SELECT grain, period, CAST(sum(stock) AS BIGINT) AS stock, CAST(sum(inflow) AS BIGINT) AS inflow, bool_or(partial) AS partial, CAST(sum(outflow) FILTER (mean_stock > 0) AS BIGINT) AS rate_num, sum(CASE WHEN mean_stock > 0 THEN mean_stock END) AS rate_den,
-    round(sum(outflow) FILTER (mean_stock > 0) / sum(CASE WHEN mean_stock > 0 THEN mean_stock END), 4) AS rate, sum(CASE WHEN mean_stock > 0 THEN mean_stock END) < 30 AS small_base, CAST(sum(years_known) AS BIGINT) AS known, CAST(sum(outflow) AS BIGINT) AS counted,
-    round(sum(years_known) / nullif(sum(outflow), 0), 4) AS coverage, bool_and(mean_stock = 0) AS not_applicable FROM rolled WHERE {_TWO} GROUP BY ALL"""))
-def combine_entities(f: Frames) -> DataFrame:
-    """Entities combined by the kinds of their columns: what adds, what is ORed, and which ratios are made anew from their parts."""
-    some = F.col("mean_stock") > 0
-    rows = _rolled(f, "inflow", "outflow", "years_known").where(_TWO)
-    rows = rows.select("entity", "grain", "period", "stock", "inflow", "partial", F.when(some, F.col("outflow")).alias("rate_num"), F.when(some, F.col("mean_stock")).alias("rate_den"), F.col("years_known").alias("known"), F.col("outflow").alias("counted"), (~some).alias("not_applicable"))
-    rows = A.kinds(rows, stock="stock", inflow="flow", partial="flag", rate_num="rate numerator", rate_den="rate denominator", known="known", counted="counted", not_applicable="not applicable")
-    return A.combine_by_kind(rows, ["grain", "period"])
-
-
 _AGO = "date_diff('month', month, (SELECT last_month FROM bounds))"
 
 

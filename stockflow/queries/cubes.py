@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from stockflow.demo import BREAKS, CODES, FLOWS, HIERARCHY, YEARS, Frames, sql
 from stockflow.functions.rules import Rule, assigned
 from stockflow.operators import base as B
+from stockflow.operators import combine as C
 from stockflow.operators import rollup as R
 from stockflow.plans import cubes as P
 from stockflow.plans import full as X
 from stockflow.queries import query
+from stockflow.sources.files import work_dir
+
+
+def _stored(cube: DataFrame, name: str) -> DataFrame:
+    """The cube written and read back: what is left of it is what the file says."""
+    out = work_dir(cube.sparkSession, name)
+    cube.write.parquet(out)
+    return cube.sparkSession.read.parquet(out)
+
 
 _FLOWS_SQL = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" for x in FLOWS)
 #: Numerators of rates by name: all outflow, two of its categories, and inflow.
@@ -47,6 +57,40 @@ def cube_core(f: Frames) -> DataFrame:
     return X.core_cube(B.alive(f.base), f.month_flags, _breaks(f), FLOWS, RATES)
 
 
+_CORE = _core_sql("SELECT base.* FROM base JOIN ends USING (entity) WHERE month <= end_month", "entity")
+
+
+def _rates_sql(name: str, kind: str) -> str:
+    den = f"rate_{name}_den"
+    nums = ", ".join(f"CAST(sum(rate_{r}_{name}_num) FILTER ({den} IS NOT NULL) AS {kind}) AS rate_{r}_{name}_num" for r in RATES)
+    return f"{nums}, sum({den}) AS {den}, max(rate_{name}_months) AS rate_{name}_months, sum({den}) < 30 AS rate_{name}_small"
+
+
+def _added(*names: str) -> str:
+    return ", ".join(f"CASE WHEN count(*) = count({c}) THEN CAST(sum({c}) AS BIGINT) END AS {c}" for c in names)
+
+
+_COMBINED_CORE = f"""SELECT grain, period, max(fiscal_year) AS fiscal_year, min(first_month) AS first_month, max(last_month) AS last_month, max(months_in_period) AS months_in_period, max(months) AS months, bool_or(provisional) AS provisional, bool_or(partial) AS partial,
+    bool_or(reissued) AS reissued, bool_or(has_break) AS has_break, max(files) AS files, {_added("stock", "stock_change", *FLOWS, "net_flow")}, round(sum(years_known) / nullif(sum(outflow), 0), 4) AS coverage,
+    {_rates_sql("a", "BIGINT")}, {_rates_sql("b", "BIGINT")}, {_rates_sql("c", "DOUBLE")}, CAST(count(*) AS INTEGER) AS entities FROM ({_CORE}) WHERE entity IN ('AFRICA', 'AMERICA') GROUP BY grain, period"""
+
+
+@query(sql(_COMBINED_CORE))
+def combine_entities(f: Frames) -> DataFrame:
+    """Two entities combined from the stored core cube by the kinds that its file carries: what adds, what is ORed, and which ratios are made anew from their parts."""
+    return C.combine(_stored(cube_core(f), "core-cube"), ["AFRICA", "AMERICA"])
+
+
+@query(sql(f"""SELECT 'none' AS route, grain, period, stock, outflow, rate_out_a_num, rate_a_den, 1 AS entities FROM ({_CORE}) WHERE entity = 'ALL' UNION ALL SELECT 'one', grain, period, stock, outflow, rate_out_a_num, rate_a_den, 1 FROM ({_CORE}) WHERE entity = 'ASIA'
+    UNION ALL SELECT 'several', grain, period, stock, outflow, rate_out_a_num, rate_a_den, entities FROM ({_COMBINED_CORE})"""))
+def selection_routes(f: Frames) -> DataFrame:
+    """What a selection of no, one and several entities shows of the stored core cube."""
+    cube = _stored(cube_core(f), "core-cube")
+    shown = ["grain", "period", "stock", "outflow", "rate_out_a_num", "rate_a_den", "entities"]
+    none, one, several = (C.route(cube, x).select(F.lit(name).alias("route"), *shown) for name, x in (("none", []), ("one", ["ASIA"]), ("several", ["AFRICA", "AMERICA"])))
+    return none.unionByName(one).unionByName(several)
+
+
 _PRESENT = "SELECT entity, group_code FROM base_by_group GROUP BY ALL HAVING max(greatest(stock, inflow, outflow)) > 0"
 _GROUPED = f"SELECT base_by_group.* FROM base_by_group JOIN ({_PRESENT}) USING (entity, group_code) JOIN ends USING (entity) WHERE month <= end_month"
 
@@ -195,6 +239,28 @@ def cube_outflow_breakdown(f: Frames) -> DataFrame:
     return _breakdown(f, f.outflow, OUT_DIMENSIONS, _out_measures())
 
 
+def _combined_breakdown_sql(cube: str, group: str, flows: list[str]) -> str:
+    w = f"(PARTITION BY {group}grain, period, dimension)"
+    known = f"sum(flow) FILTER (NOT is_unknown) OVER {w}"
+    return f"""SELECT {group}grain, period, first_month, last_month, months_in_period, months, dimension, value, value_order, provisional, partial, reissued, is_unknown, is_share, {", ".join(flows)}, stock, rate_num, rate_den, rate_months, rate_den < 30 AS rate_small, not_applicable,
+        CASE WHEN is_share THEN nullif(CAST(coalesce({known}, 0) AS BIGINT), 0) END AS share_den, round(coalesce({known}, 0) / nullif(sum(flow) OVER {w}, 0), 4) AS coverage, entities
+    FROM (SELECT {group}grain, period, dimension, value, min(first_month) AS first_month, max(last_month) AS last_month, max(months_in_period) AS months_in_period, max(months) AS months, max(value_order) AS value_order, bool_or(provisional) AS provisional, bool_or(partial) AS partial,
+        bool_or(reissued) AS reissued, bool_or(is_unknown) AS is_unknown, bool_or(is_share) AS is_share, {_added(*flows, "stock")}, sum(rate_num) FILTER (rate_den IS NOT NULL) AS rate_num, sum(rate_den) AS rate_den, max(rate_months) AS rate_months, bool_and(not_applicable) AS not_applicable,
+        CAST(count(*) AS INTEGER) AS entities FROM ({cube}) WHERE entity IN ('AFRICA', 'AMERICA', 'ASIA') GROUP BY ALL)"""
+
+
+@query(sql(_combined_breakdown_sql(_breakdown_sql("o2", OUT_DIMENSIONS, _OUT_MEASURES), "", ["flow", *_OUT_MEASURES])))
+def combine_breakdown(f: Frames) -> DataFrame:
+    """Three entities combined from the stored outflow breakdown, with rates from their parts and the coverage of each dimension made anew."""
+    return C.combine(_stored(cube_outflow_breakdown(f), "outflow-breakdown"), ["AFRICA", "AMERICA", "ASIA"])
+
+
+@query(sql(_combined_breakdown_sql(_breakdown_sql("i2", IN_BY_GROUP, {}, "group_code"), "group_code, ", ["flow"])))
+def combine_breakdown_by_group(f: Frames) -> DataFrame:
+    """Three entities combined, group by group, from the stored inflow breakdown, with the denominators of shares made anew."""
+    return C.combine(_stored(cube_inflow_breakdown_by_group(f), "inflow-breakdown"), ["AFRICA", "AMERICA", "ASIA"])
+
+
 @query(sql(_breakdown_sql("o2", OUT_BY_GROUP, _OUT_MEASURES, "group_code")))
 def cube_outflow_breakdown_by_group(f: Frames) -> DataFrame:
     return _breakdown(f, f.outflow, OUT_BY_GROUP, _out_measures(), ["group_code"])
@@ -351,11 +417,9 @@ def unknown_group_count(f: Frames) -> DataFrame:
 @query(sql(f"""SELECT grain, period, n, node, CAST(sum(stock) AS BIGINT) AS stock, round(sum(stock) / nullif(sum(stock_all), 0), 4) AS share, CAST(sum(inflow) AS BIGINT) AS inflow, CAST(sum(stock - stock_0) AS BIGINT) AS change,
     CASE WHEN sum(stock_0) >= 30 THEN round(sum(stock - stock_0) / sum(stock_0), 4) END AS percent, sum(stock_0) < 30 AS percent_small FROM ({_NODE_CUBE}) WHERE entity IN ('ASIA', 'AFRICA') GROUP BY ALL HAVING count(*) = 2"""))
 def combine_groups(f: Frames) -> DataFrame:
-    """Two entities' groups combined: counts add, share, percent and small base are made anew; points that miss an entity are dropped."""
-    keys = ["grain", "period", "n", "node"]
-    both = _node_cube(f).where("entity IN ('ASIA', 'AFRICA')").groupBy(*keys).agg(F.count("*").alias("k"), *(F.sum(c).alias(c) for c in ("stock", "stock_all", "inflow", "stock_0", "change"))).where("k = 2")
-    small = F.col("stock_0") < R.SMALL
-    return both.select(*keys, "stock", R.rated(F.col("stock"), F.col("stock_all")).alias("share"), "inflow", "change", F.when(~small, R.rated(F.col("change"), F.col("stock_0"))).alias("percent"), small.alias("percent_small"))
+    """Two entities' groups combined from the stored cube: counts add, share, percent and small base are made anew; points that miss an entity are dropped."""
+    both = C.combine(_stored(_node_cube(f), "overlap-cube"), ["ASIA", "AFRICA"], whole=True)
+    return both.select("grain", "period", "n", "node", "stock", "share", "inflow", "change", "percent", "percent_small")
 
 
 @query(sql(f"SELECT entity, period, CAST(sum(n) AS BIGINT) AS n FROM ({_CUBE_O}) WHERE grain = 'fy' AND node IN ('urgent-top', 'urgent-high') GROUP BY ALL HAVING count(*) = 2"))

@@ -104,13 +104,3 @@ def test_unknown_and_missing_values_are_no_sum(spark):
     got = lambda values: {r.entity: (r.total, r.refused) for r in A.sum_values(df, "n", values, ["entity"]).collect()}
     assert got(["x", "y"]) == {"A": (3, None), "B": (None, "repeated")}
     assert got(["x", "Unknown"])["A"] == (None, "unknown value") and got(["x", "z"])["A"] == (None, "missing")
-
-
-def test_combination_by_kind(spark):
-    from stockflow.operators import algebra as A
-
-    rows = [("A", 5, 2, False, 4, 10.0, 3, 4, False, "x"), ("B", 0, 1, True, None, None, 1, 1, True, "x"), ("C", 25, 1, False, 6, 15.0, 0, 5, False, "x")]
-    df = spark.createDataFrame(rows, "entity string, stock long, flow long, partial boolean, num long, den double, known long, counted long, na boolean, other string")
-    df = A.kinds(df, stock="stock", flow="flow", partial="flag", num="rate numerator", den="rate denominator", known="known", counted="counted", na="not applicable").withColumn("k", F.lit(1))
-    r = A.combine_by_kind(df, ["k"]).first()
-    assert r.asDict() == {"k": 1, "stock": 30, "flow": 4, "partial": True, "na": False, "num": 10, "den": 25.0, "known": 4, "counted": 10, "rate": 0.4, "small_base": True, "coverage": 0.4}
