@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.demo import Frames, sql
+from stockflow.functions.calendar import month_of
 from stockflow.operators import rollup as R
 from stockflow.queries import query
 from stockflow.sources import files as S
-from stockflow.streaming.loader import load_new
+from stockflow.sources import store as T
+from stockflow.streaming.loader import load_into, load_new
 
 _FILES = "SELECT 'orders' AS dataset, 'orders_' || strftime(month, '%Y%m') || '_' || (1 + month(month) % 3) || '.parquet' AS filename, month, 1 + month(month) % 3 AS version, n AS size FROM (SELECT order_month AS month, count(*) AS n FROM ordered GROUP BY 1)"
 
@@ -223,6 +225,58 @@ def ledger_difference(f: Frames) -> DataFrame:
     return S.ledger_difference(m, m.where("month < DATE '2000-01-01'").select("dataset", "filename").unionByName(stray))
 
 
+def _monthly_source(f: Frames, name: str) -> tuple[DataFrame, str]:
+    """Orders with their month, and a folder for them, a file a month."""
+    return f.table("orders").select("o_orderkey", "o_totalprice", month_of("o_orderdate").alias("month")), S.work_dir(f.spark, name)
+
+
+def _deliver(rows: DataFrame, out: str) -> None:
+    rows.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(out)
+
+
+def _order_file() -> Column:
+    return F.concat(F.lit("orders_"), F.date_format("month", "yyyy-MM"))
+
+
+@query(sql("SELECT 'orders_' || strftime(order_month, '%Y-%m') AS source_file, count(*) AS rows, 'loaded' AS action, CASE WHEN order_month < DATE '1997-01-01' THEN 0 ELSE 1 END AS batch, count(*) AS stored, round(sum(price), 2) AS price FROM ordered GROUP BY order_month"))
+def ledger_stream_load(f: Frames) -> DataFrame:
+    """A stream with a kept ledger: three runs, months delivered between the first two, nothing before the third. The ledger beside what is stored."""
+    orders, src = _monthly_source(f, "monthly")
+    store, mark = S.work_dir(f.spark, "store"), S.work_dir(f.spark, "stream-mark")
+    run = lambda: load_into(f.spark, src, orders.schema, store, mark, _order_file)
+    _deliver(orders.where("month < DATE '1997-01-01'"), src)
+    said = run()
+    _deliver(orders.where("month >= DATE '1997-01-01'"), src)
+    said += run() + run()
+    assert said == ["loaded", "loaded"], said
+    stored = T.rows(f.spark, store).groupBy("source_file").agg(F.count("*").alias("stored"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    return T.ledger(f.spark, store).join(stored, "source_file", "full_outer").select("source_file", "rows", "action", F.right("load", F.lit(12)).cast("int").alias("batch"), "stored", "price")
+
+
+_REISSUED, _LEFT = "DATE '1997-05-01'", "DATE '1998-02-01'"
+
+
+@query(sql(f"SELECT 'orders_' || strftime(order_month, '%Y-%m') AS source_file, count(*) FILTER (order_month <> {_REISSUED} OR o_orderkey % 5 <> 0) AS stored, CASE WHEN order_month = {_REISSUED} THEN 'second' ELSE 'first' END AS load FROM ordered WHERE order_month <> {_LEFT} GROUP BY order_month"))
+def superseded_store(f: Frames) -> DataFrame:
+    """A stored table after one of its source files was delivered anew with other rows and one left the manifest; what no longer counts is deleted."""
+    orders, src = _monthly_source(f, "monthly")
+    store = S.work_dir(f.spark, "store")
+
+    def delivered() -> DataFrame:
+        meta = {"size": F.col("_metadata.file_size"), "modified": F.col("_metadata.file_modification_time")}
+        return f.spark.read.schema(orders.schema).parquet(src).select("*", _order_file().alias("source_file"), *(c.alias(n) for n, c in meta.items()))
+
+    listed = lambda: delivered().groupBy("source_file").agg(F.max("size").alias("size"), F.max("modified").alias("modified"))
+    _deliver(orders, src)
+    said = [T.add(delivered().drop("size", "modified"), listed(), store, "first")]
+    _deliver(orders.where(f"month = {_REISSUED} AND o_orderkey % 5 <> 0"), src)
+    manifest = listed().where(F.col("source_file") != F.lit("orders_1998-02"))
+    wanted = T.supersede(f.spark, manifest, store, "removal")
+    said += [T.add(delivered().drop("size", "modified"), wanted, store, "second"), str(T.sweep(f.spark, store))]
+    assert said == ["loaded", "loaded", "2"], said
+    return T.rows(f.spark, store).groupBy("source_file", "load").agg(F.count("*").alias("stored"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_load_new(f: Frames) -> DataFrame:
     """Events loaded by an available-now stream, twice: the second finds nothing new."""
