@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.calendar import month_of
 from stockflow.functions.rules import Issue, Rule, group_or_other
 from stockflow.operators import base as B
+from stockflow.operators import hierarchy as H
 
 CODES = ["A", "N", "R"]
 FLOWS = ["inflow", "outflow", "out_a", "out_n", "out_r", "overlay", "plain_a", "plain_n", "plain_r", "years_sum", "years_known", "years_issue"]
@@ -24,8 +25,9 @@ ERAS = [("e1", "1996-01-01", "1998-12-01"), ("e2", "1999-01-01", None)]
 LATE = 997
 BREAKS = [("FY1997", "1997-03-01"), ("FY2000", "1999-12-01")]
 YEARS = [Rule("0-9", "range", 0, 10), Rule("10-19", "range", 10, 20), Rule("20-29", "range", 20, 30), Rule("30+", "range", 30), Rule("Unknown", "unknown")]
-#: Code, node, level and parent of overlapping groups: a code counts in each of its nodes.
-HIERARCHY = [(c, n, level, p) for c, nodes in {"1": ("all", "urgent", "urgent-top"), "2": ("all", "urgent", "urgent-high"), "3": ("all", "normal"), "5": ("all", "normal")}.items() for n, level, p in [(x, i, nodes[i - 1] if i else None) for i, x in enumerate(nodes)]]
+#: Nodes of overlapping groups with their parent and place in lists, and the node of each code; a code counts in all nodes above its own.
+LINKS = [("all", None, 1), ("urgent", "all", 2), ("urgent-top", "urgent", 3), ("urgent-high", "urgent", 4), ("normal", "all", 5)]
+NODE_OF = [("1", "urgent-top"), ("2", "urgent-high"), ("3", "normal"), ("5", "normal")]
 
 
 @dataclass
@@ -108,6 +110,16 @@ class Frames:
         newest = B.provisional(n)
         return n.join(newest, "month").select("month", "provisional", (version > 1).alias("reissued"), F.concat(F.date_format("month", "yyyy-MM"), F.lit(" v"), version).alias("tag"))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return self.spark.createDataFrame(LINKS, "node string, parent string, place int")
+
+    @cached_property
+    def hierarchy(self) -> DataFrame:
+        """code, node, level, parent, place: each code in its node and those above, by the links' closure."""
+        codes = self.spark.createDataFrame(NODE_OF, "code string, node string")
+        return H.membership(codes, self.links).join(H.levels(self.links).join(self.links.select("node", "place"), "node"), "node").select("code", "node", F.col("level").cast("int").alias("level"), "parent", "place")
+
     @cached_property
     def eras(self) -> DataFrame:
         """era, first_month, last_month: an open era ends with the stock."""
@@ -122,6 +134,10 @@ def month_of_max(c: str, f) -> Column:
 
 #: The same frames for DuckDB, in the other style: plain counts by entity and for the total, joined by UNION ALL.
 PRELUDE = """
+links AS (SELECT * FROM (VALUES {links}) v(node, parent, place)),
+node_of AS (SELECT * FROM (VALUES {node_of}) v(code, node)),
+above AS (SELECT node, parent AS ancestor, 1 AS distance FROM links WHERE parent IS NOT NULL UNION ALL SELECT a.node, l.parent, a.distance + 1 FROM above a JOIN links l ON l.node = a.ancestor WHERE l.parent IS NOT NULL),
+hierarchy AS (SELECT c.code, l.node, CAST((SELECT count(*) FROM above a WHERE a.node = l.node) AS INTEGER) AS level, l.parent, l.place FROM node_of c JOIN links l ON l.node = c.node OR l.node IN (SELECT ancestor FROM above a WHERE a.node = c.node)),
 members AS (SELECT c_custkey, r_name AS entity, c_mktsegment AS segment, n_name AS nation, c_acctbal AS balance,
     CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'other' END AS group_code
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -172,6 +188,11 @@ running AS (SELECT b.entity, b.month, e.era, e.open, b.stock, row_number() OVER
 """
 
 
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
+
+
 def sql(select: str) -> str:
     """A DuckDB query over the prelude's frames."""
-    return f"WITH {PRELUDE.strip()}\n{select.strip()}"
+    prelude = PRELUDE.strip().replace("{links}", _rows(LINKS)).replace("{node_of}", _rows(NODE_OF))
+    return f"WITH RECURSIVE {prelude}\n{select.strip()}"

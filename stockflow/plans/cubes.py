@@ -41,7 +41,7 @@ def breakdown(base: DataFrame, by: list[str], months: DataFrame) -> DataFrame:
 
 def overlapping(rows: DataFrame, bridge_: DataFrame, month: str, measure: Column) -> DataFrame:
     """Counts per node of a code hierarchy: a row counts in every node of its code. The bridge is a configuration table."""
-    return B.with_total(rows.join(F.broadcast(bridge_), "code"), month, ["node"], [measure])
+    return B.with_total(rows.join(bridge_, "code"), month, ["node"], [measure])
 
 
 def with_share(df: DataFrame, keys: list[str], measure: str, whole: str = "all") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.demo import BREAKS, CODES, FLOWS, HIERARCHY, YEARS, Frames, sql
+from stockflow.demo import BREAKS, CODES, FLOWS, YEARS, Frames, sql
 from stockflow.functions.rules import Rule, assigned
 from stockflow.operators import base as B
 from stockflow.operators import combine as C
@@ -336,18 +336,14 @@ def breakdown_trend(f: Frames) -> DataFrame:
     return b.select("value", "period", "flow", (F.col("flow") - F.lag("flow").over(Window.partitionBy("value").orderBy("period"))).alias("change"))
 
 
-_NODES = "(VALUES " + ", ".join(f"('{c}', '{n}', {level}, {'NULL' if p is None else repr(p)})" for c, n, level, p in HIERARCHY) + ") h(code, node, level, parent)"
+_NODES = "hierarchy h"
 
 
-def _hierarchy(f: Frames) -> DataFrame:
-    return f.spark.createDataFrame(HIERARCHY, "code string, node string, level int, parent string")
-
-
-@query(sql(f"SELECT h.node, h.level, h.parent, string_agg(DISTINCT h.code, ',' ORDER BY h.code) AS codes, CAST(sum(o.n) AS BIGINT) AS n FROM {_NODES} JOIN (SELECT code, count(*) AS n FROM inflow GROUP BY code) o USING (code) GROUP BY ALL"))
+@query(sql(f"SELECT h.node, h.level, h.parent, h.place, string_agg(DISTINCT h.code, ',' ORDER BY h.code) AS codes, CAST(sum(o.n) AS BIGINT) AS n FROM {_NODES} JOIN (SELECT code, count(*) AS n FROM inflow GROUP BY code) o USING (code) GROUP BY ALL"))
 def group_hierarchy(f: Frames) -> DataFrame:
-    """The hierarchy over the codes that the inflow has: each node's codes and its rows."""
+    """The hierarchy over the codes that the inflow has, by the closure of its links: each node's level, place, codes and rows."""
     codes = f.inflow.groupBy("code").agg(F.count("*").alias("n"))
-    found = codes.join(F.broadcast(_hierarchy(f)), "code").groupBy("node", "level", "parent")
+    found = codes.join(f.hierarchy, "code").groupBy("node", "level", "parent", "place")
     return found.agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"), F.sum("n").alias("n"))
 
 
@@ -355,7 +351,7 @@ _OVERLAP = f"SELECT entity, effective_month AS month, node, count(*) AS n FROM i
 
 
 def _overlap(f: Frames) -> DataFrame:
-    return P.overlapping(f.inflow, _hierarchy(f), "effective_month", F.count("*").alias("n"))
+    return P.overlapping(f.inflow, f.hierarchy, "effective_month", F.count("*").alias("n"))
 
 
 @query(sql(_OVERLAP))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.demo import BREAKS, CODES, FLOWS, HIERARCHY, Frames, sql
+from stockflow.demo import BREAKS, CODES, FLOWS, Frames, sql
 from stockflow.functions import rules as R
 from stockflow.operators import base as B
 from stockflow.operators import checks as K
+from stockflow.operators import hierarchy as H
 from stockflow.operators import rollup as U
 from stockflow.queries import query
 
@@ -199,11 +200,10 @@ def entity_end_check(f: Frames) -> DataFrame:
     return B.refused_ends(f.base.withColumn("stock", F.when(cut, 0).otherwise(F.col("stock"))))
 
 
-@query(sql("SELECT effective_month AS month, code FROM inflow WHERE code NOT IN (" + ", ".join(sorted({repr(c) for c, *_ in HIERARCHY})) + ") GROUP BY ALL"))
+@query(sql("SELECT effective_month AS month, code FROM inflow WHERE code NOT IN (SELECT code FROM hierarchy) GROUP BY ALL"))
 def overlap_partition_check(f: Frames) -> DataFrame:
     """Months and codes that no node of the hierarchy has."""
-    known = f.spark.createDataFrame(sorted({(c,) for c, *_ in HIERARCHY}), "code string")
-    return f.inflow.join(F.broadcast(known), "code", "left_anti").select(F.col("effective_month").alias("month"), "code").distinct()
+    return f.inflow.join(f.hierarchy.select("code"), "code", "left_anti").select(F.col("effective_month").alias("month"), "code").distinct()
 
 
 @query(sql("SELECT strftime(month, '%Y-%m') AS month, n AS listed, n AS present, true AS same_size FROM (SELECT order_month AS month, count(*) AS n FROM ordered GROUP BY 1)"))
@@ -220,3 +220,48 @@ def manifest_reconciliation(f: Frames) -> DataFrame:
     there = read().groupBy("month").agg(F.sum("n").alias("present"), F.sum("size").alias("size"))
     listed = f.spark.read.schema("month string, listed long, bytes long").json(listing)
     return listed.join(there, "month", "full_outer").select("month", "listed", "present", F.col("bytes").eqNullSafe(F.col("size")).alias("same_size"))
+
+
+_NODE_COUNTS = "SELECT entity, effective_month AS month, node, count(*) AS n FROM i2 JOIN hierarchy USING (code) GROUP BY ALL"
+
+
+@query(sql(f"""SELECT * FROM (SELECT p.entity, p.month, p.node, d.level, 'n' AS measure, p.n AS value, CAST(coalesce(c.summed, 0) AS BIGINT) AS summed
+    FROM (SELECT * FROM ({_NODE_COUNTS}) WHERE node <> 'all' UNION ALL SELECT entity, effective_month, 'all', count(*) FROM i2 GROUP BY ALL) p
+    JOIN (SELECT l.node, count(a.ancestor) AS level FROM links l LEFT JOIN above a ON a.node = l.node GROUP BY l.node) d ON d.node = p.node
+    LEFT JOIN (SELECT x.entity, x.month, l.parent, sum(x.n) AS summed FROM ({_NODE_COUNTS}) x JOIN links l ON l.node = x.node GROUP BY ALL) c ON c.entity = p.entity AND c.month = p.month AND c.parent = p.node
+    WHERE p.node IN (SELECT parent FROM links)) WHERE value <> summed"""))
+def hierarchy_proof(f: Frames) -> DataFrame:
+    """Level by level, parents whose children do not add up to them. The whole is all inflow here, whose codes without a node are no child of it: the violations are these."""
+    keys = ["month", "entity"]
+    nodes = B.with_total(f.inflow.join(f.hierarchy.select("code", "node"), "code"), "effective_month", ["node"], [F.count("*").alias("n")])
+    whole = B.with_total(f.inflow, "effective_month", [], [F.count("*").alias("n")]).withColumn("node", F.lit("all"))
+    return H.partition(nodes.where("node <> 'all'").unionByName(whole), f.links, keys, ["n"]).select("entity", "month", "node", "level", "measure", "value", "summed")
+
+
+_PLACES_SQL = """SELECT n_name AS node, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region UNION ALL SELECT 'WORLD', NULL"""
+
+
+def _places(f: Frames) -> DataFrame:
+    """node, parent: nations below regions below the world."""
+    r = f.table("region").select("r_regionkey", "r_name")
+    nations = f.table("nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent"))
+    regions = r.select(F.col("r_name").alias("node"), F.lit("WORLD").alias("parent"))
+    return nations.unionByName(regions).unionByName(f.spark.createDataFrame([("WORLD", None)], "node string, parent string"))
+
+
+@query(f"""WITH RECURSIVE p AS ({_PLACES_SQL}), above AS (SELECT node, parent AS ancestor, 1 AS distance FROM p WHERE parent IS NOT NULL UNION ALL SELECT a.node, p.parent, a.distance + 1 FROM above a JOIN p ON p.node = a.ancestor WHERE p.parent IS NOT NULL)
+    SELECT a.ancestor AS node, a.distance, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM above a JOIN nation ON n_name = a.node JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def hierarchy_closure(f: Frames) -> DataFrame:
+    """Customers and their balance in all places above their nation, by the closure of (node, parent) links."""
+    c = f.table("customer").join(f.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("node"), "c_acctbal")
+    return c.join(H.closure(_places(f)), "node").groupBy(F.col("ancestor").alias("node"), "distance").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT node, CASE WHEN node = 'ASIA' THEN 'CHINA' WHEN node = 'KENYA' THEN 'ATLANTIS' ELSE parent END AS parent FROM ({_PLACES_SQL}) UNION ALL SELECT 'PERU', 'EUROPE'),
+    above AS (SELECT node, parent AS ancestor FROM p WHERE parent IS NOT NULL UNION SELECT a.node, p.parent FROM above a JOIN p ON p.node = a.ancestor WHERE p.parent IS NOT NULL)
+    SELECT node, 'cycle' AS problem FROM above WHERE node = ancestor UNION ALL SELECT node, 'orphan' FROM p WHERE parent NOT IN (SELECT node FROM p) UNION ALL SELECT node, 'two parents' FROM p GROUP BY node HAVING count(DISTINCT coalesce(parent, '')) > 1""")
+def hierarchy_problems(f: Frames) -> DataFrame:
+    """Places with a cycle, an orphan and a second parent planted: each is reported."""
+    moved = F.when(F.col("node") == "ASIA", "CHINA").when(F.col("node") == "KENYA", "ATLANTIS").otherwise(F.col("parent"))
+    planted = _places(f).withColumn("parent", moved).unionByName(f.spark.createDataFrame([("PERU", "EUROPE")], "node string, parent string"))
+    return H.problems(planted)
