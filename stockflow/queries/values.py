@@ -9,7 +9,9 @@ from stockflow.demo import ISSUE, LISTED, YEARS, Frames, sql
 from stockflow.functions import calendar as C
 from stockflow.functions import rules as R
 from stockflow.functions.rules import Rule
+from stockflow.operators import issues as I
 from stockflow.queries import query
+from stockflow.sources.files import work_dir
 
 
 def _counts(df: DataFrame, value) -> DataFrame:
@@ -47,6 +49,55 @@ def issue_predicate(f: Frames) -> DataFrame:
     return f.all_outflow.groupBy("file_month").agg(F.count("*").alias("n"), F.count_if(f.issue).alias("unknown"))
 
 
+#: Known issues: two of one field overlap, one is of codes, one of another dataset, and one makes its field unusable.
+ISSUES = [
+    ("b-large", "outflow", "years", "1997-06-01", "1998-01-01", 48.0, 50.0, None, "unknown"),
+    ("a-forties", "outflow", "years", "1997-09-01", "1997-12-01", 40.0, 49.0, None, "unknown"),
+    ("early-returns", "outflow", "code", "1995-03-01", "1995-05-01", None, None, "R|X", "unknown"),
+    ("elsewhere", "inflow", "code", "1995-01-01", "1998-12-01", None, None, None, "unknown"),
+    ("from-60", "outflow", "years", "1992-01-01", "1998-12-01", 60.0, None, None, "unknown"),
+    ("discount-lost", "outflow", "discount", "1992-01-01", "1998-12-01", None, None, None, "unusable"),
+]
+
+
+def _issues(f: Frames) -> DataFrame:
+    """The issue table through CSV, as it is kept."""
+    out = work_dir(f.spark, "issues")
+    text = [tuple(None if x is None else str(x) for x in r) for r in ISSUES]
+    f.spark.createDataFrame(text, ", ".join(f"{c.split()[0]} string" for c in I.SCHEMA.split(", "))).write.option("header", True).csv(out)
+    return f.spark.read.schema(I.SCHEMA).option("header", True).csv(out)
+
+
+_YEARS_ISSUE = "CASE WHEN years BETWEEN 40 AND 49 AND file_month BETWEEN DATE '1997-09-01' AND DATE '1997-12-01' THEN 'a-forties' WHEN years BETWEEN 48 AND 50 AND file_month BETWEEN DATE '1997-06-01' AND DATE '1998-01-01' THEN 'b-large' END"
+_CODE_ISSUE = "CASE WHEN code = 'R' AND file_month BETWEEN DATE '1995-03-01' AND DATE '1995-05-01' THEN 'early-returns' END"
+
+
+@query(sql(f"SELECT entity, 'years' AS field, {_YEARS_ISSUE} AS issue, count(*) AS n FROM all_outflow WHERE years IS NOT NULL GROUP BY ALL UNION ALL SELECT entity, 'code', {_CODE_ISSUE}, count(*) FROM all_outflow WHERE code IS NOT NULL GROUP BY ALL"))
+def issue_table_applied(f: Frames) -> DataFrame:
+    """How many values each issue of the table hit, each row once a field, though issues overlap; and how many are believed."""
+    fields = ["years", "code"]
+    return I.applied(I.named(f.all_outflow, _issues(f), "outflow", fields), fields, ["entity"])
+
+
+@query(sql(f"SELECT file_month AS month, count(*) AS n, count(*) FILTER (({_YEARS_ISSUE}) IS NULL) AS known, count(*) FILTER (({_YEARS_ISSUE}) IS NOT NULL) AS hit, CAST(sum(years) FILTER (({_YEARS_ISSUE}) IS NULL) AS BIGINT) AS years FROM all_outflow GROUP BY ALL"))
+def issue_table_balance(f: Frames) -> DataFrame:
+    """Month by month: values that are believed and those that are not add up to all, and only the former are added."""
+    rows = I.usable(I.named(f.all_outflow, _issues(f), "outflow", ["years"]), ["years"])
+    return rows.groupBy(F.col("file_month").alias("month")).agg(F.count("*").alias("n"), F.count("years").alias("known"), F.count("years_issue").alias("hit"), F.sum("years").alias("years"))
+
+
+@query(sql("SELECT entity, 'outflow.discount is unusable: discount-lost' AS said, count(*) AS n FROM all_outflow GROUP BY ALL"))
+def issue_table_refusal(f: Frames) -> DataFrame:
+    """A job that reads an unusable field is refused, and says why; one that does not runs."""
+    issues = _issues(f)
+    said = None
+    try:
+        I.named(f.all_outflow.withColumn("discount", F.lit(0.0)), issues, "outflow", ["years", "discount"])
+    except I.Refused as e:
+        said = str(e)
+    return I.named(f.all_outflow, issues, "outflow", ["years"]).groupBy("entity").agg(F.lit(said).alias("said"), F.count("*").alias("n"))
+
+
 @query(sql("SELECT group_code AS value, count(*) AS n FROM members GROUP BY 1"))
 def group_or_other(f: Frames) -> DataFrame:
     return _counts(f.table("customer"), R.group_or_other(F.col("c_mktsegment"), LISTED))
