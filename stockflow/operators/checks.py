@@ -37,6 +37,45 @@ def multisets(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("problem", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("problem", F.lit("extra")))
 
 
+def monthly_figures(df: DataFrame, month: str, columns: list[str], mark: str = "REDACTED") -> DataFrame:
+    """month, column, n, missing, redacted, low, xor: for each month, of each column and of whole rows (column "*"), counts and two figures of hashes that no order changes, in one pass."""
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    hashes = {c: F.xxhash64(text(c)) for c in columns} | {"*": F.xxhash64(F.to_json(F.struct(*sorted(columns))))}
+    aggregates = []
+    for i, (c, h) in enumerate(hashes.items()):
+        none = F.lit(0).cast("long") if c == "*" else F.count_if(F.col(c).isNull())
+        hidden = F.lit(0).cast("long") if c == "*" else F.count_if(F.col(c).cast("string") == mark)
+        aggregates += [none.alias(f"m{i}"), hidden.alias(f"r{i}"), F.sum(F.pmod(h, F.lit(2**31))).alias(f"l{i}"), F.bit_xor(h).alias(f"x{i}")]
+    one = df.groupBy(F.col(month).alias("month")).agg(F.count("*").alias("n"), *aggregates)
+    cells = (F.struct(F.lit(c).alias("column"), F.col("n").alias("n"), F.col(f"m{i}").alias("missing"), F.col(f"r{i}").alias("redacted"), F.col(f"l{i}").alias("low"), F.col(f"x{i}").alias("xor")) for i, c in enumerate(hashes))
+    return one.select("month", F.inline(F.array(*cells)))
+
+
+def differing_months(a: DataFrame, b: DataFrame, month: str, columns: list[str]) -> DataFrame:
+    """month, column, n, n_other, missing, missing_other, redacted, redacted_other: months and columns ("*": whole rows) whose figures differ between two frames."""
+    figures = ["n", "missing", "redacted", "low", "xor"]
+    x, y = (monthly_figures(df, month, columns) for df in (a, b))
+    y = y.select(F.col("month").alias("_month"), F.col("column").alias("_column"), *(F.col(c).alias(f"{c}_other") for c in figures))
+    both = x.join(y, F.col("month").eqNullSafe(F.col("_month")) & (F.col("column") == F.col("_column")), "full_outer")
+    differ = both.where(~any_equal(figures))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return differ.select(F.coalesce("month", "_month").alias("month"), F.coalesce("column", "_column").alias("column"), *(zero(c) for f in figures[:3] for c in (f, f"{f}_other")))
+
+
+def any_equal(figures: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_other")) for c in figures))
+
+
+def multisets_by_month(a: DataFrame, b: DataFrame, month: str, columns: list[str]) -> DataFrame:
+    """Rows (of month and columns), with repetitions, that only one of two frames has. Figures by month come first: only months whose rows differ are compared row by row, and equal frames are not compared at all."""
+    names = [month, *(c for c in columns if c != month)]
+    months = differing_months(a, b, month, columns).where(F.col("column") == "*").select("month").distinct()
+    if not months.limit(1).count():
+        return a.select(*names).limit(0).withColumn("problem", F.lit("missing"))
+    of = lambda df: df.select(*names).join(months.withColumnRenamed("month", "_month"), F.col(month).eqNullSafe(F.col("_month")), "left_semi")
+    return multisets(of(a), of(b))
+
+
 def jumps(months: DataFrame, measure: str, limit: float, listed: list[str]) -> DataFrame:
     """month, change: months whose change from the one before is more than ``limit`` of it and which are not listed. ``months`` has a row a month."""
     before = F.lag(measure).over(Window.orderBy("month"))

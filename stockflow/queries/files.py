@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockflow.demo import Frames, sql
 from stockflow.functions.calendar import month_of
+from stockflow.operators import order as O
 from stockflow.operators import rollup as R
 from stockflow.queries import query
 from stockflow.sources import files as S
@@ -119,6 +120,17 @@ def records_sink(f: Frames) -> DataFrame:
     return f.spark.read.parquet(out)
 
 
+_RECORD_ORDER = ["code", "years_text", "l_orderkey", "l_linenumber"]
+
+
+@query(sql("SELECT code, years_text, l_orderkey, l_linenumber, row_number() OVER (ORDER BY code NULLS FIRST, years_text NULLS FIRST, l_orderkey, l_linenumber) AS place FROM all_outflow"))
+def ordered_records(f: Frames) -> DataFrame:
+    """Records written in order over several files, and read back with the place that file and row give them."""
+    out = S.work_dir(f.spark, "ordered")
+    O.write_ordered(f.all_outflow.select(*_RECORD_ORDER), _RECORD_ORDER, out, rows_per_file=20_000)
+    return O.read_ordered(f.spark, out)
+
+
 @query(sql("SELECT count(*) AS rows, true AS same FROM base"))
 def dataset_fingerprint(f: Frames) -> DataFrame:
     """The fingerprint of the base equals that of the same rows dealt and ordered in another way."""

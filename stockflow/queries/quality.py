@@ -101,6 +101,42 @@ def completeness_profile(f: Frames) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}_v").alias("value"), F.col(f"{c}_m").alias("missing"), F.col(f"{c}_r").alias("redacted")) for c in fields))))
 
 
+_RECORD = "file_month AS month, l_orderkey, l_linenumber, code, years_text"
+_PUBLISHED = f"""SELECT {_RECORD.replace("code,", "CASE WHEN l_orderkey % 500 = 1 AND l_linenumber = 1 THEN 'X' ELSE code END AS code,")} FROM all_outflow WHERE NOT (l_orderkey % 700 = 3 AND l_linenumber = 2)
+    UNION ALL SELECT {_RECORD} FROM all_outflow WHERE l_orderkey % 900 = 5 AND l_linenumber = 1"""
+_COLUMNS = ["l_orderkey", "l_linenumber", "code", "years_text"]
+
+
+def _records(f: Frames, planted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Source records and what was published of them: some changed, some lost, some twice."""
+    from stockflow.sources.files import work_dir
+
+    source = f.all_outflow.select(F.col("file_month").alias("month"), *_COLUMNS)
+    k, n, out = F.col("l_orderkey"), F.col("l_linenumber"), work_dir(f.spark, "records")
+    rows = source
+    if planted:
+        rows = source.where(~((k % 700 == 3) & (n == 2))).withColumn("code", F.when((k % 500 == 1) & (n == 1), "X").otherwise(F.col("code")))
+        rows = rows.unionByName(source.where((k % 900 == 5) & (n == 1)))
+    rows.write.parquet(out)
+    return source, f.spark.read.parquet(out)
+
+
+@query(sql(f"SELECT *, 'missing' AS problem FROM (SELECT {_RECORD} FROM all_outflow EXCEPT ALL ({_PUBLISHED})) UNION ALL SELECT *, 'extra' FROM (({_PUBLISHED}) EXCEPT ALL SELECT {_RECORD} FROM all_outflow)"))
+def multisets_by_month(f: Frames) -> DataFrame:
+    """Published records against their source: changed, lost and doubled ones, looked for in the months only whose figures differ."""
+    return K.multisets_by_month(*_records(f), "month", _COLUMNS)
+
+
+_MONTHLY = "SELECT month, count(*) AS n, {0} FROM ({1}) GROUP BY month"
+_CELLS = ", ".join(f"count(*) FILTER ({c} IS NULL) AS m_{c}, count(*) FILTER (CAST({c} AS VARCHAR) = 'REDACTED') AS r_{c}, bit_xor(hash({c})) AS x_{c}, sum(hash({c}) % 1000000007) AS l_{c}" for c in _COLUMNS)
+
+
+@query(sql(f"SELECT * FROM (" + " UNION ALL ".join(f"SELECT a.month, '{c}' AS \"column\", a.n, b.n AS n_other, a.m_{c} AS missing, b.m_{c} AS missing_other, a.r_{c} AS redacted, b.r_{c} AS redacted_other FROM ({_MONTHLY.format(_CELLS, f'SELECT {_RECORD} FROM all_outflow')}) a JOIN ({_MONTHLY.format(_CELLS, _PUBLISHED)}) b USING (month) WHERE a.n <> b.n OR a.x_{c} <> b.x_{c} OR a.l_{c} <> b.l_{c}" for c in _COLUMNS) + ")"))
+def differing_months(f: Frames) -> DataFrame:
+    """Months and columns of the published records whose figures are not those of the source, with null and redacted counts of both."""
+    return K.differing_months(*_records(f), "month", _COLUMNS).where(F.col("column") != "*")
+
+
 @query(sql("SELECT entity, month FROM base WHERE years_known + years_issue <> outflow"))
 def issue_balance_check(f: Frames) -> DataFrame:
     return f.base.where("years_known + years_issue <> outflow").select("entity", "month")
