@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.demo import Frames, sql
+from stockflow.demo import LATE, Frames, sql
 from stockflow.functions.calendar import month_of
 from stockflow.operators import order as O
 from stockflow.operators import rollup as R
 from stockflow.queries import query
 from stockflow.sources import files as S
+from stockflow.sources import manifests as M
 from stockflow.sources import store as T
 from stockflow.streaming.loader import load_into, load_new
 
@@ -289,6 +290,48 @@ def superseded_store(f: Frames) -> DataFrame:
     return T.rows(f.spark, store).groupBy("source_file", "load").agg(F.count("*").alias("stored"))
 
 
+_SIZES = """SELECT order_month AS month, count(*) FILTER (o_orderkey % 997 <> 0) AS s1, count(*) AS s2, count(*) FILTER (order_month <> DATE '1997-05-01' OR o_orderkey % 5 <> 0) AS s3 FROM ordered GROUP BY 1"""
+
+
+def _refreshes(f: Frames) -> str:
+    """Three refreshes of the orders' manifest: without what came late, with it, and with one month delivered anew; the second is recorded twice."""
+    late, again = F.col("o_orderkey") % LATE == 0, (F.col("month") == F.lit("1997-05-01").cast("date")) & (F.col("o_orderkey") % 5 == 0)
+    orders = f.table("orders").select("o_orderkey", month_of("o_orderdate").alias("month"))
+    n = orders.groupBy("month").agg(F.count_if(~late).alias("s1"), F.count("*").alias("s2"), F.count_if(~again).alias("s3"))
+    path, v2 = S.work_dir(f.spark, "manifests"), F.when(F.col("s2") != F.col("s1"), 2).otherwise(1)
+
+    def manifest(size: str, version: Column) -> DataFrame:
+        name = F.concat(F.lit("orders_"), F.date_format("month", "yyyyMM"), F.lit("_"), version, F.lit(".parquet"))
+        return n.select(F.lit("orders").alias("dataset"), "month", name.alias("filename"), version.cast("long").alias("version"), F.col(size).alias("size"))
+
+    third = manifest("s3", v2 + F.when(F.col("s3") != F.col("s2"), 1).otherwise(0))
+    said = [M.record(m, path) for m in (manifest("s1", F.lit(1)), manifest("s2", v2), manifest("s2", v2), third)]
+    assert said == [1, 2, 2, 3], said
+    return path
+
+
+@query(sql(f"""SELECT refresh, month, CAST(version AS BIGINT) AS version, reissued FROM (SELECT 1 AS refresh, month, 1 AS version, false AS reissued FROM ({_SIZES}) UNION ALL SELECT 2, month, 1 + CAST(s1 <> s2 AS INTEGER), s1 <> s2 FROM ({_SIZES})
+    UNION ALL SELECT 3, month, 1 + CAST(s1 <> s2 AS INTEGER) + CAST(s3 <> s2 AS INTEGER), s3 <> s2 FROM ({_SIZES}))"""))
+def reissue_marks(f: Frames) -> DataFrame:
+    """Which months each of three refreshes marks as reissued: a mark appears, stays while its refresh is the newest, and goes with the next."""
+    path, out = _refreshes(f), None
+    for r in (1, 2, 3):
+        one = M.flags(f.spark, path, "orders", r).select(F.lit(r).alias("refresh"), "month", F.regexp_extract("tag", r"v(\d+)$", 1).cast("long").alias("version"), "reissued")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(sql(f"SELECT month, CASE WHEN (s1 <> s2) <> (s3 <> s2) THEN 'flag' ELSE 'tag' END AS problem FROM ({_SIZES}) WHERE (s1 <> s2) <> (s3 <> s2) OR s3 <> s2"))
+def stale_flags(f: Frames) -> DataFrame:
+    """The core cube's flags and tags, made of the second refresh, against the state: none is wrong by then, and after the third those that it changed are."""
+    from stockflow.queries.cubes import cube_core
+
+    path = _refreshes(f)
+    published = cube_core(f).where("grain = 'month' AND entity = 'ALL'").select(F.col("first_month").alias("month"), "reissued", F.col("files").alias("tag"))
+    then = M.wrong_flags(published, M.flags(f.spark, path, "orders", 2))
+    return M.wrong_flags(published, M.flags(f.spark, path, "orders")).unionByName(then.withColumn("problem", F.concat(F.lit("then: "), "problem")))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_load_new(f: Frames) -> DataFrame:
     """Events loaded by an available-now stream, twice: the second finds nothing new."""
