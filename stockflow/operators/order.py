@@ -34,7 +34,7 @@ def write_ordered(rows: DataFrame, by: list[str], path: str, rows_per_group: int
     out.parquet(path)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def stored(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows with their file's numbers (range, and file of the range) and their row in it."""
     name = F.col("_metadata.file_name")
     numbers = F.struct(F.regexp_extract(name, r"^part-(\d+)", 1).cast("int").alias("range"), F.coalesce(F.regexp_extract(name, r"[-.]c(\d+)[.]", 1).try_cast("int"), F.lit(0)).alias("file"))
@@ -43,7 +43,7 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     """The rows that ``write_ordered`` stored, with their place from 1 on. Only a row a file comes together."""
-    rows = _read(spark, path)
+    rows = stored(spark, path)
     sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
     starts = sizes.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return rows.join(starts, "_file").withColumn("place", (F.col("_before") + F.col("_row") + 1).cast("long")).drop("_file", "_row", "_before")
@@ -52,7 +52,7 @@ def read_ordered(spark: SparkSession, path: str) -> DataFrame:
 def order_violations(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
     """file, row: stored rows that come before the one that stands before them: within each file by its rows, and across files by their first and last."""
     key = F.struct(*by)
-    rows = _read(spark, path).select("_file", "_row", key.alias("_key"))
+    rows = stored(spark, path).select("_file", "_row", key.alias("_key"))
     before = F.lag("_key").over(Window.partitionBy("_file").orderBy("_row"))
     inside = rows.withColumn("_before", before).where("_before > _key").select("_file", "_row")
     ends = rows.groupBy("_file").agg(F.min_by("_key", "_row").alias("_first"), F.max_by("_key", "_row").alias("_last"))

@@ -183,3 +183,17 @@ def overlap_cube(stock: DataFrame, inflow: DataFrame, outflow: DataFrame, nodes:
     names = kinds("entity", "entity") | kinds("key", "node", "grain", "period", "n") | kinds("last", "last_month") | kinds("most", "months", "months_in_period") | kinds("flag", "provisional", "partial", "reissued") | kinds("stock", "stock", "stock_all", "stock_0")
     names |= kinds("ratio", "share", num="stock", den="stock_all") | kinds("flow", "inflow", "outflow") | kinds("stock_change", "change") | kinds("ratio", "percent", num="change", den="stock_0", least=SMALL) | kinds("small", "percent_small", of="stock_0")
     return described(cube, names)
+
+
+def period_before(grain: Column, period: Column, years: int = -1) -> Column:
+    """The key of the same window a year before (``years``): fiscal years and trailing twelve months have one, eras and their first months none."""
+    fy = F.concat(F.lit("FY"), F.substring(period, 3, 4).try_cast("int") + years)
+    t12 = F.concat(F.lpad(F.substring(period, 1, 4).try_cast("int") + years, 4, "0"), F.substring(period, 5, 3))
+    return F.when(grain == "fy", fy).when(grain.isin("t12", "month"), t12)
+
+
+def beside_before(cube: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
+    """keys, grain, period, and each measure beside that of the window before (``_before``, NULL where there is none): one join by key with the rows moved a year on."""
+    own = cube.select(*keys, "grain", "period", *(m.alias(c) for c, m in measures.items()))
+    moved = own.select(*keys, "grain", period_before(F.col("grain"), F.col("period"), 1).alias("period"), *(F.col(c).alias(f"{c}_before") for c in measures)).where("period IS NOT NULL")
+    return own.join(moved, [*keys, "grain", "period"], "left")

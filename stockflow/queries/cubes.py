@@ -239,6 +239,22 @@ def cube_outflow_breakdown(f: Frames) -> DataFrame:
     return _breakdown(f, f.outflow, OUT_DIMENSIONS, _out_measures())
 
 
+_LOST_MEASURES = {"years_sum": "CAST(sum(years) FILTER (NOT issue) AS BIGINT)", "years_known": "count(years) FILTER (NOT issue)"}
+_LOST = f"""SELECT entity, dimension, value, grain, period, flow, round(rate_num / rate_den, 4) AS rate, round(years_sum / nullif(years_known, 0), 4) AS years_lost, round(years_known / nullif(flow, 0), 4) AS years_coverage, coverage FROM ({_breakdown_sql("o2", OUT_DIMENSIONS, _LOST_MEASURES)})"""
+
+
+@query(sql(f"""SELECT * FROM (WITH lost AS ({_LOST}) SELECT a.*, b.flow AS flow_before, b.rate AS rate_before, b.years_lost AS years_lost_before, b.years_coverage AS years_coverage_before, b.coverage AS coverage_before FROM lost a
+    LEFT JOIN lost b ON b.entity = a.entity AND b.dimension = a.dimension AND b.value = a.value AND b.grain = a.grain
+    AND b.period = CASE a.grain WHEN 'fy' THEN 'FY' || (CAST(substr(a.period, 3) AS INTEGER) - 1) WHEN 't12' THEN (CAST(substr(a.period, 1, 4) AS INTEGER) - 1) || substr(a.period, 5) END)"""))
+def dimension_snapshot(f: Frames) -> DataFrame:
+    """Every dimension's values in every window: outflow, rate, average years lost and coverage, beside those of the year before (fiscal years, trailing twelve months; eras have none)."""
+    issue = f.issue
+    measures = {"years_sum": F.sum(F.when(~issue, F.col("years"))), "years_known": F.count(F.when(~issue, F.col("years")))}
+    cube = _breakdown(f, f.outflow, OUT_DIMENSIONS, measures)
+    shown = {"flow": F.col("flow"), "rate": R.rated(F.col("rate_num"), F.col("rate_den")), "years_lost": R.rated(F.col("years_sum"), F.col("years_known")), "years_coverage": R.rated(F.col("years_known"), F.col("flow")), "coverage": F.col("coverage")}
+    return X.beside_before(cube, ["entity", "dimension", "value"], shown)
+
+
 def _combined_breakdown_sql(cube: str, group: str, flows: list[str]) -> str:
     w = f"(PARTITION BY {group}grain, period, dimension)"
     known = f"sum(flow) FILTER (NOT is_unknown) OVER {w}"

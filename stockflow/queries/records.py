@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from stockflow.demo import Frames, sql
 from stockflow.functions.calendar import fiscal_year, month_key
 from stockflow.operators.order import placed
+from stockflow.operators import lookup as L
 from stockflow.queries import query
+from stockflow.sources.files import work_dir
 
 _REC = "SELECT strftime(file_month, '%Y-%m') AS file_month, strftime(effective_month, '%Y-%m') AS month, entity AS agency, code AS category, overlay AS overlay, years_text AS length_of_service, segment FROM all_outflow"
 
@@ -99,3 +101,45 @@ def fy_end_and_latest_snapshots(f: Frames) -> DataFrame:
     latest = f.last_month.select("last_month")
     kept = f.stock.crossJoin(F.broadcast(latest)).where((F.month("month") == 9) | (F.col("month") == F.col("last_month")))
     return kept.groupBy(month_key(F.col("month")).alias("month")).agg(F.count("*").alias("n"))
+
+
+_SHOWN = "SELECT effective_month AS month, l_orderkey, l_linenumber, entity, CASE code WHEN 'A' THEN 'Accepted' WHEN 'R' THEN 'Returned' ELSE code END AS state, p_partkey || ' ' || p_name AS part FROM all_outflow JOIN part ON p_partkey = l_partkey"
+_IN_ORDER = ["month", "l_orderkey", "l_linenumber"]
+
+
+def _shown(f: Frames) -> str:
+    """Records as they are shown, names for codes and parts with their title, stored in order."""
+    part = f.table("part").select("p_partkey", "p_name")
+    rows = f.all_outflow.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.date_format("effective_month", "yyyy-MM-dd").alias("month"), "l_orderkey", "l_linenumber", "entity", L.displayed(F.col("code"), {"A": "Accepted", "R": "Returned"}).alias("state"), F.concat_ws(" ", "p_partkey", "p_name").alias("part"),
+    )
+    path = work_dir(f.spark, "lookup")
+    L.build(rows, _IN_ORDER, path, rows_per_file=20_000)
+    return path
+
+
+def _pages_sql(where: str, wanted: list[int], size: int) -> str:
+    asked = ", ".join(f"({n})" for n in wanted)
+    return f"""SELECT a.n AS asked, CAST(x.month AS VARCHAR) AS month, l_orderkey, l_linenumber, entity, state, part, least(greatest(a.n, 1), pages) AS page, pages, total, place
+    FROM (SELECT *, row_number() OVER (ORDER BY month, l_orderkey, l_linenumber) AS place, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / {size}.0) AS BIGINT) AS pages FROM ({_SHOWN}) WHERE {where}) x
+    JOIN (VALUES {asked}) a(n) ON place BETWEEN (least(greatest(a.n, 1), pages) - 1) * {size} + 1 AND least(greatest(a.n, 1), pages) * {size}"""
+
+
+def _pages(f: Frames, wanted: list[int], size: int, condition=None) -> DataFrame:
+    path, out = _shown(f), None
+    for n in wanted:
+        one = L.page(f.spark, path, n, size, condition).select(F.lit(n).alias("asked"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(sql(_pages_sql("true", [0, 1, 7, 1_000_000_000], 40)))
+def lookup_pages(f: Frames) -> DataFrame:
+    """Pages of all records, in order: one below 1 and one beyond the last are clamped."""
+    return _pages(f, [0, 1, 7, 1_000_000_000], 40)
+
+
+@query(sql(_pages_sql("contains(lower(concat_ws('|', entity, state, part)), 'returned') AND contains(lower(part), 'green')", [1, 2, 999], 25)))
+def lookup_search(f: Frames) -> DataFrame:
+    """The rows that hold a display name and a part of a title, whatever their case, page by page."""
+    return _pages(f, [1, 2, 999], 25, L.contains(" ReTurned", "entity", "state", "part") & L.contains("GREEN", "part"))
