@@ -115,6 +115,19 @@ def small_bases(cube: DataFrame, den: str, flag: str, keys: list[str], small: in
     return cube.where(~F.col(flag).eqNullSafe(F.col(den) < small)).select(*keys)
 
 
+def gaps(months: DataFrame) -> DataFrame:
+    """month: months that do not follow the one before them. ``months`` has a row a month."""
+    before = F.lag("month").over(Window.orderBy("month"))
+    return months.withColumn("_before", before).where(F.col("month") != F.add_months("_before", 1)).select("month")
+
+
+def share_sums(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """keys: where the known values of a share dimension do not add up to their denominator, or it is there without any."""
+    s = cube.where("is_share").groupBy(*keys).agg(F.sum(F.when(~F.col("is_unknown"), F.col("flow"))).alias("known"), F.min("share_den").alias("least"), F.max("share_den").alias("most"))
+    wrong = (F.col("least") != F.col("most")) | (F.col("known") != F.col("least")) | (F.col("least").isNull() != (F.coalesce("known", F.lit(0)) == 0))
+    return s.where(wrong).select(*keys)
+
+
 def breaks(listed: DataFrame, fy: Column) -> DataFrame:
     """Listed breaks (fiscal_year, month) whose month lies in another fiscal year."""
     return listed.where(fy != F.col("fiscal_year")).select("fiscal_year", "month")

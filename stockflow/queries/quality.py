@@ -12,6 +12,7 @@ from stockflow.operators import checks as K
 from stockflow.operators import hierarchy as H
 from stockflow.operators import rollup as U
 from stockflow.queries import query
+from stockflow.queries.cubes import _CORE, _DIMENSIONS, _OUT_MEASURES, IN_DIMENSIONS, OUT_BY_GROUP, OUT_DIMENSIONS, _breakdown_sql
 
 
 @query("SELECT l_returnflag AS code, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 1")
@@ -50,7 +51,11 @@ def row_set_diff(f: Frames) -> DataFrame:
     return K.row_sets(f.base.where("stock > 0"), flows, ["entity", "month"])
 
 
-@query(sql("SELECT l_orderkey, l_linenumber, code, years, 'missing' AS problem FROM all_outflow WHERE false"))
+_SOURCE_SQL = "SELECT l_orderkey, l_linenumber, l_returnflag AS code, CASE WHEN l_discount = 0 THEN 'REDACTED' WHEN l_discount = 0.05 THEN 'none' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS years FROM lineitem"
+_PUBLISHED_SQL = "SELECT l_orderkey, l_linenumber, code, coalesce(years_text, 'none') AS years FROM all_outflow"
+
+
+@query(sql(f"SELECT *, 'missing' AS problem FROM (({_SOURCE_SQL}) EXCEPT ALL ({_PUBLISHED_SQL})) UNION ALL SELECT *, 'extra' FROM (({_PUBLISHED_SQL}) EXCEPT ALL ({_SOURCE_SQL}))"))
 def multiset_diff(f: Frames) -> DataFrame:
     """Published records, written and read back, against source rows, both ways, with repetitions."""
     from stockflow.sources.files import work_dir
@@ -77,8 +82,7 @@ def record_null_counts(f: Frames) -> DataFrame:
 @query(sql("SELECT month FROM (SELECT month, lag(month) OVER (ORDER BY month) AS before FROM months) WHERE before IS NOT NULL AND month <> before + INTERVAL 1 MONTH"))
 def month_gaps(f: Frames) -> DataFrame:
     """Months that don't follow the one before: windows over rows are only valid without any."""
-    m = B.months_of(f.stock).withColumn("before", F.lag("month").over(Window.orderBy("month")))
-    return m.where(F.col("month") != F.add_months("before", 1)).select("month")
+    return K.gaps(B.months_of(f.stock))
 
 
 @query(sql("SELECT month, round((stock - before) / nullif(before, 0), 4) AS change FROM (SELECT month, stock, lag(stock) OVER (ORDER BY month) AS before FROM base WHERE entity = 'ALL') WHERE abs(round((stock - before) / nullif(before, 0), 4)) > 0.02 AND month NOT IN (DATE '1997-03-01', DATE '1999-12-01')"))
@@ -139,7 +143,7 @@ def differing_months(f: Frames) -> DataFrame:
 
 @query(sql("SELECT entity, month FROM base WHERE years_known + years_issue <> outflow"))
 def issue_balance_check(f: Frames) -> DataFrame:
-    return f.base.where("years_known + years_issue <> outflow").select("entity", "month")
+    return K.partition(f.base, {"outflow": ["years_known", "years_issue"]}, ["entity", "month"])
 
 
 @query(sql("""SELECT count(*) FILTER (effective_month <> file_month) AS differ, count(*) FILTER (effective_month = file_month) AS same,
@@ -160,19 +164,31 @@ def refused_flows(f: Frames) -> DataFrame:
     return late.groupBy(F.col("effective_month").alias("month")).agg(F.count("*").alias("n"))
 
 
-_NONE = "CAST(NULL AS VARCHAR) AS measure, CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS summed"
+def _unlike(whole: str, parts: str, keys: str, measures: list[str]) -> str:
+    """keys, measure, value, summed: measures that two selections do not agree on."""
+    each = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS measure, CAST(coalesce(a.{m}, 0) AS BIGINT) AS value, CAST(coalesce(b.{m}, 0) AS BIGINT) AS summed FROM ({whole}) a FULL JOIN ({parts}) b USING ({keys})" for m in measures)
+    return f"SELECT * FROM ({each}) WHERE value <> summed"
+
 
+_DIRECT = """SELECT e.entity, m.month, coalesce(s.n, 0) AS stock, coalesce(i.n, 0) AS inflow, coalesce(o.n, 0) AS outflow, coalesce(o.y, 0) AS overlay FROM entities e CROSS JOIN months m LEFT JOIN (SELECT entity, month, count(*) AS n FROM s2 GROUP BY ALL) s USING (entity, month)
+    LEFT JOIN (SELECT entity, effective_month AS month, count(*) AS n FROM i2 GROUP BY ALL) i USING (entity, month) LEFT JOIN (SELECT entity, effective_month AS month, count(*) AS n, count(*) FILTER (overlay = 'Y') AS y FROM o2 GROUP BY ALL) o USING (entity, month)"""
+_SUMMED = "SELECT entity, month, sum(stock) AS stock, sum(inflow) AS inflow, sum(outflow) AS outflow, sum(overlay) AS overlay FROM base_by_group GROUP BY ALL"
 
-@query(sql(f"SELECT entity, month, {_NONE} FROM base WHERE false"))
+
+@query(sql(_unlike(_DIRECT, _SUMMED, "entity, month", ["stock", "inflow", "outflow", "overlay"])))
 def group_partition_check(f: Frames) -> DataFrame:
     """Groups add up to the core, measure by measure."""
     return K.sums(f.base, f.base_by_group, ["entity", "month"], ["stock", *FLOWS])
 
 
-@query(sql(f"SELECT entity, period, dimension, {_NONE} FROM (SELECT entity, grain AS period, grain AS dimension FROM rolled) WHERE false"))
+_FY_OUT = "SELECT o.entity, 'FY' || year(effective_month + INTERVAL 3 MONTH) AS period, d.dimension, count(*) AS flow, count(*) FILTER (code = 'A') AS out_a, count(*) FILTER (overlay = 'Y') AS overlay FROM o2 o JOIN ends e ON e.entity = o.entity AND effective_month <= end_month CROSS JOIN (VALUES ('segment'), ('nation'), ('balance'), ('years'), ('code'), ('overlay'), ('delay')) d(dimension) GROUP BY ALL"
+_FY_CELLS = f"SELECT entity, period, dimension, sum(flow) AS flow, sum(out_a) AS out_a, sum(overlay) AS overlay FROM ({_breakdown_sql('o2', OUT_DIMENSIONS, _OUT_MEASURES)}) WHERE grain = 'fy' GROUP BY ALL"
+
+
+@query(sql(_unlike(_FY_OUT, _FY_CELLS, "entity, period, dimension", ["flow", "out_a", "overlay"])))
 def breakdown_partition_check(f: Frames) -> DataFrame:
     """The values of each dimension of the breakdown cube add up to the fiscal years' outflow, in sum and by category."""
-    from stockflow.queries.cubes import OUT_DIMENSIONS, cube_outflow_breakdown
+    from stockflow.queries.cubes import cube_outflow_breakdown
 
     measures = ["flow", *(f"out_{c.lower()}" for c in CODES), "overlay"]
     fy = U.roll_up(B.alive(f.base), ["outflow", *measures[1:]]).where("grain = 'fy'").withColumnRenamed("outflow", "flow")
@@ -180,28 +196,55 @@ def breakdown_partition_check(f: Frames) -> DataFrame:
     return K.sums(whole, cube_outflow_breakdown(f).where("grain = 'fy'"), ["entity", "period", "dimension"], measures)
 
 
-@query(sql(f"SELECT entity, period, value AS v, {_NONE} FROM (SELECT entity, period, grain AS value FROM rolled) WHERE false"))
+_PLAIN_CELLS = " UNION ALL ".join(f"SELECT o.entity, {{0}} AS period, '{d}' AS dimension, {_DIMENSIONS[d][0]} AS v, count(*) AS flow FROM (SELECT o.*, end_month FROM outflow o JOIN ends USING (entity) WHERE effective_month <= end_month) o {{1}} GROUP BY ALL" for d in OUT_DIMENSIONS)
+_PLAIN = f"SELECT 'fy' AS grain, * FROM ({_PLAIN_CELLS.format("'FY' || year(effective_month + INTERVAL 3 MONTH)", '')}) UNION ALL SELECT 'era', * FROM ({_PLAIN_CELLS.format('e.era', 'JOIN eras e ON effective_month BETWEEN e.first_month AND e.last_month')})"
+
+
+@query(sql(_unlike(_PLAIN, f"SELECT entity, grain, period, dimension, value AS v, flow FROM ({_breakdown_sql('o2', OUT_DIMENSIONS, _OUT_MEASURES)}) WHERE grain IN ('fy', 'era') AND entity <> 'ALL'", "entity, grain, period, dimension, v", ["flow"])))
 def breakdown_recomputation(f: Frames) -> DataFrame:
-    """The breakdown by segment against a plain count of the rows, year by year."""
+    """The outflow breakdown, all seven dimensions by fiscal years and eras, against plain counts of the rows."""
     from stockflow.functions.calendar import fy_key
-    from stockflow.queries.cubes import cube_outflow_breakdown
+    from stockflow.queries.cubes import _value_of, cube_outflow_breakdown
 
-    cube = cube_outflow_breakdown(f).where("grain = 'fy' AND dimension = 'segment' AND entity <> 'ALL'").select("entity", "period", F.col("value").alias("v"), "flow")
-    kept = f.outflow.join(B.entity_ends(f.base), "entity").where("effective_month <= last_month")
-    direct = kept.groupBy("entity", fy_key(F.col("effective_month")).alias("period"), F.col("segment").alias("v")).agg(F.count("*").alias("flow"))
-    return K.sums(cube, direct, ["entity", "period", "v"], ["flow"])
+    keys = ["entity", "grain", "period", "dimension", "v"]
+    cube = cube_outflow_breakdown(f).where("grain IN ('fy', 'era') AND entity <> 'ALL'").select("entity", "grain", "period", "dimension", F.col("value").alias("v"), "flow")
+    kept = f.outflow.join(B.entity_ends(f.base), "entity").where("effective_month <= last_month").drop("last_month")
+    cells = kept.select("entity", "effective_month", F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), _value_of(f, d).alias("v")) for d in OUT_DIMENSIONS))))
+    years = cells.select("*", F.lit("fy").alias("grain"), fy_key(F.col("effective_month")).alias("period"))
+    eras = cells.join(F.broadcast(f.eras), F.col("effective_month").between(F.col("first_month"), F.col("last_month"))).select("entity", "effective_month", "dimension", "v", F.lit("era").alias("grain"), F.col("era").alias("period"))
+    return K.sums(cube, years.unionByName(eras).groupBy(*keys).agg(F.count("*").alias("flow")), keys, ["flow"])
 
 
-@query(sql("SELECT entity, period FROM rolled WHERE false"))
+_GROUP_CELLS = f"SELECT entity, grain, period, dimension, value AS v, sum(flow) AS flow FROM ({_breakdown_sql('o2', OUT_BY_GROUP, _OUT_MEASURES, 'group_code')}) GROUP BY ALL"
+_WHOLE_CELLS = f"SELECT entity, grain, period, dimension, value AS v, flow FROM ({_breakdown_sql('o2', OUT_DIMENSIONS, _OUT_MEASURES)}) WHERE grain <> 't12' AND dimension <> 'segment'"
+
+
+@query(sql(_unlike(_WHOLE_CELLS, _GROUP_CELLS, "entity, grain, period, dimension, v", ["flow"])))
+def breakdown_group_partition_check(f: Frames) -> DataFrame:
+    """The groups of the breakdown by group add up to the breakdown, cell by cell, in all windows that both have."""
+    from stockflow.queries.cubes import cube_outflow_breakdown, cube_outflow_breakdown_by_group
+
+    keys = ["entity", "grain", "period", "dimension", "v"]
+    cells = lambda cube: cube.select("entity", "grain", "period", "dimension", F.col("value").alias("v"), "flow")
+    whole = cells(cube_outflow_breakdown(f).where("grain <> 't12'")).where(F.col("dimension").isin(OUT_BY_GROUP))
+    return K.sums(whole, cells(cube_outflow_breakdown_by_group(f)), keys, ["flow"])
+
+
+_SHARES = f"SELECT entity, grain, period, dimension, sum(flow) FILTER (NOT is_unknown) AS known, min(share_den) AS den FROM ({_breakdown_sql('i2', IN_DIMENSIONS, {})}) WHERE is_share GROUP BY ALL"
+
+
+@query(sql(f"SELECT entity, grain, period, dimension FROM ({_SHARES}) WHERE abs(known / nullif(den, 0) - 1) > 0.000001 OR (den IS NULL) <> (known = 0)"))
 def share_sum_check(f: Frames) -> DataFrame:
-    """Known shares of each year add up to 1, but for rounding."""
-    from stockflow.queries.cubes import _priority
+    """Windows and dimensions of the inflow breakdown whose known shares do not add up to 1."""
+    from stockflow.queries.cubes import cube_inflow_breakdown
+
+    return K.share_sums(cube_inflow_breakdown(f), ["entity", "grain", "period", "dimension"])
+
 
-    s = _priority(f, []).groupBy("entity", "period").agg(F.sum("share").alias("s"))
-    return s.where(F.abs(F.col("s") - 1) > 0.001).select("entity", "period")
+_RUN_AGAIN = "SELECT r.entity, r.era, r.n, r.month, r.stock, r.run_inflow, r.run_outflow, (SELECT sum(b.inflow) FROM base b JOIN eras e ON e.era = r.era WHERE b.entity = r.entity AND b.month BETWEEN e.first_month AND r.month) AS again_in, (SELECT sum(b.outflow) FROM base b JOIN eras e ON e.era = r.era WHERE b.entity = r.entity AND b.month BETWEEN e.first_month AND r.month) AS again_out FROM running r"
 
 
-@query(sql("SELECT entity, era AS group_code, era, n, era AS problem FROM running WHERE false"))
+@query(sql(f"SELECT entity, 'all' AS group_code, era, n, 'flow' AS problem FROM ({_RUN_AGAIN}) WHERE run_inflow <> again_in OR run_outflow <> again_out"))
 def era_check(f: Frames) -> DataFrame:
     """The era cube against the months it runs over, and its groups against all."""
     from stockflow.queries.cubes import _ERA_FLOWS, cube_era
@@ -209,7 +252,7 @@ def era_check(f: Frames) -> DataFrame:
     return K.eras(cube_era(f), B.alive(f.base_all_groups), _ERA_FLOWS)
 
 
-@query(sql("SELECT entity, grain, period FROM rolled WHERE false"))
+@query(sql(" UNION ALL ".join(f"SELECT entity, grain, period FROM ({_CORE}) WHERE rate_{m}_small IS DISTINCT FROM (rate_{m}_den < 30) OR rate_{m}_den <= 0" for m in "abc")))
 def small_base_check(f: Frames) -> DataFrame:
     """Small-base flags of the core cube's three rates are those of their denominators."""
     from stockflow.queries.cubes import cube_core

@@ -37,8 +37,10 @@ def total_order(f: Frames) -> DataFrame:
 
 @query(sql("SELECT entity, month, v, row_number() OVER (ORDER BY v DESC NULLS LAST, entity, month) AS place FROM (SELECT entity, month, nullif(stock, 0) AS v FROM base)"))
 def sort_nulls_last(f: Frames) -> DataFrame:
+    """Empties last, by ranges: largest values first."""
     b = f.base.select("entity", "month", F.nullif(F.col("stock"), F.lit(0)).alias("v"))
-    return b.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "entity", "month")).cast("long"))
+    b = b.withColumns({"_empty": F.col("v").isNull(), "_less": -F.col("v")})
+    return placed(b, ["_empty", "_less", "entity", "month"]).select("entity", "month", "v", "place")
 
 
 _TEXTS = "SELECT DISTINCT coalesce(years_text, 'none') AS v FROM all_outflow"
@@ -48,7 +50,7 @@ _TEXTS = "SELECT DISTINCT coalesce(years_text, 'none') AS v FROM all_outflow"
 def numeric_text_order(f: Frames) -> DataFrame:
     v = f.all_outflow.select(F.coalesce("years_text", F.lit("none")).alias("v")).distinct()
     n = F.col("v").try_cast("double")
-    return v.withColumn("place", F.row_number().over(Window.orderBy(n.isNull(), n, "v")).cast("long"))
+    return placed(v.withColumns({"_text": n.isNull(), "_n": n}), ["_text", "_n", "v"]).select("v", "place")
 
 
 @query("SELECT o_orderpriority AS v, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderpriority) AS place FROM (SELECT DISTINCT o_orderpriority FROM orders)")

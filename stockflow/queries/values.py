@@ -11,6 +11,7 @@ from stockflow.functions import rules as R
 from stockflow.functions.rules import Rule
 from stockflow.operators import issues as I
 from stockflow.queries import query
+from stockflow.queries.cubes import _CORE
 from stockflow.sources.files import work_dir
 
 
@@ -234,7 +235,8 @@ def snap_range(f: Frames) -> DataFrame:
     return near.groupBy("grain", "a", "b").agg(F.min("first").alias("first_month"), F.max("last").alias("last_month"), F.min_by("period", "first").alias("first_period"), F.max_by("period", "last").alias("last_period"))
 
 
-@query(sql("SELECT entity, grain, period, period AS problem FROM rolled WHERE false"))
+@query(sql(f"""SELECT entity, grain, period, CASE WHEN months > months_in_period THEN 'too many months' WHEN partial <> (months < months_in_period) THEN 'partial flag' WHEN grain <> CASE WHEN period LIKE 'FY%Q%' THEN 'quarter' WHEN period LIKE 'FY%' THEN 'fy' ELSE 'month' END THEN 'key of another grain'
+    WHEN len(string_split(files, ',')) <> months THEN 'files' WHEN date_diff('month', first_month, last_month) + 1 <> months THEN 'gap' WHEN net_flow <> inflow - outflow THEN 'net flow' END AS problem FROM ({_CORE}) WHERE problem IS NOT NULL"""))
 def validate_period_rows(f: Frames) -> DataFrame:
     """Rows of the core cube that contradict themselves (none)."""
     from stockflow.operators import checks as K

@@ -104,3 +104,25 @@ def test_unknown_and_missing_values_are_no_sum(spark):
     got = lambda values: {r.entity: (r.total, r.refused) for r in A.sum_values(df, "n", values, ["entity"]).collect()}
     assert got(["x", "y"]) == {"A": (3, None), "B": (None, "repeated")}
     assert got(["x", "Unknown"])["A"] == (None, "unknown value") and got(["x", "z"])["A"] == (None, "missing")
+
+
+def test_gaps(spark):
+    months = [dt.date(2000, m, 1) for m in (1, 2, 4, 5, 9)]
+    df = spark.createDataFrame([(m,) for m in months], "month date")
+    assert [r.month.month for r in K.gaps(df).collect()] == [4, 9] and K.gaps(df.where("month < '2000-03-01'")).count() == 0
+
+
+def test_issue_balance(base):
+    parts = {"outflow": ["years_known", "years_issue"]}
+    assert K.partition(base, parts, ["entity", "month"]).count() == 0
+    found = K.partition(planted(base, "years_issue", at_asia() & (F.col("group_code") == "all")), parts, ["entity", "month"]).collect()
+    assert [(r.entity, r.month) for r in found] == [("ASIA", dt.date(1998, 3, 1))]
+
+
+def test_share_sums(f, tmp_path):
+    Q.cube_inflow_breakdown(f).write.parquet(f"{tmp_path}/in")
+    cube, keys = f.spark.read.parquet(f"{tmp_path}/in"), ["entity", "grain", "period", "dimension"]
+    assert K.share_sums(cube, keys).count() == 0
+    at = (F.col("entity") == "ASIA") & (F.col("grain") == "fy") & (F.col("period") == "FY1996") & (F.col("dimension") == "status")
+    for wrong in (planted(cube, "flow", at & (F.col("value") == "done")), cube.where(~(at & (F.col("value") == "open"))), planted(cube, "share_den", at & (F.col("value") == "done"))):
+        assert [tuple(r) for r in K.share_sums(wrong, keys).collect()] == [("ASIA", "fy", "FY1996", "status")]
