@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +43,20 @@ def one_text_each(rows: DataFrame, *also: str) -> DataFrame:
 
 
 _HELD: dict[object, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
 def held(key: object, make):
     """The worker's table for a key, made by ``make()``. A worker keeps one table: the next kind of work drops the last one's."""
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def let_go() -> None:
-    """Drop the worker's table: for work that needs none, so that its own memory is all that it takes."""
+    """Drop the worker's table, and give back to the system what it and earlier work took: a worker lives on from stage to stage."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)

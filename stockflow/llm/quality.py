@@ -38,7 +38,7 @@ MOST_TRAINED = 12_000
 EXAMPLES = 8
 EPOCHS = 12
 RATE = 0.5
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 MARKED = re.compile(r"[^\w\s.,;:!?'\"()\[\]-]{2,}$|!{2,}$")
 SEPARATOR = re.compile(r"[|+=*_~/\\-]+$")
