@@ -131,3 +131,19 @@ def share_sums(cube: DataFrame, keys: list[str]) -> DataFrame:
 def breaks(listed: DataFrame, fy: Column) -> DataFrame:
     """Listed breaks (fiscal_year, month) whose month lies in another fiscal year."""
     return listed.where(fy != F.col("fiscal_year")).select("fiscal_year", "month")
+
+
+def crosswalk_problems(crosswalk: DataFrame, data: DataFrame, code: str = "code") -> DataFrame:
+    """code, problem: codes listed twice, blank ones, and codes of the data that the crosswalk lacks."""
+    listed = crosswalk.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))
+    twice = listed.where("n > 1").select("code", F.lit("listed twice").alias("problem"))
+    blank = listed.where(F.col("code").isNull() | (F.trim("code") == "")).select("code", F.lit("blank").alias("problem"))
+    lost = data.select(F.col(code).alias("code")).distinct().join(listed, "code", "left_anti").select("code", F.lit("not listed").alias("problem"))
+    return twice.unionByName(blank).unionByName(lost)
+
+
+def panel_basis(panel: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """month, problem: months of a panel (month, stock, inflow, outflow, net_flow) whose net flow is not in minus out, whose stock is not the snapshot's count (month, stock), or that one side lacks."""
+    s = snapshot.select("month", F.col("stock").alias("_stock"))
+    why = F.when(F.col("stock").isNull(), "not in the panel").when(F.col("_stock").isNull(), "no snapshot").when(F.col("net_flow") != F.col("inflow") - F.col("outflow"), "net flow").when(F.col("stock") != F.col("_stock"), "stock")
+    return panel.join(s, "month", "full_outer").select("month", why.alias("problem")).where("problem IS NOT NULL")

@@ -4,13 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockflow.sources.files import work_dir
 
 
-def placed(rows: DataFrame, by: list[str]) -> DataFrame:
+def by_column(column: str, descending: bool, *ties: str) -> list[Column | str]:
+    """The order by a chosen column, up or down, empties last either way, then by ``ties``."""
+    return [F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), *ties]
+
+
+def by_priority(column: str, listed: list[str]) -> list[Column]:
+    """The order of codes: listed ones first as they are listed, then numbers by their value, then other text, empties last."""
+    first = F.lit(len(listed))
+    for i, code in enumerate(listed):
+        first = F.when(F.col(column) == code, i).otherwise(first)
+    number = F.col(column).try_cast("double")
+    return [F.col(column).isNull(), first, number.isNull(), number, F.col(column)]
+
+
+def placed(rows: DataFrame, by: list[str | Column]) -> DataFrame:
     """``rows`` with their place from 1 on in the order of ``by``: sorted by ranges and numbered within each.
 
     The sorted rows are written once, each with its range; the ranges' sizes, one row a range, give the first place of

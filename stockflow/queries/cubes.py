@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.demo import BREAKS, CODES, FLOWS, YEARS, Frames, sql
+from stockflow.functions.calendar import fy_key
 from stockflow.functions.rules import Rule, assigned
 from stockflow.operators import base as B
 from stockflow.operators import combine as C
@@ -105,16 +106,17 @@ _ERA_FLOWS = ["inflow", "outflow", "out_a", "out_n", "out_r", "overlay"]
 _ERA_RATES = ", ".join(f"CASE WHEN mean > 0 THEN round(run_{c} * 12.0::DOUBLE / n, 4) END AS rate_{r}_era_num" for r, c in RATES.items())
 
 
-@query(
-    sql(f"""SELECT entity, group_code, era, n, count(*) OVER (PARTITION BY entity, group_code, era) AS era_months, month_0, month_n, provisional, partial, reissued, stock_0, stock_n, stock_n - stock_0 AS change,
+_ERA = f"""SELECT entity, group_code, era, n, count(*) OVER (PARTITION BY entity, group_code, era) AS era_months, month_0, month_n, provisional, partial, reissued, stock_0, stock_n, stock_n - stock_0 AS change,
         CASE WHEN stock_0 >= 30 THEN round((stock_n - stock_0) / stock_0, 4) END AS percent, stock_0 < 30 AS percent_small, {", ".join(f"run_{c}" for c in _ERA_FLOWS)}, {_ERA_RATES},
         CASE WHEN mean > 0 THEN round(mean, 4) END AS rate_era_den, n AS rate_era_months, CASE WHEN mean > 0 THEN mean < 30 END AS rate_era_small
     FROM (SELECT z.entity, z.group_code, e.era, p.month AS month_0, z.month AS month_n, count(*) AS n, bool_or(w.provisional) AS provisional, e.open AS partial, bool_or(w.reissued OR coalesce(q.reissued, false)) AS reissued,
             p.stock AS stock_0, z.stock AS stock_n, avg(y.stock) AS mean, {", ".join(f"CAST(sum(y.{c}) AS BIGINT) AS run_{c}" for c in _ERA_FLOWS)}
         FROM ({_ALL_GROUPS}) z JOIN eras e ON z.month BETWEEN e.first_month AND e.last_month JOIN ({_ALL_GROUPS}) y ON y.entity = z.entity AND y.group_code = z.group_code AND y.month BETWEEN e.first_month AND z.month
         JOIN month_flags w ON w.month = y.month LEFT JOIN ({_ALL_GROUPS}) p ON p.entity = z.entity AND p.group_code = z.group_code AND p.month = e.first_month - INTERVAL 1 MONTH LEFT JOIN month_flags q ON q.month = p.month
-        GROUP BY ALL)""")
-)
+        GROUP BY ALL)"""
+
+
+@query(sql(_ERA))
 def cube_era(f: Frames) -> DataFrame:
     """All and each group, by months in the era."""
     return X.era_cube(B.alive(f.base_all_groups), f.eras, f.month_flags, _ERA_FLOWS, RATES, ["group_code"])
@@ -439,3 +441,58 @@ def sum_subgroups(f: Frames) -> DataFrame:
     """Chosen subgroups added; points that miss a part are dropped."""
     parts = _cube_overlap(f).where("grain = 'fy' AND node IN ('urgent-top', 'urgent-high')")
     return parts.groupBy("entity", "period").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("k = 2").drop("k")
+
+
+@query(sql(f"SELECT entity, dimension, value, period, flow, flow - lag(flow) OVER w AS change, round(rate_num / rate_den, 4) AS rate FROM ({_breakdown_sql('o2', OUT_DIMENSIONS, _OUT_MEASURES)}) WHERE grain = 'fy' WINDOW w AS (PARTITION BY entity, dimension, value ORDER BY period)"))
+def dimension_trend(f: Frames) -> DataFrame:
+    """Every value of every dimension over all fiscal years, with its change from the one before."""
+    w = Window.partitionBy("entity", "dimension", "value").orderBy("period")
+    rows = cube_outflow_breakdown(f).where("grain = 'fy'")
+    return rows.select("entity", "dimension", "value", "period", "flow", (F.col("flow") - F.lag("flow").over(w)).alias("change"), R.rated(F.col("rate_num"), F.col("rate_den")).alias("rate"))
+
+
+_PANEL = _breakdown_sql("i2", IN_BY_GROUP, {}, "group_code")
+_SHOWN_RATE = "CASE WHEN is_share THEN round(flow / share_den, 4) ELSE round(rate_num / rate_den, 4) END"
+
+
+@query(sql(f"""SELECT entity, group_code, dimension, value, {", ".join(f"max(flow) FILTER (period = '{e}') AS flow_{e}, max({_SHOWN_RATE}) FILTER (period = '{e}') AS rate_{e}, bool_or(rate_small) FILTER (period = '{e}') AS small_{e}, bool_or(partial) FILTER (period = '{e}') AS partial_{e}, max(coverage) FILTER (period = '{e}') AS coverage_{e}, coalesce(max(unknown) FILTER (period = '{e}'), 0) AS unknown_{e}" for e in ("e1", "e2"))}
+    FROM (SELECT *, CAST(sum(flow) FILTER (is_unknown) OVER (PARTITION BY entity, group_code, period, dimension) AS BIGINT) AS unknown FROM ({_PANEL}) WHERE grain = 'first_n') WHERE NOT is_unknown GROUP BY ALL"""))
+def group_panel(f: Frames) -> DataFrame:
+    """A group's known values beside each other by era, over the same first months: count, rate or share, flags; what is unknown and the coverage stand apart."""
+    w = Window.partitionBy("entity", "group_code", "period", "dimension")
+    rows = cube_inflow_breakdown_by_group(f).where("grain = 'first_n'").withColumn("unknown", F.sum(F.when(F.col("is_unknown"), F.col("flow")).otherwise(0)).over(w)).where("NOT is_unknown")
+    shown = F.when(F.col("is_share"), R.rated(F.col("flow"), F.col("share_den"))).otherwise(R.rated(F.col("rate_num"), F.col("rate_den")))
+    cells = rows.withColumn("rate", shown).groupBy("entity", "group_code", "dimension", "value").pivot("period", ["e1", "e2"]).agg(
+        F.max("flow").alias("flow"), F.max("rate").alias("rate"), F.bool_or("rate_small").alias("small"), F.bool_or("partial").alias("partial"), F.max("coverage").alias("coverage"), F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown"),
+    )
+    names = ["flow", "rate", "small", "partial", "coverage", "unknown"]
+    return cells.select("entity", "group_code", "dimension", "value", *(F.col(f"{e}_{c}").alias(f"{c}_{e}") for e in ("e1", "e2") for c in names))
+
+
+@query(sql(f"""SELECT entity, group_code, own_n, max(CASE WHEN era = 'e1' THEN run_outflow END) AS outflow_e1, max(CASE WHEN era = 'e2' THEN run_outflow END) AS outflow_e2, max(CASE WHEN era = 'e1' THEN round(rate_out_era_num / rate_era_den, 4) END) AS rate_e1, max(CASE WHEN era = 'e2' THEN round(rate_out_era_num / rate_era_den, 4) END) AS rate_e2
+    FROM (SELECT *, max(CASE WHEN partial THEN n END) OVER (PARTITION BY entity, group_code) AS own_n FROM ({_ERA})) WHERE n = own_n GROUP BY ALL"""))
+def group_era_table(f: Frames) -> DataFrame:
+    """Each entity's groups at their own N, the months that the open era has for them, beside the same point of the other era."""
+    own = F.max(F.when(F.col("partial"), F.col("n"))).over(Window.partitionBy("entity", "group_code"))
+    rows = cube_era(f).withColumn("own_n", own).where("n = own_n").withColumn("rate", R.rated(F.col("rate_out_era_num"), F.col("rate_era_den")))
+    out = rows.groupBy("entity", "group_code", "own_n").pivot("era", ["e1", "e2"]).agg(F.max("run_outflow").alias("outflow"), F.max("rate").alias("rate"))
+    return out.select("entity", "group_code", "own_n", *(F.col(f"{e}_{c}").alias(f"{c}_{e}") for c in ("outflow", "rate") for e in ("e1", "e2")))
+
+
+#: Parents of the segments' nodes.
+PART_OF = [("goods", "all"), ("homes", "all"), ("unknown", "all"), ("goods-vehicles", "goods"), ("goods-machines", "goods"), ("homes-buildings", "homes")]
+_PART_OF = "(VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in PART_OF) + ") l(node, parent)"
+
+
+@query(sql(f"""SELECT c.entity, c.period, l.parent, c.node, c.stock, p.stock AS stock_parent, round(c.stock / nullif(p.stock, 0), 4) AS share, CAST(p.stock - sum(c.stock) OVER (PARTITION BY c.entity, l.parent) AS BIGINT) AS rest
+    FROM (SELECT * FROM ({_NODE_CUBE}) WHERE grain = 'fy') c JOIN {_PART_OF} ON l.node = c.node JOIN (SELECT * FROM ({_NODE_CUBE}) WHERE grain = 'fy') p ON p.entity = c.entity AND p.period = c.period AND p.node = l.parent
+    WHERE c.period = (SELECT max(period) FROM bridge WHERE grain = 'fy' AND month = (SELECT last_month FROM bounds))"""))
+def parts_of_parent(f: Frames) -> DataFrame:
+    """At one point, the latest fiscal year, the stock of each part beside its parent's, its share, and what the parts leave or count twice."""
+    latest = f.last_month.select(fy_key(F.col("last_month")).alias("period"))
+    at = _node_cube(f).where("grain = 'fy'").join(F.broadcast(latest), "period").select("entity", "period", "node", "stock")
+    links = f.spark.createDataFrame(PART_OF, "node string, parent string")
+    parent = at.select("entity", F.col("node").alias("parent"), F.col("stock").alias("stock_parent"))
+    both = at.join(links, "node").join(parent, ["entity", "parent"])
+    rest = F.col("stock_parent") - F.sum("stock").over(Window.partitionBy("entity", "parent"))
+    return both.select("entity", "period", "parent", "node", "stock", "stock_parent", R.rated(F.col("stock"), F.col("stock_parent")).alias("share"), rest.alias("rest"))

@@ -344,3 +344,19 @@ def hierarchy_problems(f: Frames) -> DataFrame:
     moved = F.when(F.col("node") == "ASIA", "CHINA").when(F.col("node") == "KENYA", "ATLANTIS").otherwise(F.col("parent"))
     planted = _places(f).withColumn("parent", moved).unionByName(f.spark.createDataFrame([("PERU", "EUROPE")], "node string, parent string"))
     return H.problems(planted)
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS code, 'listed twice' AS problem FROM nation WHERE n_nationkey = 3 UNION ALL SELECT DISTINCT CAST(c_nationkey AS VARCHAR), 'not listed' FROM customer WHERE c_nationkey = 7""")
+def crosswalk_check(f: Frames) -> DataFrame:
+    """A crosswalk of nations with one code listed twice and one left out (both planted), against the customers' codes."""
+    n = f.table("nation").select(F.col("n_nationkey").cast("string").alias("code"))
+    planted = n.where("code <> '7'").unionByName(n.where("code = '3'"))
+    return K.crosswalk_problems(planted, f.table("customer").select(F.col("c_nationkey").cast("string").alias("code")))
+
+
+@query(sql("SELECT month, CASE WHEN month = DATE '1997-03-01' THEN 'net flow' ELSE 'stock' END AS problem FROM months WHERE month IN (DATE '1997-03-01', DATE '1998-05-01')"))
+def panel_basis_check(f: Frames) -> DataFrame:
+    """The panel's net flow against in minus out, and its stock against the snapshots' counts: one of each is planted."""
+    at = lambda m: F.col("month") == F.lit(m).cast("date")
+    panel = f.base.where("entity = 'ALL'").select("month", (F.col("stock") + at("1998-05-01").cast("int")).alias("stock"), "inflow", "outflow", (F.col("inflow") - F.col("outflow") + at("1997-03-01").cast("int")).alias("net_flow"))
+    return K.panel_basis(panel, f.stock.groupBy("month").agg(F.count("*").alias("stock")))

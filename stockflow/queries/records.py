@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stockflow.demo import Frames, sql
 from stockflow.functions.calendar import fiscal_year, month_key
-from stockflow.operators.order import placed
+from stockflow.operators.order import by_column, by_priority, placed
 from stockflow.operators import lookup as L
 from stockflow.queries import query
-from stockflow.sources.files import work_dir
+from stockflow.sources.files import publish_plan, work_dir
 
 _REC = "SELECT strftime(file_month, '%Y-%m') AS file_month, strftime(effective_month, '%Y-%m') AS month, entity AS agency, code AS category, overlay AS overlay, years_text AS length_of_service, segment FROM all_outflow"
 
@@ -145,3 +145,37 @@ def lookup_pages(f: Frames) -> DataFrame:
 def lookup_search(f: Frames) -> DataFrame:
     """The rows that hold a display name and a part of a title, whatever their case, page by page."""
     return _pages(f, [1, 2, 999], 25, L.contains(" ReTurned", "entity", "state", "part") & L.contains("GREEN", "part"))
+
+
+_SORTED = "SELECT entity, month, '{c}' AS by_column, {d} AS descending, nullif({c}, 0) AS v, row_number() OVER (ORDER BY nullif({c}, 0) {o} NULLS LAST, entity, month) AS place FROM base"
+
+
+@query(sql(" UNION ALL ".join(_SORTED.format(c=c, d=d, o=o) for c in ("stock", "outflow") for d, o in (("false", "ASC"), ("true", "DESC")))))
+def sort_by_column(f: Frames) -> DataFrame:
+    """The base by a chosen column, up and down, empties last either way."""
+    out = None
+    for c in ("stock", "outflow"):
+        rows = f.base.select("entity", "month", F.lit(c).alias("by_column"), F.nullif(F.col(c), F.lit(0)).alias("v"))
+        for down in (False, True):
+            one = placed(rows, by_column("v", down, "entity", "month")).select("entity", "month", "by_column", F.lit(down).alias("descending"), "v", "place")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(sql("SELECT v, row_number() OVER (ORDER BY CASE v WHEN 'REDACTED' THEN 0 WHEN '30' THEN 1 ELSE 2 END, TRY_CAST(v AS DOUBLE) IS NULL, TRY_CAST(v AS DOUBLE), v) AS place FROM (SELECT DISTINCT coalesce(years_text, 'none') AS v FROM all_outflow UNION SELECT DISTINCT code FROM all_outflow)"))
+def priority_number_order(f: Frames) -> DataFrame:
+    """Codes in a display order: two listed ones, then numbers by value, then text."""
+    v = f.all_outflow.select(F.explode(F.array(F.coalesce("years_text", F.lit("none")), "code")).alias("v")).distinct()
+    return placed(v, by_priority("v", ["REDACTED", "30"]))
+
+
+_PLANNED = "SELECT DISTINCT '{0}' AS dataset, '{0}_' || strftime({1}, '%Y%m') || '.parquet' AS filename, {1} AS m FROM {2}"
+
+
+@query(sql(f"""SELECT dataset, strftime(m, '%Y-%m') AS month, filename, dataset = 'stock' AND month(m) <> 9 AS latest_only FROM ({_PLANNED.format('stock', 'month', 'stock')} UNION ALL {_PLANNED.format('outflow', 'file_month', 'all_outflow')})
+    WHERE dataset <> 'stock' OR month(m) = 9 OR m = (SELECT last_month FROM bounds)"""))
+def records_plan(f: Frames) -> DataFrame:
+    """Which files of a manifest are published as records: all months of the flows, and of the stock each fiscal year's end and the latest month."""
+    listed = lambda d, rows, m: rows.select(F.lit(d).alias("dataset"), F.concat(F.lit(f"{d}_"), F.date_format(m, "yyyyMM"), F.lit(".parquet")).alias("filename"), F.col(m).alias("month")).distinct()
+    plan = publish_plan(listed("stock", f.stock, "month").unionByName(listed("outflow", f.all_outflow, "file_month")), "stock")
+    return plan.select("dataset", month_key(F.col("month")).alias("month"), "filename", "latest_only")

@@ -54,6 +54,15 @@ def ledger_difference(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
     return missing.unionByName(ledger.join(manifest, keys, "left_anti").select("filename", F.lit("not listed").alias("problem")))
 
 
+def publish_plan(manifest: DataFrame, stock: str, year_end: int = 9) -> DataFrame:
+    """Files (dataset, filename, month) to publish: every month of the flows; of the dataset ``stock`` those of the fiscal year's last month, and the latest one, which ``latest_only`` marks where it is no year's end."""
+    is_stock = F.col("dataset") == stock
+    latest = manifest.where(is_stock).agg(F.max("month").alias("_latest"))
+    rows = manifest.crossJoin(F.broadcast(latest))
+    ends = F.month("month") == year_end
+    return rows.where(~is_stock | ends | (F.col("month") == F.col("_latest"))).withColumn("latest_only", is_stock & ~ends).drop("_latest")
+
+
 def _figures(columns: list[str]) -> list[Column]:
     h = F.xxhash64(F.to_json(F.struct(*sorted(columns))))
     return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.pmod(h, F.lit(2**31))), F.lit(0)).alias("low"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor")]
