@@ -222,7 +222,7 @@ _ASKED = "(VALUES ('1999-05', '1990-01'), ('FY1997Q2', 'FY1997Q2'), ('FY1996', '
 
 @query(sql(f"""SELECT grain, a, b, CAST(min(month) AS DATE) AS first_month, CAST(max(month) AS DATE) AS last_month, arg_min(period, month) AS first_period, arg_max(period, month) AS last_period FROM (
     SELECT a.a, a.b, b.grain, b.period, b.month FROM (SELECT a, b, least(x.lo, y.lo) AS lo, greatest(x.hi, y.hi) AS hi FROM {_ASKED} JOIN keys x ON x.key = a.a JOIN keys y ON y.key = a.b) a JOIN bridge b ON true
-    WHERE EXISTS (SELECT 1 FROM bridge c WHERE c.grain = b.grain AND c.period = b.period AND c.month BETWEEN a.lo AND a.hi)) GROUP BY ALL""").replace("WITH ", """WITH keys AS (SELECT * FROM (VALUES ('1999-05', DATE '1999-05-01', DATE '1999-05-01'), ('1990-01', DATE '1990-01-01', DATE '1990-01-01'), ('FY1997Q2', DATE '1997-01-01', DATE '1997-03-01'),
+    WHERE EXISTS (SELECT 1 FROM bridge c WHERE c.grain = b.grain AND c.period = b.period AND c.month BETWEEN a.lo AND a.hi)) GROUP BY ALL""").replace("WITH RECURSIVE ", """WITH RECURSIVE keys AS (SELECT * FROM (VALUES ('1999-05', DATE '1999-05-01', DATE '1999-05-01'), ('1990-01', DATE '1990-01-01', DATE '1990-01-01'), ('FY1997Q2', DATE '1997-01-01', DATE '1997-03-01'),
     ('FY1996', DATE '1995-10-01', DATE '1996-09-01'), ('1998-02', DATE '1998-02-01', DATE '1998-02-01'), ('2001-01', DATE '2001-01-01', DATE '2001-01-01'), ('2010-12', DATE '2010-12-01', DATE '2010-12-01')) k(key, lo, hi)),
 """, 1))
 def snap_range(f: Frames) -> DataFrame:
