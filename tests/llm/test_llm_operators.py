@@ -43,12 +43,13 @@ def empty(odd):
 
 @pytest.fixture(scope="module")
 def tk():
-    return Encoder(JSON).library
+    return Tokenizer.from_file(JSON)
 
 
 def test_chunks_give_the_ids_of_whole_texts(tk):
     rng = random.Random(1)
-    texts = [x or "" for x in ODD] + ["".join(rng.choice(["a", " ", "\n", "é", "'s", "1", "!", " ", "漢", " "]) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts = [x or "" for x in ODD] + ["".join(rng.choice(["a", " ", "\n", "é", "'s", "1", "!", " ", "漢", " ", "<|endoftext|>", "<|endof"]) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts += [x.format("<|endoftext|>") for x in ("{0}", "{0}{0}", " {0} ", "{0} a", "a {0}", "a {0} b", "a{0}b", "x {0}.{0} y")]
     e = Encoder(JSON)
     for _ in range(2):
         ids, counts = e.encode(texts)

@@ -118,6 +118,22 @@ def test_ftrl_against_a_plain_version():
     assert 0 < np.count_nonzero(got) < 64 and got[7] > 0 and got[11] > 0
 
 
+def test_training_is_bounded_by_rows_and_not_moved_by_repeats(spark):
+    """One id in two fifths of all rows, each with another text; and every row three times over."""
+    from stockflow.llm.common import one_text_each, texts
+
+    base = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("good words "), F.col("id"), F.when(F.col("id") % 3 == 0, " vile toad").otherwise(" kind bird")).alias("text"))
+    labels = base.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    hot = base.unionByName(spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("hot vile toad "), F.col("id")).alias("text")))
+    assert one_text_each(texts(hot)).count() == 3000
+    chosen = labels.where(~toxicity.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).select("doc_id").unionByName(spark.createDataFrame([(7,)], "doc_id long")).distinct()
+    assert one_text_each(texts(hot).join(chosen, "doc_id")).count() == chosen.count() <= 51
+    once, often = (toxicity.learn(d, labels, most=400) for d in (base, base.unionByName(base).unionByName(base)))
+    assert all(np.array_equal(a, b) for a, b in zip(once, often, strict=True)) and len(once[0])
+    one, many = (quality.learn(d.repartition(3), most=300) for d in (base, hot))
+    assert np.count_nonzero(one.weights()) and np.count_nonzero(many.weights())
+
+
 def test_scores_are_sums_over_the_set_of_grams():
     texts, bits = ["One two two three.", "", "  !!", "two one", "Zwei, drei VIER fünf sechs zwei drei"], 18
     weights = np.random.default_rng(1).standard_normal(1 << bits)
