@@ -3,7 +3,8 @@
 Documents are gathered in blocks of bounded size. A block keeps its pre-tokens' positions as runs of numbers into its own
 list of distinct words, and the lists are shuffled by word: each task sees all blocks' entries of a word and merges its
 bytes once. The ids go back to the blocks, where texts are put together by position. The table of blocks is bucketed by
-block, so that the runs themselves are never shuffled. Decoding joins the token-byte table, which each task holds.
+block, so that the runs themselves are never shuffled. Decoding joins a block's distinct ids with the token-byte table and
+puts the bytes together by position.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import shared_dir, texts
+from stockflow.llm.common import shared_dir, texts, written
 from stockflow.llm.tokens import ChunkTable, parts_of
 
 BLOCK_CHARS = 14_000_000
 MOST_CHUNKS = 400_000
+MOST_WORDS = 2_000_000
 #: Runs of letters of several kinds and lengths.
 LETTER_RUNS = ["a", "Word", "WORD", "camelCase", "été", "ßß", "Ǆǅ", "ªº", "слово", "漢字", "ʰa", "אב", "letters" * 40]
 
@@ -199,27 +201,32 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
     return docs.mapInPandas(run, "block long, grp int, a binary, b binary, c binary, p0 binary, p1 binary, p2 binary, p3 binary")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, with_decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS, with_decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of every row: the whole text, without special tokens.
 
     ``with_decoded`` adds decoded, the bytes that the ids stand for, as ``decode`` would.
 
     A null or empty text has no ids; each row gives one row, repeated ones and null ids too; other columns are not read.
-    Memory is bounded by ``block_chars`` and the longest text; an empty table gives no rows.
+    Memory is bounded by ``block_chars``, the longest text and ``most_words``: a task that holds more distinct words than
+    that begins anew, and merges again those that it meets again. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"word_blocks_{uuid.uuid4().hex}"
     (word_blocks(texts(docs, id_col, text_col), pattern, n, block_chars).write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
     table = spark.table(name)
+    kind = "<u2" if max(ranks_of(ranks_path).values()) < 1 << 16 else "<u4"
 
     def words_to_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, known = ranks_of(ranks_path), _Numbered()
-        kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
-        flat, start, length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        empty = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat, start, length = empty
         for pdf in batches:
             out = []
             for block, first, small, blob, large in zip(pdf["block"], pdf["a"], pdf["b"], pdf["c"], pdf["p0"], strict=True):
+                if len(known) > most_words:
+                    known = _Numbered()
+                    flat, start, length = empty
                 ends = np.cumsum(from_short(small, large)).tolist()
                 words = [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -231,14 +238,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     flat = np.concatenate([flat, np.array([i for x in new for i in x], "<u4")])
                 size = length[n]
                 ids = flat[np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                out.append((block, first, *short(size), ids.astype(kind).tobytes()))
-            yield pd.DataFrame(out, columns=["block", "first", "small", "large", "ids"])
+                out.append((block, first, *short(size), ids.astype(kind).tobytes(), None))
+                if with_decoded:  # a row of its own, so that exploding repeats nothing else
+                    out.append((block, None, None, None, None, np.unique(ids).astype(np.int32)))
+            yield pd.DataFrame(out, columns=["block", "first", "small", "large", "ids", "tokens"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token = {i: b for b, i in ranks_of(ranks_path).items()}
-        kind = "<u2" if max(token) < 1 << 16 else "<u4"
         for pdf in batches:
             for r in pdf.itertuples(index=False):
+                token = {} if not with_decoded or r.tokens is None else dict(zip(r.tokens.tolist(), r.bytes, strict=True))
                 null, doc_ids, counts = np.frombuffer(r.a, np.uint8), np.frombuffer(r.b, "<i8"), np.frombuffer(r.c, "<i8")
                 numbers = np.stack([np.frombuffer(p, np.uint8) for p in (r.p0, r.p1, r.p2, r.p3)], axis=1).copy().view("<u4").reshape(-1)
                 parts = sorted([] if r.parts is None else r.parts, key=lambda x: x["first"])
@@ -260,26 +268,47 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     first = last
 
     words = table.where("grp >= 0").select("block", "grp", "a", "b", "c", "p0").repartition(n, "grp")
-    back = words.mapInPandas(words_to_ids, "block long, first binary, small binary, large binary, ids binary")
-    back = back.groupBy("block").agg(F.collect_list(F.struct("first", "small", "large", "ids")).alias("parts"))
+    back = words.mapInPandas(words_to_ids, "block long, first binary, small binary, large binary, ids binary, tokens array<int>")
+    whole = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("first", "small", "large", "ids"))).alias("parts")
+    if with_decoded:
+        known = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "bytes"))).alias("known")
+        back = _with_bytes(back.withColumn("token", F.explode_outer("tokens")).drop("tokens"), ranks_path)
+        back = back.groupBy("block").agg(whole, known).select("block", "parts", "known.token", "known.bytes").withColumnRenamed("token", "tokens")
+    else:
+        back = back.groupBy("block").agg(whole)
     return table.where("grp < 0").join(back, "block", "left").mapInPandas(put_together, "doc_id long, ids array<int>" + ", decoded binary" * with_decoded)
 
 
+def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """The token-byte table: token and bytes, a row for each entry of the rank file."""
+    return spark.createDataFrame([(i, b) for b, i in ranks_of(ranks_path).items()], "token int, bytes binary")
+
+
+def _with_bytes(rows: DataFrame, ranks_path: str) -> DataFrame:
+    """``rows`` with the bytes of their token. The table is broadcast: its size is the vocabulary's, whatever the input's."""
+    return rows.join(F.broadcast(token_bytes(rows.sparkSession, ranks_path)), "token", "left")
+
+
 def _bytes_of(ids: np.ndarray | None, token: dict[int, bytes]) -> bytes:
     return b"" if ids is None else b"".join(map(token.__getitem__, ids.tolist()))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with decoded (binary): the bytes of its ids in order, from the token-byte table, whose size is the vocabulary's.
+    """``encoded`` with decoded (binary): the bytes of its ids in order, by a join of each row's distinct ids with the token-byte table.
 
-    No or null ids give no bytes; an id outside the table, or a null one, is an error.
+    No or null ids give no bytes; an id outside the table, or a null one, is an error. Other columns stay as they are,
+    but for one of the name decoded, which is replaced. An empty table gives no rows.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token = {i: b for b, i in ranks_of(ranks_path).items()}
-        for pdf in batches:
-            pdf["decoded"] = [_bytes_of(x, token) for x in pdf[ids_col]]
-            yield pdf
-
-    kept = encoded.drop("decoded")
-    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", decoded binary")
+    row = f"row_{uuid.uuid4().hex}"  # numbers are written, so that they stay the same
+    kept = written(encoded.drop("decoded").withColumn(row, F.monotonically_increasing_id()), "encoded")
+    used = kept.select(F.col(row).alias("row"), F.explode(F.array_distinct(ids_col)).alias("token"))
+    found = _with_bytes(used, ranks_path)
+    unknown = F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(F.col("token").cast("string"), F.lit("null")))).cast("binary")
+    found = found.withColumn("bytes", F.coalesce("bytes", unknown)).groupBy("row").agg(F.collect_list(F.struct("token", "bytes")).alias("known"))
+
+    @F.pandas_udf("binary")
+    def put_together(ids: pd.Series, tokens: pd.Series, bytes_: pd.Series) -> pd.Series:
+        return pd.Series([b"" if t is None else _bytes_of(x, dict(zip(t.tolist(), b, strict=True))) for x, t, b in zip(ids, tokens, bytes_, strict=True)], dtype=object)
+
+    both = kept.join(found.withColumnsRenamed({"row": row, "known": f"known_{row}"}), row, "left")
+    return both.withColumn("decoded", put_together(ids_col, f"known_{row}.token", f"known_{row}.bytes")).drop(row, f"known_{row}")

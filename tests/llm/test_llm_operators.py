@@ -230,6 +230,24 @@ def test_bpe_documents(spark, odd, empty, chars):
     again = bpe.decode(encoded.drop("decoded"), RANKS).collect()
     assert sorted(hashlib.sha256(r.decoded).hexdigest() for r in again) == sorted(hashlib.sha256(r.decoded).hexdigest() for r in got)
     assert bpe.encode(empty, RANKS, P.PATTERN).count() == 0
+    assert bpe.encode(empty, RANKS, P.PATTERN, with_decoded=True).count() == 0
+    few = bpe.encode(odd, RANKS, P.PATTERN, block_chars=chars, most_words=5).collect()  # a task that forgets its words
+    assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids)) for r in few) == want
+
+
+def test_bpe_decoding_joins_the_token_bytes(spark, odd):
+    encoded = bpe.encode(odd, RANKS, P.PATTERN, with_decoded=True)
+    assert "BroadcastHashJoin [token#" in encoded._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, [87, 220, 331, 87], "x", "y"), (1, [87, 220, 331, 87], "x", "y"), (None, [], "x", "y"), (2, None, "x", "y")]
+    ids = spark.createDataFrame(rows, "doc_id long, ids array<int>, token string, bytes string").repartition(3)
+    by_id = {i: b for b, i in bpe.ranks_of(RANKS).items()}
+    got = bpe.decode(ids, RANKS)
+    assert got.columns == ["doc_id", "ids", "token", "bytes", "decoded"]
+    assert sorted(map(str, ((r.doc_id, r.token, bytes(r.decoded)) for r in got.collect()))) == sorted(map(str, ((d, t, b"".join(by_id[i] for i in x or [])) for d, x, t, _ in rows)))
+    assert bpe.decode(ids.where("false"), RANKS).count() == 0
+    for bad in ([10_000_000], [87, None]):
+        with pytest.raises(Exception, match="no token has the id"):
+            bpe.decode(spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>"), RANKS).collect()
 
 
 def test_lm_score_prefers_the_target(spark, odd, empty):
