@@ -4,7 +4,8 @@ Documents are gathered in blocks of bounded size. A block keeps its pre-tokens'
 list of distinct words, and the lists are shuffled by word: each task sees all blocks' entries of a word and merges its
 bytes once. The ids go back to the blocks, where texts are put together by position. The table of blocks is bucketed by
 block, so that the runs themselves are never shuffled. Decoding joins a block's distinct ids with the token-byte table and
-puts the bytes together by position.
+puts the bytes together by position: a block's ids go ahead of its documents through a join that is broadcast, hence
+without a shuffle and in order. Should they ever come apart, that is an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import shared_dir, texts, written
+from stockflow.llm.common import let_go, shared_dir, texts, written
 from stockflow.llm.tokens import ChunkTable, parts_of
 
 BLOCK_CHARS = 14_000_000
@@ -165,7 +166,7 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
 
         def full() -> pd.DataFrame:
             table.measure()
-            numbers = np.concatenate([n for _, _, n in held])
+            numbers = np.concatenate([n for _, _, n, _ in held])
             often = np.bincount(numbers, minlength=len(table.raw))
             used = np.flatnonzero(often)
             groups_of = table.hash[used] % groups
@@ -173,9 +174,9 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
             rank = np.zeros(len(table.raw), np.uint32)
             rank[[i for *_, i in listed]] = np.arange(len(used))
             planes = rank[numbers].astype("<u4").view(np.uint8).reshape(-1, 4)
-            ids = [d for ds, _, _ in held for d in ds]
+            ids, null = ([d for h in held for d in h[j]] for j in (0, 3))
             block = part << 32 | k
-            rows = [(block, -1, np.array([pd.isna(d) for d in ids], np.uint8).tobytes(), np.array([0 if pd.isna(d) else int(d) for d in ids], "<i8").tobytes(), np.concatenate([c for _, c, _ in held]).astype("<i8").tobytes(), *(planes[:, p].tobytes() for p in range(4)))]
+            rows = [(block, -1, np.array(null, np.uint8).tobytes(), np.array(ids, "<i8").tobytes(), np.concatenate([c for _, c, _, _ in held]).astype("<i8").tobytes(), *(planes[:, p].tobytes() for p in range(4)))]
             ends = np.cumsum(np.bincount(groups_of, minlength=groups)).tolist()
             for g, (first, last) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
                 if first < last:
@@ -188,7 +189,8 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
             at = 0
             for part_texts in parts_of(pdf["text"].tolist()):
                 numbers, counts = table.encode(part_texts)
-                held.append((pdf["doc_id"].iloc[at : at + len(counts)].tolist(), counts, numbers))
+                own = slice(at, at + len(counts))
+                held.append((pdf["doc_id"].iloc[own].tolist(), counts, numbers, pdf["no_id"].iloc[own].tolist()))
                 at += len(counts)
                 chars += sum(map(len, part_texts))
                 if chars >= block_chars:
@@ -198,7 +200,9 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
         if held:
             yield full()
 
-    return docs.mapInPandas(run, "block long, grp int, a binary, b binary, c binary, p0 binary, p1 binary, p2 binary, p3 binary")
+    # pandas would turn whole numbers beside nulls into floats
+    known = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    return known.mapInPandas(run, "block long, grp int, a binary, b binary, c binary, p0 binary, p1 binary, p2 binary, p3 binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS, with_decoded: bool = False) -> DataFrame:
@@ -218,6 +222,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = "<u2" if max(ranks_of(ranks_path).values()) < 1 << 16 else "<u4"
 
     def words_to_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         ranks, known = ranks_of(ranks_path), _Numbered()
         empty = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         flat, start, length = empty
@@ -238,21 +243,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     flat = np.concatenate([flat, np.array([i for x in new for i in x], "<u4")])
                 size = length[n]
                 ids = flat[np.repeat(start[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                out.append((block, first, *short(size), ids.astype(kind).tobytes(), None))
-                if with_decoded:  # a row of its own, so that exploding repeats nothing else
-                    out.append((block, None, None, None, None, np.unique(ids).astype(np.int32)))
-            yield pd.DataFrame(out, columns=["block", "first", "small", "large", "ids", "tokens"])
+                out.append((block, first, *short(size), ids.astype(kind).tobytes()))
+            yield pd.DataFrame(out, columns=["block", "first", "small", "large", "ids"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                token = {} if not with_decoded or r.tokens is None else dict(zip(r.tokens.tolist(), r.bytes, strict=True))
                 null, doc_ids, counts = np.frombuffer(r.a, np.uint8), np.frombuffer(r.b, "<i8"), np.frombuffer(r.c, "<i8")
                 numbers = np.stack([np.frombuffer(p, np.uint8) for p in (r.p0, r.p1, r.p2, r.p3)], axis=1).copy().view("<u4").reshape(-1)
                 parts = sorted([] if r.parts is None else r.parts, key=lambda x: x["first"])
                 length = np.concatenate([from_short(x["small"], x["large"]) for x in parts] or [np.zeros(0, np.int64)])
                 start = np.cumsum(length) - length
                 flat = np.concatenate([np.frombuffer(x["ids"], kind) for x in parts] or [np.zeros(0, kind)]).astype(np.int32)
+                if with_decoded and len(flat):
+                    used = np.unique(flat)
+                    yield pd.DataFrame({"block": r.block, "token": used, "doc_id": 0, "no_id": True, "ids": None})
                 ends, first = np.cumsum(counts), 0
                 while first < len(counts):  # documents of about 200,000 words at a time
                     base = ends[first] - counts[first]
@@ -261,22 +267,38 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     size = length[own]
                     ids = flat[np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                     per_doc = np.add.reduceat(np.append(size, 0), np.minimum(ends[first:last] - counts[first:last] - base, len(size))) * (counts[first:last] > 0)
-                    doc = pd.array(doc_ids[first:last].copy(), "Int64")
-                    doc[null[first:last] > 0] = pd.NA
-                    out = pd.DataFrame({"doc_id": doc, "ids": np.split(ids, np.cumsum(per_doc)[:-1])})
-                    yield out.assign(decoded=[_bytes_of(x, token) for x in out["ids"]]) if with_decoded else out
+                    split = np.split(ids, np.cumsum(per_doc)[:-1])
+                    if with_decoded:
+                        yield pd.DataFrame({"block": r.block, "token": -1, "doc_id": doc_ids[first:last], "no_id": null[first:last] > 0, "ids": split})
+                    else:
+                        yield pd.DataFrame({"doc_id": _nullable(doc_ids[first:last], null[first:last] > 0), "ids": split})
                     first = last
 
     words = table.where("grp >= 0").select("block", "grp", "a", "b", "c", "p0").repartition(n, "grp")
-    back = words.mapInPandas(words_to_ids, "block long, first binary, small binary, large binary, ids binary, tokens array<int>")
-    whole = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("first", "small", "large", "ids"))).alias("parts")
-    if with_decoded:
-        known = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "bytes"))).alias("known")
-        back = _with_bytes(back.withColumn("token", F.explode_outer("tokens")).drop("tokens"), ranks_path)
-        back = back.groupBy("block").agg(whole, known).select("block", "parts", "known.token", "known.bytes").withColumnRenamed("token", "tokens")
-    else:
-        back = back.groupBy("block").agg(whole)
-    return table.where("grp < 0").join(back, "block", "left").mapInPandas(put_together, "doc_id long, ids array<int>" + ", decoded binary" * with_decoded)
+    back = words.mapInPandas(words_to_ids, "block long, first binary, small binary, large binary, ids binary")
+    back = back.groupBy("block").agg(F.collect_list(F.struct("first", "small", "large", "ids")).alias("parts"))
+    blocks = table.where("grp < 0").join(back, "block", "left")
+    if not with_decoded:
+        return blocks.mapInPandas(put_together, "doc_id long, ids array<int>")
+
+    def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents (token -1) with their bytes, from rows of a block's tokens and then of its documents."""
+        let_go()
+        current, token = None, {}
+        for pdf in batches:
+            of_doc = (pdf["token"] < 0).to_numpy()
+            for block, at in pdf.groupby("block", sort=False).indices.items():
+                docs_, tokens = pdf.iloc[at[of_doc[at]]], pdf.iloc[at[~of_doc[at]]]
+                if block != current:
+                    current, token = block, {}
+                token.update(zip(tokens["token"].tolist(), tokens["bytes"], strict=True))
+                for i in range(0, len(docs_), 1000):
+                    some = docs_.iloc[i : i + 1000]
+                    doc = _nullable(some["doc_id"].to_numpy(), some["no_id"].to_numpy())
+                    yield pd.DataFrame({"doc_id": doc, "ids": some["ids"].tolist(), "decoded": [_bytes_of(x, token) for x in some["ids"]]})
+
+    both = _with_bytes(blocks.mapInPandas(put_together, "block long, token int, doc_id long, no_id boolean, ids array<int>"), ranks_path)
+    return both.select("block", "token", "bytes", "doc_id", "no_id", "ids").mapInPandas(to_bytes, "doc_id long, ids array<int>, decoded binary")
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
@@ -289,6 +311,13 @@ def _with_bytes(rows: DataFrame, ranks_path: str) -> DataFrame:
     return rows.join(F.broadcast(token_bytes(rows.sparkSession, ranks_path)), "token", "left")
 
 
+def _nullable(values: np.ndarray, null: np.ndarray) -> pd.api.extensions.ExtensionArray:
+    """Whole numbers, null where ``null``."""
+    out = pd.array(values.copy(), "Int64")
+    out[null] = pd.NA
+    return out
+
+
 def _bytes_of(ids: np.ndarray | None, token: dict[int, bytes]) -> bytes:
     return b"" if ids is None else b"".join(map(token.__getitem__, ids.tolist()))
 

@@ -238,6 +238,9 @@ def test_bpe_documents(spark, odd, empty, chars):
 def test_bpe_decoding_joins_the_token_bytes(spark, odd):
     encoded = bpe.encode(odd, RANKS, P.PATTERN, with_decoded=True)
     assert "BroadcastHashJoin [token#" in encoded._jdf.queryExecution().executedPlan().toString()
+    big = spark.createDataFrame([(2**60 + 1, "a b"), (None, "c"), (2**60 + 3, None)], "doc_id long, text string").coalesce(1)
+    found = bpe.encode(big, RANKS, P.PATTERN, with_decoded=True).collect()
+    assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in found) == [(0, b"c"), (2**60 + 1, b"a b"), (2**60 + 3, b"")]
     rows = [(1, [87, 220, 331, 87], "x", "y"), (1, [87, 220, 331, 87], "x", "y"), (None, [], "x", "y"), (2, None, "x", "y")]
     ids = spark.createDataFrame(rows, "doc_id long, ids array<int>, token string, bytes string").repartition(3)
     by_id = {i: b for b, i in bpe.ranks_of(RANKS).items()}
