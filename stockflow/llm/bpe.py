@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import let_go, shared_dir, texts, written
+from stockflow.llm.common import shared_dir, texts, thrifty, written
 from stockflow.llm.tokens import ChunkTable, parts_of
 
-BLOCK_CHARS = 14_000_000
+BLOCK_CHARS = 10_000_000
 MOST_CHUNKS = 400_000
 MOST_WORDS = 2_000_000
 #: Runs of letters of several kinds and lengths.
@@ -202,7 +202,7 @@ def word_blocks(docs: DataFrame, pattern: str, groups: int, block_chars: int = B
 
     # pandas would turn whole numbers beside nulls into floats
     known = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    return known.mapInPandas(run, "block long, grp int, a binary, b binary, c binary, p0 binary, p1 binary, p2 binary, p3 binary")
+    return known.mapInPandas(thrifty(run), "block long, grp int, a binary, b binary, c binary, p0 binary, p1 binary, p2 binary, p3 binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS, with_decoded: bool = False) -> DataFrame:
@@ -222,7 +222,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = "<u2" if max(ranks_of(ranks_path).values()) < 1 << 16 else "<u4"
 
     def words_to_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        let_go()
         ranks, known = ranks_of(ranks_path), _Numbered()
         empty = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         flat, start, length = empty
@@ -247,7 +246,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pd.DataFrame(out, columns=["block", "first", "small", "large", "ids"])
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        let_go()
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 null, doc_ids, counts = np.frombuffer(r.a, np.uint8), np.frombuffer(r.b, "<i8"), np.frombuffer(r.c, "<i8")
@@ -275,15 +273,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     first = last
 
     words = table.where("grp >= 0").select("block", "grp", "a", "b", "c", "p0").repartition(n, "grp")
-    back = words.mapInPandas(words_to_ids, "block long, first binary, small binary, large binary, ids binary")
+    back = words.mapInPandas(thrifty(words_to_ids), "block long, first binary, small binary, large binary, ids binary")
     back = back.groupBy("block").agg(F.collect_list(F.struct("first", "small", "large", "ids")).alias("parts"))
     blocks = table.where("grp < 0").join(back, "block", "left")
     if not with_decoded:
-        return blocks.mapInPandas(put_together, "doc_id long, ids array<int>")
+        return blocks.mapInPandas(thrifty(put_together), "doc_id long, ids array<int>")
 
     def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Documents (token -1) with their bytes, from rows of a block's tokens and then of its documents."""
-        let_go()
         current, token = None, {}
         for pdf in batches:
             of_doc = (pdf["token"] < 0).to_numpy()
@@ -297,8 +294,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     doc = _nullable(some["doc_id"].to_numpy(), some["no_id"].to_numpy())
                     yield pd.DataFrame({"doc_id": doc, "ids": some["ids"].tolist(), "decoded": [_bytes_of(x, token) for x in some["ids"]]})
 
-    both = _with_bytes(blocks.mapInPandas(put_together, "block long, token int, doc_id long, no_id boolean, ids array<int>"), ranks_path)
-    return both.select("block", "token", "bytes", "doc_id", "no_id", "ids").mapInPandas(to_bytes, "doc_id long, ids array<int>, decoded binary")
+    both = _with_bytes(blocks.mapInPandas(thrifty(put_together), "block long, token int, doc_id long, no_id boolean, ids array<int>"), ranks_path)
+    return both.select("block", "token", "bytes", "doc_id", "no_id", "ids").mapInPandas(thrifty(to_bytes), "doc_id long, ids array<int>, decoded binary")
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:

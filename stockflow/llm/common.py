@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,3 +62,14 @@ def let_go() -> None:
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
+
+
+def thrifty(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for mapInPandas, by a worker that gives memory back before it and once its own tables are gone."""
+
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
+        yield from run(batches)
+        let_go()
+
+    return outer
