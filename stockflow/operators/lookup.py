@@ -14,8 +14,9 @@ from stockflow.operators import order as O
 
 
 def build(rows: DataFrame, by: list[str], path: str, rows_per_file: int = 5_000_000) -> None:
-    """Store ``rows`` in the order of ``by``, and the index of their files."""
-    O.write_ordered(rows, by, f"{path}/rows", rows_per_file=rows_per_file)
+    """Store ``rows`` in the order of ``by``, then of every other column that has an order, and the index of their files: no two builds place rows otherwise."""
+    ties = [f.name for f in rows.schema.fields if f.name not in by and "map<" not in f.dataType.simpleString()]
+    O.write_ordered(rows, [*by, *ties], f"{path}/rows", rows_per_file=rows_per_file)
     stored = O.stored(rows.sparkSession, f"{path}/rows").withColumn("_path", F.col("_metadata.file_path"))
     stored.groupBy("_path", "_file").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/index")
 

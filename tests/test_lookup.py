@@ -54,6 +54,14 @@ def test_no_hits_nulls_and_empty_terms(spark, table):
     assert L.page(spark, f"{path}-empty", 3).count() == 0
 
 
+@pytest.mark.parametrize("down", [True, False])
+def test_rows_alike_in_the_order_go_by_their_other_columns(spark, tmp_path, down):
+    df = spark.range(90).select((F.col("id") / 30).cast("int").alias("a"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"), F.create_map(F.lit("k"), "id").alias("m"), "id")
+    L.build(df.coalesce(1).sortWithinPartitions(F.desc("id") if down else F.asc("id")), ["a"], f"{tmp_path}/t", rows_per_file=20)
+    pages = [L.page(spark, f"{tmp_path}/t", n, 25).drop("m") for n in (1, 2, 3, 4)]
+    assert [(r.a, r.name, r.id) for p in pages for r in sorted(p.collect(), key=lambda r: r.place)] == [tuple(r) for r in df.drop("m").sort("a", "name", "id").collect()]
+
+
 def test_display_names(spark):
     df = spark.createDataFrame([("A",), ("Z",), (None,)], "c string")
     assert [r[0] for r in df.select(L.displayed(F.col("c"), {"A": "Accepted"})).collect()] == ["Accepted", "Z", None]
