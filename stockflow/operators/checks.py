@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.sources.files import work_dir
+
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
@@ -66,13 +68,24 @@ def any_equal(figures: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_other")) for c in figures))
 
 
+#: Rows of both frames that a task of ``multisets_by_month`` compares, about: what it holds in memory.
+ROWS_PER_TASK = 1_000_000
+
+
 def multisets_by_month(a: DataFrame, b: DataFrame, month: str, columns: list[str]) -> DataFrame:
-    """Rows (of month and columns), with repetitions, that only one of two frames has. Figures by month come first: only months whose rows differ are compared row by row, and equal frames are not compared at all."""
+    """Rows (of month and columns), with repetitions, that only one of two frames has. Figures by month come first: only months whose rows differ are compared row by row, and equal frames are not compared at all.
+
+    The figures are stored, a row a month, so that they are worked out once. They tell how many rows there are to
+    compare, and so many tasks compare them: more rows make more tasks, not larger ones.
+    """
     names = [month, *(c for c in columns if c != month)]
-    months = differing_months(a, b, month, columns).where(F.col("column") == "*").select("month").distinct()
-    if not months.limit(1).count():
+    out = work_dir(a.sparkSession, "differing-months")
+    differing_months(a, b, month, columns).where(F.col("column") == "*").select(F.col("month").alias("_month"), "n", "n_other").coalesce(1).write.parquet(out)
+    months = a.sparkSession.read.parquet(out)
+    n = months.agg(F.sum(F.col("n") + F.col("n_other")).alias("n")).first()["n"]
+    if n is None:
         return a.select(*names).limit(0).withColumn("problem", F.lit("missing"))
-    of = lambda df: df.select(*names).join(months.withColumnRenamed("month", "_month"), F.col(month).eqNullSafe(F.col("_month")), "left_semi")
+    of = lambda df: df.select(*names).join(F.broadcast(months.select("_month")), F.col(month).eqNullSafe(F.col("_month")), "left_semi").repartition(-(-n // ROWS_PER_TASK), *names)
     return multisets(of(a), of(b))
 
 

@@ -61,6 +61,14 @@ def test_planted_changed_doubled_and_lost_rows(spark, source):
     assert (by[5, "v"].n, by[5, "v"].n_other, by[5, "v"].missing - by[5, "v"].missing_other) == (100, 99, 1)
 
 
+def test_more_rows_make_more_tasks_of_the_comparison(spark, source, monkeypatch):
+    monkeypatch.setattr(K, "ROWS_PER_TASK", 20, raising=False)
+    other = source.where("k <> 100").unionByName(source.where("k = 201"))
+    df = K.multisets_by_month(source, other, "month", COLUMNS)
+    assert sorted((r.k, r.problem) for r in df.collect()) == [(100, "missing"), (201, "extra")]
+    assert df.rdd.getNumPartitions() == 20  # for the 400 rows of the two months that differ
+
+
 def test_swapped_values_and_nulls_are_seen(spark, source):
     swapped = source.select("month", "k", F.col("w").alias("v"), F.col("v").alias("w"))
     assert K.multisets_by_month(source, swapped, "month", COLUMNS).count() > 0
