@@ -28,6 +28,12 @@ def sums(base: DataFrame, finer: DataFrame, keys: list[str], measures: list[str]
     return rows.where("value <> summed")
 
 
+def plain_cells(rows: DataFrame, month: str, values: dict[str, Column]) -> DataFrame:
+    """entity, month, dimension, v, flow: counts of rows by each dimension's values. Rows are counted where they lie; what joins the cells later (ends, eras) deals out counts, never rows by their few entities."""
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), v.alias("v")) for d, v in values.items()))
+    return rows.select("entity", F.col(month).alias("month"), F.inline(each)).groupBy("entity", "month", "dimension", "v").agg(F.count("*").alias("flow"))
+
+
 def row_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys, problem: keys that only one of two frames has."""
     a, b = a.select(*keys).distinct(), b.select(*keys).distinct()

@@ -208,11 +208,11 @@ def breakdown_recomputation(f: Frames) -> DataFrame:
 
     keys = ["entity", "grain", "period", "dimension", "v"]
     cube = cube_outflow_breakdown(f).where("grain IN ('fy', 'era') AND entity <> 'ALL'").select("entity", "grain", "period", "dimension", F.col("value").alias("v"), "flow")
-    kept = f.outflow.join(B.entity_ends(f.base), "entity").where("effective_month <= last_month").drop("last_month")
-    cells = kept.select("entity", "effective_month", F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), _value_of(f, d).alias("v")) for d in OUT_DIMENSIONS))))
-    years = cells.select("*", F.lit("fy").alias("grain"), fy_key(F.col("effective_month")).alias("period"))
-    eras = cells.join(F.broadcast(f.eras), F.col("effective_month").between(F.col("first_month"), F.col("last_month"))).select("entity", "effective_month", "dimension", "v", F.lit("era").alias("grain"), F.col("era").alias("period"))
-    return K.sums(cube, years.unionByName(eras).groupBy(*keys).agg(F.count("*").alias("flow")), keys, ["flow"])
+    cells = K.plain_cells(f.outflow, "effective_month", {d: _value_of(f, d) for d in OUT_DIMENSIONS})
+    kept = cells.join(B.entity_ends(f.base), "entity").where("month <= last_month").drop("last_month")
+    years = kept.select("*", F.lit("fy").alias("grain"), fy_key(F.col("month")).alias("period"))
+    eras = kept.join(F.broadcast(f.eras), F.col("month").between(F.col("first_month"), F.col("last_month"))).select(*kept.columns, F.lit("era").alias("grain"), F.col("era").alias("period"))
+    return K.sums(cube, years.unionByName(eras), keys, ["flow"])
 
 
 _GROUP_CELLS = f"SELECT entity, grain, period, dimension, value AS v, sum(flow) AS flow FROM ({_breakdown_sql('o2', OUT_BY_GROUP, _OUT_MEASURES, 'group_code')}) GROUP BY ALL"

@@ -126,3 +126,26 @@ def test_share_sums(f, tmp_path):
     at = (F.col("entity") == "ASIA") & (F.col("grain") == "fy") & (F.col("period") == "FY1996") & (F.col("dimension") == "status")
     for wrong in (planted(cube, "flow", at & (F.col("value") == "done")), cube.where(~(at & (F.col("value") == "open"))), planted(cube, "share_den", at & (F.col("value") == "done"))):
         assert [tuple(r) for r in K.share_sums(wrong, keys).collect()] == [("ASIA", "fy", "FY1996", "status")]
+
+
+def test_breakdown_recomputation_joins_entities_with_counts_only(spark):
+    from stockflow.queries import QUERIES
+
+    def rows(node):
+        """Whether lines come up to a node uncounted."""
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return node.nodeName() != "Aggregate" and (any(map(rows, below)) if below else "l_orderkey" in node.toString())
+
+    def by_entity(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [any(map(rows, below))] if node.nodeName() == "Join" and "entity#" in node.toString().split("\n")[0] else []
+        return own + [x for n in below for x in by_entity(n)]
+
+    found = by_entity(QUERIES["breakdown_recomputation"](spark, SF)._jdf.queryExecution().optimizedPlan())
+    assert len(found) >= 2 and not any(found)  # a few entities deal out whatever is joined by them
+
+
+def test_plain_cells_count_rows_by_each_dimension(spark):
+    df = spark.createDataFrame([("a", 1, "x", None), ("a", 1, "x", "q"), ("a", 2, "y", "q")], "entity string, m int, c string, d string")
+    got = {tuple(r) for r in K.plain_cells(df, "m", {"c": F.col("c"), "d": F.coalesce("d", F.lit("none"))}).collect()}
+    assert got == {("a", 1, "c", "x", 2), ("a", 2, "c", "y", 1), ("a", 1, "d", "none", 1), ("a", 1, "d", "q", 1), ("a", 2, "d", "q", 1)}
