@@ -139,7 +139,7 @@ def runs_of(w: np.ndarray, doc: np.ndarray, shortest: int = SHORTEST) -> tuple[n
     start, end, period = (np.concatenate([x[i] for x in parts]) for i in range(3))
     order = np.lexsort((period, end, start))  # one stretch, several periods: multiples of the smallest
     start, end, period = start[order], end[order], period[order]
-    new = np.append(True, (start[1:] != start[:-1]) | (end[1:] != end[:-1]))
+    new = np.append(True, (start[1:] != start[:-1]) | (end[1:] != end[:-1]))[: len(start)]  # seeds need not make a run
     start, end, period = start[new], end[new], period[new]
     order = np.lexsort((period, start))
     return start[order], end[order], period[order]

@@ -82,6 +82,19 @@ def test_shapes(size):
     assert found(docs) == [plain(d) for d in docs]
 
 
+def test_seeds_that_make_no_run():
+    rng = np.random.default_rng(9)
+    short = [[*range(q), *range(6), q] for q in range(7, 12)] + [[*range(q), *range(k), q] for k, q in ((12, 15), (24, 40), (50, 90))]
+    docs = short + [structured(rng)[: int(rng.integers(0, 30))] for _ in range(300)]
+    assert found(short) == [[]] * len(short)
+    assert [found([d]) for d in docs] == [[plain(d)] for d in docs]
+
+
+def test_operator_on_a_text_of_seeds_without_runs(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h a b c d e f x")], "doc_id long, text string")
+    assert [(r.doc_id, r.runs, r.collapsed) for r in runs.periodic_runs(df).collect()] == [(1, [], "a b c d e f g h a b c d e f x")]
+
+
 def test_neighbouring_documents_stay_apart():
     docs = [[1, 2, 3] * 3, [1, 2, 3] * 3, [], [7] * 6, [7] * 6, [7] * 12]
     assert found(docs) == [[], [], [], [], [], [(0, 12, 1)]]
