@@ -91,10 +91,9 @@ def op11_threshold_join_negatives(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op12_seed_extend_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document, whose tails are made periodic in every tenth, with digests of runs and collapsed texts."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", runs.with_planted_tail(F.col("text"), F.col("doc_id")).alias("text"))
     best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
     listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
-    found = runs.periodic_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), places=runs.planted_tails).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     length, period = -F.col("best.less"), F.col("best.period")
     return found.select("doc_id", "n_runs", "best.start", length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 

@@ -14,44 +14,52 @@ seeds within it; the others are extended both ways by the ladder of names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import let_go, texts
-from stockflow.llm.tokens import parts_of
+from stockflow.llm.common import texts, thrifty
 
 SHORTEST = 12
-SPACES = "\t\n\x0b\x0c\r"
+SPACES = r"[\x20\x09-\x0D]+"
 NEAR_CHAINS = 3
+PART_BYTES = 2_000_000
 
 
-def words_of(text: str) -> list[str]:
-    """Stretches without space, tab, line feed, vertical tab, form feed or carriage return."""
-    for c in SPACES:
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def words_of(part: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, the numbers of all words one after another, and the words by number. Words are stretches without space, tab, line feed, vertical tab, form feed or carriage return."""
+    split = pc.split_pattern_regex(part, SPACES)
+    words, offsets = split.flatten(), split.offsets.to_numpy()
+    filled = pc.not_equal(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(filled.to_numpy(zero_copy_only=False)))
+    found = words.filter(filled).dictionary_encode()
+    return np.diff(before[offsets]), found.indices.to_numpy(), found.dictionary
 
 
 def _name(key: np.ndarray) -> np.ndarray:
     """A number for each key that occurs twice, -1 for others."""
-    found, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
-    return number[at]
+    order = np.argsort(key)
+    twin = np.diff(key[order], append=-1) == 0  # as the next one; no key is -1
+    also = np.append(False, twin[:-1])
+    out = np.empty(len(key), np.int32)
+    out[order] = np.where(twin | also, np.cumsum(twin & ~also, dtype=np.int32) - 1, -1)
+    return out
 
 
 def ladder(w: np.ndarray, doc: np.ndarray) -> dict[int, np.ndarray]:
     """Names of the 1-, 2-, 3-, 6-, 12-, 24-grams and so on at each place, as long as any gram stands twice in a document."""
-    names = {1: _name(doc * (int(w.max(initial=0)) + 1) + w)}
+    names = {1: _name(doc * np.int64(int(w.max(initial=0)) + 1) + w)}
 
     def longer(first: int, second: int) -> np.ndarray:
-        a, b, out = names[first], names[second], np.full(len(w), -1, np.int64)
+        a, b, out = names[first], names[second], np.full(len(w), -1, np.int32)
         at = np.flatnonzero((a[: len(w) - first] >= 0) & (b[first:] >= 0) & (doc[: len(w) - first] == doc[first:])) if len(w) > first else np.zeros(0, np.int64)
         if len(at):
-            out[at] = _name(a[at] * (int(b.max()) + 1) + b[at + first])
+            out[at] = _name(a[at] * np.int64(int(b.max()) + 1) + b[at + first])
         return out
 
     k = 1
@@ -63,22 +71,30 @@ def ladder(w: np.ndarray, doc: np.ndarray) -> dict[int, np.ndarray]:
     return names
 
 
-def _near_pairs(g: np.ndarray, p: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places of a name with lags up to ``most``, a small constant."""
-    a, b = [p[:0]], [p[:0]]
-    for s in range(1, most + 1):
-        near = (g[s:] == g[:-s]) & (p[s:] - p[:-s] <= most)
-        if not near.any():
-            break
-        a.append(p[:-s][near])
-        b.append(p[s:][near])
-    return np.concatenate(a), np.concatenate(b)
+def _near_heads(name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of places of a name with lags below 2k, a small constant, those that no pair before them on their lag covers."""
+    a, lags = [], []
+    for lag in range(1, min(2 * k, len(name))):
+        at = np.flatnonzero((name[:-lag] == name[lag:]) & (name[lag:] >= 0))
+        a.append(at[np.append(True, at[1:] >= at[:-1] + k)[: len(at)]])
+        lags.append(np.full(len(a[-1]), lag))
+    return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*lags, np.zeros(0, np.int64)])
+
+
+def _by_name(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names, and their places, of all places with a name, by both."""
+    p = np.flatnonzero(name >= 0)
+    key = name[p].astype(np.int64)
+    key <<= 32
+    key |= p
+    key.sort()
+    return (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
 
 
 def _chain_pairs(g: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """One pair for each lag from k to 2k - 1 of each two chains of a name."""
     begins = np.append(True, (g[1:] != g[:-1]) | (p[1:] - p[:-1] > k // 2))
-    chain, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    chain, first = np.cumsum(begins, dtype=np.int32) - 1, np.flatnonzero(begins).astype(np.int32)
     a, b = [p[:0]], [p[:0]]
     for c in range(1, NEAR_CHAINS + 1):
         for before, mine in ((chain - c, False), (chain + c, True)):
@@ -94,10 +110,13 @@ def _chain_pairs(g: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def _heads(a: np.ndarray, lag: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The seeds that no seed before them on their lag has covered (a seed covers its k words)."""
-    order = np.lexsort((a, lag))
-    a, lag = a[order], lag[order]
-    head = np.append(True, (lag[1:] != lag[:-1]) | (a[1:] >= a[:-1] + k))
-    return a[head], lag[head]
+    key = lag.astype(np.int64)
+    key <<= 32
+    key |= a
+    key.sort()
+    head = np.append(True, np.diff(key) >= k)  # another lag is further away than any place
+    key = key[head]
+    return key & 0xFFFFFFFF, key >> 32
 
 
 def _extended(names: dict[int, np.ndarray], a: np.ndarray, lag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +142,15 @@ def runs_of(w: np.ndarray, doc: np.ndarray, shortest: int = SHORTEST) -> tuple[n
         return (np.zeros(0, np.int64),) * 3
     names, parts = ladder(w, doc), []
     for k in [x for x in names if x >= 6]:
-        p = np.flatnonzero(names[k] >= 0)
-        if not len(p):
-            break
-        order = np.argsort(names[k][p], kind="stable")
-        g, p = names[k][p][order], p[order]
-        a, b = _near_pairs(g, p, 2 * k - 1) if k == 6 else _chain_pairs(g, p, k)
+        if k == 6:
+            a, lag = _near_heads(names[k], k)
+        else:
+            g, p = _by_name(names[k])
+            if not len(p):
+                break
+            a, b = _chain_pairs(g, p, k)
+            a, lag = _heads(a, b - a, k) if len(a) else (a, b)
         if len(a):
-            a, lag = _heads(a, b - a, k)
             start, end = _extended(names, a, lag)
             enough = end - start >= np.maximum(lag, shortest - lag)
             parts.append((start[enough], end[enough] + lag[enough], lag[enough]))
@@ -145,59 +165,61 @@ def runs_of(w: np.ndarray, doc: np.ndarray, shortest: int = SHORTEST) -> tuple[n
     return start[order], end[order], period[order]
 
 
-def _of_texts(part: list[str], shortest: int) -> tuple[list[list], list[str]]:
-    """For each text the arrays of starts, lengths and periods; and the text without repeated words."""
-    words = [words_of(t) for t in part]
-    sizes = np.array([len(x) for x in words], np.int64)
+def _of_texts(part: pa.Array, ids: pa.Array, shortest: int, places: Callable[[list, np.ndarray], np.ndarray] | None) -> list[pa.Array]:
+    """Of each text the starts, lengths and periods of its runs, and the text without repeated words."""
+    sizes, w, words = words_of(part)
     first = np.cumsum(sizes) - sizes
-    together = np.array([x for y in words for x in y], object)
-    doc = np.repeat(np.arange(len(part)), sizes)
-    start, end, period = runs_of(pd.factorize(together)[0].astype(np.int64) if len(together) else np.zeros(0, np.int64), doc, shortest)
-    of = doc[start] if len(start) else start
-    gone = np.zeros(len(together) + 1, np.int64)
+    if places is not None:
+        w = w[places(ids.to_pylist(), sizes)]
+    doc = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
+    start, end, period = runs_of(w, doc, shortest)
+    of = doc[start]
+    gone = np.zeros(len(w) + 1, np.int32)
     np.add.at(gone, start + period, 1)
     np.add.at(gone, end, -1)
-    kept = np.cumsum(gone[:-1]) == 0
-    at = np.searchsorted(of, np.arange(len(part) + 1))
-    runs = [[x[at[i] : at[i + 1]] for x in (start - first[of], end - start, period)] for i in range(len(part))]
-    left = [" ".join(together[f : f + n][kept[f : f + n]]) for f, n in zip(first, sizes, strict=True)]
-    return runs, left
+    kept = np.cumsum(gone[:-1], dtype=np.int32) == 0
+    before = np.append(0, np.cumsum(kept))[np.append(first, len(w))]
+    left = pc.binary_join(pa.ListArray.from_arrays(pa.array(before, pa.int32()), words.take(pa.array(w[kept]))), " ")
+    at = pa.array(np.searchsorted(of, np.arange(len(part) + 1)), pa.int32())
+    return [*(pa.ListArray.from_arrays(at, pa.array(x, pa.int64())) for x in (start - first[of], end - start, period)), left]
 
 
-def periodic_runs(docs: DataFrame, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def periodic_runs(docs: DataFrame, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", places: Callable[[list, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """doc_id, runs (array of start, length, period; in words from 0, by start and period) and collapsed of every row.
 
     Words are stretches without ASCII white space. A run is a stretch with smallest period q and at least
     max(shortest, 2q) words that no neighbouring word extends; ``collapsed`` has each run's first q words and those
     outside runs, joined by one space. Null and empty texts have no runs and an empty ``collapsed``. Every row gives one row,
     repeated ones and null ids too; texts are read whole, each in one task, which takes memory by its words times the
-    levels of its repeats (at most the logarithm of their number).
-    """
+    levels of its repeats (at most the logarithm of their number): 4 bytes a word and level, and some 140 bytes a word.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        let_go()
-        for pdf in batches:
-            first, ids = 0, pdf["doc_id"]
-            for part in parts_of(pdf["text"].tolist()):
-                runs, left = _of_texts(part, shortest)
-                yield pd.DataFrame({"doc_id": ids.iloc[first : first + len(part)].to_numpy(), **{c: [r[i] for r in runs] for i, c in enumerate(("start", "length", "period"))}, "collapsed": left})
-                first += len(part)
+    ``places`` may put other words in a word's place before runs are looked for: of the ids of some texts and their numbers
+    of words it makes, for all their words one after another, the number among these words of the one that comes to stand there.
+    """
 
-    found = texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, start array<long>, length array<long>, period array<long>, collapsed string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, text = batch.column("doc_id"), batch.column("text")
+            first, total = 0, 0
+            for i, size in enumerate(pc.binary_length(text).to_pylist()):
+                total += size
+                if total >= PART_BYTES or i + 1 == len(text):
+                    mine = ids.slice(first, i + 1 - first)
+                    found = _of_texts(text.slice(first, len(mine)), mine, shortest, places)
+                    yield pa.RecordBatch.from_arrays([mine, *found], ["doc_id", "start", "length", "period", "collapsed"])
+                    first, total = i + 1, 0
+
+    found = texts(docs, id_col, text_col).mapInArrow(thrifty(run), "doc_id long, start array<long>, length array<long>, period array<long>, collapsed string")
     return found.select("doc_id", F.arrays_zip("start", "length", "period").alias("runs"), "collapsed")
 
 
-def with_planted_tail(text: Column, doc_id: Column) -> Column:
-    """The text with the tail of every tenth document made periodic: with h the crc32 of its id in decimals, g = floor(h / 10) and n words, where h is divisible by 10 each word i from a = g % n on becomes word a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8)). Others, and those without words or id, stay."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-
-    def tail(w: Column) -> Column:
-        n = F.size(w)
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8))
-        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    made = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(text))
-    return F.when(h % 10 == 0, F.get(made, F.lit(0))).otherwise(text)
+def planted_tails(ids: list[int | None], sizes: np.ndarray) -> np.ndarray:
+    """Places that make the tail of every tenth text periodic: with h the crc32 of its id in decimals, g = floor(h / 10) and n words, where h is divisible by 10 each word i from a = g % n on becomes word a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8)). Others, and those without words or id, stay."""
+    at = np.arange(int(sizes.sum()))
+    for i, n, end in zip(ids, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+        h = 1 if i is None else zlib.crc32(str(i).encode())
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            at[end - n + a : end] = end - n + a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return at

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -95,6 +96,23 @@ def test_operator_on_a_text_of_seeds_without_runs(spark):
     assert [(r.doc_id, r.runs, r.collapsed) for r in runs.periodic_runs(df).collect()] == [(1, [], "a b c d e f g h a b c d e f x")]
 
 
+def test_ids_beside_a_null_id_stay_whole(spark):
+    ids = [None, 2**53 + 1, 2**63 - 1, -(2**63)]
+    got = runs.periodic_runs(spark.createDataFrame([(i, "a " * 12) for i in ids], "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id for r in got} == set(ids) and all([tuple(x) for x in r.runs] == [(0, 12, 1)] for r in got)
+
+
+@pytest.mark.parametrize("period", [1, 7])
+def test_memory_of_a_long_run(period):
+    n = 200_000
+    w, doc = np.arange(n) % period, np.zeros(n, np.int64)
+    tracemalloc.start()
+    got = runs.runs_of(w, doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == [[0], [n], [period]] and peak < 300 * n
+
+
 def test_neighbouring_documents_stay_apart():
     docs = [[1, 2, 3] * 3, [1, 2, 3] * 3, [], [7] * 6, [7] * 6, [7] * 12]
     assert found(docs) == [[], [], [], [], [], [(0, 12, 1)]]
